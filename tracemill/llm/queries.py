@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.llm import bpe, chat, decontaminate, langid, ngram_join, order_minhash, quality, sharding, toxicity
+from tracemill.llm import bpe, chat, decontaminate, langid, ngram_join, order_minhash, quality, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_sharding": sharding.op8_sharding,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_language": langid.op10_language,
 }
 
