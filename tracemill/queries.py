@@ -1,6 +1,559 @@
-"""Queries over the supplied tables, each beside its SQL."""
+"""Queries over the supplied tables, each beside its SQL. Whole tables go in; limits are part of a top-k report only."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracemill.functions import stats as S
+from tracemill.functions import text as T
+from tracemill.operators import governance as G
+from tracemill.operators import graph as GR
+from tracemill.operators import ledger as L
+from tracemill.operators import outcomes as O
+from tracemill.operators import policy as P
+from tracemill.operators import realism as R
+from tracemill.operators import reports as RP
+from tracemill.operators import tripwires as TW
+from tracemill.operators import vector as V
+from tracemill.operators import wire as W
+from tracemill.plans import model as M
+from tracemill.plans import sql as Q
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+#: The supplied embeddings are nearly orthogonal, so the floor of the retrieval queries is lower than the operator's.
+FLOOR = 0.15
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+# --- turns -----------------------------------------------------------------------------------------------------------
+@query(f"WITH {Q.TURNS} SELECT label, count(*) AS turns, CAST(sum(n_continuations) AS BIGINT) AS continuations FROM t GROUP BY label")
+def turn_label_counts(spark, d):
+    return RP.label_counts(M.turns(spark, d))
+
+
+@query(f"WITH {Q.TURNS} SELECT session_id, CAST(turn_no AS BIGINT) AS turn_no, label, n_continuations, CAST(input_tokens AS BIGINT) AS input_tokens, CAST(output_tokens AS BIGINT) AS output_tokens, n_records FROM t")
+def turn_rollup(spark, d):
+    return M.turns(spark, d).select("session_id", "turn_no", "label", "n_continuations", "input_tokens", "output_tokens", "n_records")
+
+
+@query("SELECT l_orderkey, CAST(sum(q) AS DOUBLE) AS quantity, count(*) AS messages FROM (SELECT l_orderkey, l_partkey, arg_min(l_quantity, l_linenumber) AS q FROM lineitem GROUP BY 1, 2) AS x GROUP BY 1")
+def usage_once_per_message(spark, d):
+    w = Window.partitionBy("l_orderkey", "l_partkey").orderBy("l_linenumber")
+    first = M.table(spark, d, "lineitem").withColumn("n", F.row_number().over(w)).where("n = 1")
+    return first.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("messages"))
+
+
+@query("SELECT l_orderkey, count(*) AS messages FROM (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) AS x GROUP BY 1")
+def parallel_tool_messages(spark, d):
+    per = M.table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").count().where("count > 1")
+    return per.groupBy("l_orderkey").agg(F.count("*").alias("messages"))
+
+
+@query(f"WITH {Q.PROMPT} SELECT intent, count(*) AS turns, coalesce(median(CAST(len(text) AS DOUBLE)), 0e0) AS median_chars FROM (SELECT text, {Q.cases('text', T.CORPUS_INTENTS, chr(39) + 'other' + chr(39))} AS intent FROM p) AS x GROUP BY intent")
+def intent_bucket_medians(spark, d):
+    p = M.prompts(spark, d).withColumn("intent", T.corpus_intent(F.col("text")))
+    return p.groupBy("intent").agg(F.count("*").alias("turns"), S.median_or_zero(F.length("text").cast("double")).alias("median_chars"))
+
+
+@query(f"WITH {Q.TURNS}, c AS (SELECT count(*) FILTER (WHERE label = 'user_turn') AS u, count(*) FILTER (WHERE label = 'utility') AS x, CAST(sum(n_continuations) AS BIGINT) AS k FROM t), s AS (SELECT 'user_turn' AS kind, u AS requests FROM c UNION ALL SELECT 'utility', x FROM c UNION ALL SELECT 'continuation', k FROM c) SELECT kind, requests, printf('%.1f', 100e0 * requests / sum(requests) OVER ()) || '%' AS share FROM s")
+def traffic_shares(spark, d):
+    return RP.traffic_shares(M.turns(spark, d))
+
+
+PRICES = [("R", 5.0, 25.0), ("A", 1.0, 5.0), ("N", 3.0, 15.0)]
+_TOKENS = "SELECT l_returnflag AS model, l_quantity AS i, l_extendedprice AS o, CASE l_returnflag WHEN 'R' THEN 5e0 WHEN 'A' THEN 1e0 ELSE 3e0 END AS pi, CASE l_returnflag WHEN 'R' THEN 25e0 WHEN 'A' THEN 5e0 ELSE 15e0 END AS po, o_orderpriority AS priority FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+def _priced(spark, d):
+    li, o = M.table(spark, d, "lineitem"), M.table(spark, d, "orders")
+    t = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.array("l_returnflag").alias("models"), F.col("l_quantity").alias("input_tokens"), F.col("l_extendedprice").alias("output_tokens"), F.lit(0).alias("cache_read_tokens"), F.lit(0).alias("cache_creation_tokens"),
+        F.col("o_orderpriority").alias("priority"), (F.col("l_linenumber") - 1).alias("n_continuations"), (F.col("l_linestatus") == "F").cast("int").alias("n_error_results"))
+    return t
+
+
+@query(f"SELECT model, count(*) AS turns, round(sum(i), 2) AS input_tokens, round(sum(o), 2) AS output_tokens, round(sum(i / 1e6 * pi + o / 1e6 * po), 6) AS usd FROM ({_TOKENS}) AS x GROUP BY model")
+def token_economics(spark, d):
+    e = RP.economics(_priced(spark, d), PRICES)
+    return e.select("model", "turns", F.round("input_tokens", 2).alias("input_tokens"), F.round("output_tokens", 2).alias("output_tokens"), F.round("usd", 6).alias("usd"))
+
+
+@query(f"SELECT round(sum(i / 1e6 * pi + o / 1e6 * po), 6) AS observed, round(sum(i / 1e6 * 5e0 + o / 1e6 * 25e0), 6) AS single FROM ({_TOKENS}) AS x")
+def best_single_model_repricing(spark, d):
+    t = _priced(spark, d)
+    return t.agg(F.round(F.sum(RP.cost(F.col("models")[0], PRICES)), 6).alias("observed"), F.round(F.sum(RP.cost(F.lit("R"), PRICES)), 6).alias("single"))
+
+
+@query("SELECT count(*) FILTER (WHERE e) AS easy_turns, count(*) AS turns, round(coalesce(sum(o) FILTER (WHERE e), 0), 2) AS easy_usd, round(sum(o), 2) AS usd FROM (SELECT l_extendedprice AS o, l_linenumber - 1 <= 3 AND l_linestatus <> 'F' AND l_extendedprice < 2000 AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS x")
+def easy_candidate_slice(spark, d):
+    e = RP.easy_slice(_priced(spark, d), F.col("output_tokens"))
+    return e.select("easy_turns", "turns", F.round("easy_usd", 2).alias("easy_usd"), F.round("usd", 2).alias("usd"))
+
+
+# --- the wire --------------------------------------------------------------------------------------------------------
+def _discriminated(spark, d):
+    return M.captures(spark, d).withColumn("label", W.discriminate(F.col("path"), F.col("body"))).withColumn("entrypoint", W.entrypoint(F.col("body")))
+
+
+@query(f"WITH {Q.DISCRIMINATED} SELECT label, count(*) AS n FROM dc GROUP BY label")
+def discriminator_distribution(spark, d):
+    return _discriminated(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {Q.DISCRIMINATED} SELECT label, count(*) FILTER (WHERE entrypoint = 'cli') AS cli, count(*) FILTER (WHERE entrypoint = 'sdk') AS sdk, count(*) FILTER (WHERE entrypoint = 'unknown') AS unknown FROM dc GROUP BY label")
+def entrypoint_crosstab(spark, d):
+    return _discriminated(spark, d).groupBy("label").agg(*[F.count_if(F.col("entrypoint") == e).alias(e) for e in ("cli", "sdk", "unknown")])
+
+
+@query(f"WITH {Q.DISCRIMINATED}, s AS (SELECT *, CASE WHEN broken THEN NULL ELSE 's' || (i % 7) END AS session_id FROM dc) SELECT session_id, arg_min(label, seq) AS first_label FROM s WHERE session_id IS NOT NULL AND label IN ('user_turn', 'continuation') GROUP BY session_id")
+def first_label_per_session(spark, d):
+    c = _discriminated(spark, d).withColumn("session_id", W.session_key(F.col("body"))).where("session_id IS NOT NULL AND label IN ('user_turn', 'continuation')")
+    return c.groupBy("session_id").agg(F.min_by("label", "seq").alias("first_label"))
+
+
+@query(f"""WITH {Q.DISCRIMINATED} SELECT 'count_tokens' AS check, count(*) FILTER (WHERE contains(path, '/count_tokens') AND label <> 'passthrough:count_tokens') AS violations FROM dc
+UNION ALL SELECT 'tail_with_tools', count(*) FILTER (WHERE path = '/v1/messages' AND NOT broken AND tail AND has_tools AND max_tokens > 2 AND i % 11 <> 5 AND label <> 'continuation') FROM dc""")
+def capture_checks(spark, d):
+    c = _discriminated(spark, d)
+    b = F.col("body")
+    tools = F.coalesce(F.size(F.try_variant_get(F.try_parse_json(b), "$.tools", "array<variant>")), F.lit(0)) > 0
+    limit = F.try_variant_get(F.try_parse_json(b), "$.max_tokens", "int") > 2
+    tail = (F.col("path") == "/v1/messages") & W.last_has_tool_result(b) & tools & limit & ~F.contains(W.system_head(b), F.lit("summarizing"))
+    a = c.agg(F.count_if(F.contains("path", F.lit("/count_tokens")) & (F.col("label") != "passthrough:count_tokens")).alias("a"), F.count_if(tail & (F.col("label") != "continuation")).alias("b"))
+    return a.select(F.expr("stack(2, 'count_tokens', a, 'tail_with_tools', b) AS (check, violations)"))
+
+
+@query(f"""WITH {Q.CAPTURES}, s AS (SELECT *, routed AND NOT fell AS served FROM cp),
+l AS (SELECT list_sort(list(latency_ms) FILTER (WHERE served)) AS a, list_sort(list(latency_ms) FILTER (WHERE NOT served)) AS b, count(*) AS requests, count(*) FILTER (WHERE routed) AS routed, count(*) FILTER (WHERE served) AS served_local, count(*) FILTER (WHERE routed AND fell) AS fell_back, count(*) FILTER (WHERE status >= 400 AND NOT fell) AS errors FROM s)
+SELECT requests, routed, served_local, fell_back, errors, a[CAST(floor(len(a) * 5e-1) AS INTEGER) + 1] AS local_p50, a[CAST(floor(len(a) * 9e-1) AS INTEGER) + 1] AS local_p90, list_max(a) AS local_max, b[CAST(floor(len(b) * 5e-1) AS INTEGER) + 1] AS cloud_p50, b[CAST(floor(len(b) * 9e-1) AS INTEGER) + 1] AS cloud_p90,
+fell_back / routed >= 2e-1 AS fallback_alarm, errors > 0 AS error_alarm FROM l""")
+def telemetry_latency(spark, d):
+    return RP.telemetry(M.captures(spark, d))
+
+
+@query("SELECT doc_id, 'anon:' || substr(sha1(substr(text, 1, 500)), 1, 16) AS session_id, strlen(text) <= 49152 AS fits, CAST(length(text) // 4 AS BIGINT) AS tokens FROM documents")
+def fallback_session_and_size(spark, d):
+    t = F.col("text")
+    return M.table(spark, d, "documents").select("doc_id", W.fallback_session(t).alias("session_id"), W.fits_local(t).alias("fits"), F.floor(F.length(t) / 4).alias("tokens"))
+
+
+# --- text ------------------------------------------------------------------------------------------------------------
+@query(f"WITH {Q.PROMPT} SELECT verb, count(*) AS n, round(sum(score), 6) AS score, count(*) FILTER (WHERE broad) AS broad, count(*) FILTER (WHERE narrow) AS narrow, count(*) FILTER (WHERE terse) AS terse FROM (SELECT {Q.cases('text', [(n, p) for n, _, p in T.VERB_CLASSES], chr(39) + 'unknown' + chr(39))} AS verb, {Q.cases('text', [(s, p) for _, s, p in T.VERB_CLASSES], '5e-1')} AS score, {Q.rx(T.SCOPE_BROAD, 'text')} AS broad, {Q.rx(T.SCOPE_NARROW, 'text')} AS narrow, {Q.rx(T.TERSE, 'text')} AS terse FROM p) AS x GROUP BY verb")
+def intent_classes(spark, d):
+    t = F.col("text")
+    p = M.prompts(spark, d).select(T.verb_class(t).alias("verb"), T.verb_score(t).alias("score"), T.matches(t, T.SCOPE_BROAD).alias("b"), T.matches(t, T.SCOPE_NARROW).alias("w"), T.matches(T.strip(t), T.TERSE).alias("t"))
+    return p.groupBy("verb").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"), F.count_if("b").alias("broad"), F.count_if("w").alias("narrow"), F.count_if("t").alias("terse"))
+
+
+_ENV, _CONN = Q.quote(T.ENV_ASSIGNMENT), Q.quote(T.CONNECTION)
+_ENTROPY = "list_sum(list_transform(list_distinct(string_split({v}, '')), lambda c: -(len(list_filter(string_split({v}, ''), lambda x: x = c)) / CAST(length({v}) AS DOUBLE)) * log2(len(list_filter(string_split({v}, ''), lambda x: x = c)) / CAST(length({v}) AS DOUBLE))))"
+
+
+@query(f"WITH {Q.PROMPT}, s AS (SELECT text FROM p UNION ALL SELECT text FROM documents) SELECT hit, count(*) AS n FROM (SELECT unnest(list_concat(" + ", ".join(f"CASE WHEN regexp_matches(text, {Q.quote(p)}) THEN ['{n}'] ELSE [] END" for n, p in T.SECRET_HIGH) + f", CASE WHEN len(list_filter(regexp_extract_all(text, {_ENV}, 1), lambda v: length(v) >= 12 AND {_ENTROPY.format(v='v')} >= 3)) > 0 THEN ['env_assignment'] ELSE [] END)) AS hit FROM s) AS x GROUP BY hit")
+def secret_scan_hits(spark, d):
+    texts = M.prompts(spark, d).select("text").unionByName(M.table(spark, d, "documents").select("text"))
+    hits = texts.select(F.explode(T.secret_hits(F.col("text"))).alias("hit")).where("hit <> 'connection_string_cred'")
+    return hits.groupBy("hit").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT page_id, round({_ENTROPY.format(v='url')}, 9) AS entropy FROM pages WHERE url <> ''")
+def shannon_entropy(spark, d):
+    return M.table(spark, d, "pages").where("url <> ''").select("page_id", F.round(T.shannon_entropy(F.col("url")), 9).alias("entropy"))
+
+
+@query()
+def file_references(spark, d):
+    refs = M.prompts(spark, d).select("session_id", "idx", F.explode(T.file_references(F.col("text"))).alias("path"))
+    return refs.groupBy("path").agg(F.count("*").alias("n"))
+
+
+_SHARE = "100e0 * count(*) FILTER (WHERE {c}) / count(*)"
+
+
+@query(f"""WITH {Q.PROMPT}, {Q.USERS} SELECT quantile_cont(CAST(wc AS DOUBLE), 0.1) AS wc_p10, quantile_cont(CAST(wc AS DOUBLE), 0.5) AS wc_p50, quantile_cont(CAST(wc AS DOUBLE), 0.9) AS wc_p90, quantile_cont(CAST(wc AS DOUBLE), 0.99) AS wc_p99,
+{_SHARE.format(c='wc < 5')} AS pct_lt5_words, {_SHARE.format(c=Q.NO_PUNCT)} AS pct_no_terminal_punct, {_SHARE.format(c=Q.LOWER)} AS pct_all_lowercase, {_SHARE.format(c=Q.TXT)} AS pct_txt_speak, {_SHARE.format(c=Q.PATH)} AS pct_inline_path,
+{_SHARE.format(c="contains(text, '```')")} AS pct_fenced_code, {_SHARE.format(c='wc <= 3')} AS pct_terse_le3, {_SHARE.format(c=Q.QUESTION)} AS pct_questions, {_SHARE.format(c=Q.DISFLUENT)} AS pct_disfluency FROM u""")
+def realism_surface_metrics(spark, d):
+    p = M.prompts(spark, d).withColumns({"is_user": F.lit(True), "interrupted": F.lit(False), "n_continuations": F.lit(0)})
+    s = R.surface(p)
+    keep = ["surface::wc_p10", "surface::wc_p50", "surface::wc_p90", "surface::wc_p99", "surface::pct_lt5_words", "surface::pct_no_terminal_punct", "surface::pct_all_lowercase", "surface::pct_txt_speak", "surface::pct_inline_path", "surface::pct_fenced_code", "behavioral::pct_terse_le3", "behavioral::pct_questions", "behavioral::pct_disfluency"]
+    return s.select(*[F.col(f"`{k}`").alias(k.split("::")[1]) for k in keep])
+
+
+@query(f"""WITH {Q.PROMPT}, {Q.USERS}, w AS (SELECT session_id, idx, {Q.CONTENT} AS b, lag({Q.CONTENT}) OVER (PARTITION BY session_id ORDER BY idx) AS a FROM u)
+SELECT session_id, idx, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0e0 ELSE round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 9) END AS jaccard FROM w WHERE a IS NOT NULL""")
+def realism_session_jaccard(spark, d):
+    p = M.prompts(spark, d).withColumn("is_user", F.lit(True))
+    return R.consecutive_jaccard(p).withColumn("jaccard", F.round("jaccard", 9))
+
+
+_ARCH = f"WITH {Q.PROMPT}, {Q.USERS}, k AS (SELECT {Q.ARCHETYPE} AS archetype, wc, session_id FROM u), n AS (SELECT unnest({Q.strings(T.ARCHETYPES)}) AS archetype)"
+
+
+@query(f"{_ARCH}, c AS (SELECT archetype, count(*) AS m, median(CAST(wc AS DOUBLE)) AS wc_median FROM k GROUP BY 1) SELECT archetype, coalesce(m, 0) / CAST((SELECT count(*) FROM k) AS DOUBLE) AS share, wc_median FROM n LEFT JOIN c USING (archetype)")
+def archetype_share(spark, d):
+    return R.archetypes(M.prompts(spark, d).withColumn("is_user", F.lit(True)))
+
+
+@query(f"{_ARCH}, a AS (SELECT archetype, count(*) FILTER (WHERE session_id % 2 = 0) / CAST((SELECT count(*) FROM k WHERE session_id % 2 = 0) AS DOUBLE) AS x, count(*) FILTER (WHERE session_id % 2 <> 0) / CAST((SELECT count(*) FROM k WHERE session_id % 2 <> 0) AS DOUBLE) AS y FROM k GROUP BY 1) SELECT round(5e-1 * sum(abs(x - y)), 9) AS tvd FROM a")
+def archetype_tvd(spark, d):
+    p = M.prompts(spark, d).withColumn("is_user", F.lit(True))
+    a, b = R.archetypes(p.where("session_id % 2 = 0")), R.archetypes(p.where("session_id % 2 <> 0"))
+    return S.total_variation(a, b, "archetype", "share").withColumn("tvd", F.round("tvd", 9))
+
+
+@query()
+def realism_scorecard(spark, d):
+    t = M.prompts(spark, d).withColumns({"is_user": F.lit(True), "interrupted": F.col("text").startswith(TW.INTERRUPT), "n_continuations": F.lit(3), "source_kind": F.lit("main"), "n_assistant_msgs": F.lit(1), "n_tool_uses": F.lit(1), "input_tokens": F.length("text"), "cache_read_tokens": F.length("text") * 300, "n_error_results": (F.length("text") % 11 == 0).cast("int"), "edit_tripwire": F.length("text") % 37 == 0, "secret_shaped": F.size(T.secret_hits(F.col("text"))) > 0})
+    return R.scorecard(t.where("session_id % 2 = 0"), t.where("session_id % 2 <> 0"))
+
+
+# --- policy, outcomes, reports ---------------------------------------------------------------------------------------
+@query(f"WITH {Q.DECISIONS} SELECT rung, count(*) AS n FROM d GROUP BY rung")
+def policy_replay_rungs(spark, d):
+    return M.decisions(spark, d).groupBy("rung").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {Q.DECISIONS} SELECT layer, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM d GROUP BY layer")
+def policy_replay_layers(spark, d):
+    g = M.decisions(spark, d).groupBy("layer").agg(F.count("*").alias("n"))
+    return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 9))
+
+
+@query(f"WITH {Q.DECISIONS} SELECT route_id, rung, layer, CASE WHEN layer LIKE 'gate:%' THEN NULL ELSE round(heuristic, 9) END AS score FROM d")
+def policy_decisions(spark, d):
+    return M.decisions(spark, d).select("route_id", "rung", "layer", F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH {Q.DECISIONS} SELECT unnest(['pinned_stays_local', 'oversized_never_local', 'hard_to_frontier', 'interrupt_escalates']) AS check, unnest([count(*) FILTER (WHERE pinned AND rung <> 'local'), count(*) FILTER (WHERE NOT pinned AND context_tokens > 26214.4 AND rung = 'local'),
+count(*) FILTER (WHERE layer NOT LIKE 'gate:%' AND verb_class = 'hard' AND NOT interrupted AND rung <> 'frontier'), count(*) FILTER (WHERE layer NOT LIKE 'gate:%' AND interrupted AND rung <> 'frontier')]) AS violations FROM d""")
+def policy_invariant_checks(spark, d):
+    return P.invariant_checks(M.decisions(spark, d))
+
+
+@query("SELECT event_id, coalesce(lag(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w, 0) AS recent_errors, coalesce(lag(event_type = 'signup') OVER w, false) AS prev_interrupted FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def trajectory_lag(spark, d):
+    e = M.table(spark, d, "events").withColumns({"n_error_results": (F.col("event_type") == "error").cast("int"), "n_edit_failures": F.lit(0), "interrupted": F.col("event_type") == "signup"})
+    return P.trajectory(e, "user_id", ["ts", "event_id"]).select("event_id", "recent_errors", "prev_interrupted")
+
+
+@query("SELECT event_id, max(event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS pinned FROM events")
+def one_way_pin(spark, d):
+    return P.one_way_pin(M.table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "signup").select("event_id", "pinned")
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE p AND event_type <> 'error') AS retries, count(*) FILTER (WHERE n) AS before_interrupt FROM (SELECT *, coalesce(lag(event_type = 'signup') OVER w, false) AS p, coalesce(lead(event_type = 'signup') OVER w, false) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) AS x GROUP BY user_id")
+def interrupt_then_retry(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    up = F.col("event_type") == "signup"
+    e = M.table(spark, d, "events").withColumns({"p": F.coalesce(F.lag(up).over(w), F.lit(False)), "n": F.coalesce(F.lead(up).over(w), F.lit(False))})
+    return e.groupBy("user_id").agg(F.count_if(F.col("p") & (F.col("event_type") != "error")).alias("retries"), F.count_if("n").alias("before_interrupt"))
+
+
+@query(f"WITH {Q.JUDGED} SELECT verb_class, count(*) AS n, count(*) FILTER (WHERE proxy_hard) AS proxy_hard, count(*) FILTER (WHERE signal) AS signal FROM j GROUP BY verb_class")
+def outcome_proxy_rates(spark, d):
+    return M.judged(spark, d).groupBy("verb_class").agg(F.count("*").alias("n"), F.count_if("proxy_hard").alias("proxy_hard"), F.count_if("signal").alias("signal"))
+
+
+@query(f"WITH {Q.JUDGED} SELECT rung, verified_success, count(*) AS n, count(*) FILTER (WHERE hard) AS hard FROM j GROUP BY 1, 2")
+def effective_hard_labels(spark, d):
+    return M.judged(spark, d).groupBy("rung", "verified_success").agg(F.count("*").alias("n"), F.count_if("hard").alias("hard"))
+
+
+@query(f"WITH {Q.OUTCOMES} SELECT tripwire_type, CASE tripwire_type WHEN 'dialect' THEN 'harness_dialect' WHEN 'difficulty' THEN 'task_capability' ELSE CASE WHEN error_results = 1 THEN 'infrastructure' END END AS cause, count(*) AS n FROM o GROUP BY 1, 2")
+def failure_causes(spark, d):
+    o = M.outcomes(spark, d).withColumn("cause", O.failure_cause(F.col("tripwire_type"), F.col("error_results") == 1))
+    return o.groupBy("tripwire_type", "cause").agg(F.count("*").alias("n"))
+
+
+_RULES = [("verb:trivial", "verb_class = 'trivial'"), ("verb:explain", "verb_class = 'explain'"), ("verb:small_edit", "false"), ("verb:write", "verb_class = 'write'"), ("verb:fix", "verb_class = 'fix'"), ("verb:hard", "verb_class = 'hard'"), ("verb:unknown", "false"), ("scope:broad", "false"), ("scope:narrow", "false"), ("terse_continuation", "false"), ("context:big", "context_tokens > 20000"), ("traj:edit_failures", "false"), ("traj:recent_errors", "recent_errors >= 3"), ("retry_signal", "interrupted")]
+
+
+@query(f"""WITH {Q.JUDGED}, b AS (SELECT avg(CASE WHEN hard THEN 1e0 ELSE 0e0 END) AS base FROM j), r AS ({' UNION ALL '.join(f"SELECT '{n}' AS rule, '{RP.LEANINGS[n]}' AS leaning, count(*) FILTER (WHERE {c}) AS fired, avg(CASE WHEN hard THEN 1e0 ELSE 0e0 END) FILTER (WHERE {c}) AS rate FROM j" for n, c in _RULES)})
+SELECT rule, leaning, fired, round(rate, 9) AS hard_rate, CASE WHEN fired = 0 THEN 'NO-DATA' WHEN fired < 20 THEN 'LOW-SAMPLE' WHEN leaning = 'neutral' THEN 'NEUTRAL' WHEN abs(rate - base) <= 5e-2 THEN 'WEAK-SIGNAL' WHEN (leaning = 'hard') = (rate > base) THEN 'OK' ELSE 'DEMOTE-CANDIDATE' END AS verdict FROM r, b""")
+def rule_health(spark, d):
+    no = F.lit(False)
+    f = {"verb_class": F.col("verb_class"), "broad": no, "narrow": no, "terse": no, "context_tokens": F.col("context_tokens"), "edit_failures": F.lit(0), "errors": F.col("recent_errors"), "interrupted": F.col("interrupted")}
+    return RP.rule_health(M.judged(spark, d), f).select("rule", "leaning", "fired", F.round("hard_rate", 9).alias("hard_rate"), "verdict")
+
+
+@query(f"""WITH {Q.JUDGED}, h AS (SELECT *, CASE WHEN NOT verified_success THEN true WHEN verified_success AND rung IN ('local', 'cheap_cloud') THEN false ELSE signal END AS ih FROM j),
+a AS (SELECT count(*) AS n, count(*) FILTER (WHERE layer LIKE 'gate:%') AS gate, count(*) FILTER (WHERE layer LIKE 'heuristic%') AS heur, count(*) FILTER (WHERE rung = 'frontier') AS frontier, count(*) FILTER (WHERE rung = 'frontier' AND layer LIKE 'gate:%') AS forced, count(*) FILTER (WHERE pinned) AS excluded,
+  count(*) FILTER (WHERE layer = 'middle_default' AND rung = 'local') AS mid, count(*) FILTER (WHERE layer = 'middle_default' AND rung = 'local' AND ih) AS mid_hard, count(*) FILTER (WHERE escalated) AS esc FROM h),
+s AS (SELECT sum(c) AS top3 FROM (SELECT count(*) AS c FROM h GROUP BY session_id ORDER BY c DESC LIMIT 3) AS x)
+SELECT insight, CAST(part AS BIGINT) AS part, CAST(whole AS BIGINT) AS whole, round(magnitude, 9) AS magnitude FROM (SELECT 'gate_share' AS insight, gate AS part, n AS whole, CAST(gate AS DOUBLE) / n AS magnitude FROM a UNION ALL SELECT 'heuristic_share', heur, n, 9e-1 FROM a UNION ALL SELECT 'frontier_forced', forced, frontier, CAST(forced AS DOUBLE) / frontier FROM a WHERE frontier > 0
+UNION ALL SELECT 'privacy_share', excluded, n, CAST(excluded AS DOUBLE) / n FROM a UNION ALL SELECT 'middle_contradiction', mid_hard, mid, least(1e0, CAST(mid_hard AS DOUBLE) / mid + 3e-1) FROM a UNION ALL SELECT 'top3_sessions', top3, n, 5e-1 FROM a, s UNION ALL SELECT 'no_escalations', esc, n, 8e-1 FROM a WHERE esc = 0) AS y""")
+def insights(spark, d):
+    j = M.judged(spark, d).withColumn("no_embedding", F.col("pinned"))
+    j = j.withColumn("insight_hard", O.insight_hard(F.col("signal"), F.col("proxy_hard"), F.col("verified_success"), F.col("rung"), F.lit(None).cast("string")))
+    return RP.insights(j).withColumn("magnitude", F.round("magnitude", 9))
+
+
+@query("SELECT source, status, count(*) AS n FROM (SELECT CASE WHEN user_id % 4 = 0 THEN 'simulator' ELSE 'organic' END AS source, CASE WHEN event_type = 'error' THEN 'pending' ELSE 'closed_turn' END AS status FROM events) AS x GROUP BY 1, 2")
+def ledger_counts(spark, d):
+    e = M.table(spark, d, "events").select(F.when(F.col("user_id") % 4 == 0, "simulator").otherwise("organic").alias("source"), F.when(F.col("event_type") == "error", "pending").otherwise("closed_turn").alias("status"))
+    return e.groupBy("source", "status").agg(F.count("*").alias("n"))
+
+
+_T2 = "SELECT l_orderkey AS s, l_linenumber AS n, l_returnflag AS f, l_linestatus AS st, l_quantity AS q, l_partkey AS pk, l_extendedprice AS px FROM lineitem"
+
+
+@query(f"""WITH x AS ({_T2}), y AS (SELECT *, coalesce(lag(f = 'R') OVER (PARTITION BY s ORDER BY n, pk, px), false) AS p FROM x)
+SELECT unnest(['S2', 'S3', 'S6', 'S12', 'S13', 'S15b']) AS scenario, unnest([count(*) FILTER (WHERE n - 1 >= 5 AND st = 'F'), count(*) FILTER (WHERE q > 45), count(*) FILTER (WHERE p), count(*) FILTER (WHERE f = 'N'), count(*) FILTER (WHERE st = 'F'), 0]) AS matches FROM y""")
+def scenario_counts(spark, d):
+    li = M.table(spark, d, "lineitem")
+    tools = F.when(F.col("l_linestatus") == "F", F.create_map(F.lit("Task"), F.lit(1), F.lit("Read"), F.lit(2))).otherwise(F.create_map(F.lit("Read"), F.lit(1)))
+    t = li.select(
+        F.col("l_orderkey").alias("session_id"), "l_linenumber", "l_partkey", "l_extendedprice", (F.col("l_linenumber") - 1).alias("n_continuations"), tools.alias("tools_used"), F.lit("end_turn").alias("final_stop_reason"), (F.col("l_quantity") > 45).cast("int").alias("n_edit_failures"),
+        (F.col("l_returnflag") == "R").alias("interrupted"), (F.col("l_returnflag") == "N").cast("int").alias("parallel_tool_use_msgs"), F.array("l_returnflag").alias("models"), F.lit("main").alias("source_kind"), F.lit("user_turn").alias("label"),
+        F.lit("x").alias("instruction_text"), F.lit(0).alias("cache_read_tokens"), F.lit(0).alias("input_tokens"), F.lit(1).alias("n_assistant_msgs"))
+    return RP.scenarios(t, ["l_linenumber", "l_partkey", "l_extendedprice"]).where(F.col("scenario").isin("S2", "S3", "S6", "S12", "S13", "S15b")).select("scenario", "matches")
+
+
+# --- trip-wires ------------------------------------------------------------------------------------------------------
+@query("SELECT turn, ordinal, reps FROM (SELECT user_id AS turn, event_id AS ordinal, (SELECT 1) AS one, len(list_filter(list(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), lambda c: c = event_type)) AS reps FROM events) AS x WHERE reps >= 3")
+def loop_detection(spark, d):
+    calls = M.table(spark, d, "events").select(F.col("user_id").alias("turn"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("call"))
+    return TW.loops(calls).select("turn", "ordinal", F.col("reps").cast("long").alias("reps"))
+
+
+@query("SELECT user_id AS turn, min(event_id) AS ordinal FROM (SELECT *, sum(CASE WHEN event_type = 'error' AND value > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) AS x WHERE n >= 2 GROUP BY 1")
+def edit_tripwire(spark, d):
+    e = M.table(spark, d, "events").select(F.col("user_id").alias("turn"), F.col("event_id").alias("ordinal"), (F.col("event_type") == "error").alias("is_error"), F.when(F.col("value") > 100, TW.EDIT_MARKER).otherwise("fine").alias("content"))
+    hits = TW.edit_failures(e).select("turn", "ordinal", F.lit("edit_apply").alias("name"))
+    return TW.first_hit(hits).select("turn", "ordinal")
+
+
+@query("""WITH x AS (SELECT user_id AS turn, event_id AS ordinal, event_type <> 'error' AND row_number() OVER (PARTITION BY user_id, event_type <> 'error', CAST(floor(value / 50) AS BIGINT) ORDER BY event_id) = 1 AS ok FROM events),
+y AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY turn ORDER BY ordinal) AS island FROM x), z AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY turn, island ORDER BY ordinal) AS stuck FROM y)
+SELECT turn, CAST(max(stuck) AS BIGINT) AS longest, count(*) FILTER (WHERE stuck >= 6) AS over FROM z GROUP BY turn""")
+def no_progress_runs(spark, d):
+    e = M.table(spark, d, "events").select(F.col("user_id").alias("turn"), F.col("event_id").alias("ordinal"), (F.col("event_type") == "error").alias("is_error"), F.floor(F.col("value") / 50).cast("string").alias("content"), F.lit("bash").alias("tool_name"), F.lit(None).cast("string").alias("path"))
+    return TW.progress(e).groupBy("turn").agg(F.max("stuck").alias("longest"), F.count_if(F.col("stuck") >= TW.STUCK).alias("over"))
+
+
+@query("WITH m AS (SELECT 2 * median(value) AS b FROM events), x AS (SELECT user_id, sum(floor(value)) AS v FROM events GROUP BY 1) SELECT count(*) AS turns, count(*) FILTER (WHERE v > floor(b)) AS over FROM x, m")
+def turn_budget_sensitivity(spark, d):
+    e = M.table(spark, d, "events")
+    bound = e.agg(F.floor(2 * F.median("value")).alias("b")).first()[0]
+    over = TW.over_budget(e.select(F.col("user_id").alias("turn"), F.col("event_id").alias("ordinal"), F.floor("value").alias("output_tokens"), F.lit(0.0).alias("elapsed_s")), int(bound)).select("turn").distinct()
+    n = e.agg(F.countDistinct("user_id").alias("turns"))
+    return n.crossJoin(over.agg(F.count("*").alias("over")))  # two single rows
+
+
+# --- ledger ----------------------------------------------------------------------------------------------------------
+_EV = "SELECT l_orderkey AS route_id, (l_linenumber, l_partkey, l_extendedprice) AS seq, CASE WHEN l_returnflag = 'R' THEN 'closed_final' WHEN l_returnflag = 'A' THEN 'closed_turn' WHEN l_quantity > 45 THEN 'odd' ELSE 'pending' END AS status, l_quantity AS q FROM lineitem"
+_FOLD = f"""WITH e AS ({_EV}), k AS (SELECT *, CASE status WHEN 'pending' THEN 0 WHEN 'closed_turn' THEN 1 WHEN 'closed_final' THEN 2 END AS rk FROM e),
+b AS (SELECT *, coalesce(max(rk) OVER (PARTITION BY route_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pm FROM k), a AS (SELECT * FROM b WHERE rk IS NOT NULL AND rk >= pm AND pm < 2)
+SELECT o_orderkey AS route_id, coalesce(status, 'pending') AS status, q FROM orders LEFT JOIN (SELECT route_id, arg_max(status, seq) AS status, arg_max(q, seq) AS q FROM a GROUP BY 1) AS f ON o_orderkey = route_id"""
+
+
+@query(_FOLD)
+def ledger_lifecycle_fold(spark, d):
+    li = M.table(spark, d, "lineitem")
+    status = F.when(F.col("l_returnflag") == "R", "closed_final").when(F.col("l_returnflag") == "A", "closed_turn").when(F.col("l_quantity") > 45, "odd").otherwise("pending")
+    e = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("event_id"), F.col("l_orderkey").alias("route_id"), F.struct("l_linenumber", "l_partkey", "l_extendedprice").alias("seq"), status.alias("status"), F.col("l_quantity").alias("q"))
+    return L.fold(e, M.table(spark, d, "orders").select(F.col("o_orderkey").alias("route_id")), ["q"])
+
+
+@query("SELECT user_id AS session_id, arg_max(event_id, (ts, event_id)) AS route_id FROM events WHERE event_type <> 'error' GROUP BY 1")
+def finalize_latest_open(spark, d):
+    e = M.table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("route_id"), "ts", F.lit(0).alias("turn_index"), F.when(F.col("event_type") == "error", "closed_final").otherwise("pending").alias("status"))
+    return L.latest_open(e).select("session_id", "route_id")
+
+
+@query("SELECT event_id, substr(sha256(concat_ws(':', user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)), 1, 32) AS route_id FROM events")
+def route_ids(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return M.table(spark, d, "events").select("event_id", L.route_id(F.col("user_id"), F.row_number().over(w) - 1).alias("route_id"))
+
+
+@query("SELECT l_partkey AS uuid, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS n FROM lineitem) AS x WHERE n = 1")
+def uuid_dedup_first_seen(spark, d):
+    from tracemill.operators.turns import first_seen
+
+    li = M.table(spark, d, "lineitem").select(F.col("l_partkey").alias("uuid"), F.col("l_shipdate").alias("mtime"), F.col("l_orderkey").alias("source_path"), F.col("l_linenumber").alias("line_no"))
+    return first_seen(li).select("uuid", F.col("source_path").alias("l_orderkey"), F.col("line_no").alias("l_linenumber"))
+
+
+# --- retrieval -------------------------------------------------------------------------------------------------------
+def _near(spark, d):
+    rows = V.usable(M.vectors(spark, d))
+    return V.nearest(V.earlier_pairs(rows, FLOOR), rows), rows
+
+
+_NEAR = f"WITH {Q.PAIRS.format(floor=FLOOR)}"
+_VOTE = f"""{_NEAR}, w AS (SELECT *, sim * pow(5e-1, greatest(0e0, t_ts - ts) / 2592000e0) AS w FROM nr), g AS (SELECT target, count(*) AS neighbors, sum(w) AS total, coalesce(sum(w) FILTER (WHERE hard), 0) AS fh, any_value(t_hard) AS hard FROM w GROUP BY 1 HAVING count(*) >= 5),
+vt AS (SELECT target, neighbors, fh / total AS f, hard FROM g)"""
+
+
+@query(f"{_NEAR} SELECT target, neighbor, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS sim FROM nr")
+def knn_top12(spark, d):
+    return _near(spark, d)[0].select("target", "neighbor", "rank", F.round("sim", 6).alias("sim"))
+
+
+@query(f"{_VOTE} SELECT target, neighbors, round(f, 6) AS hard_fraction, CASE WHEN f >= 5e-1 THEN 'frontier' ELSE 'local' END AS verdict, round(least(1e0, abs(f - 5e-1) / 5e-1), 6) AS confidence FROM vt")
+def retrieval_vote(spark, d):
+    v = V.votes(_near(spark, d)[0])
+    return v.select("target", "neighbors", F.round("hard_fraction", 6).alias("hard_fraction"), "verdict", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"{_VOTE}, c AS (SELECT count(*) FILTER (WHERE f >= 5e-1 AND hard) AS tp, count(*) FILTER (WHERE f >= 5e-1 AND NOT hard) AS fp, count(*) FILTER (WHERE f < 5e-1 AND NOT hard) AS tn, count(*) FILTER (WHERE f < 5e-1 AND hard) AS fn FROM vt) SELECT tp, fp, tn, fn, round((tp + fp + tn + fn) / CAST((SELECT count(*) FROM v) AS DOUBLE), 9) AS coverage, round(CASE WHEN tp + fp + tn + fn = 0 THEN 0e0 ELSE (tp + tn) / CAST(tp + fp + tn + fn AS DOUBLE) END, 9) AS accuracy, round(CASE WHEN tp + fn = 0 THEN 0e0 ELSE tp / CAST(tp + fn AS DOUBLE) END, 9) AS recall FROM c")
+def shadow_confusion_matrix(spark, d):
+    near, rows = _near(spark, d)
+    c = V.confusion(V.votes(near), rows.count())
+    return c.withColumns({k: F.round(k, 9) for k in ("coverage", "accuracy", "recall")})
+
+
+# --- graph -----------------------------------------------------------------------------------------------------------
+def _ledger(spark, d):
+    j = M.judged(spark, d)
+    return j.select("route_id", "session_id", "rung", "layer", F.array().cast("array<string>").alias("fired_rules"), F.when(F.col("event_type") == "view", "pending").otherwise("closed_turn").alias("status"), "escalated", "tripwire_name")
+
+
+_G = f"""WITH {Q.JUDGED}, l AS (SELECT *, event_type <> 'view' AS closed, CASE rung WHEN 'local' THEN 'cheap_cloud' WHEN 'cheap_cloud' THEN 'frontier' END AS up FROM j),
+n AS (SELECT DISTINCT * FROM (SELECT 'turn' AS kind, CAST(route_id AS VARCHAR) AS key FROM l UNION ALL SELECT 'session', CAST(session_id AS VARCHAR) FROM l UNION ALL SELECT 'rung', rung FROM l UNION ALL SELECT 'rung', up FROM l WHERE closed AND escalated AND up IS NOT NULL UNION ALL SELECT 'rule', layer FROM l UNION ALL SELECT 'tripwire', tripwire_name FROM l WHERE closed AND tripwire_name IS NOT NULL) AS x),
+e AS (SELECT 'in_session' AS kind, route_id, 'session:' || session_id AS dst FROM l UNION ALL SELECT 'routed_to', route_id, 'rung:' || rung FROM l UNION ALL SELECT 'fired', route_id, 'rule:' || layer FROM l UNION ALL SELECT 'escalated_to', route_id, 'rung:' || up FROM l WHERE closed AND escalated AND up IS NOT NULL UNION ALL SELECT 'tripped', route_id, 'tripwire:' || tripwire_name FROM l WHERE closed AND tripwire_name IS NOT NULL)"""
+
+
+@query(f"{_G} SELECT 'node' AS what, kind, count(*) AS n FROM n GROUP BY kind UNION ALL SELECT 'edge', kind, count(*) FROM e GROUP BY kind")
+def graph_node_edge_counts(spark, d):
+    return GR.counts(*GR.project(_ledger(spark, d)))
+
+
+@query("""WITH e AS (SELECT DISTINCT s_suppkey AS a, s_nationkey + 1000000 AS b FROM supplier UNION SELECT n_nationkey + 1000000, n_regionkey + 2000000 FROM nation), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+h1 AS (SELECT DISTINCT b AS id FROM b WHERE a = 2000000), h2 AS (SELECT DISTINCT b.b AS id FROM b JOIN h1 ON b.a = h1.id), h AS (SELECT 2000000 AS id, 0 AS distance UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2)
+SELECT min(distance) AS distance, id FROM h GROUP BY id""")
+def graph_k_hop(spark, d):
+    s = M.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("src"), (F.col("s_nationkey") + 1000000).cast("long").alias("dst"))
+    n = M.table(spark, d, "nation").select((F.col("n_nationkey") + 1000000).cast("long").alias("src"), (F.col("n_regionkey") + 2000000).cast("long").alias("dst"))
+    e = s.unionByName(n).withColumns({"kind": F.lit("in"), "id": F.xxhash64("src", "dst")})
+    start = spark.range(1).select(F.lit(2000000).cast("long").alias("id"))
+    return GR.k_hop(e, start, 2).select("id", "distance")
+
+
+@query()
+def graph_ancestry(spark, d):
+    s = M.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("src"), (F.col("s_nationkey") + 1000000).cast("long").alias("dst"))
+    n = M.table(spark, d, "nation").select((F.col("n_nationkey") + 1000000).cast("long").alias("src"), (F.col("n_regionkey") + 2000000).cast("long").alias("dst"))
+    e = s.unionByName(n).withColumns({"kind": F.lit("in"), "id": F.xxhash64("src", "dst")})
+    return GR.ancestry(e, s.select(F.col("src").alias("id")), 5)
+
+
+# --- votes and samples -----------------------------------------------------------------------------------------------
+_PRED = "SELECT l_orderkey AS item, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey AS idx, CASE l_returnflag WHEN 'R' THEN 'hard' WHEN 'A' THEN 'standard' ELSE 'trivial' END AS tier FROM lineitem"
+
+
+@query(f"""WITH p AS ({_PRED}), c AS (SELECT item, tier, count(*) AS n, min(idx) AS f FROM p GROUP BY 1, 2), v AS (SELECT item, arg_max(tier, (n, -f)) AS voted, max(n) / CAST(sum(n) AS DOUBLE) AS ag FROM c GROUP BY 1), t AS (SELECT o_orderkey AS item, CASE WHEN o_orderstatus = 'F' THEN 'hard' ELSE 'trivial' END AS truth FROM orders),
+b AS (SELECT voted, truth, ag, coalesce(voted = 'hard', false) AS s, truth = 'hard' AS w FROM t LEFT JOIN v USING (item))
+SELECT count(*) AS n, round(count(*) FILTER (WHERE voted = truth) / CAST(count(*) AS DOUBLE), 9) AS tier_accuracy, round(count(*) FILTER (WHERE s = w) / CAST(count(*) AS DOUBLE), 9) AS binary_accuracy, round(count(*) FILTER (WHERE s AND w) / CAST(count(*) FILTER (WHERE s) AS DOUBLE), 9) AS precision, round(count(*) FILTER (WHERE s AND w) / CAST(count(*) FILTER (WHERE w) AS DOUBLE), 9) AS recall, round(avg(ag), 9) AS self_consistency FROM b""")
+def majority_vote_metrics(spark, d):
+    tier = F.when(F.col("l_returnflag") == "R", "hard").when(F.col("l_returnflag") == "A", "standard").otherwise("trivial")
+    p = M.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), (F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("idx"), tier.alias("tier"))
+    t = M.table(spark, d, "orders").select(F.col("o_orderkey").alias("item"), F.when(F.col("o_orderstatus") == "F", "hard").otherwise("trivial").alias("truth"))
+    m = RP.vote_metrics(RP.majority_vote(p), t)
+    return m.withColumns({c: F.round(c, 9) for c in m.columns if c != "n"})
+
+
+@query("WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT count(*) AS classes, CAST(500 AS BIGINT) AS rows, true AS at_least_one FROM c")
+def stratified_sample_sizes(spark, d):
+    s = RP.stratified_sample(M.table(spark, d, "events"), "event_type", "event_id", 500).groupBy("event_type").count()
+    return s.agg(F.count("*").alias("classes"), F.sum("count").alias("rows"), F.bool_and(F.col("count") >= 1).alias("at_least_one"))
+
+
+# --- governance ------------------------------------------------------------------------------------------------------
+def _pairs(spark, d):
+    li, o = M.table(spark, d, "lineitem"), M.table(spark, d, "orders")
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.col("l_orderkey").alias("pair_id"), F.col("l_suppkey").alias("candidate"), F.when(F.col("l_linestatus") == "F", "local").otherwise("frontier").alias("rung"), F.col("l_orderkey").alias("task_id"), F.col("o_orderpriority").alias("repository"),
+        F.col("l_returnflag").alias("base_commit"), F.lit("v").alias("verifier"), F.lit("h").alias("feature_sha256"), F.col("l_shipdate").alias("at"))
+
+
+_P2 = "SELECT l_orderkey AS pair_id, l_suppkey AS c, l_linestatus AS s, l_returnflag AS b, l_shipdate AS tm, o_orderpriority AS repository FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+_SPLIT = f"WITH p AS ({_P2}), g AS (SELECT pair_id, any_value(repository) AS repository, CASE WHEN any_value(repository) = '1-URGENT' THEN 'repository' WHEN bool_and(tm < TIMESTAMP '1995-06-17') THEN 'train' WHEN NOT bool_or(tm < TIMESTAMP '1995-06-17') THEN 'temporal' ELSE 'straddle' END AS split FROM p GROUP BY 1)"
+
+
+@query(f"WITH p AS ({_P2}), g AS (SELECT pair_id, count(*) > count(DISTINCT c) AS a, NOT bool_or(s = 'F') AS l, NOT bool_or(s <> 'F') AS f, count(DISTINCT b) > 1 AS d FROM p GROUP BY 1), x AS (SELECT unnest(list_concat(CASE WHEN a THEN ['repeated candidate'] ELSE [] END, CASE WHEN l THEN ['no local'] ELSE [] END, CASE WHEN f THEN ['no frontier'] ELSE [] END, CASE WHEN d THEN ['differs: base_commit'] ELSE [] END)) AS reason FROM g) SELECT reason, count(*) AS n FROM x GROUP BY reason")
+def pair_validation(spark, d):
+    return G.pair_problems(_pairs(spark, d)).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"{_SPLIT} SELECT split, count(*) AS pairs FROM g GROUP BY split")
+def holdout_split(spark, d):
+    s = G.split(_pairs(spark, d), F.to_timestamp(F.lit("1995-06-17")), ["1-URGENT"])
+    return s.groupBy("split").agg(F.countDistinct("pair_id").alias("pairs"))
+
+
+@query(f"{_SPLIT} SELECT count(*) AS leaked FROM (SELECT DISTINCT c FROM p JOIN g USING (pair_id) WHERE split = 'train' INTERSECT SELECT DISTINCT c FROM p JOIN g USING (pair_id) WHERE split = 'repository') AS x")
+def split_leakage(spark, d):
+    s = G.split(_pairs(spark, d), F.to_timestamp(F.lit("1995-06-17")), ["1-URGENT"])
+    return G.leakage(s, "candidate").agg(F.count("*").alias("leaked"))
+
+
+@query("WITH g AS (SELECT o_orderpriority AS stratum, count(*) AS reviews, count(*) FILTER (WHERE o_orderstatus <> 'P') AS agreed FROM orders GROUP BY 1), w AS (SELECT *, agreed / CAST(reviews AS DOUBLE) AS p, CAST(reviews AS DOUBLE) AS n FROM g) SELECT stratum, reviews, agreed, round(greatest(0e0, (p + 1.95996e0 * 1.95996e0 / (2 * n) - 1.95996e0 * sqrt(p * (1 - p) / n + 1.95996e0 * 1.95996e0 / (4 * n * n))) / (1 + 1.95996e0 * 1.95996e0 / n)), 9) AS lower_bound FROM w")
+def wilson_audit(spark, d):
+    o = M.table(spark, d, "orders")
+    reviews = o.select(F.col("o_orderkey").alias("evidence_id"), (F.col("o_orderstatus") != "P").alias("agrees"), F.col("o_orderdate").alias("reviewed_at"))
+    a = G.label_audit(reviews, o.select(F.col("o_orderkey").alias("evidence_id"), F.col("o_orderpriority").alias("stratum")))
+    return a.select("stratum", "reviews", "agreed", F.round("lower_bound", 9).alias("lower_bound"))
+
+
+@query("WITH b AS (SELECT p_brand AS bucket, sum(p_size * p_retailprice) / sum(p_retailprice) AS score FROM part GROUP BY 1), w AS (SELECT DISTINCT p_brand AS bucket, CAST(length(p_brand) + ascii(right(p_brand, 1)) AS DOUBLE) AS weight FROM part) SELECT round(sum(score * weight) / sum(weight), 6) AS index FROM b JOIN w USING (bucket)")
+def bucket_index(spark, d):
+    p = M.table(spark, d, "part")
+    w = p.select(F.col("p_brand").alias("bucket"), (F.length("p_brand") + F.ascii(F.right("p_brand", F.lit(1)))).cast("double").alias("weight")).distinct()
+    return G.bucket_index(p.select(F.col("p_brand").alias("bucket"), F.col("p_size").alias("points"), F.col("p_retailprice").alias("n")), w).select(F.round("index", 6).alias("index"))
+
+
+@query("WITH c AS (SELECT count(*) FILTER (WHERE value IS NULL) AS invalid, count(*) FILTER (WHERE event_type = 'purchase') AS usable FROM events) SELECT unnest(['feature_contract', 'organic_verifier_labels', 'classifier_provenance', 'label_precision', 'paired_counterfactual_integrity', 'representative_pairs', 'learned_router_authority']) AS gate, unnest([CASE WHEN invalid = 0 THEN 'pass' ELSE 'blocked' END, CASE WHEN usable > 0 THEN 'pass' ELSE 'blocked' END, CASE WHEN usable = 0 THEN 'not_evaluated' ELSE 'pass' END, 'blocked', 'pass', 'blocked', 'blocked']) AS status FROM c")
+def readiness_gates(spark, d):
+    e = M.table(spark, d, "events")
+    c = e.agg(F.count_if(F.col("value").isNull()).alias("invalid"), F.count_if(F.col("event_type") == "purchase").alias("usable")).withColumns({"complete": F.col("usable"), "audit_passes": F.lit(False), "pairs": F.lit(3), "organic_pairs": F.lit(0)})
+    return G.gates(c)
+
+
+@query()
+def hash_chain_check(spark, d):
+    r = M.table(spark, d, "region").select(F.col("r_regionkey").alias("seq"), F.col("r_name").alias("snapshot_id"), F.col("r_name").alias("payload"))
+    h = r.withColumns({"previous_sha256": F.lit(None).cast("string"), "entry_sha256": G.chain_entry(F.col("payload"), F.lit(None).cast("string"))})
+    return G.chain_problems(h)
+
+
+@query()
+def stream_session_state(spark, d):
+    """The batch twin of the streaming operator, over all events."""
+    from tracemill.streaming.sessions import session_state_batch
+
+    k = F.col("event_type")
+    e = M.table(spark, d, "events").select("event_id", F.col("user_id").alias("session_id"), "ts", k.alias("kind"), F.when(k == "error", "cheap_cloud").otherwise("local").alias("rung"), (k == "signup").alias("fired"), (F.col("value") > 290).alias("pin"), (k == "purchase").alias("boundary"))
+    return session_state_batch(e)
+
+
+@query()
+def sse_reconstruct(spark, d):
+    from tracemill.operators.wire_blocks import reconstruct
+
+    t = F.col("text")
+    line = lambda *parts: F.concat(F.lit("data: "), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("\n\n"))
+    sse = F.concat(
+        line('{"type": "content_block_start", "index": 0, "content_block": {"type": "text", "text": ""}}'), line('{"type": "content_block_delta", "index": 0, "delta": {"type": "text_delta", "text": ', F.to_json(F.array(t)).substr(F.lit(2), F.length(F.to_json(F.array(t))) - 2), "}}"),
+        line('{"type": "message_delta", "usage": {"output_tokens": ', F.length(t).cast("string"), "}}"))
+    c = M.table(spark, d, "conversations").select("conv_id", "turn", t.alias("text"), reconstruct(sse).alias("m"))
+    return c.select("conv_id", "turn", (F.col("m.blocks")[0]["text"] == F.col("text")).alias("same"), F.col("m.output_tokens").alias("output_tokens"))
