@@ -43,10 +43,25 @@ def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
     return sorted(out)
 
 
-def _segments(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    """All values, and the row of each."""
-    sizes = [len(x) for x in lists]
-    return np.fromiter((v for x in lists for v in x), np.int64, sum(sizes)), np.repeat(np.arange(len(lists)), sizes)
+def _numbered(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words, and the word and the text of each occurrence."""
+    number: dict[str, int] = {}
+    words, sizes = [], []
+    for t in texts:
+        own = words_of(t)
+        words.append(np.fromiter((number.setdefault(w, len(number)) for w in sorted(own)), np.int32, len(own)))
+        sizes.append(len(own))
+    return list(number), np.concatenate(words), np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+
+
+def _spread(index: np.ndarray, row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sums of values[row] by index, in blocks, so that no temporary array is long."""
+    out = np.zeros((n, values.shape[1]))
+    for at in range(0, len(index), 1 << 20):
+        i, v = index[at : at + (1 << 20)], values[row[at : at + (1 << 20)]]
+        for j in range(values.shape[1]):
+            out[:, j] += np.bincount(i, v[:, j], minlength=n)
+    return out
 
 
 def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
@@ -58,33 +73,35 @@ def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
     y = np.array([r[1] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return np.full(BUCKETS, np.nan, np.float32), 8.0 if len(y) and y.min() else -8.0
-    texts = [words_of(t) for t, _ in rows]
-    number = {w: i for i, w in enumerate(sorted(set().union(*texts)))}
-    dw, dr = _segments([sorted(number[w] for w in t) for t in texts])
-    gw, gr = _segments([subwords(w) for w in number])
-    in_texts = np.bincount(dw, minlength=len(number))
-    known = np.bincount(gw, in_texts[gr], minlength=BUCKETS) >= LEAST_TEXTS
+    words, dw, dr = _numbered([t for t, _ in rows])
+    in_texts = np.bincount(dw, minlength=len(words))
+    sizes, parts, reach = [], [], np.zeros(BUCKETS)
+    for w, n in zip(words, in_texts.tolist(), strict=True):
+        own = np.array(subwords(w), np.int32)
+        reach[own] += n
+        parts.append(own)
+        sizes.append(len(own))
+    gw, gr = np.concatenate(parts), np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    del parts
+    known = reach >= LEAST_TEXTS
     gw, gr = gw[known[gw]], gr[known[gw]]
-    per_doc, per_word = 1 / np.maximum(1, np.bincount(dr, minlength=len(rows))) ** POWER, 1 / np.maximum(1, np.bincount(gr, minlength=len(number)))
+    per_doc, per_word = 1 / np.maximum(1, np.bincount(dr, minlength=len(rows))) ** POWER, 1 / np.maximum(1, np.bincount(gr, minlength=len(words)))
     rng = np.random.default_rng(7)
     params = [rng.normal(0, 0.01, (BUCKETS, WIDTH)), rng.normal(0, 1.0, (WIDTH, 2)), np.zeros(2)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     onehot = np.stack([1 - y, y], 1)
 
-    def spread(index, row, values, n):
-        return np.stack([np.bincount(index, values[row, j], minlength=n) for j in range(values.shape[1])], 1)
-
     for step in range(1, STEPS + 1):
         e, w, b = params
-        word = spread(gr, gw, e, len(number)) * per_word[:, None]
-        doc = spread(dr, dw, word, len(rows)) * (SCALE * per_doc[:, None])
+        word = _spread(gr, gw, e, len(words)) * per_word[:, None]
+        doc = _spread(dr, dw, word, len(rows)) * (SCALE * per_doc[:, None])
         z = doc @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         dz = (p - onehot) / len(rows)
         g_doc = (dz @ w.T) * (SCALE * per_doc[:, None])
-        g_word = spread(dw, dr, g_doc, len(number)) * per_word[:, None]
-        grads = [spread(gw, gr, g_word, BUCKETS), doc.T @ dz + DECAY * w, dz.sum(0)]
+        g_word = _spread(dw, dr, g_doc, len(words)) * per_word[:, None]
+        grads = [_spread(gw, gr, g_word, BUCKETS), doc.T @ dz + DECAY * w, dz.sum(0)]
         for x, g, m, v in zip(params, grads, first, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
