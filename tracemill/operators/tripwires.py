@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed values.
 EDIT_MARKER = "String to replace not found in file"
@@ -34,7 +35,7 @@ def canonical_call(name: Column, args_json: Column) -> Column:
     return F.sha1(F.concat(name, F.lit(":"), tidy).cast("binary"))
 
 
-@F.udf("string")
+@F.udf(StringType())
 def sorted_json(text: str | None) -> str | None:
     """JSON with sorted keys at every depth, which built-in functions cannot do; null for what is not JSON."""
     import json

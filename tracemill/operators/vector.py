@@ -6,6 +6,7 @@ with all targets by an Arrow batch of the matrix product, and only pairs over th
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +34,6 @@ def earlier_pairs(rows: DataFrame, floor: float = FLOOR) -> DataFrame:
     equi-join of block numbers, and each meeting is one matrix product.
     """
     import numpy as np
-    import pandas as pd
 
     n = rows.count()
     blocks = max(1, min(64, n // 500))
@@ -98,7 +98,6 @@ def decode_blob(rows: DataFrame) -> DataFrame:
     An import boundary only: everything inside keeps arrays.
     """
     import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("array<float>")
     def decode(blob: pd.Series) -> pd.Series:

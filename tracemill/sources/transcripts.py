@@ -11,7 +11,7 @@ KNOWN_TYPES = ("user", "assistant", "system", "attachment", "summary", "file-his
 
 def files(spark: SparkSession, root: str) -> DataFrame:
     """source_path, mtime, project, session_id, kind, agent_id, and value, the line, with line_no within its file."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("wholetext", "true").text(root)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root, wholetext=True)
     p = F.col("_metadata.file_path")
     base = raw.select(
         p.alias("source_path"), F.col("_metadata.file_modification_time").alias("mtime"), F.regexp_extract(p, r"([^/]+)/[^/]+\.jsonl$", 1).alias("project"),
@@ -53,7 +53,7 @@ def parse_stats(parsed: DataFrame) -> DataFrame:
 
 def captures(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
     """One capture per JSON file: its columns as a VARIANT, and body, the request's JSON or null; unreadable ones are left out."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path).select(F.col("_metadata.file_path").alias("path_"), F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path_"), F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
     if last is not None:
         raw = raw.orderBy(F.desc("path_")).limit(last)
     get = lambda k, t="string": F.try_variant_get("v", f"$.{k}", t)
