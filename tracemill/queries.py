@@ -557,3 +557,73 @@ def sse_reconstruct(spark, d):
         line('{"type": "message_delta", "usage": {"output_tokens": ', F.length(t).cast("string"), "}}"))
     c = M.table(spark, d, "conversations").select("conv_id", "turn", t.alias("text"), reconstruct(sse).alias("m"))
     return c.select("conv_id", "turn", (F.col("m.blocks")[0]["text"] == F.col("text")).alias("same"), F.col("m.output_tokens").alias("output_tokens"))
+
+
+# --- shadows ---------------------------------------------------------------------------------------------------------
+@query(f"WITH {Q.DISCRIMINATED}, h AS (SELECT *, label IN ('utility:sidecar', 'utility:compaction') AS r FROM dc) SELECT label, count(*) AS requests, count(*) FILTER (WHERE r) AS rewritten, count(*) FILTER (WHERE r AND regexp_matches(label, '^(user_turn|continuation|passthrough)')) AS unsafe FROM h GROUP BY label")
+def hook_shadow(spark, d):
+    from tracemill.operators import shadow
+
+    return shadow.hook(M.captures(spark, d))
+
+
+@query("""WITH h AS (SELECT user_id AS turn, min(event_id) AS ordinal FROM (SELECT *, sum(CASE WHEN event_type = 'error' AND value > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) AS x WHERE n >= 2 AND event_type = 'error' AND value > 100 GROUP BY 1),
+t AS (SELECT user_id AS turn, user_id % 10 = 0 AS pinned, user_id % 4 <> 1 AS cascade, CAST(sum(floor(value)) AS BIGINT) AS v FROM events GROUP BY 1), m AS (SELECT median(v) AS b FROM t)
+SELECT count(*) AS turns, count(*) FILTER (WHERE cascade) AS cascaded, count(*) FILTER (WHERE cascade AND ordinal IS NOT NULL) AS fired, count(*) FILTER (WHERE cascade AND ordinal IS NOT NULL AND pinned) AS blocked, count(*) FILTER (WHERE cascade AND v > 2 * b AND ordinal IS NULL) AS more_by_budget, round(count(*) FILTER (WHERE cascade AND ordinal IS NOT NULL) / CAST(count(*) FILTER (WHERE cascade) AS DOUBLE), 9) AS rate FROM t LEFT JOIN h USING (turn), m""")
+def post_call_shadow(spark, d):
+    from tracemill.operators import shadow
+
+    e = M.table(spark, d, "events")
+    results = e.select(F.col("user_id").alias("turn"), F.col("event_id").alias("ordinal"), (F.col("event_type") == "error").alias("is_error"), F.when(F.col("value") > 100, TW.EDIT_MARKER).otherwise("fine").alias("content"))
+    t = e.groupBy(F.col("user_id").alias("turn")).agg(F.sum(F.floor("value")).cast("long").alias("v")).withColumns({"pinned": F.col("turn") % 10 == 0, "cascade": F.col("turn") % 4 != 1})
+    median = t.agg(F.median("v").alias("b"))  # one row
+    out = shadow.post_call(t.crossJoin(F.broadcast(median)), TW.edit_failures(results).select("turn", "ordinal", F.lit("edit_apply").alias("name")), F.col("b"), F.col("v"))
+    return out.withColumn("rate", F.round("rate", 9))
+
+
+@query(f"WITH {Q.PROMPT}, c AS (SELECT {Q.cases('text', [(n, p) for n, _, p in T.VERB_CLASSES], chr(39) + 'unknown' + chr(39))} AS verb, {Q.cases('text', [(s, p) for _, s, p in T.VERB_CLASSES], '5e-1')} AS score, length(text) % 3 = 0 AS up, CASE WHEN length(text) % 2 = 0 THEN 1e0 ELSE 0e0 END AS hard FROM p), u AS (SELECT * FROM c WHERE verb = 'unknown' OR score BETWEEN 35e-2 AND 70e-2) SELECT count(*) AS uncertain, count(*) FILTER (WHERE up) AS frontier, round(avg(hard) FILTER (WHERE up), 9) AS frontier_hard, round(avg(hard) FILTER (WHERE NOT up), 9) AS local_hard, round(avg(hard) FILTER (WHERE up) - avg(hard) FILTER (WHERE NOT up), 9) AS separation FROM u")
+def classifier_shadow(spark, d):
+    from tracemill.operators import shadow
+
+    p = M.prompts(spark, d).withColumns({"intent_score": T.verb_score(F.col("text")), "needs_frontier": F.length("text") % 3 == 0, "hard": F.length("text") % 2 == 0})
+    c = shadow.classifier(p)
+    return c.withColumns({k: F.round(k, 9) for k in ("frontier_hard", "local_hard", "separation")})
+
+
+@query("SELECT source, count(*) AS decisions, count(*) FILTER (WHERE vec_id IS NOT NULL) AS embedded, count(*) FILTER (WHERE vec_id IS NULL) AS excluded FROM (SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'simulator' ELSE 'organic' END AS source FROM events) AS e LEFT JOIN embeddings ON vec_id = event_id GROUP BY source")
+def backfill_stats(spark, d):
+    from tracemill.operators import shadow
+
+    e = M.table(spark, d, "events").select(F.col("event_id").alias("route_id"), F.when(F.col("user_id") % 4 == 0, "simulator").otherwise("organic").alias("source"))
+    return shadow.backfill_stats(e, M.table(spark, d, "embeddings").select(F.col("vec_id").alias("route_id")))
+
+
+@query(f"WITH {Q.CAPTURES} SELECT model, count(*) AS calls, round(sum(i % 100 / 1e6 * pi + latency_ms / 1e6 * po), 9) AS usd FROM (SELECT *, ['alpha-large-1', 'beta-small-2', 'gamma-x'][i % 3 + 1] AS model, CASE i % 3 WHEN 1 THEN 1e0 ELSE 5e0 END AS pi, CASE i % 3 WHEN 1 THEN 5e0 ELSE 25e0 END AS po FROM cp WHERE routed AND NOT fell) AS x GROUP BY model")
+def avoided_spend(spark, d):
+    from tracemill.operators import shadow
+
+    c = M.captures(spark, d)
+    c = c.withColumns({"body": F.to_json(F.struct("model")), "response": F.to_json(F.struct(F.struct((F.col("seq") % 100).alias("input_tokens"), F.col("latency_ms").alias("output_tokens")).alias("usage")))})
+    return shadow.avoided_spend(c, [("alpha", 5.0, 25.0), ("beta", 1.0, 5.0)]).withColumn("usd", F.round("usd", 9))
+
+
+@query(f"WITH {Q.DISCRIMINATED} SELECT label, seq FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq) AS n FROM dc) AS x WHERE n <= 4")
+def frozen_fixtures(spark, d):
+    from tracemill.operators import shadow
+
+    return shadow.freeze(M.captures(spark, d)).select("label", "seq")
+
+
+@query("SELECT a.user_id AS session_id, count(*) AS turns FROM events a WHERE EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'signup') AND a.user_id NOT IN (SELECT user_id FROM events WHERE value > 299) GROUP BY 1")
+def session_semi_anti(spark, d):
+    e = M.table(spark, d, "events")
+    kept = e.join(e.where("event_type = 'signup'").select("user_id"), "user_id", "left_semi").join(e.where("value > 299").select("user_id"), "user_id", "left_anti")
+    return kept.groupBy(F.col("user_id").alias("session_id")).agg(F.count("*").alias("turns"))
+
+
+@query("SELECT l_orderkey AS candidate, CASE WHEN bool_or(l_returnflag = 'R') THEN 'fail' WHEN bool_or(l_quantity > 49) THEN 'unknown' ELSE 'pass' END AS outcome, round((count(*) FILTER (WHERE l_returnflag <> 'R' AND l_quantity <= 49) + 1) / CAST(count(*) + 1 AS DOUBLE), 9) AS quality FROM lineitem GROUP BY 1")
+def verification_outcomes(spark, d):
+    li = M.table(spark, d, "lineitem")
+    status = F.when(F.col("l_returnflag") == "R", "fail").when(F.col("l_quantity") > 49, "timeout").otherwise("pass")
+    c = li.select(F.col("l_orderkey").alias("candidate"), F.col("l_linenumber").cast("string").alias("name"), status.alias("status"), F.lit(None).cast("string").alias("baseline"), F.lit(0).alias("violations"))
+    return G.verification(c).select("candidate", "outcome", F.round("quality", 9).alias("quality"))
