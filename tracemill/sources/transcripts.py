@@ -94,7 +94,7 @@ def strict_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def decision_table(lines: DataFrame) -> DataFrame:
     """Rows of five cells of a Markdown table, with the number of their id."""
     cells = F.transform(F.slice(F.split("value", r"\|"), 2, 5), lambda c: F.trim(c))
-    return lines.where(F.trim("value").startswith("|") & (F.size(F.split("value", r"\|")) == 7)).select(cells.alias("cells")).withColumn("number", F.regexp_extract(F.col("cells")[0], r"(\d+)", 1).cast("int")).where("number IS NOT NULL")
+    return lines.where(F.trim("value").startswith("|") & (F.size(F.split("value", r"\|")) == 7)).select(cells.alias("cells")).withColumn("number", F.regexp_extract(F.col("cells")[0], r"(\d+)", 1).try_cast("int")).where("number IS NOT NULL")
 
 
 def write_turns(turns: DataFrame, path: str, csv: bool = False) -> None:
