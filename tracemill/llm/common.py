@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
-#: A set of keys of at most so many rows of 64-bit keys may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: So many rows of a 64-bit key, about 50 MB as a hash table, may be broadcast; beyond that a join shuffles both sides.
+BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +41,8 @@ class Workspace:
         self.n += 1
         path = f"{self.root}/t{self.n}"
         df.write.parquet(path)
+        # the driver's cleaner removes the shuffle files of finished jobs only once their handles are collected
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def finish(self, df: DataFrame) -> DataFrame:
@@ -151,6 +153,33 @@ def shingle(hashes: np.ndarray, k: int) -> np.ndarray:
         return mix(out, k)
 
 
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (counts[0] of them), then the same for the others."""
+    total = int(counts.sum())
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(total)
+
+
+def runs(hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A hash of the words first[i] to first[i] + count[i], in their order."""
+    up, down = _Powers.get(len(hashes) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, U), np.cumsum(hashes * up[: len(hashes)], dtype=U)))
+        return (total[first + count] - total[first]) * down[first] + count.astype(U)
+
+
+def parity_sketch(values: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
+    """For each set of 64-bit hashes, beginning at starts, words * 64 bits: each the parity of the elements that fall on it.
+
+    Two sketches differ in no more bits than the sets have elements that only one of them has.
+    """
+    out = np.zeros((len(starts), words), U)
+    at = mix(values, 77)
+    bit, word = U(1) << (at & U(63)), (at >> U(32)) % U(words)
+    for k in range(words):
+        out[:, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, U(0)), starts)
+    return out
+
+
 def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for consecutive rows of about CHUNK_BYTES; null is empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -36,33 +36,93 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def bucket_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], work: Workspace, possible: Callable[[str, str], Column]) -> DataFrame:
+#: Rounds in which a node is compared with one leader of its buckets, before those that are left are compared in full.
+ROUNDS = 3
+
+
+#: So many rows of two longs, about 50 MB as a hash table, may be broadcast; beyond that a join shuffles both sides.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """df, to be broadcast if it is small when counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def pack(n: Column, pos: Column) -> Column:
+    """A member's size and the place of the bucket's token in it, as one long."""
+    return F.shiftleft(n.cast("long"), 32).bitwiseOR(pos.cast("long"))
+
+
+def size_of(packed: Column) -> Column:
+    return F.shiftright(packed, 32)
+
+
+def place_of(packed: Column) -> Column:
+    return packed.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def apart(x: Callable[[str], Column], y: Callable[[str], Column], names: list[str]) -> Column:
+    """A lower bound of the size of two sets' symmetric difference, from their parity sketches."""
+    total = F.lit(0)
+    for k in names:
+        total = total + F.bit_count(x(k).bitwiseXOR(y(k)))
+    return total
+
+
+def bucket_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], work: Workspace, possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], of_nodes: DataFrame | None = None) -> DataFrame:
     """Components of the graph that has an edge where two nodes share a bucket and verify() keeps the pair.
 
-    postings: (bucket, node, n, pos); verify: DataFrame (a, b) -> the verified pairs of it; possible(x, y): a
-    condition on the structs x and y of (node, n, pos), false only where the pair can't be verified.
+    postings: (bucket, node, packed), all longs. possible(x, y): a condition on two members that is false only where the
+    pair can't be verified; x and y give a member's packed, or a column of of_nodes (node, ...), by its name. verify:
+    DataFrame (a, b) -> the verified pairs of it.
 
-    A bucket first compares each member with its smallest one, a number of pairs that grows with the members and
-    not with their square. What that links needs no more comparing. Then, in the buckets that still hold more than
-    one component, the members outside the largest one are compared with all of the other components. So every
-    pair of a bucket is either verified or already connected, and a large group of copies costs no more than its size.
-    Returns (node, component) for the nodes with an edge.
+    First come ROUNDS rounds that compare each node with one other: among its buckets' leaders outside its own component,
+    the smallest; a bucket's leader is the smallest node of the bucket's largest component. A round has at most one pair
+    per node, whatever the size of the buckets, and what it links needs no more comparing. Then, in the buckets that
+    still hold more than one component, the members outside the largest one are compared with all of the other
+    components. So every pair of a bucket is either verified or already connected, and a large group of copies costs no
+    more than its size. Returns (node, component) for the nodes with an edge.
     """
-    member = F.struct("node", "n", "pos").alias("x")
-    rows = postings.select("bucket", member)
-    lead = rows.groupBy("bucket").agg(F.min("x").alias("lead"), F.max("x.node").alias("most")).where("lead.node <> most").select("bucket", "lead")
-    active = work.write(rows.join(lead, "bucket"))
-    first = work.write(active.where("x.node <> lead.node").where(possible("x", "lead")).select(F.col("lead.node").alias("a"), F.col("x.node").alias("b")).distinct())
-    edges = work.write(verify(first))
-    found = connected_components(edges, work)
-    labelled = work.write(active.select("bucket", "x", F.col("x.node").alias("node")).join(found, "node", "left").select("bucket", "x", F.coalesce("component", "node").alias("c")))
-    by = labelled.groupBy("bucket", "c").agg(F.count("*").alias("k"))
-    mixed = by.groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.c").alias("top"))
-    left = work.write(labelled.join(mixed, "bucket"))
-    outside = left.where("c <> top").select("bucket", F.col("x").alias("y"), F.col("c").alias("d"))
-    second = outside.join(left, "bucket").where("c <> d").where(possible("x", "y")).where("c = top or x.node > y.node").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    second = work.write(second.join(first, ["a", "b"], "left_anti"))
-    if second.isEmpty():
+    several = work.write(postings.groupBy("bucket").agg(F.min("node").alias("top"), F.max("node").alias("high")).where("top <> high").select("bucket", "top"))
+    mixed = postings.join(small(several, 2 * SMALL_ROWS), "bucket").withColumn("c", F.col("node"))
+    about = ["packed"]
+    if of_nodes is not None:
+        about += [c for c in of_nodes.columns if c != "node"]
+        mixed = mixed.join(small(of_nodes, SMALL_ROWS // 2), "node")
+    mixed = work.write(mixed)
+    tried = edges = found = None
+    for _ in range(ROUNDS):
+        # a bucket's leader and its packed value go by bucket, what else is known of it by node: both tables stay narrow
+        of_lead = mixed.where("c = top").groupBy("bucket").agg(F.min(F.struct("node", "packed")).alias("l")).select("bucket", F.col("l.node").alias("lead"), F.col("l.packed").alias("lead_packed"))
+        pairs = mixed.where("c <> top").join(small(work.write(of_lead)), "bucket")
+        if of_nodes is not None:
+            renamed = of_nodes.select(F.col("node").alias("lead"), *[F.col(k).alias(f"lead_{k}") for k in about[1:]])
+            pairs = pairs.join(small(renamed, SMALL_ROWS // 2), "lead")
+        pairs = pairs.where(possible(F.col, lambda k: F.col(f"lead_{k}"))).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"), "node")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = work.write(pairs.groupBy("node").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct())
+        if pairs.isEmpty():
+            break
+        linked = work.write(verify(pairs))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        edges = linked if found is None else found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked)
+        found = work.write(connected_components(edges, work))
+        mixed = _mixed(mixed, found, work)
+    outside = mixed.where("c <> top").select("bucket", F.col("node").alias("other"), F.col("c").alias("d"), *[F.col(k).alias(f"of_{k}") for k in about])
+    rest = outside.join(mixed, "bucket").where("c <> d").where(possible(F.col, lambda k: F.col(f"of_{k}"))).where("c = top or node > other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    rest = work.write(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
+    if found is None:
+        found = work.write(connected_components(rest.limit(0), work))
+    if rest.isEmpty():
         return found
-    more = verify(second)
-    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")), work)
+    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verify(rest).select("a", "b")), work)
+
+
+def _mixed(before: DataFrame, found: DataFrame, work: Workspace) -> DataFrame:
+    """The members of the buckets that still hold several components, with their component c and the largest one, top."""
+    labelled = before.drop("c", "top").join(small(found), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    sizes = labelled.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+    tops = work.write(sizes.groupBy("bucket").agg(F.max(F.struct("k", (-F.col("c")).alias("m"))).alias("t"), F.count("*").alias("parts")).where("parts > 1").select("bucket", (-F.col("t.m")).alias("top")))
+    return work.write(labelled.join(small(tops), "bucket"))

@@ -2,28 +2,30 @@
 
 A text's tokens are its distinct word shingles. Under any total order of all tokens, two sets with a Jaccard
 similarity of t or more share a token among the first n - ceil(t n) + 1 of each. The first order is by document
-frequency, rarest first, so that common passages make no large buckets; its prefixes are the index. Two more, by
-independent hashes, must agree as well before a pair is verified on the whole sets.
+frequency, rarest first, so that common passages make no large buckets; its prefixes are the index. Of the second, by a
+hash, each set keeps a longer prefix, of n - ceil(t n) + l tokens, of which a pair must share l; it is compared before
+any text is fetched. A third, by another hash, must agree as well before a pair is verified on the whole sets.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import SPACE, Words, Workspace, doc_columns, keep_matching, list_array, mix, shingle, slices
-from tracemill.llm.components import bucket_components
+from tracemill.llm.common import SPACE, Words, Workspace, doc_columns, keep_matching, list_array, mix, parity_sketch, shingle, slices
+from tracemill.llm.components import apart, bucket_components, pack, place_of, size_of
 
 #: Document frequencies are counted in so many cells; any order of the tokens gives right results, so a shared cell costs only speed.
-CELL_BITS = 18
+CELL_BITS = 20
 #: Seeds of the further orders.
-ORDERS = (11, 23)
-BINARY16 = "binary"
+SECOND, THIRD = 11, 23
+#: Words of 64 bits of a set's parity sketch, which bounds from below in how many tokens two sets differ.
+SKETCH = 6
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -39,6 +41,20 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
+def shared_least(n: int, percent: int) -> int:
+    """How many tokens of their longer prefixes two sets must share, by the size of the smaller one."""
+    return min(prefix_length(n, percent), (percent * n + 99) // 100)
+
+
+def second_prefix(s: np.ndarray, percent: int) -> np.ndarray:
+    """The longer prefix under the second order, as the upper halves of its hashes; none if two of them are equal."""
+    k = len(s) - (percent * len(s) + 99) // 100 + shared_least(len(s), percent)
+    m = mix(s, SECOND)
+    low = (np.partition(m, k - 1)[:k] if k < len(m) else m) & np.uint64(0xFFFFFFFF)
+    out = np.unique(low.astype(np.uint32)).view(np.int32)
+    return out if len(out) == k else out[:0]
+
+
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     """Documents by cell of the token hash; counted over all documents, added up by Spark, at most 2**CELL_BITS sums."""
 
@@ -53,8 +69,8 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(total[c])], ["cell", "n"])
 
     out = np.zeros(1 << CELL_BITS, np.int64)
-    summed = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    summed = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
     return out
 
 
@@ -80,11 +96,18 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, work: Workspace |
     docs = doc_columns(docs)
     frequency = spark.sparkContext.broadcast(np.minimum(_frequencies(docs, k), 0xFFFF).astype(np.uint64))
 
+    parity = [f"parity{i}" for i in range(SKETCH)]
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = frequency.value
         for batch in batches:
             sizes, keys, counts, tokens = [], [], [], [np.zeros(0, np.uint64)]
-            for _, s in _sets(batch.column(1), k):
+            seconds, lengths, sketches = [np.zeros(0, np.int32)], [], np.zeros((len(batch), SKETCH), np.uint64)
+            for r, s in _sets(batch.column(1), k):
+                seconds.append(second_prefix(s, percent) if len(s) else s[:0].astype(np.int32))
+                lengths.append(len(seconds[-1]))
+                if len(s):
+                    sketches[r] = parity_sketch(s, np.zeros(1, np.int64), SKETCH)
                 p = prefix_length(len(s), percent)
                 # ties of the upper bits keep the tokens' own order, in every document the same
                 rank = (df[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)] << np.uint64(48)) | (mix(s, 3) >> np.uint64(16))
@@ -92,52 +115,58 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, work: Workspace |
                 sizes.append(len(s))
                 keys.append(_set_key(s) if len(s) else None)
                 counts.append(p)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), list_array(np.concatenate(tokens), counts, pa.int64())], ["doc_id", "n", "set_key", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), list_array(np.concatenate(tokens), counts, pa.int64()), list_array(np.concatenate(seconds), lengths, pa.int32()), *[pa.array(sketches[:, i].view(np.int64)) for i in range(SKETCH)]], ["doc_id", "n", "set_key", "tokens", "second", *parity])
 
-    table = work.write(docs.mapInArrow(prefixes, "doc_id long, n long, set_key binary, tokens array<long>").withColumn("row", F.monotonically_increasing_id()))
+    table = work.write(docs.mapInArrow(prefixes, ", ".join(["doc_id long, n long, set_key binary, tokens array<long>, second array<int>", *(f"{x} long" for x in parity)])).withColumn("row", F.monotonically_increasing_id()))
     classes = work.write(table.where("n > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")))
-    chosen = table.select("row", "n", "tokens").join(classes.select(F.col("node").alias("row")), "row", "left_semi")
-    postings = chosen.select(F.posexplode("tokens").alias("pos", "bucket"), F.col("row").alias("node"), "n").select("bucket", "node", F.col("n").cast("int").alias("n"), "pos")
+    chosen = keep_matching(table.select("row", "n", "tokens"), classes.select(F.col("node").alias("row")), "row")
+    postings = chosen.select(F.posexplode("tokens").alias("pos", "bucket"), F.col("row").alias("node"), "n").select("bucket", "node", pack(F.col("n"), F.col("pos")).alias("packed"))
     sets_of = table.select("row", "doc_id", "set_key")
 
-    def possible(x: str, y: str):
-        # the sizes may differ so far, and what follows the shared token must still reach the overlap that is needed
-        small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-        rest = F.least(F.col(f"{x}.n") - F.col(f"{x}.pos"), F.col(f"{y}.n") - F.col(f"{y}.pos")) + F.least(f"{x}.pos", f"{y}.pos")
-        return (small * 100 >= large * percent) & (rest * (100 + percent) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * percent)
+    def possible(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+        # the sizes may differ so far, the sets may differ in so many elements, and from the first token that they share
+        # on there must be enough for the overlap that is needed; a pair is lost at no later token if it is found there
+        nx, ny, px, py = size_of(x("packed")), size_of(y("packed")), place_of(x("packed")), place_of(y("packed"))
+        rest = F.least(nx - px, ny - py)
+        near = (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (rest * (100 + percent) >= (nx + ny) * percent)
+        return near & (apart(x, y, parity) * (100 + percent) <= (nx + ny) * (100 - percent))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+        """Fetches the texts of the pairs' nodes, which compress better than sets of hashes, and compares their sets."""
+        ends = lambda p: p.select(F.col("a").alias("row")).union(p.select(F.col("b").alias("row"))).distinct()
+        seconds = work.write(keep_matching(table.select("row", "n", "second"), work.write(ends(pairs)), "row"))
+        share = F.expr(f"({percent} * n + 99) div 100")
+        seconds = seconds.withColumn("least", F.least(F.col("n") - share + 1, share)).select("row", "second", "least")
+        x, y = (seconds.select(F.col("row").alias(e), F.col("second").alias(f"s{e}"), F.col("least").alias(f"l{e}")) for e in "ab")
+        unknown = (F.size("sa") == 0) | (F.size("sb") == 0)
+        pairs = work.write(pairs.join(x, "a").join(y, "b").where(unknown | (F.size(F.array_intersect("sa", "sb")) >= F.least("la", "lb"))).select("a", "b"))
+        nodes = work.write(ends(pairs))
         wanted = work.write(keep_matching(sets_of, nodes, "row"))
 
-        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                counts, keys, values = [], [], [np.zeros(0, np.uint64)]
-                for _, s in _sets(batch.column(1), k):
-                    counts.append(len(s))
-                    keys.append(_set_key(s))
-                    values.append(s)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), list_array(np.concatenate(values), counts, pa.int64())], ["doc_id", "set_key", "s"])
+                keys = [_set_key(s) for _, s in _sets(batch.column(1), k)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], ["doc_id", "text", "set_key"])
 
         named = wanted.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "set_key", "row")
         some = keep_matching(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))), named.select("doc_id").distinct(), "doc_id")
         # a doc_id may have several texts: the set's digest says which is meant
-        fetched = some.mapInArrow(fetch, "doc_id long, set_key binary, s array<long>").join(named, ["doc_id", "set_key"]).select("row", "s")
-        sets = work.write(fetched.dropDuplicates(["row"]))
-        left = pairs.join(sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), "a")
-        both = left.join(sets.select(F.col("row").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+        texts = some.mapInArrow(digest, "doc_id long, text string, set_key binary").join(named, ["doc_id", "set_key"]).groupBy("row").agg(F.max("text").alias("text"))
+        texts = work.write(texts)
+        left = keep_matching(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), pairs.select("a").distinct(), "a").join(pairs, "a")
+        both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sa, sb = batch.column(2), batch.column(3)
-                va, vb = sa.values.to_numpy().view(np.uint64), sb.values.to_numpy().view(np.uint64)
-                oa, ob = sa.offsets.to_numpy(), sb.offsets.to_numpy()
-                keep = [similar(va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]], percent) for i in range(len(batch))]
+                keep: list[bool] = []
+                for at in range(0, len(batch), 64):
+                    part = batch.slice(at, 64)
+                    keep += [similar(x, y, percent) for (_, x), (_, y) in zip(_sets(part.column(2), k), _sets(part.column(3), k), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return both.mapInArrow(check, "a long, b long")
 
-    found = bucket_components(postings, verify, work, possible)
+    found = bucket_components(postings, verify, work, possible, table.select(F.col("row").alias("node"), *parity))
     ids = classes.join(found, "node", "left").select("set_key", "low", F.coalesce("component", "node").alias("component"))
     least = ids.groupBy("component").agg(F.min("low").alias("component_id"))
     of_set = ids.join(least, "component").select("set_key", "component_id")
@@ -147,12 +176,11 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, work: Workspace |
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets pass the filters of the further orders, and then the test itself."""
-    pa_, pb = prefix_length(len(a), percent), prefix_length(len(b), percent)
-    for seed in ORDERS:
-        x, y = mix(a, seed), mix(b, seed)
-        if not np.intersect1d(np.partition(x, pa_ - 1)[:pa_], np.partition(y, pb - 1)[:pb], assume_unique=True).size:
-            return False
+    """Whether two sorted sets pass the filter of the third order, and then the test itself."""
+    ka, kb = prefix_length(len(a), percent), prefix_length(len(b), percent)
+    x, y = mix(a, THIRD), mix(b, THIRD)
+    if not np.intersect1d(np.partition(x, ka - 1)[:ka], np.partition(y, kb - 1)[:kb], assume_unique=True).size:
+        return False
     common = np.intersect1d(a, b, assume_unique=True).size
     return 100 * common >= percent * (len(a) + len(b) - common)
 
