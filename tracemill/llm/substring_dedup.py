@@ -7,14 +7,14 @@ paragraph begins and ends depends on its own words, so a passage has the same pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import BROADCAST_ROWS, SPACE, U, Words, Workspace, keep_matching, list_array, mix, shingle, slices
+from tracemill.llm.common import BROADCAST_ROWS, SPACE, U, Words, Workspace, keep_matching, list_array, mix, ranges, runs, shingle, slices
 from tracemill.llm.components import bucket_components
 
 SHINGLE, PERCENT = 5, 80
@@ -72,10 +72,19 @@ class Paragraphs:
             ptr.append(len(first))
         self.first, self.words, self.ptr = first, words, ptr
 
-    def node(self, i: int) -> int:
-        """A 64-bit hash of the paragraph's words."""
-        f, k = self.first[i], self.words[i]
-        return int(shingle(self.hashes[f : f + k], k)[0])
+    def nodes(self) -> np.ndarray:
+        """A 64-bit hash of each paragraph's words in order."""
+        first, words = np.array(self.first, np.int64), np.array(self.words, np.int64)
+        return mix(runs(self.hashes, first, words), 9)
+
+    def sets(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct shingles, in order, of all paragraphs of at least LEAST_WORDS words, and how many each has."""
+        first, words = np.array(self.first, np.int64), np.array(self.words, np.int64)
+        n = np.where(words >= LEAST_WORDS, words - SHINGLE + 1, 0)
+        at = ranges(first, n)
+        all_of = shingle(self.hashes, SHINGLE) if len(self.hashes) >= SHINGLE else self.hashes[:0]
+        keyed = np.unique((np.repeat(np.arange(len(n)), n).astype(np.uint64) << U(32)) | (all_of[at] >> U(32)))
+        return (keyed & U(0xFFFFFFFF)).astype(np.uint32), np.bincount((keyed >> U(32)).astype(np.int64), minlength=len(n))
 
     def cut(self, r: int, drop: set[int]) -> bytes:
         """Text r without the paragraphs whose places in it are given."""
@@ -109,41 +118,37 @@ def _table(rows: DataFrame) -> DataFrame:
                 counts = np.diff(p.ptr)
                 row = np.repeat(np.arange(len(counts)), counts) + first
                 place = np.arange(len(row)) - np.repeat(p.ptr[:-1], counts)
-                sets, sizes, nodes = [np.zeros(0, np.int32)], [], []
-                for i in range(len(row)):
-                    nodes.append(p.node(i))
-                    s = np.zeros(0, np.int32)
-                    if p.words[i] >= LEAST_WORDS:
-                        f = p.first[i]
-                        s = np.unique((shingle(p.hashes[f : f + p.words[i]], SHINGLE) >> U(32)).astype(np.uint32)).view(np.int32)
-                    sets.append(s)
-                    sizes.append(len(s))
+                values, sizes = p.sets()
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([ids.take(at), ties.take(at), pa.array(place.astype(np.int32)), pa.array(np.array(p.words, np.int32)), pa.array(np.array(nodes, np.uint64).view(np.int64)), list_array(np.concatenate(sets), sizes, pa.int32())], ["doc_id", "tie", "place", "words", "node", "s"])
+                yield pa.RecordBatch.from_arrays([ids.take(at), ties.take(at), pa.array(place.astype(np.int32)), pa.array(np.array(p.words, np.int32)), pa.array(p.nodes().view(np.int64)), list_array(values.view(np.int32), sizes, pa.int32())], ["doc_id", "tie", "place", "words", "node", "s"])
 
     return rows.mapInArrow(run, "doc_id long, tie long, place int, words int, node long, s array<int>")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, node, n, pos) for each band of each paragraph; one that repeats within a batch is taken once."""
+    """(bucket, node, packed) for each band of each paragraph; one that repeats within a batch is taken once.
+
+    packed: the number of shingles in 16 bits, and in 48 the parity of the shingles that fall on each.
+    """
     for batch in batches:
         nodes, lists = batch.column(0).to_numpy(), batch.column(1)
-        offsets = lists.offsets.to_numpy()
+        offsets = lists.offsets.to_numpy().astype(np.int64)
         sizes = np.diff(offsets)
         _, once = np.unique(nodes, return_index=True)
         once = once[sizes[once] > 0]
         if not len(once):
             continue
-        values = lists.values.to_numpy().view(np.uint32).astype(np.uint64)
-        index = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in once.tolist()])
-        starts = np.concatenate(([0], np.cumsum(sizes[once])[:-1]))
-        values = values[index]
+        n = sizes[once]
+        values = lists.values.to_numpy().view(np.uint32)[ranges(offsets[once], n)].astype(np.uint64)
+        starts = np.cumsum(n) - n
+        bits = np.bitwise_xor.reduceat(U(1) << (values % U(48)), starts)
+        packed = ((np.minimum(n, 0x7FFF).astype(np.uint64) << U(48)) | bits).view(np.int64)
         for b in range(BANDS):
             key = np.full(len(once), U(b + 1))
             with np.errstate(over="ignore"):
                 for r in range(ROWS):
                     key = mix(key * U(0x9E3779B97F4A7C15) + np.minimum.reduceat(mix(values, 100 + b * ROWS + r), starts), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes[once]), pa.array(sizes[once].astype(np.int32)), pa.array(np.zeros(len(once), np.int32))], ["bucket", "node", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes[once]), pa.array(packed)], ["bucket", "node", "packed"])
 
 
 def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
@@ -165,10 +170,14 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     docs = docs.select(*own)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     table = work.write(_table(keyed))
-    postings = table.select("node", "s").mapInArrow(_bands, "bucket long, node long, n int, pos int")
+    postings = table.select("node", "s").mapInArrow(_bands, "bucket long, node long, packed long")
 
-    def possible(x: str, y: str):
-        return F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * PERCENT
+    def possible(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+        # sets so alike differ in at most (100 - PERCENT) / (100 + PERCENT) of their sizes' sum; each bit that differs
+        # is one such shingle at least, and the count of a very long paragraph is only known to be large
+        nx, ny = F.shiftrightunsigned(x("packed"), 48), F.shiftrightunsigned(y("packed"), 48)
+        differ = F.bit_count(x("packed").bitwiseXOR(y("packed")).bitwiseAND(F.lit((1 << 48) - 1)))
+        return (F.greatest(nx, ny) == 0x7FFF) | ((F.least(nx, ny) * 100 >= F.greatest(nx, ny) * PERCENT) & (differ * (100 + PERCENT) <= (nx + ny) * (100 - PERCENT)))
 
     def verify(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -182,6 +191,8 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     placed = table.select("doc_id", "tie", "place", "words", "node").join(F.broadcast(found) if few else found, "node", "left")
     placed = placed.select("doc_id", "tie", "place", "words", F.coalesce("component", "node").alias("class"))
     where = F.struct("doc_id", "tie", "place")
+    shared = work.write(placed.groupBy("class").count().where("count > 1").select("class"))
+    placed = keep_matching(placed, shared, "class")
     classes = work.write(placed.groupBy("class").agg(F.min(where).alias("low"), F.max(where).alias("high")).where("low <> high").select("class", "low"))
     few = classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     again = placed.join(F.broadcast(classes) if few else classes, "class").where(where != F.col("low")).where("doc_id is not null")
