@@ -1,7 +1,7 @@
 """Substring dedup: paragraphs, MinHash banding, exact verification, components, and removal of repeated runs.
 
 A paragraph is a sentence (up to a full stop, question or exclamation mark, or a line end); sentences of fewer than
-LEAST_WORDS words in a row are put together; longer ones than MOST_WORDS are cut where a word's hash says so. Where a
+LEAST_WORDS words in a row are put together; longer ones than MOST_WORDS are cut wherever a word's hash says so. Where a
 paragraph begins and ends depends on its own words, so a passage has the same paragraphs wherever it stands.
 """
 
@@ -22,7 +22,7 @@ LEAST_WORDS, MOST_WORDS = 8, 24
 #: Bands of rows each: a pair of similarity 0.8 meets with probability 0.97, of 0.9 with 0.999; equal ones always do.
 BANDS, ROWS = 5, 3
 #: A run of repeated paragraphs is removed if it has so many words; shorter ones are the language's or the site's habits.
-RUN_WORDS = 30
+RUN_WORDS = 28
 _STOP = np.zeros(256, bool)
 _STOP[[0x2E, 0x21, 0x3F]] = True
 
@@ -50,14 +50,11 @@ class Paragraphs:
                     if held < start:
                         first.append(held)
                         words.append(start - held)
-                    while end - start > MOST_WORDS:
-                        cuts = np.flatnonzero(soft[start + LEAST_WORDS - 1 : end - 1])
-                        if not len(cuts):
-                            break
-                        size = LEAST_WORDS + int(cuts[0])
-                        first.append(start)
-                        words.append(size)
-                        start += size
+                    if end - start > MOST_WORDS:
+                        for cut in (np.flatnonzero(soft[start : end - 1]) + start + 1).tolist():
+                            first.append(start)
+                            words.append(cut - start)
+                            start = cut
                     first.append(start)
                     words.append(end - start)
                     held = end
