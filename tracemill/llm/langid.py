@@ -109,7 +109,7 @@ def fit(texts: dict[str, list[str]], pieces: Pieces) -> tuple[list[str], np.ndar
     """Languages in order, and the probability of each piece (rows) in each."""
     langs, columns = sorted(texts), []
     for lang in langs:
-        counts = Counter(w for t in texts[lang] for w in words_of(t)).most_common(TRAIN_WORDS)
+        counts = sorted(Counter(w for t in texts[lang] for w in words_of(t)).items(), key=lambda x: (-x[1], x[0]))[:TRAIN_WORDS]
         prob = np.full((pieces.n, 1), 1 / pieces.n)
         flat = [(p, c) for w, c in counts for p in _marked(w)]
         for _ in range(ROUNDS if flat else 0):
@@ -171,10 +171,17 @@ def language(docs: DataFrame, path: str, learn: DataFrame, most: int = TRAIN_ROW
     without a letter, has und and 0, as has every text if there is nothing to learn from.
     """
     langs = [r[0] for r in learn.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()]
-    texts = {}
+    known = learn.where(F.col("text").isNotNull())
+    chosen = None
     for lang in langs:
-        rows = learn.where((F.col("lang") == lang) & F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).select("text").limit(most).collect()
-        texts[lang] = [r[0] for r in rows]
+        part = known.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    texts: dict[str, list[str]] = {}
+    if chosen is not None:
+        # at most ``most`` ids of each language, a proven bound; only their texts come to the driver
+        rows = known.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("lang", "text").limit(most * len(langs))
+        for lang, text in rows.collect():
+            texts.setdefault(lang, []).append(text)
     pieces = Pieces(path)
     model = docs.sparkSession.sparkContext.broadcast((pieces.codes, *fit(texts, pieces)))
     base = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
