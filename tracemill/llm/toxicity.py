@@ -8,6 +8,7 @@ word adds one number to a text's score, which workers remember.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -75,14 +76,15 @@ def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
         return np.full(BUCKETS, np.nan, np.float32), 8.0 if len(y) and y.min() else -8.0
     words, dw, dr = _numbered([t for t, _ in rows])
     in_texts = np.bincount(dw, minlength=len(words))
-    sizes, parts, reach = [], [], np.zeros(BUCKETS)
-    for w, n in zip(words, in_texts.tolist(), strict=True):
-        own = np.array(subwords(w), np.int32)
-        reach[own] += n
-        parts.append(own)
+    flat, sizes = array("i"), array("i")
+    for w in words:
+        own = subwords(w)
+        flat.extend(own)
         sizes.append(len(own))
-    gw, gr = np.concatenate(parts), np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-    del parts
+    gw, gr = np.frombuffer(flat, np.int32), np.repeat(np.arange(len(words), dtype=np.int32), np.frombuffer(sizes, np.int32))
+    reach = np.zeros(BUCKETS)
+    for at in range(0, len(gw), 1 << 20):
+        reach += np.bincount(gw[at : at + (1 << 20)], in_texts[gr[at : at + (1 << 20)]], minlength=BUCKETS)
     known = reach >= LEAST_TEXTS
     gw, gr = gw[known[gw]], gr[known[gw]]
     per_doc, per_word = 1 / np.maximum(1, np.bincount(dr, minlength=len(rows))) ** POWER, 1 / np.maximum(1, np.bincount(gr, minlength=len(words)))
