@@ -12,8 +12,8 @@ def fold(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[tuple[str, int]], float]:
-    """At most ``most`` rows (text, label) of the folds to learn from, and the log-odds to add for the share of label 1.
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """At most ``most`` rows (text, y) of the folds to learn from, in one partition, and how many rows each label has.
 
     Learns only where crc32(doc_id as text) mod 5 is not 0. Each label gives up to half of the rows, those whose ids
     come first by hash, so the sample is the same however the tables are partitioned. Null labels are ignored.
@@ -26,7 +26,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most ``most`` ids, a proven bound
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", F.xxhash64("text"), "y").limit(most)
-    rows = [(r[0] or "", r[1]) for r in picked.select("text", "y").collect()]
+    return picked.select(F.coalesce("text", F.lit("")).alias("text"), "y"), counts
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[tuple[str, int]], float]:
+    """The sample's rows on the driver, and the log-odds to add to a score for the share of label 1 in the whole."""
+    picked, counts = sample(docs, labels, label, most)
+    rows = [(r[0], r[1]) for r in picked.collect()]
     used = [sum(1 for _, y in rows if y == k) for k in (0, 1)]
     if not all(used) or not all(counts.get(k) for k in (0, 1)):
         return rows, 0.0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.labelled import fold, training_rows
+from tracemill.llm.labelled import fold, sample
 
 #: Labelled rows to fit on, at most, half of either label where there are as many; hashed subwords; embedding width;
 #: sizes of character n-grams; steps of the fit.
@@ -87,6 +87,7 @@ def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
         reach += np.bincount(gw[at : at + (1 << 20)], in_texts[gr[at : at + (1 << 20)]], minlength=BUCKETS)
     known = reach >= LEAST_TEXTS
     gw, gr = gw[known[gw]], gr[known[gw]]
+    del flat
     per_doc, per_word = 1 / np.maximum(1, np.bincount(dr, minlength=len(rows))) ** POWER, 1 / np.maximum(1, np.bincount(gr, minlength=len(words)))
     rng = np.random.default_rng(7)
     params = [rng.normal(0, 0.01, (BUCKETS, WIDTH)), rng.normal(0, 1.0, (WIDTH, 2)), np.zeros(2)]
@@ -112,6 +113,12 @@ def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
     return np.where(known, SCALE * (e @ (w[:, 1] - w[:, 0])), np.nan).astype(np.float32), float(b[1] - b[0])
 
 
+def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    weights, offset = fit(rows)
+    yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([offset], pa.float64())], ["weights", "offset"])
+
+
 class Scorer:
     def __init__(self, weights: np.ndarray, offset: float):
         self.weights, self.offset, self.known = weights, offset, {}
@@ -139,7 +146,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None =
     empty text has the score of no words, the model's offset. Empty labels score 0 (nearly) throughout.
     """
     sc = docs.sparkSession.sparkContext
-    model = sc.broadcast(fit(training_rows(train_docs if train_docs is not None else docs, labels, "toxic", most)[0]))
+    rows, _ = sample(train_docs if train_docs is not None else docs, labels, "toxic", most)
+    # the bounded sample is fitted in one executor's task, which can be run again elsewhere; the driver gets the model
+    fitted = rows.coalesce(1).mapInArrow(_fit_task, "weights binary, offset double").first()
+    model = sc.broadcast((np.frombuffer(fitted[0], np.float32), fitted[1]) if fitted else fit([]))
     base = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
     at = base.columns.index("text")
     names = [*base.columns, "score", "predicted"]
