@@ -58,6 +58,14 @@ def test_toxicity_of_unseen_misspellings(frame):
     assert out[5002].score == out[5003].score and out[5002].predicted == 0
 
 
+def test_toxicity_keeps_the_share_of_labels_beyond_its_cap(frame):
+    # 400 and 40 rows with one text, of which the fit sees 20 and 20: the score is the share in the whole
+    labels = [(i, int(i >= 400)) for i in range(440)]
+    learned = [y for i, y in labels if zlib.crc32(str(i).encode()) % 5]
+    out = toxicity.toxicity(frame([(i, "the garden grew well") for i, _ in labels]), frame(labels, "doc_id long, toxic int"), most=40).first()
+    assert abs(out.score - sum(learned) / len(learned)) < 0.02 and out.predicted == 0
+
+
 def test_classifiers_without_labels_or_rows(frame):
     none = frame([], "doc_id long, toxic int, quality int")
     assert [r.predicted for r in toxicity.toxicity(frame([(1, "x")]), none).collect()] == [0]

@@ -29,11 +29,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[D
     return picked.select(F.coalesce("text", F.lit("")).alias("text"), "y"), counts
 
 
+def share_shift(counts: dict[int, int], used: list[int]) -> float:
+    """The log-odds to add to an offset fitted on used rows of labels 0 and 1, for the share of label 1 in the whole."""
+    if not all(used) or not all(counts.get(k) for k in (0, 1)):
+        return 0.0
+    return math.log(counts[1] / counts[0]) - math.log(used[1] / used[0])
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[tuple[str, int]], float]:
     """The sample's rows on the driver, and the log-odds to add to a score for the share of label 1 in the whole."""
     picked, counts = sample(docs, labels, label, most)
     rows = [(r[0], r[1]) for r in picked.collect()]
-    used = [sum(1 for _, y in rows if y == k) for k in (0, 1)]
-    if not all(used) or not all(counts.get(k) for k in (0, 1)):
-        return rows, 0.0
-    return rows, math.log(counts[1] / counts[0]) - math.log(used[1] / used[0])
+    return rows, share_shift(counts, [sum(1 for _, y in rows if y == k) for k in (0, 1)])
