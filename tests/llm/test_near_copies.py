@@ -103,6 +103,20 @@ def test_near_passages_go(frame):
     assert got[1] == 0 and got[2] >= 1
 
 
+def test_near_paragraphs_with_an_inner_edit_go(frame):
+    rows = []
+    for i in range(60):
+        words = PASSAGE.split() if not i else sentence(60).split()
+        words[5], words[20], words[40] = words[5] + ".", words[20] + ".", words[40] + "."
+        edited = [*words]
+        edited[30 if i else 5] = "leaps"  # leaves no run of 28 words in the passage's sentences
+        rows += [(i, sentence(30) + ".\n" + " ".join(words) + "\n" + sentence(30)), (1000 + i, sentence(30) + ".\n" + " ".join(edited) + "\n" + sentence(30))]
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(frame(rows)).collect()}
+    assert all(got[i].n_removed == 0 for i in range(60))
+    gone = [i for i in range(60) if "leaps" not in got[1000 + i].text]
+    assert len(gone) >= 54 and all(i in got[1000 + i].same_as and len(got[1000 + i].text.split()) >= 55 for i in gone)
+
+
 def test_dedup_on_odd_inputs(frame):
     assert substring_dedup.substring_dedup(frame([])).count() == 0
     rows = [(1, None), (2, ""), (3, "x " * 5000), (None, PASSAGE), (4, PASSAGE), (4, PASSAGE), (5, PASSAGE)]

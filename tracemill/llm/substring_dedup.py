@@ -1,8 +1,10 @@
 """Substring dedup: paragraphs, MinHash banding, exact verification, components, and removal of repeated runs.
 
-A paragraph is a sentence (up to a full stop, question or exclamation mark, or a line end); sentences of fewer than
-LEAST_WORDS words in a row are put together; longer ones than MOST_WORDS are cut wherever a word's hash says so. Where a
-paragraph begins and ends depends on its own words, so a passage has the same paragraphs wherever it stands.
+A sentence goes up to a full stop, question or exclamation mark, or a line end; those of fewer than LEAST_WORDS words in
+a row are put together; longer ones than MOST_WORDS are cut wherever a word's hash says so. They are compared whole. What
+is compared for likeness is a paragraph: a line, short lines in a row together, or a part of a long line, cut at
+sentences, or words where there are none, that have the least hash far and wide. Where any of them begins and ends
+depends on its own words, so a passage has the same ones wherever it stands.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from tracemill.llm.components import bucket_components
 
 SHINGLE, PERCENT = 5, 80
 LEAST_WORDS, MOST_WORDS = 8, 24
+#: Lines of fewer words are put together, of more are cut at sentences that are the least of so many to either side; what
+#: is still longer is cut at words that are the least of so many; paragraphs of fewer words than the last have no bands.
+LINE_LEAST, LINE_MOST, NEAR_SENTENCES, PART_MOST, NEAR_WORDS, BLOCK_LEAST = 40, 100, 3, 200, 32, 20
 #: Bands of rows each: a pair of similarity 0.8 meets with probability 0.97, of 0.9 with 0.999; equal ones always do.
 BANDS, ROWS = 5, 3
 #: A run of repeated paragraphs is removed if it has so many words; shorter ones are the language's or the site's habits.
@@ -27,8 +32,19 @@ _STOP = np.zeros(256, bool)
 _STOP[[0x2E, 0x21, 0x3F]] = True
 
 
+def _least(keys: np.ndarray, reach: int) -> np.ndarray:
+    """Where a key is the least of those up to reach places before and after it, and of all that many."""
+    if len(keys) < 2 * reach + 1:
+        return np.flatnonzero(keys == keys.min())[:1] if len(keys) > reach else np.zeros(0, np.int64)
+    padded = np.concatenate((np.full(reach, ~U(0)), keys, np.full(reach, ~U(0))))
+    return np.flatnonzero(np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1).min(1) == keys)
+
+
 class Paragraphs:
-    """Paragraphs of a slice of texts: of text r, those numbered ptr[r]:ptr[r+1], words first[i]:first[i] + words[i]."""
+    """Sentences of a slice of texts: of text r, those numbered ptr[r]:ptr[r+1], words first[i]:first[i] + words[i].
+
+    blocks() has the paragraphs.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         w = self.w = Words(data, offsets, SPACE)
@@ -39,6 +55,7 @@ class Paragraphs:
         if n:
             stop[:-1] = _STOP[data[w.ends[:-1] - 1]] | (lines[w.starts[1:]] > lines[w.ends[:-1]])
             stop[w.ptr[1:][w.ptr[1:] > w.ptr[:-1]] - 1] = True
+        self.stop, self.lines = stop, lines
         soft = (self.hashes & U(7)) == 0
         first, words, ptr = [], [], [0]
         stops = np.flatnonzero(stop)
@@ -69,34 +86,85 @@ class Paragraphs:
             ptr.append(len(first))
         self.first, self.words, self.ptr = first, words, ptr
 
-    def nodes(self) -> np.ndarray:
-        """A 64-bit hash of each paragraph's words in order."""
-        first, words = np.array(self.first, np.int64), np.array(self.words, np.int64)
-        return mix(runs(self.hashes, first, words), 9)
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first word and number of words of each paragraph of at least BLOCK_LEAST words."""
+        w, h = self.w, self.hashes
+        n = len(h)
+        if not n:
+            return (np.zeros(0, np.int64),) * 3
+        with np.errstate(over="ignore"):
+            keys = mix(h + np.concatenate((h[:1], h[:-1])) * U(0x9E3779B97F4A7C15), 12)  # of each word and the one before
+        ends = np.flatnonzero(self.stop) + 1
+        of_line = self.stop.copy()
+        of_line[:-1] &= self.lines[w.starts[1:]] > self.lines[w.ends[:-1]]
+        of_line[w.ptr[1:][w.ptr[1:] > w.ptr[:-1]] - 1] = True
+        line_ends = np.flatnonzero(of_line) + 1
+        at = np.searchsorted(line_ends, w.ptr, "right")
+        text, first, last = [], [], []
+
+        def add(r: int, a: int, b: int) -> None:
+            cuts = [a, b]
+            if b - a > LINE_MOST:
+                some = ends[np.searchsorted(ends, a, "right") : np.searchsorted(ends, b)]
+                cuts = [a, *some[_least(keys[some - 1], NEAR_SENTENCES)].tolist(), b]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                parts = [x, y] if y - x <= PART_MOST else [x, *(_least(keys[x : y - 1], NEAR_WORDS) + x + 1).tolist(), y]
+                for c, d in zip(parts, parts[1:], strict=False):
+                    if d - c >= BLOCK_LEAST:
+                        text.append(r)
+                        first.append(c)
+                        last.append(d)
+
+        for r in range(len(w.ptr) - 1):
+            start = held = int(w.ptr[r])
+            for end in line_ends[at[r] : at[r + 1]].tolist():
+                if end - start >= LINE_LEAST:
+                    if held < start:
+                        add(r, held, start)
+                    add(r, start, end)
+                    held = end
+                elif end - held >= LINE_LEAST:
+                    add(r, held, end)
+                    held = end
+                start = end
+            if held < start:
+                add(r, held, start)
+        first = np.array(first, np.int64)
+        return np.array(text, np.int64), first, np.array(last, np.int64) - first
+
+    def nodes(self, first: np.ndarray, words: np.ndarray, kind: int) -> np.ndarray:
+        """A 64-bit hash of the words in order, other for each kind of unit."""
+        return mix(runs(self.hashes, first, words), kind)
 
-    def sets(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct shingles, in order, of all paragraphs of at least LEAST_WORDS words, and how many each has."""
-        first, words = np.array(self.first, np.int64), np.array(self.words, np.int64)
-        n = np.where(words >= LEAST_WORDS, words - SHINGLE + 1, 0)
+    def sets(self, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct shingles, in order, of all units, of SHINGLE words at least, and how many each has."""
+        n = words - SHINGLE + 1
         at = ranges(first, n)
         all_of = shingle(self.hashes, SHINGLE) if len(self.hashes) >= SHINGLE else self.hashes[:0]
         keyed = np.unique((np.repeat(np.arange(len(n)), n).astype(np.uint64) << U(32)) | (all_of[at] >> U(32)))
         return (keyed & U(0xFFFFFFFF)).astype(np.uint32), np.bincount((keyed >> U(32)).astype(np.int64), minlength=len(n))
 
-    def cut(self, r: int, drop: set[int]) -> bytes:
-        """Text r without the paragraphs whose places in it are given."""
-        w, base = self.w, self.ptr[r]
+    def cut(self, r: int, drop: list[tuple[int, int]]) -> bytes:
+        """Text r without the given ranges of its words, which are apart and in order."""
+        w, base = self.w, int(self.w.ptr[r])
         begin, end = int(w.offsets[r]), int(w.offsets[r + 1])
         raw, kept, at = self.raw[begin:end].tobytes(), [], 0
-        for p in sorted(drop):
-            i = base + p
-            a = int(w.starts[self.first[i]]) - begin
-            last = self.first[i] + self.words[i]
-            b = int(w.starts[last]) - begin if last < w.ptr[r + 1] else end - begin
+        for first, last in drop:
+            a = int(w.starts[base + first]) - begin
+            b = int(w.starts[base + last]) - begin if base + last < w.ptr[r + 1] else end - begin
             kept.append(raw[at:a])
             at = b
         return b"".join([*kept, raw[at:]])
 
+    def touched(self, r: int, drop: list[tuple[int, int]]) -> int:
+        """How many sentences of text r have a word in the given ranges."""
+        first = np.array(self.first[self.ptr[r] : self.ptr[r + 1]], np.int64) - int(self.w.ptr[r])
+        last = first + np.array(self.words[self.ptr[r] : self.ptr[r + 1]], np.int64)
+        hit = np.zeros(len(first), bool)
+        for a, b in drop:
+            hit |= (first < b) & (last > a)
+        return int(hit.sum())
+
     @classmethod
     def of(cls, data: np.ndarray, offsets: np.ndarray) -> Paragraphs:
         out = cls(data, offsets)
@@ -105,19 +173,23 @@ class Paragraphs:
 
 
 def _table(rows: DataFrame) -> DataFrame:
-    """doc_id, tie, place, words, node, s: every paragraph, with its shingles if it has at least LEAST_WORDS words."""
+    """doc_id, tie, place, words, node, s: every sentence, and every paragraph with its shingles.
+
+    place: the number of the first word in its text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ties = batch.column(0), batch.column(1)
-            for first, data, offsets in slices(batch.column(2)):
+            for at, data, offsets in slices(batch.column(2)):
                 p = Paragraphs(data, offsets)
-                counts = np.diff(p.ptr)
-                row = np.repeat(np.arange(len(counts)), counts) + first
-                place = np.arange(len(row)) - np.repeat(p.ptr[:-1], counts)
-                values, sizes = p.sets()
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([ids.take(at), ties.take(at), pa.array(place.astype(np.int32)), pa.array(np.array(p.words, np.int32)), pa.array(p.nodes().view(np.int64)), list_array(values.view(np.int32), sizes, pa.int32())], ["doc_id", "tie", "place", "words", "node", "s"])
+                row, first, words = np.repeat(np.arange(len(offsets) - 1), np.diff(p.ptr)), np.array(p.first, np.int64), np.array(p.words, np.int64)
+                units = [(row, first, words, p.nodes(first, words, 9), p.hashes[:0].astype(np.uint32), np.zeros(len(row), np.int64))]
+                row, first, words = p.blocks()
+                units.append((row, first, words, p.nodes(first, words, 11), *p.sets(first, words)))
+                for row, first, words, nodes, values, sizes in units:
+                    of = pa.array(row + at)
+                    yield pa.RecordBatch.from_arrays([ids.take(of), ties.take(of), pa.array((first - p.w.ptr[row]).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(nodes.view(np.int64)), list_array(values.view(np.int32), sizes, pa.int32())], ["doc_id", "tie", "place", "words", "node", "s"])
 
     return rows.mapInArrow(run, "doc_id long, tie long, place int, words int, node long, s array<int>")
 
@@ -148,15 +220,26 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes[once]), pa.array(packed)], ["bucket", "node", "packed"])
 
 
+def _long_runs(ranges_of: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """The ranges, in order, put together where they meet, that have at least so many words."""
+    out: list[tuple[int, int]] = []
+    for a, b in ranges_of:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return [x for x in out if x[1] - x[0] >= least]
+
+
 def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """docs' columns, with text less its repeated passages, and n_removed, removed_words and same_as.
 
     docs: doc_id, text, and any other columns, which stay unless named like an added one, which replaces it.
-    Paragraphs are alike if their words are equal but for the case of A-Z, or the exact Jaccard similarity of their
-    5-word shingles is 0.8 or more; classes are the components of that relation. Of each class the first paragraph, by
-    doc_id, the text's hash, and place, stays. The others are removed where a run of neighbouring ones has at least
-    run_words words in all. n_removed and removed_words count paragraphs and words taken out, same_as lists the ids of
-    documents that keep the passages, in order.
+    Sentences are alike if their words are equal but for the case of A-Z, paragraphs also if the exact Jaccard similarity
+    of their 5-word shingles is 0.8 or more; classes are the components of that relation. Of each class the first one, by
+    doc_id, the text's hash, and place, stays. The words of the others are removed where a run of them has at least
+    run_words words in all. n_removed and removed_words count sentences, whole or in part, and words taken out, same_as
+    lists the ids of documents that keep the passages, in order.
 
     Null and empty texts stay as they are; a row that repeats another whole row is the same document and gets the same
     result; rows with a null doc_id are compared but not cut; no rows give no rows.
@@ -167,7 +250,8 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     docs = docs.select(*own)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     table = work.write(_table(keyed))
-    postings = table.select("node", "s").mapInArrow(_bands, "bucket long, node long, packed long")
+    sets_of = table.select("node", "s").where("size(s) > 0")
+    postings = sets_of.mapInArrow(_bands, "bucket long, node long, packed long")
 
     def possible(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
         # sets so alike differ in at most (100 - PERCENT) / (100 + PERCENT) of their sizes' sum; each bit that differs
@@ -178,7 +262,7 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 
     def verify(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = work.write(keep_matching(table.select("node", "s"), work.write(nodes), "node").groupBy("node").agg(F.max("s").alias("s")))
+        sets = work.write(keep_matching(sets_of, work.write(nodes), "node").groupBy("node").agg(F.max("s").alias("s")))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT).select("a", "b")
@@ -193,7 +277,7 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     classes = work.write(placed.groupBy("class").agg(F.min(where).alias("low"), F.max(where).alias("high")).where("low <> high").select("class", "low"))
     few = classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     again = placed.join(F.broadcast(classes) if few else classes, "class").where(where != F.col("low")).where("doc_id is not null")
-    marks = work.write(again.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("place", F.col("low.doc_id").alias("kept"))).alias("marks")))
+    marks = work.write(again.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("place", "words", F.col("low.doc_id").alias("kept"))).alias("marks")))
     ids = work.write(marks.select("doc_id").distinct())
     with_tie = docs.withColumn("_tie", F.xxhash64("text"))
     hit = keep_matching(with_tie, ids, "doc_id").join(marks.select("doc_id", F.col("tie").alias("_tie"), F.col("marks").alias("_marks")), ["doc_id", "_tie"], "left").select(*own, "_marks")
@@ -208,17 +292,12 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
             for first, data, offsets in slices(batch.column(at)):
                 p = Paragraphs.of(data, offsets)
                 for r in range(len(offsets) - 1):
-                    kept = {m["place"]: m["kept"] for m in marks[first + r].as_py() or ()}
-                    drop, run = set(), []
-                    for place in [*sorted(kept), None]:
-                        if run and (place is None or place != run[-1] + 1):
-                            if sum(p.words[p.ptr[r] + i] for i in run) >= run_words:
-                                drop.update(run)
-                            run = []
-                        run.append(place)
-                    removed.append(len(drop))
-                    words.append(sum(p.words[p.ptr[r] + i] for i in drop))
-                    same.append(sorted({kept[i] for i in drop if kept[i] is not None}))
+                    found = marks[first + r].as_py() or ()
+                    found = sorted((m["place"], m["place"] + m["words"], m["kept"]) for m in found) if found else []
+                    drop = _long_runs([(a, b) for a, b, _ in found], run_words)
+                    removed.append(p.touched(r, drop) if drop else 0)
+                    words.append(sum(b - a for a, b in drop))
+                    same.append(sorted({k for a, b, k in found if k is not None and any(x <= a and b <= y for x, y in drop)}))
                     if drop:
                         texts[first + r] = p.cut(r, drop).decode()
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[: len(own)])]
