@@ -117,6 +117,21 @@ def test_near_paragraphs_with_an_inner_edit_go(frame):
     assert len(gone) >= 54 and all(i in got[1000 + i].same_as and len(got[1000 + i].text.split()) >= 55 for i in gone)
 
 
+def test_passages_from_any_word_to_any_word_go(frame):
+    rows, size = [], {}
+    for i in range(120):
+        text = [f"{sentence(RNG.randrange(9, 20))}." for _ in range(12)]
+        words, n = " ".join(text).split(), RNG.randrange(28, 60)
+        a, b = RNG.randrange(len(words) - n), RNG.randrange(10, 40)
+        other = " ".join(f"{sentence(RNG.randrange(9, 20))}." for _ in range(8)).split()
+        rows += [(i, " ".join(words)), (1000 + i, " ".join([*other[:b], *words[a : a + n], *other[b:]]))]
+        size[i] = (n, len(other))
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(frame(rows)).collect()}
+    assert all(got[i].n_removed == 0 for i in range(120))
+    # a word beyond either end may be equal by chance
+    assert all(n <= got[1000 + i].removed_words <= n + 6 and len(got[1000 + i].text.split()) == n + m - got[1000 + i].removed_words for i, (n, m) in size.items())
+
+
 def test_dedup_on_odd_inputs(frame):
     assert substring_dedup.substring_dedup(frame([])).count() == 0
     rows = [(1, None), (2, ""), (3, "x " * 5000), (None, PASSAGE), (4, PASSAGE), (4, PASSAGE), (5, PASSAGE)]

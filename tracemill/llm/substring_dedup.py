@@ -1,8 +1,9 @@
 """Substring dedup: paragraphs, MinHash banding, exact verification, components, and removal of repeated runs.
 
 A sentence goes up to a full stop, question or exclamation mark, or a line end; those of fewer than LEAST_WORDS words in
-a row are put together; longer ones than MOST_WORDS are cut wherever a word's hash says so. They are compared whole. What
-is compared for likeness is a paragraph: a line, short lines in a row together, or a part of a long line, cut at
+a row are put together. They are compared whole. So are anchors, some of the runs of ANCHOR words, chosen so that every
+repeat long enough to go has one; a repeated anchor is extended word by word as far as the copy that stays is equal, so
+it does not matter where in a sentence a passage begins and ends. What is compared for likeness is a paragraph: a line, short lines in a row together, or a part of a long line, cut at
 sentences, or words where there are none, that have the least hash far and wide. Where any of them begins and ends
 depends on its own words, so a passage has the same ones wherever it stands.
 """
@@ -20,13 +21,15 @@ from tracemill.llm.common import BROADCAST_ROWS, SPACE, U, Words, Workspace, kee
 from tracemill.llm.components import bucket_components
 
 SHINGLE, PERCENT = 5, 80
-LEAST_WORDS, MOST_WORDS = 8, 24
+LEAST_WORDS, ANCHOR = 8, 16
 #: Lines of fewer words are put together, of more are cut at sentences that are the least of so many to either side; what
 #: is still longer is cut at words that are the least of so many; paragraphs of fewer words than the last have no bands.
 LINE_LEAST, LINE_MOST, NEAR_SENTENCES, PART_MOST, NEAR_WORDS, BLOCK_LEAST = 40, 100, 3, 200, 32, 20
 #: Bands of rows each: a pair of similarity 0.8 meets with probability 0.97, of 0.9 with 0.999; equal ones always do.
 BANDS, ROWS = 5, 3
-#: A run of repeated paragraphs is removed if it has so many words; shorter ones are the language's or the site's habits.
+#: So many kept copies of anchors may be broadcast with the words around them, some 150 bytes each.
+CONTEXT_ROWS = 250_000
+#: A run of repeated words is removed if it has so many words; shorter ones are the language's or the site's habits.
 RUN_WORDS = 28
 _STOP = np.zeros(256, bool)
 _STOP[[0x2E, 0x21, 0x3F]] = True
@@ -56,7 +59,6 @@ class Paragraphs:
             stop[:-1] = _STOP[data[w.ends[:-1] - 1]] | (lines[w.starts[1:]] > lines[w.ends[:-1]])
             stop[w.ptr[1:][w.ptr[1:] > w.ptr[:-1]] - 1] = True
         self.stop, self.lines = stop, lines
-        soft = (self.hashes & U(7)) == 0
         first, words, ptr = [], [], [0]
         stops = np.flatnonzero(stop)
         at = np.searchsorted(stops, w.ptr)
@@ -67,11 +69,6 @@ class Paragraphs:
                     if held < start:
                         first.append(held)
                         words.append(start - held)
-                    if end - start > MOST_WORDS:
-                        for cut in (np.flatnonzero(soft[start : end - 1]) + start + 1).tolist():
-                            first.append(start)
-                            words.append(cut - start)
-                            start = cut
                     first.append(start)
                     words.append(end - start)
                     held = end
@@ -132,6 +129,30 @@ class Paragraphs:
         first = np.array(first, np.int64)
         return np.array(text, np.int64), first, np.array(last, np.int64) - first
 
+    def anchors(self, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first word and number of words of each anchor: in each run of run_words words, the run of least hash."""
+        size, n = min(ANCHOR, run_words), len(self.hashes)
+        wide, m = run_words - size + 1, len(self.hashes) - run_words + 1
+        if m <= 0:
+            return (np.zeros(0, np.int64),) * 3
+        keys = mix(runs(self.hashes, np.arange(n - size + 1), np.full(n - size + 1, size)), 13)
+        least, at = keys[:m].copy(), np.zeros(m, np.int64)
+        for d in range(1, wide):
+            less = keys[d : d + m] < least
+            least[less] = keys[d : d + m][less]
+            at[less] = d
+        row = np.repeat(np.arange(len(self.w.ptr) - 1), np.diff(self.w.ptr))
+        inside = np.flatnonzero(row[:m] == row[run_words - 1 :])
+        first = np.unique(inside + at[inside])
+        return row[first], first, np.full(len(first), size)
+
+    def around(self, r: int, place: int, words: int, far: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes, in 32 bits, of the far words before and after a unit of text r, fewer at its ends."""
+        base, top = int(self.w.ptr[r]), int(self.w.ptr[r + 1])
+        a, b = base + place, base + place + words
+        short = (self.hashes[max(base, a - far) : min(top, b + far)] >> U(32)).astype(np.uint32)
+        return short[: a - max(base, a - far)], short[b - max(base, a - far) :]
+
     def nodes(self, first: np.ndarray, words: np.ndarray, kind: int) -> np.ndarray:
         """A 64-bit hash of the words in order, other for each kind of unit."""
         return mix(runs(self.hashes, first, words), kind)
@@ -172,8 +193,15 @@ class Paragraphs:
         return out
 
 
-def _table(rows: DataFrame) -> DataFrame:
-    """doc_id, tie, place, words, node, s: every sentence, and every paragraph with its shingles.
+def _equal(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements are equal from the start on."""
+    n = min(len(x), len(y))
+    differ = np.flatnonzero(x[:n] != y[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def _table(rows: DataFrame, run_words: int) -> DataFrame:
+    """doc_id, tie, place, words, anchor, node, s: every sentence and anchor, and every paragraph with its shingles.
 
     place: the number of the first word in its text.
     """
@@ -185,13 +213,15 @@ def _table(rows: DataFrame) -> DataFrame:
                 p = Paragraphs(data, offsets)
                 row, first, words = np.repeat(np.arange(len(offsets) - 1), np.diff(p.ptr)), np.array(p.first, np.int64), np.array(p.words, np.int64)
                 units = [(row, first, words, p.nodes(first, words, 9), p.hashes[:0].astype(np.uint32), np.zeros(len(row), np.int64))]
+                row, first, words = p.anchors(run_words)
+                units.append((row, first, words, p.nodes(first, words, 10), p.hashes[:0].astype(np.uint32), np.zeros(len(row), np.int64)))
                 row, first, words = p.blocks()
                 units.append((row, first, words, p.nodes(first, words, 11), *p.sets(first, words)))
-                for row, first, words, nodes, values, sizes in units:
+                for kind, (row, first, words, nodes, values, sizes) in enumerate(units):
                     of = pa.array(row + at)
-                    yield pa.RecordBatch.from_arrays([ids.take(of), ties.take(of), pa.array((first - p.w.ptr[row]).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(nodes.view(np.int64)), list_array(values.view(np.int32), sizes, pa.int32())], ["doc_id", "tie", "place", "words", "node", "s"])
+                    yield pa.RecordBatch.from_arrays([ids.take(of), ties.take(of), pa.array((first - p.w.ptr[row]).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(np.full(len(row), kind == 1)), pa.array(nodes.view(np.int64)), list_array(values.view(np.int32), sizes, pa.int32())], ["doc_id", "tie", "place", "words", "anchor", "node", "s"])
 
-    return rows.mapInArrow(run, "doc_id long, tie long, place int, words int, node long, s array<int>")
+    return rows.mapInArrow(run, "doc_id long, tie long, place int, words int, anchor boolean, node long, s array<int>")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +250,23 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes[once]), pa.array(packed)], ["bucket", "node", "packed"])
 
 
+def _contexts(kept: DataFrame, far: int) -> DataFrame:
+    """class, before, after: the words around anchors, as 32-bit hashes. kept: text and at, the (class, place, words) in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in slices(batch.column(0)):
+                p = Paragraphs(data, offsets)
+                rows = []
+                for r in range(len(offsets) - 1):
+                    for m in batch.column(1)[first + r].as_py():
+                        before, after = p.around(r, m["place"], m["words"], far)
+                        rows.append((m["class"], before.tobytes(), after.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.binary())], ["class", "before", "after"])
+
+    return kept.select("text", "at").mapInArrow(run, "class long, before binary, after binary")
+
+
 def _long_runs(ranges_of: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
     """The ranges, in order, put together where they meet, that have at least so many words."""
     out: list[tuple[int, int]] = []
@@ -237,7 +284,8 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     docs: doc_id, text, and any other columns, which stay unless named like an added one, which replaces it.
     Sentences are alike if their words are equal but for the case of A-Z, paragraphs also if the exact Jaccard similarity
     of their 5-word shingles is 0.8 or more; classes are the components of that relation. Of each class the first one, by
-    doc_id, the text's hash, and place, stays. The words of the others are removed where a run of them has at least
+    doc_id, the text's hash, and place, stays. An anchor that goes takes with it the words before and after it that are
+    equal around the one that stays, as far as the next anchor can be. The words of the others are removed where a run of them has at least
     run_words words in all. n_removed and removed_words count sentences, whole or in part, and words taken out, same_as
     lists the ids of documents that keep the passages, in order.
 
@@ -249,7 +297,7 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     own = [c for c in docs.columns if c not in ("n_removed", "removed_words", "same_as")]
     docs = docs.select(*own)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    table = work.write(_table(keyed))
+    table = work.write(_table(keyed, run_words))
     sets_of = table.select("node", "s").where("size(s) > 0")
     postings = sets_of.mapInArrow(_bands, "bucket long, node long, packed long")
 
@@ -269,15 +317,23 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 
     found = work.write(bucket_components(postings, verify, work, possible))
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    placed = table.select("doc_id", "tie", "place", "words", "node").join(F.broadcast(found) if few else found, "node", "left")
-    placed = placed.select("doc_id", "tie", "place", "words", F.coalesce("component", "node").alias("class"))
+    placed = table.select("doc_id", "tie", "place", "words", "anchor", "node").join(F.broadcast(found) if few else found, "node", "left")
+    placed = placed.select("doc_id", "tie", "place", "words", "anchor", F.coalesce("component", "node").alias("class"))
     where = F.struct("doc_id", "tie", "place")
     shared = work.write(placed.groupBy("class").count().where("count > 1").select("class"))
     placed = keep_matching(placed, shared, "class")
-    classes = work.write(placed.groupBy("class").agg(F.min(where).alias("low"), F.max(where).alias("high")).where("low <> high").select("class", "low"))
+    classes = work.write(placed.groupBy("class").agg(F.min(where).alias("low"), F.max(where).alias("high"), F.max("anchor").alias("anchor"), F.max("words").alias("words")).where("low <> high").select("class", "low", "anchor", "words"))
     few = classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    again = placed.join(F.broadcast(classes) if few else classes, "class").where(where != F.col("low")).where("doc_id is not null")
-    marks = work.write(again.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("place", "words", F.col("low.doc_id").alias("kept"))).alias("marks")))
+    again = placed.join(F.broadcast(classes.select("class", "low")) if few else classes.select("class", "low"), "class").where(where != F.col("low")).where("doc_id is not null")
+    far = max(0, run_words - ANCHOR)  # from an end of a repeat of run_words words or more to its next anchor at most
+    stay = classes.where("anchor").groupBy(F.col("low.doc_id").alias("doc_id"), F.col("low.tie").alias("tie")).agg(F.collect_list(F.struct("class", F.col("low.place").alias("place"), "words")).alias("at"))
+    stay = work.write(stay)
+    few = classes.where("anchor").limit(CONTEXT_ROWS + 1).count() <= CONTEXT_ROWS
+    to = (F.broadcast(stay) if few else stay).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "at")
+    kept = keyed.join(to, keyed.doc_id.eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
+    around = work.write(_contexts(kept, far).groupBy("class").agg(F.min(F.struct("before", "after")).alias("c")).select("class", "c.before", "c.after"))
+    again = again.join(F.broadcast(around) if few else around, "class", "left")
+    marks = work.write(again.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("place", "words", "before", "after", F.col("low.doc_id").alias("kept"))).alias("marks")))
     ids = work.write(marks.select("doc_id").distinct())
     with_tie = docs.withColumn("_tie", F.xxhash64("text"))
     hit = keep_matching(with_tie, ids, "doc_id").join(marks.select("doc_id", F.col("tie").alias("_tie"), F.col("marks").alias("_marks")), ["doc_id", "_tie"], "left").select(*own, "_marks")
@@ -285,6 +341,13 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     at = own.index("text")
     added = ["n_removed", "removed_words", "same_as"]
 
+    def extended(p: Paragraphs, r: int, m: dict) -> tuple[int, int]:
+        a, b = m["place"], m["place"] + m["words"]
+        if m["before"] is None:
+            return a, b
+        before, after = p.around(r, a, m["words"], far)
+        return a - _equal(before[::-1], np.frombuffer(m["before"], np.uint32)[::-1]), b + _equal(after, np.frombuffer(m["after"], np.uint32))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed, words, same = batch.column(at).to_pylist(), [], [], []
@@ -293,7 +356,7 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
                 p = Paragraphs.of(data, offsets)
                 for r in range(len(offsets) - 1):
                     found = marks[first + r].as_py() or ()
-                    found = sorted((m["place"], m["place"] + m["words"], m["kept"]) for m in found) if found else []
+                    found = sorted([(*extended(p, r, m), m["kept"]) for m in found], key=lambda x: x[:2])
                     drop = _long_runs([(a, b) for a, b, _ in found], run_words)
                     removed.append(p.touched(r, drop) if drop else 0)
                     words.append(sum(b - a for a, b in drop))
