@@ -66,6 +66,13 @@ def test_toxicity_keeps_the_share_of_labels_beyond_its_cap(frame):
     assert abs(out.score - sum(learned) / len(learned)) < 0.02 and out.predicted == 0
 
 
+def test_the_end_of_a_long_run_counts():
+    run = "".join(f"ab{i}" for i in range(60))
+    assert toxicity.words_of(run + "vileness") != toxicity.words_of(run + "fineness")
+    grams = lambda text: {g for w in toxicity.words_of(text) for g in toxicity.subwords(w)}
+    assert {zlib.crc32((run + "vileness")[i : i + 5].encode()) % toxicity.BUCKETS for i in range(len(run) + 4)} <= grams(run + "vileness")
+
+
 def test_classifiers_without_labels_or_rows(frame):
     none = frame([], "doc_id long, toxic int, quality int")
     assert [r.predicted for r in toxicity.toxicity(frame([(1, "x")]), none).collect()] == [0]
@@ -93,6 +100,15 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(langid.word_scores(pieces, prob, [word])[0], [math.log(total(0, k)) for k in (0, 1)])
 
 
+def test_every_piece_and_word_counts():
+    pieces = langid.Pieces(langid.default_path())
+    word = b" administration"
+    assert (len(word), len(word)) in pieces.spans([word, b" a"])[1]
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(31_000)]
+    often = " ".join(words[:30_000] * 2)
+    assert not np.array_equal(langid.fit({"a": [often, " ".join(words[30_000:])]}, pieces)[1], langid.fit({"a": [often]}, pieces)[1])
+
+
 def test_language_of_held_out_rows(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
     rows = langid.op10_language(spark, SF).collect()

@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.labelled import fold
 
-#: Rows of a language to fit on, at most; distinct words of a language, the most frequent; rounds; the longest piece in
-#: bytes; the longest word, longer ones being cut into parts of that length; the count added to every piece.
-TRAIN_ROWS, TRAIN_WORDS, ROUNDS, LONGEST, WORD_BYTES, ADDED = 1_500, 30_000, 3, 10, 40, 0.05
+#: Rows of a language to fit on, at most; rounds; the longest word in bytes, longer ones being cut into parts of that
+#: length, so no longer piece can be in one; the longest piece; the count added to every piece.
+TRAIN_ROWS, ROUNDS, WORD_BYTES, ADDED = 1_500, 3, 40, 0.05
+LONGEST = WORD_BYTES
 CACHE = 400_000
 _WORDS = re.compile(r"[^\W\d_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -69,14 +70,18 @@ class Pieces:
         out = {}
         with np.errstate(over="ignore"):
             for start in range(top):
-                code = np.zeros(len(words), np.uint64)
+                rows = np.flatnonzero(lengths > start)
+                code = np.zeros(len(rows), np.uint64)
                 for size in range(1, min(LONGEST, top - start) + 1):
-                    code = code * _MULT + chars[:, start + size - 1]
+                    keep = lengths[rows] >= start + size
+                    rows, code = rows[keep], code[keep]
+                    code = code * _MULT + chars[rows, start + size - 1]
                     at = np.searchsorted(self.codes, code)
                     at[at == self.n] = 0
-                    hit = (self.codes[at] == code) & (start + size <= lengths)
+                    hit = self.codes[at] == code
                     if hit.any():
-                        out[start + size, size] = np.where(hit, at, -1)
+                        out[start + size, size] = piece = np.full(len(words), -1)
+                        piece[rows[hit]] = at[hit]
         return lengths, out
 
 
@@ -109,7 +114,7 @@ def fit(texts: dict[str, list[str]], pieces: Pieces) -> tuple[list[str], np.ndar
     """Languages in order, and the probability of each piece (rows) in each."""
     langs, columns = sorted(texts), []
     for lang in langs:
-        counts = sorted(Counter(w for t in texts[lang] for w in words_of(t)).items(), key=lambda x: (-x[1], x[0]))[:TRAIN_WORDS]
+        counts = sorted(Counter(w for t in texts[lang] for w in words_of(t)).items(), key=lambda x: (-x[1], x[0]))
         prob = np.full((pieces.n, 1), 1 / pieces.n)
         flat = [(p, c) for w, c in counts for p in _marked(w)]
         for _ in range(ROUNDS if flat else 0):
@@ -170,7 +175,7 @@ def language(docs: DataFrame, path: str, learn: DataFrame, most: int = TRAIN_ROW
     ignored; of each language the ``most`` rows whose ids come first by hash are taken. A null or empty text, or one
     without a letter, has und and 0, as has every text if there is nothing to learn from.
     """
-    langs = [r[0] for r in learn.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()]
+    langs = [r[0] for r in learn.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     known = learn.where(F.col("text").isNotNull())
     chosen = None
     for lang in langs:

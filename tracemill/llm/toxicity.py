@@ -27,16 +27,24 @@ TRAIN_ROWS, BUCKETS, WIDTH, GRAMS, STEPS = 8_000, 1 << 17, 3, (3, 4, 5), 60
 RATE, DECAY, SCALE, POWER = 0.1, 1e-4, 6.0, 0.5
 #: A subword counts as known if it stands in so many of the texts that are learned from.
 LEAST_TEXTS = 4
+#: Longer runs of letters and digits are words of so many, each of which has the last characters of the one before it.
+LONGEST, OVERLAP = 64, 16
 CACHE = 500_000
 _WORDS = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> set[str]:
-    return set(_WORDS.findall(text.lower()))
+    out = set()
+    for w in _WORDS.findall(text.lower()):
+        if len(w) <= LONGEST:
+            out.add(w)
+        else:
+            out.update(w[i : i + LONGEST] for i in range(0, len(w) - OVERLAP, LONGEST - OVERLAP))
+    return out
 
 
 def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
-    marked = f"<{word[:64]}>"
+    marked = f"<{word}>"
     out = {crc32(marked.encode()) % buckets}
     for n in GRAMS:
         for i in range(len(marked) - n + 1):
