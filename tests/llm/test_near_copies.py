@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.llm import components, decontaminate, ngram_join, substring_dedup
-from tracemill.llm.common import Workspace
+from tracemill.llm import common, components, decontaminate, ngram_join, substring_dedup
+from tracemill.llm.common import Workspace, scratch
 
 RNG = random.Random(7)
 VOCABULARY = [f"w{i}" for i in range(60)]
@@ -79,6 +79,46 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long"), work).count() == 0
 
 
+def test_linked_rows_are_told_apart_by_id_and_text(frame):
+    a, near_a, other = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi", "totally different words stand in this text here"
+    keep = lambda rows: sorted(map(tuple, ngram_join.one_of_each(frame(rows)).collect()), key=str)
+    assert keep([(5, a), (5, other)]) == sorted([(5, a), (5, other)], key=str)
+    assert keep([(3, a), (7, a), (7, other)]) == sorted([(3, a), (7, other)], key=str)
+    assert keep([(7, a), (7, a), (7, "\t\n")]) == sorted([(7, a), (7, "\t\n")], key=str)
+    assert keep([(None, a), (None, None), (9, near_a)]) == sorted([(None, None), (9, near_a)], key=str)
+    assert keep([(None, a), (None, a)]) == [(None, a)]
+    assert keep([]) == []
+    clash = frame([(1, a, "x", 5), (2, a, "y", 6)], "doc_id long, text string, _tie string, n int")
+    assert [tuple(r) for r in ngram_join.one_of_each(clash).collect()] == [(1, a, "x", 5)]
+
+
+def test_nothing_large_is_left_in_the_shared_folder(spark, frame):
+    import pathlib
+
+    root = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    tables = lambda: {p for p in root.glob("tracemill-*/t*")}
+    before = tables()
+    ngram_join.one_of_each(frame([(1, PASSAGE), (2, PASSAGE)]))
+    assert len(tables() - before) == 1
+    before = tables()
+    substring_dedup.substring_dedup(frame([(1, PASSAGE), (2, PASSAGE)]))
+    assert len(tables() - before) == 1
+    with scratch():
+        substring_dedup.substring_dedup(frame([(1, PASSAGE), (2, PASSAGE)])).count()
+    assert len(tables() - before) == 1
+
+
+def test_joins_that_shuffle_equal_those_that_broadcast(frame, monkeypatch):
+    for module in (common, components, ngram_join, substring_dedup):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0, raising=False)
+    monkeypatch.setattr(common.Workspace.small, "__defaults__", (0,))
+    rows = corpus()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(frame(rows), 3, 90).collect()}
+    assert got == ngram_join.brute_force(rows, 3, 90)
+    cut = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(frame([(1, PASSAGE), (2, PASSAGE), (3, "x y")])).collect()}
+    assert cut[1] == cut[3] == 0 < cut[2]
+
+
 PASSAGE = "The quick brown fox jumps over the lazy dog near the old river bank today. It then runs across the wide green field and hides behind some tall trees. Nobody saw where it went after that, and the dog went back to sleep. In the evening it came back to the river and drank some water quietly."
 
 
@@ -139,6 +179,8 @@ def test_dedup_on_odd_inputs(frame):
     assert len(out) == 7 and (1, None, 0) in out and (2, "", 0) in out and (None, PASSAGE, 0) in out
     wide = frame([(1, PASSAGE, "a"), (2, PASSAGE, "b")], "doc_id long, text string, n_removed string")
     assert {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(wide).collect()}[2] > 0
+    clash = frame([(1, PASSAGE, "a", 1), (2, PASSAGE, "b", 2)], "doc_id long, text string, _id string, _marks int")
+    assert sorted((r.doc_id, r._id, r._marks, r.n_removed > 0) for r in substring_dedup.substring_dedup(clash).collect()) == [(1, "a", 1, False), (2, "b", 2, True)]
 
 
 ITEMS = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), (2, "short item here"), (20, None), (21, " ... "), (None, "alpha beta gamma delta epsilon zeta eta theta iota kappa")]

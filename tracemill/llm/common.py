@@ -6,62 +6,120 @@ does not depend on the length of a partition, only on the longest single text.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
-#: So many rows of a 64-bit key, about 50 MB as a hash table, may be broadcast; beyond that a join shuffles both sides.
-BROADCAST_ROWS = 2_000_000
+#: So many rows of a few longs, about 15 MB as a hash table, may be broadcast; beyond that a join shuffles both sides.
+BROADCAST_ROWS = 250_000
+#: With this setting Spark deletes a query's shuffle files when it ends, and not when the driver happens to collect garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder; one of our own only where none is set and all runs on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return found.rstrip("/")
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(TIDY)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY, before)
 
 
 class Workspace:
     """Intermediate tables of one run, as Parquet in the shared folder, so that a lost executor costs no recomputation."""
 
+    #: Those made within scratch(), which drops them at its end.
+    opened: ContextVar[list[Workspace] | None] = ContextVar("opened", default=None)
+
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/tracemill-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_dir(spark)}/tracemill-{uuid.uuid4().hex}"
         self.n = 0
+        self.tables: list[tuple[DataFrame, str, dict]] = []
+        if (opened := self.opened.get()) is not None:
+            opened.append(self)
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, **metrics: Column) -> DataFrame:
+        """df as a table of its own; its rows are counted, and further metrics taken, as it is written."""
         self.n += 1
-        path = f"{self.root}/t{self.n}"
-        df.write.parquet(path)
-        # the driver's cleaner removes the shuffle files of finished jobs only once their handles are collected
-        self.spark._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def finish(self, df: DataFrame) -> DataFrame:
-        """Keeps df as a table of its own and deletes the rest."""
-        path = f"{shared_dir(self.spark).rstrip('/')}/tracemill-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.drop()
-        return self.spark.read.schema(df.schema).parquet(path)
+        path, seen = f"{self.root}/t{self.n}", Observation()
+        with tidy(self.spark):
+            df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]).write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path, seen.get))
+        return out
+
+    def seen(self, table: DataFrame) -> dict:
+        return next(x[2] for x in self.tables if x[0] is table)
+
+    def rows(self, table: DataFrame) -> int:
+        return self.seen(table)["rows"]
+
+    def small(self, table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+        """A written table of distinct keys, marked to be broadcast if it has few rows, or hashed if few for each task."""
+        rows = self.rows(table)
+        if rows <= most:
+            return F.broadcast(table)
+        return table.hint("shuffle_hash") if rows <= most * int(self.spark.conf.get("spark.sql.shuffle.partitions")) else table
+
+    def forget(self, *tables: DataFrame | None) -> None:
+        """Deletes written tables that nothing will read again."""
+        for df in tables:
+            for x in [x for x in self.tables if x[0] is df]:
+                self._delete(x[1])
+            self.tables = [x for x in self.tables if x[0] is not df]
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all other tables."""
+        self.forget(*[x[0] for x in self.tables if not any(x[0] is df for df in tables)])
 
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        self.tables = []
+        self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keep_matching(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """df's rows with (left_semi) or without (left_anti) a key in keys; keys is broadcast only if it is small when counted."""
-    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(keys) if small else keys, on, how)
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Drops at its end what operators called within it have left: for callers that write the result inside."""
+    mark = Workspace.opened.set([])
+    try:
+        yield
+    finally:
+        for work in Workspace.opened.get() or []:
+            work.drop()
+        Workspace.opened.reset(mark)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def doc_columns(docs: DataFrame) -> DataFrame:
@@ -159,12 +217,24 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(total)
 
 
-def runs(hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A hash of the words first[i] to first[i] + count[i], in their order."""
-    up, down = _Powers.get(len(hashes) + 1)
-    with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, U), np.cumsum(hashes * up[: len(hashes)], dtype=U)))
-        return (total[first + count] - total[first]) * down[first] + count.astype(U)
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
+class Runs:
+    """Hashes of runs of words, in their order, from the hashes of the words."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.up, self.down = _Powers.get(len(hashes) + 1)
+        with np.errstate(over="ignore"):
+            self.total = np.concatenate((np.zeros(1, U), np.cumsum(hashes * self.up[: len(hashes)], dtype=U)))
+
+    def of(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """A hash of the words first[i] to first[i] + count[i]."""
+        with np.errstate(over="ignore"):
+            return (self.total[first + count] - self.total[first]) * self.down[first] + count.astype(U)
 
 
 def parity_sketch(values: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
@@ -203,10 +273,3 @@ def list_array(values: np.ndarray, counts: np.ndarray | list, kind: pa.DataType)
     """An Arrow list column: row i has the next counts[i] values."""
     offsets = np.concatenate(([0], np.cumsum(counts, dtype=np.int64))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values).cast(kind) if values.dtype != np.uint64 else pa.array(values.view(np.int64)))
-
-
-@lru_cache(maxsize=1)
-def is_letter_text():
-    import regex
-
-    return regex.compile(r"\p{L}")

@@ -7,11 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import Workspace
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+from tracemill.llm.common import BROADCAST_ROWS, Workspace
 
 
 def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
@@ -21,32 +17,41 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
     aggregates and equi-joins, and ends after a number of rounds logarithmic in the longest path.
     Null ends are ignored; loops and repeated edges do no harm; no edges give no rows.
     """
-    e = work.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b").distinct())
-    state = _state(e)
-    while state[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = work.write(small.distinct())
-        before, state = state, _state(e)
-        if before == state:
-            break
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
+    def put(e: DataFrame) -> tuple[DataFrame, dict]:
+        out = work.write(e.distinct(), sum=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+        return out, work.seen(out)
 
-#: Rounds in which a node is compared with one leader of its buckets, before those that are left are compared in full.
-ROUNDS = 3
+    parts: list[DataFrame] = []
 
+    def solid(df: DataFrame) -> DataFrame:
+        """Of many edges a table of its own: a node with very many neighbours can then be split among tasks."""
+        if state["rows"] <= BROADCAST_ROWS:
+            return df
+        parts.append(work.write(df))
+        return parts[-1]
 
-#: So many rows of two longs, about 50 MB as a hash table, may be broadcast; beyond that a join shuffles both sides.
-SMALL_ROWS = 1_000_000
+    e, state = put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a <> b"))
+    while state["rows"]:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = solid(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = solid(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = solid(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        before, last = state, e
+        e, state = put(small)
+        work.forget(last, *parts)
+        parts.clear()
+        if before == state:
+            break
+    out = work.write(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    work.forget(e)
+    return out
 
 
-def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """df, to be broadcast if it is small when counted."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Rounds, at most, in which a node is compared with leaders of its buckets. They end when comparing all that is left in
+#: full takes no more than so many pairs for each member of a bucket.
+ROUNDS, FEW = 4, 1
 
 
 def pack(n: Column, pos: Column) -> Column:
@@ -70,59 +75,73 @@ def apart(x: Callable[[str], Column], y: Callable[[str], Column], names: list[st
     return total
 
 
-def bucket_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], work: Workspace, possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], of_nodes: DataFrame | None = None) -> DataFrame:
+def bucket_components(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], work: Workspace, possible: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], of_nodes: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components of the graph that has an edge where two nodes share a bucket and verify() keeps the pair.
 
-    postings: (bucket, node, packed), all longs. possible(x, y): a condition on two members that is false only where the
-    pair can't be verified; x and y give a member's packed, or a column of of_nodes (node, ...), by its name. verify:
-    DataFrame (a, b) -> the verified pairs of it.
-
-    First come ROUNDS rounds that compare each node with one other: among its buckets' leaders outside its own component,
-    the smallest; a bucket's leader is the smallest node of the bucket's largest component. A round has at most one pair
-    per node, whatever the size of the buckets, and what it links needs no more comparing. Then, in the buckets that
-    still hold more than one component, the members outside the largest one are compared with all of the other
-    components. So every pair of a bucket is either verified or already connected, and a large group of copies costs no
-    more than its size. Returns (node, component) for the nodes with an edge.
+    postings: (bucket, node, packed), all longs; a row may occur often. of_nodes: written DataFrame (node) -> (node, ...),
+    one row for each. possible(x, y): a condition on two members that is false only where the pair can't be verified; x
+    and y give a member's packed, or a column of of_nodes(), by its name. verify: written DataFrame (a, b) -> the verified
+    pairs of it, written too.
+
+    First come rounds that compare each node with its buckets' leaders outside its own component; a bucket's leader is a
+    node of the bucket's largest component, another one each time. In the first round only the smallest leader counts. So
+    a round has at most a pair for each member, whatever the size of the buckets, and what it links needs no more
+    comparing. Then, in the buckets that still hold more than one component, the members outside the largest one are
+    compared with all of the other components. So every pair of a bucket is either verified or already connected, and a
+    large group of copies costs no more than its size. Returns (node, component) for the nodes with an edge, as a written
+    table.
     """
     several = work.write(postings.groupBy("bucket").agg(F.min("node").alias("top"), F.max("node").alias("high")).where("top <> high").select("bucket", "top"))
-    mixed = postings.join(small(several, 2 * SMALL_ROWS), "bucket").withColumn("c", F.col("node"))
-    about = ["packed"]
-    if of_nodes is not None:
-        about += [c for c in of_nodes.columns if c != "node"]
-        mixed = mixed.join(small(of_nodes, SMALL_ROWS // 2), "node")
-    mixed = work.write(mixed)
-    tried = edges = found = None
-    for _ in range(ROUNDS):
+    members = work.write(postings.join(work.small(several), "bucket").groupBy("bucket", "node").agg(F.min("packed").alias("packed"), F.min("top").alias("top")))
+    nodes = work.write(members.select("node").distinct())
+    known = work.write(of_nodes(nodes))
+    about = ["packed", *[c for c in known.columns if c != "node"]]
+    mixed = work.write(members.join(work.small(known, BROADCAST_ROWS // 3), "node").withColumn("c", F.col("node")))
+    work.forget(several, members, nodes)
+    tried = found = None
+    tables: list[DataFrame] = [known]
+    for i in range(ROUNDS):
         # a bucket's leader and its packed value go by bucket, what else is known of it by node: both tables stay narrow
-        of_lead = mixed.where("c = top").groupBy("bucket").agg(F.min(F.struct("node", "packed")).alias("l")).select("bucket", F.col("l.node").alias("lead"), F.col("l.packed").alias("lead_packed"))
-        pairs = mixed.where("c <> top").join(small(work.write(of_lead)), "bucket")
-        if of_nodes is not None:
-            renamed = of_nodes.select(F.col("node").alias("lead"), *[F.col(k).alias(f"lead_{k}") for k in about[1:]])
-            pairs = pairs.join(small(renamed, SMALL_ROWS // 2), "lead")
+        leader = F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "packed")).alias("l")
+        of_lead = work.write(mixed.where("c = top").groupBy("bucket").agg(leader).select("bucket", F.col("l.node").alias("lead"), F.col("l.packed").alias("lead_packed")))
+        pairs = mixed.where("c <> top").join(work.small(of_lead), "bucket")
+        renamed = known.select(F.col("node").alias("lead"), *[F.col(k).alias(f"lead_{k}") for k in about[1:]])
+        pairs = pairs.join(F.broadcast(renamed) if work.rows(known) <= BROADCAST_ROWS // 3 else renamed, "lead")
         pairs = pairs.where(possible(F.col, lambda k: F.col(f"lead_{k}"))).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"), "node")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = work.write(pairs.groupBy("node").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct())
-        if pairs.isEmpty():
+        if not i:
+            pairs = pairs.groupBy("node").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+        pairs = pairs.select("a", "b").distinct()
+        pairs = work.write(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tables.append(pairs)
+        work.forget(of_lead)
+        if not work.rows(pairs):
             break
-        linked = work.write(verify(pairs))
+        linked = verify(pairs)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = linked if found is None else found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked)
-        found = work.write(connected_components(edges, work))
-        mixed = _mixed(mixed, found, work)
+        before = found
+        found = connected_components(_with(found, linked), work)
+        work.forget(linked, before)
+        labelled = mixed.drop("c", "top").join(work.small(found), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        sizes = labelled.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", (-F.col("c")).alias("m"))).alias("t"), F.sum("k").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+        out = F.col("n") - F.col("t.k")
+        tops = work.write(sizes.select("bucket", (-F.col("t.m")).alias("top"), (out * F.col("t.k") + out * (out - 1) / 2).alias("pairs")), pairs=F.sum("pairs"))
+        last, mixed = mixed, work.write(labelled.join(work.small(tops).drop("pairs"), "bucket"))
+        left = work.seen(tops)["pairs"] or 0
+        work.forget(last, tops)
+        if left <= FEW * work.rows(mixed):
+            break
     outside = mixed.where("c <> top").select("bucket", F.col("node").alias("other"), F.col("c").alias("d"), *[F.col(k).alias(f"of_{k}") for k in about])
     rest = outside.join(mixed, "bucket").where("c <> d").where(possible(F.col, lambda k: F.col(f"of_{k}"))).where("c = top or node > other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     rest = work.write(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
-    if found is None:
-        found = work.write(connected_components(rest.limit(0), work))
-    if rest.isEmpty():
+    work.forget(mixed, *tables)
+    if found is not None and not work.rows(rest):
+        work.forget(rest)
         return found
-    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verify(rest).select("a", "b")), work)
+    linked = verify(rest)
+    out = connected_components(_with(found, linked), work)
+    work.forget(rest, linked, found)
+    return out
 
 
-def _mixed(before: DataFrame, found: DataFrame, work: Workspace) -> DataFrame:
-    """The members of the buckets that still hold several components, with their component c and the largest one, top."""
-    labelled = before.drop("c", "top").join(small(found), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    sizes = labelled.groupBy("bucket", "c").agg(F.count("*").alias("k"))
-    tops = work.write(sizes.groupBy("bucket").agg(F.max(F.struct("k", (-F.col("c")).alias("m"))).alias("t"), F.count("*").alias("parts")).where("parts > 1").select("bucket", (-F.col("t.m")).alias("top")))
-    return work.write(labelled.join(small(tops), "bucket"))
+def _with(found: DataFrame | None, linked: DataFrame) -> DataFrame:
+    return linked if found is None else found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked)

@@ -3,8 +3,8 @@
 A text's tokens are its distinct word shingles. Under any total order of all tokens, two sets with a Jaccard
 similarity of t or more share a token among the first n - ceil(t n) + 1 of each. The first order is by document
 frequency, rarest first, so that common passages make no large buckets; its prefixes are the index. Of the second, by a
-hash, each set keeps a longer prefix, of n - ceil(t n) + l tokens, of which a pair must share l; it is compared before
-any text is fetched. A third, by another hash, must agree as well before a pair is verified on the whole sets.
+hash, each set keeps a longer prefix, of n - ceil(t n) + l tokens, of which a pair must share l; of the third, by another
+hash, a pair must share one. Only pairs that pass all three have their texts fetched and their whole sets compared.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import SPACE, Words, Workspace, doc_columns, keep_matching, list_array, mix, parity_sketch, shingle, slices
+from tracemill.llm.common import BROADCAST_ROWS, SPACE, Words, Workspace, distinct, doc_columns, fresh, list_array, mix, parity_sketch, shingle, slices
 from tracemill.llm.components import apart, bucket_components, pack, place_of, size_of
 
 #: Document frequencies are counted in so many cells; any order of the tokens gives right results, so a shared cell costs only speed.
@@ -34,7 +34,7 @@ def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
         w = Words(data, offsets, SPACE)
         hashes = w.hashes
         for r in range(len(offsets) - 1):
-            yield first + r, np.unique(shingle(hashes[w.ptr[r] : w.ptr[r + 1]], k))
+            yield first + r, distinct(shingle(hashes[w.ptr[r] : w.ptr[r + 1]], k))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -46,15 +46,20 @@ def shared_least(n: int, percent: int) -> int:
     return min(prefix_length(n, percent), (percent * n + 99) // 100)
 
 
-def second_prefix(s: np.ndarray, percent: int) -> np.ndarray:
-    """The longer prefix under the second order, as the upper halves of its hashes; none if two of them are equal."""
-    k = len(s) - (percent * len(s) + 99) // 100 + shared_least(len(s), percent)
-    m = mix(s, SECOND)
+def least_tokens(s: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """The first k tokens under the order of a hash, as the upper halves of its values; none if two of them are equal."""
+    m = mix(s, seed)
     low = (np.partition(m, k - 1)[:k] if k < len(m) else m) & np.uint64(0xFFFFFFFF)
-    out = np.unique(low.astype(np.uint32)).view(np.int32)
+    out = distinct(low.astype(np.uint32)).view(np.int32)
     return out if len(out) == k else out[:0]
 
 
+def further_prefixes(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The longer prefix under the second order, of which a pair must share shared_least(), and that under the third."""
+    p = prefix_length(len(s), percent)
+    return least_tokens(s, p - 1 + shared_least(len(s), percent), SECOND), least_tokens(s, p, THIRD)
+
+
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     """Documents by cell of the token hash; counted over all documents, added up by Spark, at most 2**CELL_BITS sums."""
 
@@ -78,7 +83,7 @@ def _set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, work: Workspace | None = None) -> DataFrame:
+def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Every row of docs as (doc_id, n_shingles, set_key, component_id), linked where 100 * intersection >= percent * union.
 
     docs: doc_id, text, and other columns, which are ignored. A-Z is lower-cased; words are what stands between the
@@ -88,13 +93,22 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, work: Workspace |
 
     A null or empty text, and one of white space only, has no shingle, a null set_key, and its own doc_id as
     component_id; repeated rows are returned as often as they occur; a null doc_id takes part, but is never the
-    smallest unless all of its component are null; no rows give no rows.
+    smallest unless all of its component are null; no rows give no rows. The result is a table in the shared folder.
+    """
+    work = Workspace(docs.sparkSession)
+    joined = work.write(_joined(docs, k, percent, work).select("doc_id", F.col("n").alias("n_shingles"), "set_key", "component_id"))
+    work.keep(joined)
+    return joined
+
+
+def _joined(docs: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame:
+    """doc_id, tie, n, set_key, component_id, cluster: of each row of docs.
+
+    tie is a hash of the text, cluster a number that the rows of a component have in common and no others; null if n is 0.
     """
     spark = docs.sparkSession
-    own = work is None
-    work = work or Workspace(spark)
-    docs = doc_columns(docs)
-    frequency = spark.sparkContext.broadcast(np.minimum(_frequencies(docs, k), 0xFFFF).astype(np.uint64))
+    docs = doc_columns(docs).withColumn("tie", F.xxhash64("text"))
+    frequency = spark.sparkContext.broadcast(np.minimum(_frequencies(docs, k), 0xFFFF).astype(np.uint16))
 
     parity = [f"parity{i}" for i in range(SKETCH)]
 
@@ -102,26 +116,30 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, work: Workspace |
         df = frequency.value
         for batch in batches:
             sizes, keys, counts, tokens = [], [], [], [np.zeros(0, np.uint64)]
-            seconds, lengths, sketches = [np.zeros(0, np.int32)], [], np.zeros((len(batch), SKETCH), np.uint64)
+            seconds, thirds, lengths, sketches = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], ([], []), np.zeros((len(batch), SKETCH), np.uint64)
             for r, s in _sets(batch.column(1), k):
-                seconds.append(second_prefix(s, percent) if len(s) else s[:0].astype(np.int32))
-                lengths.append(len(seconds[-1]))
+                for x, out, sizes_of in zip(further_prefixes(s, percent) if len(s) else (s[:0].astype(np.int32),) * 2, (seconds, thirds), lengths, strict=True):
+                    out.append(x)
+                    sizes_of.append(len(x))
                 if len(s):
                     sketches[r] = parity_sketch(s, np.zeros(1, np.int64), SKETCH)
                 p = prefix_length(len(s), percent)
                 # ties of the upper bits keep the tokens' own order, in every document the same
-                rank = (df[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)] << np.uint64(48)) | (mix(s, 3) >> np.uint64(16))
+                rank = (df[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (mix(s, 3) >> np.uint64(16))
                 tokens.append(s[np.argsort(rank, kind="stable")[:p]])
                 sizes.append(len(s))
                 keys.append(_set_key(s) if len(s) else None)
                 counts.append(p)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), list_array(np.concatenate(tokens), counts, pa.int64()), list_array(np.concatenate(seconds), lengths, pa.int32()), *[pa.array(sketches[:, i].view(np.int64)) for i in range(SKETCH)]], ["doc_id", "n", "set_key", "tokens", "second", *parity])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), list_array(np.concatenate(tokens), counts, pa.int64()), list_array(np.concatenate(seconds), lengths[0], pa.int32()), list_array(np.concatenate(thirds), lengths[1], pa.int32()), *[pa.array(sketches[:, i].view(np.int64)) for i in range(SKETCH)]], ["doc_id", "tie", "n", "set_key", "tokens", "second", "third", *parity])
 
-    table = work.write(docs.mapInArrow(prefixes, ", ".join(["doc_id long, n long, set_key binary, tokens array<long>, second array<int>", *(f"{x} long" for x in parity)])).withColumn("row", F.monotonically_increasing_id()))
-    classes = work.write(table.where("n > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")))
-    chosen = keep_matching(table.select("row", "n", "tokens"), classes.select(F.col("node").alias("row")), "row")
+    table = work.write(docs.mapInArrow(prefixes, ", ".join(["doc_id long, tie long, n long, set_key binary, tokens array<long>, second array<int>, third array<int>", *(f"{x} long" for x in parity)])).withColumn("row", F.monotonically_increasing_id()))
+    frequency.destroy()
+    classes = work.write(table.where("n > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.count("*").alias("copies")))
+    chosen = table.join(work.small(classes).select(F.col("node").alias("row")), "row", "left_semi")
     postings = chosen.select(F.posexplode("tokens").alias("pos", "bucket"), F.col("row").alias("node"), "n").select("bucket", "node", pack(F.col("n"), F.col("pos")).alias("packed"))
-    sets_of = table.select("row", "doc_id", "set_key")
+
+    def sketches(nodes: DataFrame) -> DataFrame:
+        return table.select(F.col("row").alias("node"), *parity).join(work.small(nodes), "node", "left_semi")
 
     def possible(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
         # the sizes may differ so far, the sets may differ in so many elements, and from the first token that they share
@@ -132,29 +150,22 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, work: Workspace |
         return near & (apart(x, y, parity) * (100 + percent) <= (nx + ny) * (100 - percent))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Fetches the texts of the pairs' nodes, which compress better than sets of hashes, and compares their sets."""
+        """Keeps the pairs that share enough under the further orders, then fetches their texts and compares whole sets."""
         ends = lambda p: p.select(F.col("a").alias("row")).union(p.select(F.col("b").alias("row"))).distinct()
-        seconds = work.write(keep_matching(table.select("row", "n", "second"), work.write(ends(pairs)), "row"))
+        rows = work.write(ends(pairs))
+        known = work.write(table.select("row", "doc_id", "tie", "n", "second", "third").join(work.small(rows), "row", "left_semi"))
         share = F.expr(f"({percent} * n + 99) div 100")
-        seconds = seconds.withColumn("least", F.least(F.col("n") - share + 1, share)).select("row", "second", "least")
-        x, y = (seconds.select(F.col("row").alias(e), F.col("second").alias(f"s{e}"), F.col("least").alias(f"l{e}")) for e in "ab")
-        unknown = (F.size("sa") == 0) | (F.size("sb") == 0)
-        pairs = work.write(pairs.join(x, "a").join(y, "b").where(unknown | (F.size(F.array_intersect("sa", "sb")) >= F.least("la", "lb"))).select("a", "b"))
-        nodes = work.write(ends(pairs))
-        wanted = work.write(keep_matching(sets_of, nodes, "row"))
-
-        def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys = [_set_key(s) for _, s in _sets(batch.column(1), k)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], ["doc_id", "text", "set_key"])
-
-        named = wanted.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "set_key", "row")
-        some = keep_matching(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))), named.select("doc_id").distinct(), "doc_id")
-        # a doc_id may have several texts: the set's digest says which is meant
-        texts = some.mapInArrow(digest, "doc_id long, text string, set_key binary").join(named, ["doc_id", "set_key"]).groupBy("row").agg(F.max("text").alias("text"))
-        texts = work.write(texts)
-        left = keep_matching(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), pairs.select("a").distinct(), "a").join(pairs, "a")
-        both = left.join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+        known_by = known.withColumn("least", F.least(F.col("n") - share + 1, share))
+        x, y = (known_by.select(F.col("row").alias(e), F.col("second").alias(f"second_{e}"), F.col("third").alias(f"third_{e}"), F.col("least").alias(f"least_{e}")) for e in "ab")
+        unknown = lambda c: (F.size(f"{c}_a") == 0) | (F.size(f"{c}_b") == 0)
+        second = unknown("second") | (F.size(F.array_intersect("second_a", "second_b")) >= F.least("least_a", "least_b"))
+        third = unknown("third") | F.arrays_overlap("third_a", "third_b")
+        likely = work.write(pairs.join(x, "a").join(y, "b").where(third & second).select("a", "b"))
+        left = work.write(ends(likely))
+        wanted = work.write(known.join(work.small(left), "row", "left_semi").select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "tie", "row"))
+        found = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(work.small(wanted), ["doc_id", "tie"]).groupBy("row").agg(F.max("text").alias("text"))
+        texts = work.write(found)
+        both = likely.join(texts.select(F.col("row").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -164,42 +175,59 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, work: Workspace |
                     keep += [similar(x, y, percent) for (_, x), (_, y) in zip(_sets(part.column(2), k), _sets(part.column(3), k), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return both.mapInArrow(check, "a long, b long")
-
-    found = bucket_components(postings, verify, work, possible, table.select(F.col("row").alias("node"), *parity))
-    ids = classes.join(found, "node", "left").select("set_key", "low", F.coalesce("component", "node").alias("component"))
-    least = ids.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_set = ids.join(least, "component").select("set_key", "component_id")
-    out = table.select("doc_id", F.col("n").alias("n_shingles"), "set_key").join(of_set, "set_key", "left")
-    out = out.select("doc_id", "n_shingles", "set_key", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return work.finish(out) if own else work.write(out)
+        out = work.write(both.mapInArrow(check, "a long, b long"))
+        work.forget(rows, known, likely, left, wanted, texts)
+        return out
+
+    found = bucket_components(postings, verify, work, possible, sketches)
+    ids = work.write(found.join(classes, "node").select("node", "set_key", "low", "component"))
+    least = work.write(ids.groupBy("component").agg(F.min("low").alias("component_id")))
+    linked = ids.join(work.small(least), "component").select("node", "component", "component_id")
+    # what stands alone and has no copy needs no join
+    several = classes.join(linked, "node", "left").where("copies > 1 or component is not null")
+    of_set = work.write(several.select("set_key", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("component", "node").alias("cluster")))
+    base = table.select("doc_id", "tie", "n", "set_key", "row")
+    columns = ["doc_id", "tie", "n", "set_key", F.coalesce("component_id", "doc_id").alias("component_id")]
+    full = base.where("n > 0").join(work.small(of_set), "set_key", "left").select(*columns, F.coalesce("cluster", "row").alias("cluster"))
+    empty = base.where("n = 0").select("doc_id", "tie", "n", "set_key", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("cluster"))
+    out = work.write(full.unionByName(empty))
+    work.keep(out)
+    return out
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets pass the filter of the third order, and then the test itself."""
-    ka, kb = prefix_length(len(a), percent), prefix_length(len(b), percent)
-    x, y = mix(a, THIRD), mix(b, THIRD)
-    if not np.intersect1d(np.partition(x, ka - 1)[:ka], np.partition(y, kb - 1)[:kb], assume_unique=True).size:
-        return False
     common = np.intersect1d(a, b, assume_unique=True).size
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that are near copies of one kept: of each component one with the smallest doc_id stays.
+    """docs without the documents that are near copies of one kept: of each component the first row by doc_id stays.
 
-    docs: doc_id, text and other columns, all returned. Documents without a shingle all stay. Of repeated rows and of
-    rows of one doc_id that are linked one stays: the one with the smallest text in byte order.
+    docs: doc_id, text and other columns, all returned. Rows without a shingle (null, empty and blank texts) all stay. A
+    row is known by its doc_id and text, so rows of one doc_id with other texts are judged by themselves, and of rows of
+    one doc_id in one component the one whose text has the smallest hash stays. A null doc_id comes after all others and
+    goes or stays like them. Of rows equal in doc_id and text one stays, the smallest in all columns.
     """
     work = Workspace(docs.sparkSession)
-    joined = ngram_join(docs, k, percent, work)
-    drop = joined.where("set_key is not null and doc_id <> component_id").select("doc_id").distinct()
-    twice = joined.where("set_key is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = keep_matching(keep_matching(docs, work.write(drop), "doc_id", "left_anti"), twice, "doc_id", "left_anti")
-    rest = keep_matching(keep_matching(docs, twice, "doc_id"), drop, "doc_id", "left_anti")
-    text = F.trim(F.coalesce("text", F.lit("")))
-    kept = rest.where(text != "").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.col("text")).alias("r")).select("r.*").unionByName(rest.where(text == ""))
-    return once.unionByName(kept)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tie")
+    rows = _joined(docs, k, percent, work)
+    placed = rows.where("cluster is not null").select("cluster", key.alias("key"))
+    first = work.write(placed.groupBy("cluster").agg(F.min("key").alias("first"), F.count("*").alias("m")).where("m > 1").select("cluster", "first"))
+    several = placed.join(work.small(first), "cluster")
+    judged = work.write(several.groupBy("key").agg((F.min("first") == F.col("key")).alias("stays"), F.count("*").alias("m")).where("not stays or m > 1").select("key.none", "key.id", "key.tie", "stays"))
+    names = [fresh(docs, f"_{x}") for x in ("none", "id", "tie")]
+    goes, twice = (judged.where(c).select(*(F.col(x).alias(y) for x, y in zip(("none", "id", "tie"), names, strict=True))) for c in ("not stays", "stays"))
+    work.keep(judged)
+    few = work.rows(judged) <= BROADCAST_ROWS
+    goes, twice = (F.broadcast(x) if few else x for x in (goes, twice))
+    doc_id = F.col("doc_id").cast("long")
+    of = [x == F.col(y) for x, y in zip((doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), F.xxhash64(F.col("text").cast("string"))), names, strict=True)]
+    left = docs.join(goes, of, "left_anti")
+    once = left.join(twice, of, "left_anti")
+    again = left.join(twice, of, "left_semi")
+    number = fresh(docs, "n")
+    again = again.groupBy(*[F.col(c) for c in ("doc_id", "text")]).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(number)).select(f"{number}.*")
+    return once.unionByName(again)
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

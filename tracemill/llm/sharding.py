@@ -45,7 +45,8 @@ def ring_shards(docs: DataFrame, shards: int = 8, slack: float = 0.0) -> DataFra
     row's point on the ring comes from its doc_id. A shard takes at most ceil((1 + slack) * rows / shards), or with
     slack 0 its exact share, rows // shards and one more for the first rows % shards; rows beyond it continue clockwise
     to the next shard with room. Who comes first is decided by a hash of doc_id, text and size, so the result does not
-    depend on partitioning. slot numbers the rows of a shard from 0 without gaps.
+    depend on partitioning. slot numbers the rows of a shard from 0 without gaps. The result is a table in the shared
+    folder.
 
     Equal rows are taken as one item with a count, which may be divided at a full shard, so a key with a third of all
     rows is never one task's work. A null doc_id is a key like any other; null and empty texts have size 1; no rows
@@ -93,7 +94,9 @@ def ring_shards(docs: DataFrame, shards: int = 8, slack: float = 0.0) -> DataFra
     blocks = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / step))))
     each = F.sequence(F.lit(0).cast("long"), F.least(F.lit(step).cast("long"), F.col("taken") - F.col("block") * step) - 1)
     out = blocks.withColumn("i", F.explode(each)).select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("slot") + F.col("block") * step + F.col("i")).alias("slot"))
-    return work.finish(out)
+    out = work.write(out)
+    work.keep(out)
+    return out
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:

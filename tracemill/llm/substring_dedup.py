@@ -3,22 +3,27 @@
 A sentence goes up to a full stop, question or exclamation mark, or a line end; those of fewer than LEAST_WORDS words in
 a row are put together. They are compared whole. So are anchors, some of the runs of ANCHOR words, chosen so that every
 repeat long enough to go has one; a repeated anchor is extended word by word as far as the copy that stays is equal, so
-it does not matter where in a sentence a passage begins and ends. What is compared for likeness is a paragraph: a line, short lines in a row together, or a part of a long line, cut at
-sentences, or words where there are none, that have the least hash far and wide. Where any of them begins and ends
-depends on its own words, so a passage has the same ones wherever it stands.
+it does not matter where in a sentence a passage begins and ends. What is compared for likeness is a paragraph: a line,
+short lines in a row together, or a part of a long line, cut at sentences, or words where there are none, that have the
+least hash far and wide. Where any of them begins and ends depends on its own words, so a passage has the same ones
+wherever it stands.
+
+Units are equal if 96 bits of hashes of their words are; shingles are compared by 32 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import BROADCAST_ROWS, SPACE, U, Words, Workspace, keep_matching, list_array, mix, ranges, runs, shingle, slices
-from tracemill.llm.components import bucket_components
+from tracemill.llm.common import BROADCAST_ROWS, SPACE, Runs, U, Words, Workspace, distinct, fresh, list_array, mix, parity_sketch, ranges, shingle, slices
+from tracemill.llm.components import apart, bucket_components
 
 SHINGLE, PERCENT = 5, 80
 LEAST_WORDS, ANCHOR = 8, 16
@@ -27,8 +32,8 @@ LEAST_WORDS, ANCHOR = 8, 16
 LINE_LEAST, LINE_MOST, NEAR_SENTENCES, PART_MOST, NEAR_WORDS, BLOCK_LEAST = 40, 100, 3, 200, 32, 20
 #: Bands of rows each: a pair of similarity 0.8 meets with probability 0.97, of 0.9 with 0.999; equal ones always do.
 BANDS, ROWS = 5, 3
-#: So many kept copies of anchors may be broadcast with the words around them, some 150 bytes each.
-CONTEXT_ROWS = 250_000
+#: Words of 64 bits of a paragraph's parity sketch, which bounds from below in how many shingles two differ.
+SKETCH = 4
 #: A run of repeated words is removed if it has so many words; shorter ones are the language's or the site's habits.
 RUN_WORDS = 28
 _STOP = np.zeros(256, bool)
@@ -43,15 +48,32 @@ def _least(keys: np.ndarray, reach: int) -> np.ndarray:
     return np.flatnonzero(np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1).min(1) == keys)
 
 
+def _sliding(f: Callable, x: np.ndarray, width: int) -> np.ndarray:
+    """f over each run of width elements."""
+    size = 1
+    while 2 * size <= width:
+        x = f(x[:-size], x[size:])
+        size *= 2
+    return f(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
+
+
+def _binary(values: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.Array:
+    """values[first] to values[first + count] as the bytes of each row."""
+    offsets = np.concatenate(([0], np.cumsum(4 * count))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(values[ranges(first, count)].tobytes())])
+
+
 class Paragraphs:
     """Sentences of a slice of texts: of text r, those numbered ptr[r]:ptr[r+1], words first[i]:first[i] + words[i].
 
     blocks() has the paragraphs.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, sentences: bool = True):
         w = self.w = Words(data, offsets, SPACE)
-        self.hashes = w.hashes
+        self.raw = data
+        if not sentences:
+            return
         n = len(w.starts)
         lines = np.concatenate(([0], np.cumsum(data == 0x0A)))
         stop = np.zeros(n, bool)
@@ -83,6 +105,14 @@ class Paragraphs:
             ptr.append(len(first))
         self.first, self.words, self.ptr = first, words, ptr
 
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return self.w.hashes
+
+    @cached_property
+    def runs(self) -> tuple[Runs, Runs]:
+        return Runs(self.hashes), Runs(mix(self.hashes, 1))
+
     def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, first word and number of words of each paragraph of at least BLOCK_LEAST words."""
         w, h = self.w, self.hashes
@@ -135,34 +165,30 @@ class Paragraphs:
         wide, m = run_words - size + 1, len(self.hashes) - run_words + 1
         if m <= 0:
             return (np.zeros(0, np.int64),) * 3
-        keys = mix(runs(self.hashes, np.arange(n - size + 1), np.full(n - size + 1, size)), 13)
-        least, at = keys[:m].copy(), np.zeros(m, np.int64)
-        for d in range(1, wide):
-            less = keys[d : d + m] < least
-            least[less] = keys[d : d + m][less]
-            at[less] = d
+        keys = mix(self.runs[0].of(np.arange(n - size + 1), np.full(n - size + 1, size)), 13)
         row = np.repeat(np.arange(len(self.w.ptr) - 1), np.diff(self.w.ptr))
-        inside = np.flatnonzero(row[:m] == row[run_words - 1 :])
-        first = np.unique(inside + at[inside])
+        least = np.zeros(m + 2 * (wide - 1), U)
+        least[wide - 1 : wide - 1 + m] = np.where(row[:m] == row[run_words - 1 :], _sliding(np.minimum, keys, wide), U(0))
+        # the least of a run that it is in: of the least hashes of those runs, none of which is more, the largest
+        first = np.flatnonzero((_sliding(np.maximum, least, wide) == keys) & (keys > 0))
         return row[first], first, np.full(len(first), size)
 
-    def around(self, r: int, place: int, words: int, far: int) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes, in 32 bits, of the far words before and after a unit of text r, fewer at its ends."""
-        base, top = int(self.w.ptr[r]), int(self.w.ptr[r + 1])
-        a, b = base + place, base + place + words
-        short = (self.hashes[max(base, a - far) : min(top, b + far)] >> U(32)).astype(np.uint32)
-        return short[: a - max(base, a - far)], short[b - max(base, a - far) :]
+    def contexts(self, place: np.ndarray, row: np.ndarray, words: np.ndarray, far: int) -> tuple[pa.Array, pa.Array]:
+        """The hashes, in 32 bits, of the far words before and after each unit, fewer at the ends of its text."""
+        at, short = self.w.ptr[row] + place, (self.hashes >> U(32)).astype(np.uint32)
+        before, after = np.minimum(far, place), np.minimum(far, self.w.ptr[row + 1] - at - words)
+        return _binary(short, at - before, before), _binary(short, at + words, after)
 
-    def nodes(self, first: np.ndarray, words: np.ndarray, kind: int) -> np.ndarray:
-        """A 64-bit hash of the words in order, other for each kind of unit."""
-        return mix(runs(self.hashes, first, words), kind)
+    def nodes(self, first: np.ndarray, words: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit hash of the words in order, other for each kind of unit, and 32 bits of one of other hashes of them."""
+        return mix(self.runs[0].of(first, words), kind), (mix(self.runs[1].of(first, words), kind) >> U(32)).astype(np.uint32)
 
     def sets(self, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct shingles, in order, of all units, of SHINGLE words at least, and how many each has."""
         n = words - SHINGLE + 1
         at = ranges(first, n)
         all_of = shingle(self.hashes, SHINGLE) if len(self.hashes) >= SHINGLE else self.hashes[:0]
-        keyed = np.unique((np.repeat(np.arange(len(n)), n).astype(np.uint64) << U(32)) | (all_of[at] >> U(32)))
+        keyed = distinct((np.repeat(np.arange(len(n)), n).astype(np.uint64) << U(32)) | (all_of[at] >> U(32)))
         return (keyed & U(0xFFFFFFFF)).astype(np.uint32), np.bincount((keyed >> U(32)).astype(np.int64), minlength=len(n))
 
     def cut(self, r: int, drop: list[tuple[int, int]]) -> bytes:
@@ -179,19 +205,15 @@ class Paragraphs:
 
     def touched(self, r: int, drop: list[tuple[int, int]]) -> int:
         """How many sentences of text r have a word in the given ranges."""
-        first = np.array(self.first[self.ptr[r] : self.ptr[r + 1]], np.int64) - int(self.w.ptr[r])
-        last = first + np.array(self.words[self.ptr[r] : self.ptr[r + 1]], np.int64)
+        begin, end = int(self.w.offsets[r]), int(self.w.offsets[r + 1])
+        one = Paragraphs(self.raw[begin:end], np.array([0, end - begin]))
+        first = np.array(one.first, np.int64)
+        last = first + np.array(one.words, np.int64)
         hit = np.zeros(len(first), bool)
         for a, b in drop:
             hit |= (first < b) & (last > a)
         return int(hit.sum())
 
-    @classmethod
-    def of(cls, data: np.ndarray, offsets: np.ndarray) -> Paragraphs:
-        out = cls(data, offsets)
-        out.raw = data
-        return out
-
 
 def _equal(x: np.ndarray, y: np.ndarray) -> int:
     """How many elements are equal from the start on."""
@@ -201,9 +223,10 @@ def _equal(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _table(rows: DataFrame, run_words: int) -> DataFrame:
-    """doc_id, tie, place, words, anchor, node, s: every sentence and anchor, and every paragraph with its shingles.
+    """doc_id, tie, place, words, anchor, node, proof, s: every sentence and anchor, and every paragraph with its shingles.
 
-    place: the number of the first word in its text.
+    place: the number of the first word in its text; proof: further bits of the node's hash, but for paragraphs, whose classes
+    are found by their shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,16 +235,18 @@ def _table(rows: DataFrame, run_words: int) -> DataFrame:
             for at, data, offsets in slices(batch.column(2)):
                 p = Paragraphs(data, offsets)
                 row, first, words = np.repeat(np.arange(len(offsets) - 1), np.diff(p.ptr)), np.array(p.first, np.int64), np.array(p.words, np.int64)
-                units = [(row, first, words, p.nodes(first, words, 9), p.hashes[:0].astype(np.uint32), np.zeros(len(row), np.int64))]
+                units = [(row, first, words, *p.nodes(first, words, 9), p.hashes[:0].astype(np.uint32), np.zeros(len(row), np.int64))]
                 row, first, words = p.anchors(run_words)
-                units.append((row, first, words, p.nodes(first, words, 10), p.hashes[:0].astype(np.uint32), np.zeros(len(row), np.int64)))
+                units.append((row, first, words, *p.nodes(first, words, 10), p.hashes[:0].astype(np.uint32), np.zeros(len(row), np.int64)))
                 row, first, words = p.blocks()
-                units.append((row, first, words, p.nodes(first, words, 11), *p.sets(first, words)))
-                for kind, (row, first, words, nodes, values, sizes) in enumerate(units):
+                units.append((row, first, words, *p.nodes(first, words, 11), *p.sets(first, words)))
+                for kind, (row, first, words, nodes, proofs, values, sizes) in enumerate(units):
                     of = pa.array(row + at)
-                    yield pa.RecordBatch.from_arrays([ids.take(of), ties.take(of), pa.array((first - p.w.ptr[row]).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(np.full(len(row), kind == 1)), pa.array(nodes.view(np.int64)), list_array(values.view(np.int32), sizes, pa.int32())], ["doc_id", "tie", "place", "words", "anchor", "node", "s"])
+                    if kind == 2:
+                        proofs[:] = 0
+                    yield pa.RecordBatch.from_arrays([ids.take(of), ties.take(of), pa.array((first - p.w.ptr[row]).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(np.full(len(row), kind == 1)), pa.array(nodes.view(np.int64)), pa.array(proofs.view(np.int32)), list_array(values.view(np.int32), sizes, pa.int32())], ["doc_id", "tie", "place", "words", "anchor", "node", "proof", "s"])
 
-    return rows.mapInArrow(run, "doc_id long, tie long, place int, words int, anchor boolean, node long, s array<int>")
+    return rows.mapInArrow(run, "doc_id long, tie long, place int, words int, anchor boolean, node long, proof int, s array<int>")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,21 +275,104 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(nodes[once]), pa.array(packed)], ["bucket", "node", "packed"])
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and the parity sketch of each paragraph's shingles."""
+    for batch in batches:
+        lists = batch.column(1)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint32).astype(np.uint64)
+        out = parity_sketch(values, offsets[:-1] - offsets[0], SKETCH) if len(batch) else np.zeros((0, SKETCH), U)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[:, i].view(np.int64)) for i in range(SKETCH)]], ["node", *[f"parity{i}" for i in range(SKETCH)]])
+
+
 def _contexts(kept: DataFrame, far: int) -> DataFrame:
-    """class, before, after: the words around anchors, as 32-bit hashes. kept: text and at, the (class, place, words) in it."""
+    """class, proof, before, after: the words around anchors, as 32-bit hashes. kept: text and at, their (class, proof, place, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in slices(batch.column(0)):
-                p = Paragraphs(data, offsets)
-                rows = []
-                for r in range(len(offsets) - 1):
-                    for m in batch.column(1)[first + r].as_py():
-                        before, after = p.around(r, m["place"], m["words"], far)
-                        rows.append((m["class"], before.tobytes(), after.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.binary())], ["class", "before", "after"])
+                p = Paragraphs(data, offsets, sentences=False)
+                lists = batch.column(1).slice(first, len(offsets) - 1)
+                units, row = lists.flatten(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                around = p.contexts(units.field("place").to_numpy().astype(np.int64), row, units.field("words").to_numpy().astype(np.int64), far)
+                yield pa.RecordBatch.from_arrays([units.field("class"), units.field("proof"), *around], ["class", "proof", "before", "after"])
+
+    return kept.select("text", "at").mapInArrow(run, "class long, proof int, before binary, after binary")
+
+
+def _merged(doc: np.ndarray, place: np.ndarray, words: np.ndarray, anchor: np.ndarray, far: int, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What matters of the marks of several documents, given as numbers from 0 on.
+
+    Marks that can't be part of run_words words, however far they reach, are left out. Of the others the runs that they
+    make: first and last word, counted from doc * 2 ** 33, and for each mark its run, or -1. And the anchors that may
+    reach out of their run.
+    """
+    a, wide = doc * _APART + place, np.where(anchor, far, 0)
+    b = a + words
+    low, high = np.maximum(a - wide, doc * _APART), b + wide
+    order = np.argsort(low, kind="stable")
+    group = np.empty(len(a), np.int64)
+    top = np.maximum.accumulate(high[order])
+    group[order] = np.cumsum(np.concatenate(([0], low[order][1:] > top[:-1])))
+    start, end = np.full(group.max() + 1, np.iinfo(np.int64).max), np.zeros(group.max() + 1, np.int64)
+    np.minimum.at(start, group, low)
+    np.maximum.at(end, group, high)
+    use = np.flatnonzero((end - start)[group] >= run_words)
+    run = np.full(len(a), -1)
+    if not len(use):
+        return use, use, run, use, use
+    use = use[np.argsort(a[use], kind="stable")]
+    top = np.maximum.accumulate(b[use])
+    new = np.concatenate(([True], a[use][1:] > top[:-1]))
+    run[use] = np.cumsum(new) - 1
+    first, last = a[use][new], top[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(use) - 1]))]
+    reach = use[anchor[use] & ((low[use] < first[run[use]]) | (high[use] > last[run[use]]))]
+    return first, last, run, reach, use
+
+
+def _pieces(far: int, run_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Merges the marks of each text, which come in order of texts: PIECES, runs without a class and anchors with one."""
+
+    def made(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, ties = t.column("doc_id").to_numpy(), t.column("tie").to_numpy()
+        doc = np.cumsum(np.concatenate(([0], (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1]))))
+        place, words, anchor = (t.column(c).to_numpy().astype(np.int64) for c in ("place", "words", "anchor"))
+        first, last, run, reach, use = _merged(doc, place, words, anchor.astype(bool), far, run_words)
+        head = np.searchsorted(doc, first // _APART)
+        # the distinct ids of the documents that keep what is in a run
+        kept, known = t.column("kept").fill_null(0).to_numpy(), np.asarray(t.column("kept").is_valid())
+        use = use[known[use]] if len(use) else use
+        order = use[np.lexsort((kept[use], run[use]))]
+        once = order[np.concatenate(([True], (kept[order][1:] != kept[order][:-1]) | (run[order][1:] != run[order][:-1])))] if len(order) else order
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(run[once], minlength=len(first))))).astype(np.int32)), pa.array(kept[once]))
+        none = pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(ties[head]), pa.array(first % _APART), pa.array(last - first // _APART * _APART), lists, *none], _PIECES)
+        of = pa.array(reach)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[reach]), pa.array(ties[reach]), pa.array(place[reach]), pa.array((place + words)[reach]), pa.nulls(len(reach), pa.list_(pa.int64())), t.column("class").take(of).combine_chunks(), t.column("proof").take(of).combine_chunks()], _PIECES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # with the text that has begun
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ends = np.flatnonzero((ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])) + 1
+            if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (int(ids[0]), int(ties[0])):
+                yield from made(pa.Table.from_batches(held))
+                held = []
+            if not len(ends):
+                held.append(batch)
+                continue
+            yield from made(pa.Table.from_batches([*held, batch.slice(0, int(ends[-1]))]))
+            held = [batch.slice(int(ends[-1]))]
+        if held:
+            yield from made(pa.Table.from_batches(held))
+
+    return run
+
 
-    return kept.select("text", "at").mapInArrow(run, "class long, before binary, after binary")
+_APART = 1 << 33
+_PIECES = ["doc_id", "tie", "first", "last", "kept", "class", "proof"]
 
 
 def _long_runs(ranges_of: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
@@ -292,84 +400,110 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     Null and empty texts stay as they are; a row that repeats another whole row is the same document and gets the same
     result; rows with a null doc_id are compared but not cut; no rows give no rows.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark)
+    work = Workspace(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("n_removed", "removed_words", "same_as")]
     docs = docs.select(*own)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     table = work.write(_table(keyed, run_words))
     sets_of = table.select("node", "s").where("size(s) > 0")
+    parity = [f"parity{i}" for i in range(SKETCH)]
     postings = sets_of.mapInArrow(_bands, "bucket long, node long, packed long")
 
     def possible(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
         # sets so alike differ in at most (100 - PERCENT) / (100 + PERCENT) of their sizes' sum; each bit that differs
         # is one such shingle at least, and the count of a very long paragraph is only known to be large
         nx, ny = F.shiftrightunsigned(x("packed"), 48), F.shiftrightunsigned(y("packed"), 48)
-        differ = F.bit_count(x("packed").bitwiseXOR(y("packed")).bitwiseAND(F.lit((1 << 48) - 1)))
+        differ = F.greatest(F.bit_count(x("packed").bitwiseXOR(y("packed")).bitwiseAND(F.lit((1 << 48) - 1))), apart(x, y, parity))
         return (F.greatest(nx, ny) == 0x7FFF) | ((F.least(nx, ny) * 100 >= F.greatest(nx, ny) * PERCENT) & (differ * (100 + PERCENT) <= (nx + ny) * (100 - PERCENT)))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = work.write(keep_matching(sets_of, work.write(nodes), "node").groupBy("node").agg(F.max("s").alias("s")))
+        nodes = work.write(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+        sets = work.write(sets_of.join(work.small(nodes), "node", "left_semi").groupBy("node").agg(F.max("s").alias("s")))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
-        return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT).select("a", "b")
+        out = work.write(both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT).select("a", "b"))
+        work.forget(nodes, sets)
+        return out
+
+    def sketches(nodes: DataFrame) -> DataFrame:
+        some = sets_of.join(work.small(nodes), "node", "left_semi").groupBy("node").agg(F.max("s").alias("s"))
+        return some.mapInArrow(_sketches, ", ".join(["node long", *(f"{x} long" for x in parity)]))
 
-    found = work.write(bucket_components(postings, verify, work, possible))
-    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    placed = table.select("doc_id", "tie", "place", "words", "anchor", "node").join(F.broadcast(found) if few else found, "node", "left")
-    placed = placed.select("doc_id", "tie", "place", "words", "anchor", F.coalesce("component", "node").alias("class"))
+    found = bucket_components(postings, verify, work, possible, sketches)
     where = F.struct("doc_id", "tie", "place")
-    shared = work.write(placed.groupBy("class").count().where("count > 1").select("class"))
-    placed = keep_matching(placed, shared, "class")
-    classes = work.write(placed.groupBy("class").agg(F.min(where).alias("low"), F.max(where).alias("high"), F.max("anchor").alias("anchor"), F.max("words").alias("words")).where("low <> high").select("class", "low", "anchor", "words"))
-    few = classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    again = placed.join(F.broadcast(classes.select("class", "low")) if few else classes.select("class", "low"), "class").where(where != F.col("low")).where("doc_id is not null")
+    units = table.select("doc_id", "tie", "place", "words", "anchor", "node", "proof").join(work.small(found), "node", "left")
+    units = units.select("doc_id", "tie", "place", "words", "anchor", F.coalesce("component", "node").alias("class"), "proof")
+    shared = work.write(units.groupBy("class", "proof").count().where("count > 1").select("class", "proof"))
+    placed = work.write(units.join(work.small(shared), ["class", "proof"], "left_semi"))
+    # texts that occur in several rows of one doc_id; a paragraph has no proof
+    twice = work.write(table.where("place = 0 and proof <> 0 and not anchor").groupBy("doc_id", "tie").count().where("count > 1").select("doc_id", "tie"))
+    work.forget(table, shared, found)
+    classes = placed.groupBy("class", "proof").agg(F.min(where).alias("low"), F.max(where).alias("high"), F.max("anchor").alias("anchor"), F.max("words").alias("words")).where("low <> high")
+    classes = work.write(classes.select("class", "proof", "low", "anchor", "words"))
+    again = placed.join(work.small(classes).select("class", "proof", "low"), ["class", "proof"]).where(where != F.col("low")).where("doc_id is not null")
+    again = again.select("doc_id", "tie", "place", "words", "anchor", "class", "proof", F.col("low.doc_id").alias("kept"))
+    if work.rows(twice):
+        again = again.join(work.small(twice), ["doc_id", "tie"], "left_anti").unionByName(again.join(work.small(twice), ["doc_id", "tie"], "left_semi").distinct())
     far = max(0, run_words - ANCHOR)  # from an end of a repeat of run_words words or more to its next anchor at most
-    stay = classes.where("anchor").groupBy(F.col("low.doc_id").alias("doc_id"), F.col("low.tie").alias("tie")).agg(F.collect_list(F.struct("class", F.col("low.place").alias("place"), "words")).alias("at"))
+    in_order = again.repartition("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "place")
+    pieces = work.write(in_order.mapInArrow(_pieces(far, run_words), "doc_id long, tie long, first long, last long, kept array<long>, class long, proof int"), anchors=F.count("class"))
+    work.forget(placed, twice)
+    # the words around the anchors that stay, where one that goes may reach out of its run
+    asked = work.write(pieces.where("class is not null").select("class", "proof").distinct())
+    stay = classes.join(work.small(asked), ["class", "proof"], "left_semi").groupBy(F.col("low.doc_id").alias("_id"), F.col("low.tie").alias("_tie")).agg(F.collect_list(F.struct("class", "proof", F.col("low.place").alias("place"), "words")).alias("at"))
     stay = work.write(stay)
-    few = classes.where("anchor").limit(CONTEXT_ROWS + 1).count() <= CONTEXT_ROWS
-    to = (F.broadcast(stay) if few else stay).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "at")
-    kept = keyed.join(to, keyed.doc_id.eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
-    around = work.write(_contexts(kept, far).groupBy("class").agg(F.min(F.struct("before", "after")).alias("c")).select("class", "c.before", "c.after"))
-    again = again.join(F.broadcast(around) if few else around, "class", "left")
-    marks = work.write(again.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("place", "words", "before", "after", F.col("low.doc_id").alias("kept"))).alias("marks")))
-    ids = work.write(marks.select("doc_id").distinct())
-    with_tie = docs.withColumn("_tie", F.xxhash64("text"))
-    hit = keep_matching(with_tie, ids, "doc_id").join(marks.select("doc_id", F.col("tie").alias("_tie"), F.col("marks").alias("_marks")), ["doc_id", "_tie"], "left").select(*own, "_marks")
-    rest = keep_matching(docs, ids, "doc_id", "left_anti")
+    kept = keyed.join(work.small(stay), keyed.doc_id.eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
+    around = work.write(_contexts(kept, far).groupBy("class", "proof").agg(F.min(F.struct("before", "after")).alias("c")).select("class", "proof", "c.before", "c.after"))
+    work.forget(classes, asked, stay)
+    full = pieces.join(work.small(around, BROADCAST_ROWS // 2), ["class", "proof"], "left")
+    marks = work.write(full.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("first", "last", "kept", "before", "after")).alias("marks")))
+    work.keep(marks)
+    of_id, of_tie, of_marks = (fresh(docs, x) for x in ("_id", "_tie", "_marks"))
+    to = marks.select(F.col("doc_id").alias(of_id), F.col("tie").alias(of_tie), F.col("marks").alias(of_marks))
+    of = [F.col("doc_id").cast("long") == F.col(of_id), F.xxhash64("text") == F.col(of_tie)]
+    if work.rows(marks) <= BROADCAST_ROWS:
+        # only texts that are cut travel to their marks
+        ids = F.broadcast(to.select(of_id, of_tie))
+        hit = docs.join(ids, of, "left_semi").join(to, of, "left").select(*own, of_marks).unionByName(docs.join(ids, of, "left_anti").withColumn(of_marks, F.lit(None).cast(to.schema[of_marks].dataType)))
+    else:
+        hit = docs.join(to, of, "left").select(*own, of_marks)
     at = own.index("text")
     added = ["n_removed", "removed_words", "same_as"]
 
-    def extended(p: Paragraphs, r: int, m: dict) -> tuple[int, int]:
-        a, b = m["place"], m["place"] + m["words"]
-        if m["before"] is None:
-            return a, b
-        before, after = p.around(r, a, m["words"], far)
-        return a - _equal(before[::-1], np.frombuffer(m["before"], np.uint32)[::-1]), b + _equal(after, np.frombuffer(m["after"], np.uint32))
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, removed, words, same = batch.column(at).to_pylist(), [], [], []
+            removed, words, same, new = [0] * len(batch), [0] * len(batch), [[]] * len(batch), {}
             marks = batch.column(len(own))
-            for first, data, offsets in slices(batch.column(at)):
-                p = Paragraphs.of(data, offsets)
+            rows = np.flatnonzero(np.asarray(marks.is_valid()))
+            for first, data, offsets in slices(batch.column(at).take(pa.array(rows))):
+                p = Paragraphs(data, offsets, sentences=False)
                 for r in range(len(offsets) - 1):
-                    found = marks[first + r].as_py() or ()
-                    found = sorted([(*extended(p, r, m), m["kept"]) for m in found], key=lambda x: x[:2])
-                    drop = _long_runs([(a, b) for a, b, _ in found], run_words)
-                    removed.append(p.touched(r, drop) if drop else 0)
-                    words.append(sum(b - a for a, b in drop))
-                    same.append(sorted({k for a, b, k in found if k is not None and any(x <= a and b <= y for x, y in drop)}))
+                    row, ranges_of, of_kept, short = int(rows[first + r]), [], [], None
+                    for m in marks[row].as_py():
+                        a, b = m["first"], m["last"]
+                        if m["kept"] is not None:
+                            of_kept.append((a, b, m["kept"]))
+                        else:
+                            before, after = (np.frombuffer(m[c], np.uint32) for c in ("before", "after"))
+                            if short is None:
+                                short = (p.hashes[p.w.ptr[r] : p.w.ptr[r + 1]] >> U(32)).astype(np.uint32)
+                            a, b = a - _equal(short[max(0, a - far) : a][::-1], before[::-1]), b + _equal(short[b : b + far], after)
+                        ranges_of.append((a, b))
+                    drop = _long_runs(sorted(ranges_of), run_words)
                     if drop:
-                        texts[first + r] = p.cut(r, drop).decode()
-            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[: len(own)])]
+                        removed[row], words[row] = p.touched(r, drop), sum(y - x for x, y in drop)
+                        same[row] = sorted({k for a, b, ids in of_kept if any(x <= a and b <= y for x, y in drop) for k in ids})
+                        new[row] = p.cut(r, drop).decode()
+            texts = batch.column(at)
+            if new:
+                mask = np.zeros(len(batch), bool)
+                mask[list(new)] = True
+                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([new[i] for i in sorted(new)], texts.type))
+            columns = [texts if i == at else c for i, c in enumerate(batch.columns[: len(own)])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(words, pa.int64()), pa.array(same, pa.list_(pa.int64()))], [*own, *added])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    done = hit.mapInArrow(cut, f"{names}, n_removed long, removed_words long, same_as array<long>")
-    zero = F.lit(0).cast("long")
-    return done.unionByName(rest.withColumns({"n_removed": zero, "removed_words": zero, "same_as": F.array().cast("array<bigint>")}))
+    return hit.mapInArrow(cut, f"{names}, n_removed long, removed_words long, same_as array<long>")
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
