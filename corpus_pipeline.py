@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm import bpe, decontaminate, ngram_join, substring_dedup, toxicity
-from tracemill.llm.common import Workspace
+from tracemill.llm.common import Workspace, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -49,9 +49,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each over the whole table that the one before it wrote; n_chars stays that of the original text."""
-    work = Workspace(spark)
+    """All stages, each over the whole table that the one before it wrote; n_chars stays that of the original text.
+
+    A stage's input, and what its operator left in the shared folder, go when its output is there.
+    """
+    work, before = Workspace(spark), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = work.write(stage(spark, docs, sf_dir))
-    return work.finish(STAGES[-1][1](spark, docs, sf_dir))
+    for _, stage in STAGES:
+        with scratch():
+            docs = work.write(stage(spark, docs, sf_dir))
+        work.forget(before)
+        before = docs
+    return docs
