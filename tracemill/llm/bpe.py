@@ -1,13 +1,14 @@
 """BPE by a tokenization automaton.
 
-The merges are compiled into a deterministic automaton over tokens whose paths are exactly the token sequences that
-the merges make. It starts with one state and a loop for each base symbol. The gadget of a merge (a, b) -> c takes
-b out of what may follow a, and lets c stand wherever a could, with what may follow b as its successors. So the
-state after a token is a view of its last part's state at the time of the merge, less what later merges took out.
-States are kept as such views: a parent, the time of the view, and the tokens taken out with their times.
-
-A word is encoded by reading it once: at each position the state is that of the one token that ends there on the
-only path from the start, found by table look-ups; arcs that have been worked out stay in the table.
+The merges are compiled, one gadget after another in order of rank, into a deterministic automaton over tokens whose paths
+are exactly the token sequences that the merges make. It starts with one state and a loop for each base symbol. The
+gadget of a merge (a, b) -> c takes b out of what may follow a, and lets c stand wherever a could, with what may follow b
+as its successors. So the state after a token is a view of its last part's state at the time of the merge, less what later
+merges took out; states are kept as such views: a parent, the time of the view, and the tokens taken out with their times.
+
+That automaton is made deterministic over base symbols by the subset construction: a state is the set of the tokens that
+have begun, each with the state it began in. Its transitions are stored in a table as they are first taken, with the token
+that ends there. A word is encoded by one look-up for each symbol; the arcs taken, read back from the end, are its tokens.
 """
 
 from __future__ import annotations
@@ -57,6 +58,7 @@ class Automaton:
         for token, i in vocabulary.items():
             self.labels[i] = token
         self.arcs: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
 
     def _gadget(self, time: int, a: int, b: int, c: int) -> None:
         self.taken.setdefault(a * self.width + b, time)
@@ -94,6 +96,91 @@ class Automaton:
                 return True
 
 
+    def made(self, token: int) -> bool:
+        """Whether the merges make the token from its own symbols: its parts are the path of its own text."""
+        found = self.whole.get(token)
+        if found is None:
+            found = self.whole[token] = self.born[token] == 0 or (self.made(self.first[token]) and self.made(self.second[token]) and self._together(token))
+        return found
+
+    def _together(self, token: int) -> bool:
+        """The two parts can stand side by side until the token's own gadget."""
+        a, b = self.first[token], self.second[token]
+        at = self.taken.pop(a * self.width + b)
+        fits = at == self.born[token] and self._resolve(a, b)
+        self.taken[a * self.width + b] = at
+        return fits
+
+
+class Transitions:
+    """The automaton over base symbols: numbered states, and the table (state, symbol) -> next state and the token that ends.
+
+    At any place of a word exactly one token ends on the path from the start, or none does yet.
+    """
+
+    #: A symbol is a byte, or a byte that ends a word.
+    SYMBOLS = 512
+
+    def __init__(self, auto: Automaton, tokens: dict[int, list[int]], most: int = CACHE // 2):
+        self.auto, self.most = auto, most
+        self.child: dict[int, int] = {}
+        self.ends, self.sizes = [-1], [0]  # of each node of the tokens' prefix tree: its token, its depth
+        for token, symbols in tokens.items():
+            at = 0
+            for x in symbols:
+                key = at * self.SYMBOLS + x
+                at = self.child.get(key, 0)
+                if not at:
+                    at = self.child[key] = len(self.ends)
+                    self.sizes.append(self.sizes[key // self.SYMBOLS] + 1)
+                    self.ends.append(-1)
+            self.ends[at] = token
+        self._start()
+
+    def _start(self) -> None:
+        #: Each state's pairs (node of a begun token, token before it or -1), and the number of each such set.
+        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
+        self.numbers = {self.states[0]: 0}
+        self.table: dict[int, tuple[int, int, int]] = {}
+
+    def step(self, state: int, symbol: int) -> tuple[int, int, int]:
+        """Works out a transition and stores it: the next state, the token that ends here (-1: none) and its size."""
+        token, size, begun = -1, 0, []
+        for node, before in self.states[state]:
+            node = self.child.get(node * self.SYMBOLS + symbol)
+            if node is None:
+                continue
+            begun.append((node, before))
+            end = self.ends[node]
+            if end >= 0 and token < 0 and self.auto.made(end) and (before < 0 or self.auto.arc(before, end)):
+                token, size = end, self.sizes[node]
+        if token >= 0:
+            begun.append((0, token))
+        reached = tuple(begun)
+        number = self.numbers.get(reached)
+        if number is None:
+            number = self.numbers[reached] = len(self.states)
+            self.states.append(reached)
+        found = self.table[state * self.SYMBOLS + symbol] = number, token, size
+        return found
+
+    def path(self, symbols: list[int]) -> list[int]:
+        """The tokens on the path that reads the symbols."""
+        if len(self.table) > self.most:
+            self._start()
+        state, ends, table = 0, [], self.table
+        for x in symbols:
+            found = table.get(state * self.SYMBOLS + x) or self.step(state, x)
+            state = found[0]
+            ends.append(found)
+        out, i = [], len(ends)
+        while i:
+            _, token, size = ends[i - 1]
+            out.append(token)
+            i -= size
+        return out[::-1]
+
+
 class WordBpe:
     """A tokenizer file with word ends, read as data: NFC, lower case, its split pattern, byte symbols, and merges."""
 
@@ -113,66 +200,25 @@ class WordBpe:
         self.label_table = np.array(self.labels, object)
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")")
-        self.symbols = byte_symbols()
-        # a trie of the tokens as nested tables, so that all tokens from a position are found in one pass
-        self.trie: dict = {}
-        for token, i in self.vocabulary.items():
-            at = self.trie
-            for symbol in self._symbols(token):
-                at = at.setdefault(symbol, {})
-            at[""] = i
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        tokens = {i: x for token, i in self.vocabulary.items() if (x := self._symbols(token, byte_of))}
+        self.transitions = Transitions(self.auto, tokens)
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def _symbols(self, token: str) -> list[str]:
-        out = list(token)
-        if token.endswith(self.end) and len(token) > len(self.end):
-            out = list(token[: -len(self.end)])
-            out[-1] += self.end
-        return out
+    def _symbols(self, token: str, byte_of: dict[str, int]) -> list[int] | None:
+        """The token's base symbols; none if it has others, as the special ones may."""
+        last = token.endswith(self.end) and len(token) > len(self.end)
+        found = [byte_of.get(c, -1) for c in (token[: -len(self.end)] if last else token)]
+        if -1 in found:
+            return None
+        return [*found[:-1], found[-1] + 256] if last else found
 
     def encode_word(self, word: str) -> bytes:
         """The only path of the automaton that reads the word."""
-        symbols = [self.symbols[b] for b in word.encode()]
-        symbols[-1] += self.end
-        n, auto = len(symbols), self.auto
-        state: list[int] = [-2] * (n + 1)  # the token that ends here on the path from the start
-        back = [0] * (n + 1)
-        state[0] = -1
-        for i in range(n):
-            before = state[i]
-            if before == -2:
-                continue
-            node = self.trie
-            for j in range(i, n):
-                node = node.get(symbols[j])
-                if node is None:
-                    break
-                token = node.get("")
-                if token is not None and self._stable(token) and (before == -1 or auto.arc(before, token)):
-                    state[j + 1], back[j + 1] = token, i
-        out, i = [], n
-        while i:
-            out.append(state[i])
-            i = back[i]
-        return np.array(out[::-1], "<u4").tobytes()
-
-    def _stable(self, token: int) -> bool:
-        """Whether the merges make the token from its own symbols: its parts are the path of its own text."""
-        auto = self.auto
-        found = auto.arcs.get(-1 - token)
-        if found is None:
-            found = auto.born[token] == 0 or (self._stable(auto.first[token]) and self._stable(auto.second[token]) and self._together(token))
-            auto.arcs[-1 - token] = found
-        return found
-
-    def _together(self, token: int) -> bool:
-        """The two parts can stand side by side until the token's own gadget."""
-        auto = self.auto
-        at = auto.taken.pop(auto.first[token] * auto.width + auto.second[token])
-        fits = at == auto.born[token] and auto._resolve(auto.first[token], auto.second[token])
-        auto.taken[auto.first[token] * auto.width + auto.second[token]] = at
-        return fits
+        symbols = list(word.encode())
+        symbols[-1] += 256
+        return np.array(self.transitions.path(symbols), "<u4").tobytes()
 
     def encode_chunk(self, chunk: str) -> bytes:
         """A run without white space."""
