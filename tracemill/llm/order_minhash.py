@@ -1,8 +1,11 @@
 """Document fingerprints by Order MinHash, in DataFrame functions only.
 
-A text's k-mers are pairs of neighbouring words, numbered by occurrence. Their hashes fall into bins; each bin keeps
-the two smallest, puts them back into text order, and hashes the pair. Texts agree in a bin if they share the minimal
-k-mers and their order, so the likeness follows edits and moves, not only the set of words.
+A text's k-mers are pairs of neighbouring words, numbered by occurrence. For each of 64 orders the two smallest of them
+are put back into text order and hashed as a pair. Texts agree under an order if they share the minimal k-mers and their
+sequence, so the likeness follows edits and moves, not only the set of words.
+
+Of a text with fewer than SHORT k-mers the orders are those of 64 hashes. Of one with LONG or more they are those of one
+hash within 64 bins, which costs a 64th and is alike for so many k-mers. A text between the two has both.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: Bins are 2 ** BIN_BITS; a k-mer's place takes PLACE_BITS, enough for 67 million words in a text.
 BIN_BITS, PLACE_BITS = 6, 26
+LONG, SHORT = 128, 256
 
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,10 +25,18 @@ def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def signature(text: Column) -> Column:
-    """array<long> of bin * 2**32 + hash, one for each bin with a k-mer, in order of bins."""
-    place = (1 << PLACE_BITS) - 1
-    keep = F.lit(~place)
+_PLACE = (1 << PLACE_BITS) - 1
+
+
+def _ordered(a: Column, b: Column) -> Column:
+    """A hash of two numbered k-mers in text order, or of the only one."""
+    x, y = F.shiftright(a, PLACE_BITS), F.shiftright(b, PLACE_BITS)
+    return F.when(b.isNull(), F.xxhash64(x)).when(a.bitwiseAND(F.lit(_PLACE)) < b.bitwiseAND(F.lit(_PLACE)), F.xxhash64(x, y)).otherwise(F.xxhash64(y, x))
+
+
+def numbered(text: Column) -> Column:
+    """array<long>: a hash of each k-mer and its number of occurrence in the upper bits, its place in the lower, sorted."""
+    keep = F.lit(~_PLACE)
     words = F.filter(F.split(text, "[ \\t\\n\\x0b\\f\\r]+"), lambda w: w != "")
     kmers = _bind(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1)).bitwiseAND(keep).bitwiseOR(i.cast("long"))))
 
@@ -32,35 +44,64 @@ def signature(text: Column) -> Column:
         # s is sorted, so equal k-mers stand together in text order
         new = F.filter(F.transform(s, lambda x, j: F.when((j == 0) | (F.shiftright(x, PLACE_BITS) != F.shiftright(F.get(s, j - 1), PLACE_BITS)), j)), lambda j: j.isNotNull())
         numbers = _bind(new, lambda st: F.flatten(F.transform(st, lambda a, q: F.sequence(F.lit(0), F.coalesce(F.get(st, q + 1), F.size(s)) - a - 1))))
-        return F.zip_with(s, numbers, lambda x, o: F.xxhash64(F.shiftright(x, PLACE_BITS), o).bitwiseAND(keep).bitwiseOR(x.bitwiseAND(F.lit(place))))
+        return F.zip_with(s, numbers, lambda x, o: F.xxhash64(F.shiftright(x, PLACE_BITS), o).bitwiseAND(keep).bitwiseOR(x.bitwiseAND(F.lit(_PLACE))))
+
+    return F.sort_array(_bind(F.sort_array(kmers), occurrences))
+
 
+def _binned(s: Column) -> Column:
+    """bin * 2**32 + hash for each bin with a k-mer, in order of bins."""
     shift = 64 - BIN_BITS
     bin_of = lambda x: F.shiftrightunsigned(x, shift)
-    numbered = _bind(F.sort_array(kmers), occurrences)
-    two = _bind(F.sort_array(numbered), lambda s: F.filter(s, lambda x, j: (j < 2) | (bin_of(x) != bin_of(F.get(s, j - 2)))))
 
-    def tuples(s: Column) -> Column:
+    def tuples(t: Column) -> Column:
         def one(x: Column, j: Column) -> Column:
-            y = F.get(s, j + 1)
-            a, b = F.shiftright(x, PLACE_BITS), F.shiftright(y, PLACE_BITS)
-            pair = F.when(y.isNull() | (bin_of(y) != bin_of(x)), F.xxhash64(a)).when(x.bitwiseAND(F.lit(place)) < y.bitwiseAND(F.lit(place)), F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
-            first = (j == 0) | (bin_of(x) != bin_of(F.get(s, j - 1)))
-            return F.when(first, F.shiftleft(bin_of(x), 32).bitwiseOR(F.shiftrightunsigned(pair, 32)))
+            y = F.get(t, j + 1)
+            pair = _ordered(x, F.when(bin_of(y) == bin_of(x), y))
+            return F.when((j == 0) | (bin_of(x) != bin_of(F.get(t, j - 1))), F.shiftleft(bin_of(x), 32).bitwiseOR(F.shiftrightunsigned(pair, 32)))
+
+        return F.filter(F.transform(t, one), lambda v: v.isNotNull())
+
+    return _bind(F.filter(s, lambda x, j: (j < 2) | (bin_of(x) != bin_of(F.get(s, j - 2)))), tuples)
 
-        return F.filter(F.transform(s, one), lambda v: v.isNotNull())
 
-    return _bind(two, tuples)
+def _hashed(s: Column) -> Column:
+    """order * 2**32 + hash for each of the 64 orders."""
+
+    def one(seed: Column) -> Column:
+        again = F.transform(s, lambda x: F.xxhash64(F.shiftright(x, PLACE_BITS), seed).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(x.bitwiseAND(F.lit(_PLACE))))
+        two = _bind(again, lambda t: _bind(F.array_min(t), lambda least: F.array(least, F.array_min(F.filter(t, lambda x: x != least)))))
+        # the pair's hash is of the k-mers under this order, so that it has their whole hashes
+        return F.shiftleft(seed.cast("long"), 32).bitwiseOR(F.shiftrightunsigned(_bind(two, lambda m: _ordered(m[0], m[1])), 32))
+
+    return F.transform(F.sequence(F.lit(0), F.lit((1 << BIN_BITS) - 1)), one)
+
+
+def signature(text: Column) -> Column:
+    """struct<n: k-mers, short: array<long>, long: array<long>>, either null where the text's length rules it out."""
+
+    def both(s: Column) -> Column:
+        n = F.size(s)
+        return F.struct(n.alias("n"), F.when((n > 0) & (n < SHORT), _hashed(s)).alias("short"), F.when(n >= LONG, _binned(s)).alias("long"))
+
+    return _bind(numbered(text), both)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of the bins filled in either signature in which both agree; 1 for two empty ones."""
-    bins = lambda s: F.transform(s, lambda x: F.shiftrightunsigned(x, 32))
-    filled = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
+    """The share of the orders under which two signatures agree, of those that both have, in bins of those filled in either.
+
+    1 for two empty ones. Two that have no kind of order in common are of texts one of which is twice as long as the
+    other, or more, and count as 0.
+    """
+    share = lambda x, y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(F.transform(x, lambda v: F.shiftrightunsigned(v, 32)), F.transform(y, lambda v: F.shiftrightunsigned(v, 32))))
+    of = lambda kind: a[kind].isNotNull() & b[kind].isNotNull()
+    return F.when((a["n"] == 0) & (b["n"] == 0), F.lit(1.0)).when(of("short"), share(a["short"], b["short"])).when(of("long"), share(a["long"], b["long"])).otherwise(F.lit(0.0))
 
 
 def as_text(s: Column) -> Column:
-    return F.array_join(F.transform(s, lambda x: F.lpad(F.lower(F.hex(x)), 10, "0")), "")
+    """Both kinds as hex, with a comma between; the empty text for a text without words."""
+    part = lambda kind: F.coalesce(F.array_join(F.transform(s[kind], lambda x: F.lpad(F.lower(F.hex(x)), 10, "0")), ""), F.lit(""))
+    return F.when(s["n"] == 0, F.lit("")).otherwise(F.concat(part("short"), F.lit(","), part("long")))
 
 
 def _bucket(bounds: list[int]) -> Column:
@@ -81,7 +122,8 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     points replaced by the first as many, or all, of the next document's, in descending doc_id, after the last the
     first. Rows of one doc_id follow each other by the hash of their text; a null doc_id comes last; a single row is
     its own next. A null text is empty; texts without words have an empty fingerprint, and two such are alike (1.0).
-    No rows give no rows.
+    Two texts of which one has fewer than 128 words and the other 256 or more are not alike (0.0). A text may have 67
+    million words; of a longer one places repeat, which only changes the order of far k-mers. No rows give no rows.
 
     The order is cut into ranges of ids of about equal size; each range gets a copy of the row after its last one, so
     one exchange of the texts is enough and no task holds more than a range.
