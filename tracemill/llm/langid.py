@@ -15,27 +15,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.labelled import fold
 
-#: Rows of a language to fit on, at most; rounds; the longest word in bytes, longer ones being cut into parts of that
-#: length, so no longer piece can be in one; the longest piece; the count added to every piece.
-TRAIN_ROWS, ROUNDS, WORD_BYTES, ADDED = 1_500, 3, 40, 0.05
-LONGEST = WORD_BYTES
+#: Rows of a language to fit on, at most, and bytes of their texts; rounds; the count added to every piece.
+TRAIN_ROWS, TRAIN_BYTES, ROUNDS, ADDED = 1_500, 16 << 20, 3, 0.05
+#: Words of so many bytes go through the algorithm many at a time, longer ones one by one, in logarithms.
+SHORT = 40
 CACHE = 400_000
 _WORDS = re.compile(r"[^\W\d_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    """Runs of letters, lower-cased."""
+    found = _WORDS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # numerals that are no digits stand among them
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
-def _marked(word: str) -> list[bytes]:
-    raw = b" " + word.encode()
-    return [raw] if len(raw) <= WORD_BYTES else [raw[i : i + WORD_BYTES] for i in range(0, len(raw), WORD_BYTES)]
+def _marked(word: str) -> bytes:
+    return b" " + word.encode()
 
 
 class Pieces:
@@ -44,14 +48,13 @@ class Pieces:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             found = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
-        found = {p.lower() for p in found if len(p) <= LONGEST} | {bytes([b]) for b in range(256)}
-        found = sorted(found)
+        found = sorted({p.lower() for p in found} | {bytes([b]) for b in range(256)})
         codes = np.array([self.code(p) for p in found], np.uint64)
         order = np.argsort(codes)
         self.codes = codes[order]
         if (self.codes[1:] == self.codes[:-1]).any():
             raise ValueError("two pieces have the same code")
-        self.n = len(found)
+        self.n, self.longest = len(found), max(map(len, found))
 
     @staticmethod
     def code(piece: bytes) -> int:
@@ -72,7 +75,7 @@ class Pieces:
             for start in range(top):
                 rows = np.flatnonzero(lengths > start)
                 code = np.zeros(len(rows), np.uint64)
-                for size in range(1, min(LONGEST, top - start) + 1):
+                for size in range(1, min(self.longest, top - start) + 1):
                     keep = lengths[rows] >= start + size
                     rows, code = rows[keep], code[keep]
                     code = code * _MULT + chars[rows, start + size - 1]
@@ -84,6 +87,33 @@ class Pieces:
                         piece[rows[hit]] = at[hit]
         return lengths, out
 
+    def arcs(self, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end, size, piece) of all pieces in one word, in order of their ends."""
+        chars = np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1)
+        code, found = np.zeros(len(chars), np.uint64), []
+        with np.errstate(over="ignore"):
+            for size in range(1, min(self.longest, len(chars)) + 1):
+                code = code[: len(chars) - size + 1] * _MULT + chars[size - 1 :]
+                at = np.searchsorted(self.codes, code)
+                at[at == self.n] = 0
+                start = np.flatnonzero(self.codes[at] == code)
+                found.append((start + size, np.full(len(start), size), at[start]))
+        end, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((size, end))
+        return end[order], size[order], piece[order]
+
+
+def long_forward(log_prob: np.ndarray, arcs: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """forward() of one word in logarithms: alpha[end, language]."""
+    end, size, piece = arcs
+    alpha = np.full((n + 1, log_prob.shape[1]), -np.inf)
+    alpha[0] = 0
+    at = np.searchsorted(end, np.arange(1, n + 2))
+    for i in range(1, n + 1):
+        s = slice(at[i - 1], at[i])
+        alpha[i] = np.logaddexp.reduce(alpha[i - size[s]] + log_prob[piece[s]], axis=0)
+    return alpha
+
 
 def forward(prob: np.ndarray, words: int, spans: dict, top: int) -> np.ndarray:
     """alpha[end, word, language]: the sum over all segmentations of the first ``end`` bytes."""
@@ -97,45 +127,59 @@ def forward(prob: np.ndarray, words: int, spans: dict, top: int) -> np.ndarray:
 
 def word_scores(pieces: Pieces, prob: np.ndarray, words: list[str]) -> np.ndarray:
     """Log-likelihood of each word (rows) in each language."""
-    parts = [_marked(w) for w in words]
-    flat = [p for x in parts for p in x]
-    out = np.zeros((len(flat), prob.shape[1]))
-    for at in range(0, len(flat), 4096):
-        some = flat[at : at + 4096]
-        lengths, spans = pieces.spans(some)
-        alpha = forward(prob, len(some), spans, int(lengths.max(initial=0)))
-        out[at : at + 4096] = np.log(np.maximum(alpha[lengths, np.arange(len(some))], 1e-300))
-    if len(flat) == len(words):
-        return out
-    return np.add.reduceat(out, np.cumsum([0, *map(len, parts[:-1])])) if words else out
-
-
-def fit(texts: dict[str, list[str]], pieces: Pieces) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and the probability of each piece (rows) in each."""
-    langs, columns = sorted(texts), []
-    for lang in langs:
-        counts = sorted(Counter(w for t in texts[lang] for w in words_of(t)).items(), key=lambda x: (-x[1], x[0]))
-        prob = np.full((pieces.n, 1), 1 / pieces.n)
-        flat = [(p, c) for w, c in counts for p in _marked(w)]
-        for _ in range(ROUNDS if flat else 0):
-            expected = np.full(pieces.n, ADDED)
-            for at in range(0, len(flat), 4096):
-                some = flat[at : at + 4096]
-                lengths, spans = pieces.spans([p for p, _ in some])
-                weight = np.array([c for _, c in some], float)
-                alpha = forward(prob, len(some), spans, int(lengths.max()))[:, :, 0]
-                total = alpha[lengths, np.arange(len(some))]
-                beta = np.zeros_like(alpha)
-                beta[lengths, np.arange(len(some))] = 1
-                for (end, size), piece in sorted(spans.items(), reverse=True):
-                    rows = np.flatnonzero(piece >= 0)
-                    beta[end - size, rows] += beta[end, rows] * prob[piece[rows], 0]
-                for (end, size), piece in spans.items():
-                    rows = np.flatnonzero(piece >= 0)
-                    expected += np.bincount(piece[rows], weight[rows] * alpha[end - size, rows] * prob[piece[rows], 0] * beta[end, rows] / total[rows], minlength=pieces.n)
-            prob = (expected / expected.sum())[:, None]
-        columns.append(prob)
-    return langs, np.concatenate(columns, 1) if columns else np.zeros((pieces.n, 0))
+    raw = [_marked(w) for w in words]
+    out = np.zeros((len(raw), prob.shape[1]))
+    short = [i for i, w in enumerate(raw) if len(w) <= SHORT]
+    for at in range(0, len(short), 4096):
+        some = short[at : at + 4096]
+        lengths, spans = pieces.spans([raw[i] for i in some])
+        alpha = forward(prob, len(some), spans, int(lengths.max()))
+        out[some] = np.log(np.maximum(alpha[lengths, np.arange(len(some))], 1e-300))
+    long = [i for i, w in enumerate(raw) if len(w) > SHORT]
+    log_prob = np.log(prob) if long else None
+    for i in long:
+        out[i] = long_forward(log_prob, pieces.arcs(raw[i]), len(raw[i]))[-1]
+    return out
+
+
+def _long_counts(pieces: Pieces, prob: np.ndarray, word: bytes) -> np.ndarray:
+    """The expected count of each piece in one word."""
+    log_prob, arcs, n = np.log(prob)[:, None], pieces.arcs(word), len(word)
+    end, size, piece = arcs
+    alpha = long_forward(log_prob, arcs, n)[:, 0]
+    # backwards is forwards over the arcs turned round
+    order = np.lexsort((size, n - end + size))
+    turned = ((n - end + size)[order], size[order], piece[order])
+    beta = long_forward(log_prob, turned, n)[::-1, 0]
+    return np.bincount(piece, np.exp(alpha[end - size] + log_prob[piece, 0] + beta[end] - alpha[n]), minlength=pieces.n)
+
+
+def fit(texts: list[str], pieces: Pieces) -> np.ndarray:
+    """The probability of each piece in one language."""
+    counts = sorted(Counter(w for t in texts for w in words_of(t)).items(), key=lambda x: (-x[1], x[0]))
+    prob = np.full(pieces.n, 1 / pieces.n)
+    words = [(_marked(w), c) for w, c in counts]
+    short, long = [x for x in words if len(x[0]) <= SHORT], [x for x in words if len(x[0]) > SHORT]
+    for _ in range(ROUNDS if words else 0):
+        expected = np.full(pieces.n, ADDED)
+        for word, c in long:
+            expected += c * _long_counts(pieces, prob, word)
+        for at in range(0, len(short), 4096):
+            some = short[at : at + 4096]
+            lengths, spans = pieces.spans([p for p, _ in some])
+            weight = np.array([c for _, c in some], float)
+            alpha = forward(prob[:, None], len(some), spans, int(lengths.max()))[:, :, 0]
+            total = alpha[lengths, np.arange(len(some))]
+            beta = np.zeros_like(alpha)
+            beta[lengths, np.arange(len(some))] = 1
+            for (end, size), piece in sorted(spans.items(), reverse=True):
+                rows = np.flatnonzero(piece >= 0)
+                beta[end - size, rows] += beta[end, rows] * prob[piece[rows]]
+            for (end, size), piece in spans.items():
+                rows = np.flatnonzero(piece >= 0)
+                expected += np.bincount(piece[rows], weight[rows] * alpha[end - size, rows] * prob[piece[rows]] * beta[end, rows] / total[rows], minlength=pieces.n)
+        prob = expected / expected.sum()
+    return prob
 
 
 class Scorer:
@@ -167,37 +211,52 @@ class Scorer:
         return out, shares
 
 
-def language(docs: DataFrame, path: str, learn: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+def _learned(learn: DataFrame, most: int, most_bytes: int) -> DataFrame:
+    """(lang, text) of the rows of each language whose ids and texts come first by hash, at most so many and of so many bytes."""
+    key = F.xxhash64("doc_id", "text")
+    known = learn.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # a share of the rows that holds twice as many as are wanted goes on, so that no task sorts a whole language
+    drawn = known.join(F.broadcast(counts), "lang").withColumn("key", key).where(F.shiftrightunsigned("key", 1) < F.lit(float(1 << 63)) * F.least(F.lit(1.0), F.lit(2.0 * most) / F.col("n")))
+    once = drawn.groupBy("lang", "doc_id", "key").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("key", "doc_id")
+    ranked = once.withColumn("k", F.row_number().over(order)).withColumn("bytes", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return ranked.where((F.col("k") <= most) & (F.col("bytes") <= most_bytes)).select("lang", "text")
+
+
+def language(docs: DataFrame, path: str, learn: DataFrame, most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> DataFrame:
     """docs' columns and lang_pred (string) and score (0 to 1).
 
     docs: doc_id, text, and any other columns, which stay unless named like an added one, which replaces it; only text
     is an input of the prediction. learn: rows (doc_id, text, lang) to learn from; null languages and texts are
-    ignored; of each language the ``most`` rows whose ids come first by hash are taken. A null or empty text, or one
-    without a letter, has und and 0, as has every text if there is nothing to learn from.
+    ignored; of each language the ``most`` rows that come first by a hash are taken, as far as their texts have
+    ``most_bytes``; each is fitted in a task of its own, and the driver gets one number for each piece and language. A
+    null or empty text, or one without a letter, has und and 0, as has every text if there is nothing to learn from.
+    Texts are read whole, words of any length; repeated rows are judged each, and learned from once; of equally likely
+    languages the first by name is taken; no rows give no rows.
     """
-    langs = [r[0] for r in learn.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
-    known = learn.where(F.col("text").isNotNull())
-    chosen = None
-    for lang in langs:
-        part = known.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    texts: dict[str, list[str]] = {}
-    if chosen is not None:
-        # at most ``most`` ids of each language, a proven bound; only their texts come to the driver
-        rows = known.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("lang", "text").limit(most * len(langs))
-        for lang, text in rows.collect():
-            texts.setdefault(lang, []).append(text)
     pieces = Pieces(path)
-    model = docs.sparkSession.sparkContext.broadcast((pieces.codes, *fit(texts, pieces)))
+    shared = docs.sparkSession.sparkContext.broadcast((pieces.codes, pieces.longest))
+
+    def known() -> Pieces:
+        out = Pieces.__new__(Pieces)
+        out.codes, out.longest = shared.value
+        out.n = len(out.codes)
+        return out
+
+    def fitted(frame: pa.Table) -> pa.Table:
+        prob = fit(frame.column("text").to_pylist(), known())
+        return pa.table({"lang": frame.column("lang").slice(0, 1), "prob": pa.array([prob.tobytes()], pa.binary())})
+
+    # one row for each language
+    models = sorted((r[0], np.frombuffer(r[1])) for r in _learned(learn, most, most_bytes).groupBy("lang").applyInArrow(fitted, "lang string, prob binary").collect())
+    model = docs.sparkSession.sparkContext.broadcast(([x for x, _ in models], np.stack([p for _, p in models], 1) if models else np.zeros((pieces.n, 0))))
     base = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
     at = base.columns.index("text")
     names = [*base.columns, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, langs, prob = model.value
-        pieces = Pieces.__new__(Pieces)
-        pieces.codes, pieces.n = codes, len(codes)
-        scorer = Scorer(pieces, langs, prob)
+        scorer = Scorer(known(), *model.value)
         for batch in batches:
             for first in range(0, len(batch), 200):
                 part = batch.slice(first, 200)
