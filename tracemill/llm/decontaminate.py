@@ -3,36 +3,41 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import ALNUM, Words, list_array, shingle, slices
+from tracemill.llm.common import ALNUM, Words, Workspace, distinct, fresh, shingle, slices
 
 WINDOW = 10
-#: The benchmark's texts may have so many bytes in all to be broadcast; it is a test set, not a corpus.
-BENCHMARK_BYTES = 64 << 20
+#: The benchmark's texts may have so many bytes in all to be broadcast, some 200 MB as a table of windows; beyond it windows
+#: meet in a join.
+BENCHMARK_BYTES = 4 << 20
+#: Bits of the benchmark's hashes, 8 MB whatever its size, by which most of the documents' windows stay out of that join.
+FILTER_BITS = 26
+
+
+def windows_in(text: str | None, size: int) -> Iterator[tuple[int, int, bytes]]:
+    """(words, hash, the words with spaces between) of each window of an item."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    w = Words(data, np.array([0, len(data)]), ALNUM)
+    k = min(size, len(w.starts))
+    for at, h in enumerate(shingle(w.hashes, size).tolist() if k else ()):
+        yield k, h, b" ".join(w.text(i) for i in range(at, at + k))
 
 
 class Windows:
-    """The benchmark's windows by length: sorted hashes, and for each the word sequences with the items that have them."""
-
-    def __init__(self, items: list[tuple[object, str | None]], size: int = WINDOW):
-        found: dict[int, dict[int, dict[bytes, list[int]]]] = {}
-        self.ids = sorted({str(i) for i, _ in items})
-        number = {i: k for k, i in enumerate(self.ids)}
-        for item, text in items:
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            w = Words(data, np.array([0, len(data)]), ALNUM)
-            k = min(size, len(w.starts))
-            for at, h in enumerate(shingle(w.hashes, size).tolist() if k else ()):
-                words = b" ".join(w.text(i) for i in range(at, at + k))
-                owners = found.setdefault(k, {}).setdefault(h, {}).setdefault(words, [])
-                if number[str(item)] not in owners:
-                    owners.append(number[str(item)])
+    """Windows by length: sorted hashes, and for each the word sequences with the items that have them."""
+
+    def __init__(self, entries: Iterable[tuple[int, int, bytes, list[str]]]):
+        found: dict[int, dict[int, dict[bytes, set[int]]]] = {}
+        number: dict[str, int] = {}
+        for k, h, words, items in entries:
+            found.setdefault(k, {}).setdefault(h, {}).setdefault(words, set()).update(number.setdefault(i, len(number)) for i in items)
+        self.ids = list(number)
         self.by_length = {k: (np.array(sorted(v), np.uint64), v) for k, v in found.items()}
 
     def scan(self, w: Words, hashes: np.ndarray, row: int) -> tuple[np.ndarray, set[int], list[tuple[int, int]]]:
@@ -54,12 +59,52 @@ class Windows:
         return hit, items, spans
 
 
-def windows_of(benchmark: DataFrame, size: int = WINDOW) -> Windows:
-    """Reads the benchmark's rows; they are few by nature, and their size is checked before they come to the driver."""
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if total > BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {total} bytes of text; at most {BENCHMARK_BYTES} can be broadcast")
-    return Windows([(r[0], r[1]) for r in benchmark.select("item_id", "text").where("item_id is not null").collect()], size)
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """A bit for each value of the upper bits of the hashes that occurs; or-ed by Spark, at most 2 ** (FILTER_BITS - 6) words."""
+    at = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    words = hashes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _met(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """(doc_id, tie, entries): the benchmark's windows whose hash occurs in a text, found by a join, for any size of benchmark."""
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                k, h, words = ([x[i] for x in windows_in(text, size)] for i in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(words, pa.binary()), pa.array([item] * len(k), pa.string())], ["k", "h", "words", "item"])
+
+    work = Workspace(docs.sparkSession)
+    windows = work.write(benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("item_id is not null").mapInArrow(of_items, "k int, h long, words binary, item string").distinct())
+    keys = work.write(windows.select("k", "h").distinct())
+    lengths = sorted(r[0] for r in keys.select("k").distinct().collect())  # at most ``size`` of them
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(keys))
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in slices(batch.column(2)):
+                w = Words(data, offsets, ALNUM)
+                hashes = w.hashes
+                for r in range(len(offsets) - 1):
+                    mine = hashes[w.ptr[r] : w.ptr[r + 1]]
+                    for k in lengths:
+                        if len(mine) >= k:
+                            h = distinct(shingle(mine, k))
+                            at = h >> np.uint64(64 - FILTER_BITS)
+                            h = h[(bits.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0]
+                            if len(h):
+                                same = [pa.array([c[first + r].as_py()] * len(h), pa.int64()) for c in batch.columns[:2]]
+                                yield pa.RecordBatch.from_arrays([*same, pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64))], ["doc_id", "tie", "k", "h"])
+
+    mine = docs.mapInArrow(of_docs, "doc_id long, tie long, k int, h long").distinct()
+    hits = work.write(mine.join(work.small(keys), ["k", "h"], "left_semi"))
+    owners = windows.groupBy("k", "h", "words").agg(F.collect_set("item").alias("items"))
+    out = work.write(hits.join(owners, ["k", "h"]).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("k", "h", "words", "items")).alias("entries")))
+    work.keep(out)
+    return out
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, action: str = "report") -> DataFrame:
@@ -75,17 +120,28 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, action:
 
     Null and empty texts have no words and no hits, and stay as they are; benchmark rows with a null id are ignored,
     with a null text have no window; an empty benchmark hits nothing; repeated rows are judged one by one; columns
-    of docs named like an added one are replaced by it.
+    of docs named like an added one are replaced by it. Texts are read whole. A benchmark of more than BENCHMARK_BYTES is
+    not broadcast: its windows are joined with the documents' by their hashes, and each text gets those it may have.
     """
-    table = docs.sparkSession.sparkContext.broadcast(windows_of(benchmark, size))
+    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    small = total <= BENCHMARK_BYTES
+    rows = [(str(r[0]), r[1]) for r in benchmark.select("item_id", "text").where("item_id is not null").collect()] if small else []
+    table = docs.sparkSession.sparkContext.broadcast(Windows((*x, [i]) for i, text in rows for x in windows_in(text, size)))
     added = "n_words long, n_hit long, hit_items array<string>, hit_spans array<struct<first:long,last:long>>"
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "hit_items", "hit_spans")]
     base = docs.select(*own)
-    text_at = own.index("text")
+    text_at, names = own.index("text"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+    if not small:
+        met = _met(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), F.col("text").cast("string")), benchmark, size)
+        of_id, of_tie, of_entries = (fresh(base, x) for x in ("_id", "_tie", "_entries"))
+        met = met.select(F.col("doc_id").alias(of_id), F.col("tie").alias(of_tie), F.col("entries").alias(of_entries))
+        base = base.join(met, F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & (F.xxhash64("text") == F.col(of_tie)), "left").select(*own, of_entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = table.value
         for batch in batches:
+            entries = batch.column(len(own)) if not small else None
+            batch = batch.select(own) if not small else batch
             n_words, n_hit, items, spans = [], [], [], []
             texts = batch.column(text_at)
             new = [] if action == "remove_spans" else None
@@ -93,6 +149,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, action:
                 w = Words(data, offsets, ALNUM)
                 hashes = w.hashes
                 for r in range(len(offsets) - 1):
+                    if entries is not None:
+                        windows = Windows((e["k"], e["h"] % (1 << 64), e["words"], e["items"]) for e in entries[first + r].as_py() or ())
                     hit, found, _ = windows.scan(w, hashes, r)
                     a = w.ptr[r]
                     n_words.append(len(hit))
@@ -119,7 +177,6 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, action:
             else:
                 yield batch.filter(pa.array([not x for x in n_hit], pa.bool_()))
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
     return base.mapInArrow(run, f"{names}, {added}" if action == "report" else names)
 
 
