@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import SPACE, U, Words, mix, slices
-from tracemill.llm.labelled import fold, training_rows
+from tracemill.llm.labelled import fit_in_a_task, fold, sample
 
 #: Labelled rows to fit on, at most; hashed features; passes; and the update's alpha, beta, L1 and L2.
 TRAIN_ROWS, BUCKETS, PASSES = 10_000, 1 << 18, 3
@@ -75,42 +75,44 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([np.zeros(0, np.int64), *out_f]), np.concatenate([np.zeros(0), *out_v]), np.array(ptr)
 
 
-def fit(rows: list[tuple[str, int]], shift: float = 0.0) -> tuple[np.ndarray, float]:
-    """Weights and offset. Without rows of both labels the offset says the only label, or 0.5 without rows."""
+def step(z: np.ndarray, n: np.ndarray, f: np.ndarray, v: np.ndarray, y: int) -> None:
+    """One follow-the-regularised-leader update, per coordinate, with a text's features f, their values v and label y."""
+    zf, nf = z[f], n[f]
+    root = np.sqrt(nf)
+    w = np.where(np.abs(zf) > L1, -(zf - np.sign(zf) * L1) / ((BETA + root) / ALPHA + L2), 0.0)
+    g = (1 / (1 + np.exp(-max(-30.0, min(30.0, float(w @ v))))) - y) * v
+    z[f] = zf + g - (np.sqrt(nf + g * g) - root) / ALPHA * w
+    n[f] = nf + g * g
+
+
+def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
+    """Weights and offset, which is a feature of all texts. Without rows of both labels the offset says the only label, or 0.5."""
     y = [r[1] for r in rows]
     if len(set(y)) < 2:
         return np.zeros(BUCKETS, np.float32), 0.0 if not y else 8.0 * (2 * y[0] - 1)
     docs = []
     for first, data, offsets in slices(pa.array([r[0] for r in rows], pa.string())):
         f, v, ptr = features(data, offsets)
-        docs += [(f[ptr[i] : ptr[i + 1]], v[ptr[i] : ptr[i + 1]], y[first + i]) for i in range(len(ptr) - 1)]
-    z, n, bias, bias_n = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 1.0
+        docs += [(np.append(f[ptr[i] : ptr[i + 1]], BUCKETS), np.append(v[ptr[i] : ptr[i + 1]], 1.0), y[first + i]) for i in range(len(ptr) - 1)]
+    z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     order = np.random.default_rng(5)
     for _ in range(PASSES):
         for i in order.permutation(len(docs)):
-            f, v, label = docs[i]
-            zf, nf = z[f], n[f]
-            root = np.sqrt(nf)
-            w = np.where(np.abs(zf) > L1, -(zf - np.sign(zf) * L1) / ((BETA + root) / ALPHA + L2), 0.0)
-            p = 1 / (1 + np.exp(-max(-30.0, min(30.0, float(w @ v) + bias))))
-            g = (p - label) * v
-            z[f] = zf + g - (np.sqrt(nf + g * g) - root) / ALPHA * w
-            n[f] = nf + g * g
-            bias -= ALPHA * (p - label) / np.sqrt(bias_n)
-            bias_n += (p - label) ** 2
+            step(z, n, *docs[i])
     w = np.where(np.abs(z) > L1, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
-    return w.astype(np.float32), float(bias + shift)
+    return w[:BUCKETS].astype(np.float32), float(w[BUCKETS])
 
 
 def quality(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, most: int = TRAIN_ROWS, threshold: float = 0.3) -> DataFrame:
     """docs' columns and score (0 to 1) and predicted (1 if score >= threshold, else 0).
 
     docs: doc_id, text, and any other columns, which stay unless named like an added one, which replaces it; only text
-    is an input of the score. labels: doc_id, quality; rows to learn from are taken from train_docs, or docs. A null
-    or empty text has no features and scores by the offset alone. Empty labels score 0.5 throughout.
+    is an input of the score. labels: doc_id, quality; rows to learn from are taken from train_docs, or docs, as
+    labelled.sample() says. A null or empty text has no features and scores by the offset alone. Empty labels score 0.5
+    throughout. Texts are read whole; repeated rows are scored each; no rows give no rows.
     """
     sc = docs.sparkSession.sparkContext
-    model = sc.broadcast(fit(*training_rows(train_docs if train_docs is not None else docs, labels, "quality", most)))
+    model = sc.broadcast(fit_in_a_task(*sample(train_docs if train_docs is not None else docs, labels, "quality", most), fit))
     base = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
     at = base.columns.index("text")
     names = [*base.columns, "score", "predicted"]
@@ -121,8 +123,9 @@ def quality(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = N
             out = [np.zeros(0)]
             for _, data, offsets in slices(batch.column(at)):
                 f, v, ptr = features(data, offsets)
-                total = np.concatenate(([0.0], np.cumsum(weights[f] * v)))
-                out.append(1 / (1 + np.exp(-np.clip(total[ptr[1:]] - total[ptr[:-1]] + offset, -30, 30))))
+                # each text's sum is of its own products only, so equal texts have equal scores
+                total = np.where(ptr[1:] > ptr[:-1], np.add.reduceat(np.append(weights[f] * v, 0.0), ptr[:-1]), 0.0)
+                out.append(1 / (1 + np.exp(-np.clip(total + offset, -30, 30))))
             scores = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.labelled import fold, sample, share_shift
+from tracemill.llm.labelled import fit_in_a_task, fold, sample
 
 #: Labelled rows to fit on, at most, half of either label where there are as many; hashed subwords; embedding width;
 #: sizes of character n-grams; steps of the fit.
@@ -121,14 +121,6 @@ def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
     return np.where(known, SCALE * (e @ (w[:, 1] - w[:, 0])), np.nan).astype(np.float32), float(b[1] - b[0])
 
 
-def _fit_task(batches: Iterator[pa.RecordBatch], counts: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """The model of the rows, its offset moved to the share of label 1 among all labelled rows, of which counts tells."""
-    rows = [row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-    weights, offset = fit(rows)
-    offset += share_shift(counts, [sum(1 for _, y in rows if y == k) for k in (0, 1)])
-    yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([offset], pa.float64())], ["weights", "offset"])
-
-
 class Scorer:
     def __init__(self, weights: np.ndarray, offset: float):
         self.weights, self.offset, self.known = weights, offset, {}
@@ -152,14 +144,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None =
     """docs' columns and score (0 to 1) and predicted (1 if score >= 0.5, else 0).
 
     docs: doc_id, text, and any other columns, which stay unless named like an added one, which replaces it; only text
-    is an input of the score. labels: doc_id, toxic; rows to learn from are taken from train_docs, or docs. A null or
-    empty text has the score of no words, the model's offset. Empty labels score 0 (nearly) throughout.
+    is an input of the score. labels: doc_id, toxic; rows to learn from are taken from train_docs, or docs, as
+    labelled.sample() says. A null or empty text has the score of no words, the model's offset. Empty labels score 0
+    (nearly) throughout. Texts are read whole; repeated rows are scored each; no rows give no rows.
     """
     sc = docs.sparkSession.sparkContext
     rows, counts = sample(train_docs if train_docs is not None else docs, labels, "toxic", most)
-    # the bounded sample is fitted in one executor's task, which can be run again elsewhere; the driver gets the model
-    fitted = rows.coalesce(1).mapInArrow(lambda batches: _fit_task(batches, counts), "weights binary, offset double").first()
-    model = sc.broadcast((np.frombuffer(fitted[0], np.float32), fitted[1]) if fitted else fit([]))
+    model = sc.broadcast(fit_in_a_task(rows, counts, fit))
     base = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
     at = base.columns.index("text")
     names = [*base.columns, "score", "predicted"]
