@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +30,8 @@ from pyspark.sql import DataFrame
 #: Fixed: white space as Unicode defines it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _NOT_WHITE = regex.compile(f"[^{WHITE}]+")
-#: Distinct chunks of text and arcs that a worker remembers; beyond it starts anew.
-CACHE = 400_000
+#: Distinct chunks of text, words, and transitions that a worker remembers; beyond it starts anew.
+CACHE = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -42,6 +44,24 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+class Recent:
+    """What was asked for of late: two tables of at most ``most`` entries; the older goes when the newer is full."""
+
+    def __init__(self, most: int = CACHE):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
+        self.new[key] = value
+
+
 class Automaton:
     """The merge automaton of a vocabulary (token -> id) and its merges in order of rank."""
 
@@ -115,70 +135,75 @@ class Automaton:
 class Transitions:
     """The automaton over base symbols: numbered states, and the table (state, symbol) -> next state and the token that ends.
 
-    At any place of a word exactly one token ends on the path from the start, or none does yet.
+    At any place of a word exactly one token ends on the path from the start, or none does yet. A symbol is a byte, or 256
+    more for a byte that ends a word.
     """
 
-    #: A symbol is a byte, or a byte that ends a word.
-    SYMBOLS = 512
-
-    def __init__(self, auto: Automaton, tokens: dict[int, list[int]], most: int = CACHE // 2):
+    def __init__(self, auto: Automaton, tokens: dict[int, list[int]], most: int = 2 * CACHE):
         self.auto, self.most = auto, most
         self.child: dict[int, int] = {}
         self.ends, self.sizes = [-1], [0]  # of each node of the tokens' prefix tree: its token, its depth
         for token, symbols in tokens.items():
             at = 0
             for x in symbols:
-                key = at * self.SYMBOLS + x
+                key = at * 512 + x
                 at = self.child.get(key, 0)
                 if not at:
                     at = self.child[key] = len(self.ends)
-                    self.sizes.append(self.sizes[key // self.SYMBOLS] + 1)
+                    self.sizes.append(self.sizes[key // 512] + 1)
                     self.ends.append(-1)
             self.ends[at] = token
+        self.inner = bytearray(len(self.ends))  # whether a longer token goes on from the node
+        for key in self.child:
+            self.inner[key // 512] = 1
         self._start()
 
     def _start(self) -> None:
-        #: Each state's pairs (node of a begun token, token before it or -1), and the number of each such set.
-        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
+        #: Each state's pairs (node of a begun token, token before it plus 1, or 0), and the number of each such set.
+        self.states: list[tuple[int, ...]] = [(0,)]
         self.numbers = {self.states[0]: 0}
         self.table: dict[int, tuple[int, int, int]] = {}
 
     def step(self, state: int, symbol: int) -> tuple[int, int, int]:
         """Works out a transition and stores it: the next state, the token that ends here (-1: none) and its size."""
         token, size, begun = -1, 0, []
-        for node, before in self.states[state]:
-            node = self.child.get(node * self.SYMBOLS + symbol)
+        child, ends, inner, auto, before_bits = self.child, self.ends, self.inner, self.auto, (1 << 20) - 1
+        for pair in self.states[state]:
+            node = child.get((pair >> 20) * 512 + symbol)
             if node is None:
                 continue
-            begun.append((node, before))
-            end = self.ends[node]
-            if end >= 0 and token < 0 and self.auto.made(end) and (before < 0 or self.auto.arc(before, end)):
-                token, size = end, self.sizes[node]
+            before = pair & before_bits
+            if inner[node]:
+                begun.append(node << 20 | before)
+            if token < 0:
+                end = ends[node]
+                if end >= 0 and auto.made(end) and (not before or auto.arc(before - 1, end)):
+                    token, size = end, self.sizes[node]
         if token >= 0:
-            begun.append((0, token))
+            begun.append(token + 1)
         reached = tuple(begun)
         number = self.numbers.get(reached)
         if number is None:
             number = self.numbers[reached] = len(self.states)
             self.states.append(reached)
-        found = self.table[state * self.SYMBOLS + symbol] = number, token, size
+        found = self.table[state * 512 + symbol] = number, token, size
         return found
 
-    def path(self, symbols: list[int]) -> list[int]:
+    def path(self, symbols: Iterable[int]) -> list[int]:
         """The tokens on the path that reads the symbols."""
         if len(self.table) > self.most:
             self._start()
-        state, ends, table = 0, [], self.table
+        state, tokens, sizes, get = 0, [], [], self.table.get
         for x in symbols:
-            found = table.get(state * self.SYMBOLS + x) or self.step(state, x)
-            state = found[0]
-            ends.append(found)
-        out, i = [], len(ends)
-        while i:
-            _, token, size = ends[i - 1]
-            out.append(token)
-            i -= size
-        return out[::-1]
+            state, token, size = get(state * 512 + x) or self.step(state, x)
+            tokens.append(token)
+            sizes.append(size)
+        out, i = [], len(tokens) - 1
+        while i >= 0:
+            out.append(tokens[i])
+            i -= sizes[i]
+        out.reverse()
+        return out
 
 
 class WordBpe:
@@ -203,8 +228,7 @@ class WordBpe:
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
         tokens = {i: x for token, i in self.vocabulary.items() if (x := self._symbols(token, byte_of))}
         self.transitions = Transitions(self.auto, tokens)
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = Recent(), Recent()
 
     def _symbols(self, token: str, byte_of: dict[str, int]) -> list[int] | None:
         """The token's base symbols; none if it has others, as the special ones may."""
@@ -216,22 +240,26 @@ class WordBpe:
 
     def encode_word(self, word: str) -> bytes:
         """The only path of the automaton that reads the word."""
-        symbols = list(word.encode())
-        symbols[-1] += 256
-        return np.array(self.transitions.path(symbols), "<u4").tobytes()
+        raw = word.encode()
+        ids = array("I", self.transitions.path([*raw[:-1], raw[-1] + 256]))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode_chunk(self, chunk: str) -> bytes:
         """A run without white space."""
-        low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
         out = []
-        for word in self.pattern.findall(low):
+        if chunk.isascii():
+            low = chunk.lower()
+            found = [low] if low.isalpha() else self.pattern.findall(low)
+        else:
+            found = self.pattern.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
+        for word in found:
             ids = self.words.get(word)
             if ids is None:
-                if len(self.words) > CACHE:
-                    self.words.clear()
                 ids = self.encode_word(word)
                 if len(word) <= 64:
-                    self.words[word] = ids
+                    self.words.put(word, ids)
             out.append(ids)
         return b"".join(out)
 
@@ -242,15 +270,13 @@ class WordBpe:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        chunks, out = self.chunks, []
+        recent, out = self.chunks, []
         for chunk in _NOT_WHITE.findall(text) if not text.isascii() or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text else text.split():
-            ids = chunks.get(chunk)
+            ids = recent.new.get(chunk) or recent.get(chunk)
             if ids is None:
-                if len(chunks) > CACHE:
-                    chunks.clear()
                 ids = self.encode_chunk(chunk)
                 if len(chunk) <= 64:
-                    chunks[chunk] = ids
+                    recent.put(chunk, ids)
             out.append(ids)
         return b"".join(out)
 
