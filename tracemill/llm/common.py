@@ -250,6 +250,13 @@ def parity_sketch(values: np.ndarray, starts: np.ndarray, words: int) -> np.ndar
     return out
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows, so that what a worker makes of them is small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for consecutive rows of about CHUNK_BYTES; null is empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import ALNUM, Words, Workspace, distinct, fresh, shingle, slices
+from tracemill.llm.common import ALNUM, Words, Workspace, distinct, fresh, parts, shingle, slices
 
 WINDOW = 10
 #: The benchmark's texts may have so many bytes in all to be broadcast, some 200 MB as a table of windows; beyond it windows
@@ -139,7 +139,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, action:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = table.value
-        for batch in batches:
+        for batch in parts(batches):
             entries = batch.column(len(own)) if not small else None
             batch = batch.select(own) if not small else batch
             n_words, n_hit, items, spans = [], [], [], []

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import BROADCAST_ROWS, SPACE, Words, Workspace, distinct, doc_columns, fresh, list_array, mix, parity_sketch, shingle, slices
+from tracemill.llm.common import BROADCAST_ROWS, SPACE, Words, Workspace, distinct, doc_columns, fresh, list_array, mix, parity_sketch, parts, shingle, slices
 from tracemill.llm.components import apart, bucket_components, pack, place_of, size_of
 
 #: Document frequencies are counted in so many cells; any order of the tokens gives right results, so a shared cell costs only speed.
@@ -114,7 +114,7 @@ def _joined(docs: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = frequency.value
-        for batch in batches:
+        for batch in parts(batches):
             sizes, keys, counts, tokens = [], [], [], [np.zeros(0, np.uint64)]
             seconds, thirds, lengths, sketches = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], ([], []), np.zeros((len(batch), SKETCH), np.uint64)
             for r, s in _sets(batch.column(1), k):

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import BROADCAST_ROWS, SPACE, Runs, U, Words, Workspace, distinct, fresh, list_array, mix, parity_sketch, ranges, shingle, slices
+from tracemill.llm.common import BROADCAST_ROWS, SPACE, Runs, U, Words, Workspace, distinct, fresh, list_array, mix, parity_sketch, parts, ranges, shingle, slices
 from tracemill.llm.components import apart, bucket_components
 
 SHINGLE, PERCENT = 5, 80
@@ -289,7 +289,7 @@ def _contexts(kept: DataFrame, far: int) -> DataFrame:
     """class, proof, before, after: the words around anchors, as 32-bit hashes. kept: text and at, their (class, proof, place, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for first, data, offsets in slices(batch.column(0)):
                 p = Paragraphs(data, offsets, sentences=False)
                 lists = batch.column(1).slice(first, len(offsets) - 1)
@@ -471,7 +471,7 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     added = ["n_removed", "removed_words", "same_as"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             removed, words, same, new = [0] * len(batch), [0] * len(batch), [[]] * len(batch), {}
             marks = batch.column(len(own))
             rows = np.flatnonzero(np.asarray(marks.is_valid()))

@@ -29,7 +29,7 @@ RATE, DECAY, SCALE, POWER = 0.1, 1e-4, 6.0, 0.5
 LEAST_TEXTS = 4
 #: Longer runs of letters and digits are words of so many, each of which has the last characters of the one before it.
 LONGEST, OVERLAP = 64, 16
-CACHE = 500_000
+CACHE = 200_000
 _WORDS = re.compile(r"[^\W_]+")
 
 
