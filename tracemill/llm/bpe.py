@@ -228,7 +228,13 @@ class WordBpe:
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
         tokens = {i: x for token, i in self.vocabulary.items() if (x := self._symbols(token, byte_of))}
         self.transitions = Transitions(self.auto, tokens)
+        self.forget()
+
+    def forget(self) -> None:
+        """Gives back what has been remembered: workers live on with other work."""
         self.chunks, self.words = Recent(), Recent()
+        self.transitions._start()
+        self.auto.arcs = {}
 
     def _symbols(self, token: str, byte_of: dict[str, int]) -> list[int] | None:
         """The token's base symbols; none if it has others, as the special ones may."""
@@ -333,6 +339,7 @@ def _run(docs: DataFrame, path: str, digests: bool, decode: bool) -> DataFrame:
                         b.append(words)
                 columns = [pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())] if digests else [pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.string())]
                 yield pa.RecordBatch.from_arrays([*kept, *columns], [*own, *added])
+        t.forget()
 
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[: len(own)]]
     kinds = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else ["token_ids array<int>", "decoded_text string"]

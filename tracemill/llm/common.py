@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 #: So many rows of a few longs, about 15 MB as a hash table, may be broadcast; beyond that a join shuffles both sides.
 BROADCAST_ROWS = 250_000
-#: With this setting Spark deletes a query's shuffle files when it ends, and not when the driver happens to collect garbage.
-TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written, Spark deletes a query's shuffle files when it ends, and not when the driver happens to collect
+#: garbage; and passes texts to Python in batches of a few MB, so that neither side of a task holds ten thousand of them.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,12 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(TIDY)
-    spark.conf.set(TIDY, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(TIDY, before)
+        for k, v in before.items():
+            spark.conf.set(k, v.removesuffix("b"))
 
 
 class Workspace:
