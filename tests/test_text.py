@@ -31,7 +31,8 @@ def test_scores_clamp_and_strict_context(spark):
 
 def test_surface_predicates(spark, t):
     assert column(spark, ["All good.", "no stop", "é ok", "123", ""], T.all_lowercase(t)) == [False, True, True, False, False]
-    assert column(spark, ["x.", "x", "  ", "x) "], T.no_terminal_punct(t)) == [False, True, False, False]
+    assert column(spark, ["x.", "x", "  ", "x) "], T.no_terminal_punct(t)) == [False, True, False, True]
+    assert column(spark, ["a:", "b;", "c]", 'd"', "e`", "f…", "g!", "h?  \n"], T.no_terminal_punct(t)) == [True] * 5 + [False] * 3
     assert column(spark, ["is it", "it is", "really?"], T.is_question(t)) == [True, False, True]
     assert column(spark, ["see /usr/bin/x", "a/b", "~/x", "C:\\x"], T.has_path(t)) == [True, False, True, True]
     assert column(spark, ["hi 😀", "hi"], T.has_emoji(t)) == [True, False]

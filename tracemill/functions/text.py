@@ -53,7 +53,7 @@ APPROVAL = "go ahead do it yes yep sure ok okay proceed try again continue ship
 STOP_WORDS = """the a an and or of to in on for is are be it this that with as at by from i you we they he she can could should
 would will do does did please""".split()
 ARCHETYPES = ["disfluent-runon", "long-plan-paste", "path-paste", "terse-poll", "approval-nudge", "question", "coding-ask"]
-TERMINAL = r"[.!?:;)\]}\"'`…]"
+TERMINAL = "[.!?…]"
 SECRET_HIGH = [
     ("aws_access_key", r"\bAKIA[0-9A-Z]{16}\b"),
     ("private_key_block", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),

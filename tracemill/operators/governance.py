@@ -75,8 +75,8 @@ def pair_problems(records: DataFrame) -> DataFrame:
     """
     g = records.groupBy("pair_id").agg(
         F.count("*").alias("n"), F.countDistinct("candidate").alias("c"), F.bool_or(F.col("rung").startswith("local")).alias("l"), F.bool_or(F.col("rung") == "frontier").alias("f"),
-        *[(F.countDistinct(k) + F.max(F.col(k).isNull().cast("int"))).alias(f"_{k}") for k in PAIR_FIELDS])
-    reasons = F.array(F.when(F.col("n") > F.col("c"), "repeated candidate"), F.when(~F.coalesce("l", F.lit(False)), "no local"), F.when(~F.coalesce("f", F.lit(False)), "no frontier"), *[F.when(F.col(f"_{k}") > 1, f"differs: {k}") for k in PAIR_FIELDS])
+        *[(F.min(F.xxhash64(k)) != F.max(F.xxhash64(k))).alias(f"_{k}") for k in PAIR_FIELDS])
+    reasons = F.array(F.when(F.col("n") > F.col("c"), "repeated candidate"), F.when(~F.coalesce("l", F.lit(False)), "no local"), F.when(~F.coalesce("f", F.lit(False)), "no frontier"), *[F.when(F.col(f"_{k}"), f"differs: {k}") for k in PAIR_FIELDS])
     return g.select("pair_id", F.array_compact(reasons).alias("reasons"))
 
 

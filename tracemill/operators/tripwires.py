@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -35,15 +36,18 @@ def canonical_call(name: Column, args_json: Column) -> Column:
     return F.sha1(F.concat(name, F.lit(":"), tidy).cast("binary"))
 
 
-@F.udf(StringType())
-def sorted_json(text: str | None) -> str | None:
+@F.pandas_udf(StringType())
+def sorted_json(text: pd.Series) -> pd.Series:
     """JSON with sorted keys at every depth, which built-in functions cannot do; null for what is not JSON."""
     import json
 
-    try:
-        return json.dumps(json.loads(text), sort_keys=True)
-    except (TypeError, ValueError):
-        return None
+    def one(x: str | None) -> str | None:
+        try:
+            return json.dumps(json.loads(x), sort_keys=True)
+        except (TypeError, ValueError):
+            return None
+
+    return text.map(one)
 
 
 def loops(calls: DataFrame, repeats: int = LOOP_REPEATS, window: int = LOOP_WINDOW) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FLOOR, MOST, LEAST, HALF_LIFE_S, THRESHOLD, COLD, GRADUATION = 0.75, 12, 5, 30 * 86400.0, 0.5, 8, 300
-BROADCAST_ROWS = 200_000
+#: Rows of a block of vectors, at most, and of the slices in which a block is multiplied.
+BLOCK_ROWS, SLICE_ROWS = 20_000, 500
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -36,7 +37,7 @@ def earlier_pairs(rows: DataFrame, floor: float = FLOOR) -> DataFrame:
     import numpy as np
 
     n = rows.count()
-    blocks = max(1, min(64, n // 500))
+    blocks = max(1, min(n // 500, max(64, n // BLOCK_ROWS)))
     cuts = sorted(set(rows.agg(F.percentile_approx("ts", [i / blocks for i in range(1, blocks)] or [0.5], 10000)).first()[0] or []))
     number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col("ts")))
     placed = rows.select("route_id", "vec", "ts", number.alias("block"))
@@ -48,10 +49,14 @@ def earlier_pairs(rows: DataFrame, floor: float = FLOOR) -> DataFrame:
         if not len(t) or not len(o):
             return pd.DataFrame({"target": [], "neighbor": [], "sim": []})
         x, y = (np.array(v.tolist(), np.float64) for v in (t.vec, o.vec))
-        sim = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
-        sim[o.ts.to_numpy()[None, :] >= t.ts.to_numpy()[:, None]] = -2
-        i, j = np.nonzero(sim >= floor)
-        return pd.DataFrame({"target": t.route_id.to_numpy()[i], "neighbor": o.route_id.to_numpy()[j], "sim": sim[i, j]})
+        x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
+        found = []
+        for at in range(0, len(x), SLICE_ROWS):
+            sim = x[at : at + SLICE_ROWS] @ y.T
+            sim[o.ts.to_numpy()[None, :] >= t.ts.to_numpy()[at : at + SLICE_ROWS, None]] = -2
+            i, j = np.nonzero(sim >= floor)
+            found.append(pd.DataFrame({"target": t.route_id.to_numpy()[i + at], "neighbor": o.route_id.to_numpy()[j], "sim": sim[i, j]}))
+        return pd.concat(found)
 
     return left.unionByName(right).groupBy("block", "other").applyInPandas(product, "target long, neighbor long, sim double")
 

@@ -30,7 +30,7 @@ WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
 TOKENS = f"list_transform({WORDS}, lambda w: lower(trim(w, '.,!?:;()[]\"''')))"
 WC = f"len({WORDS})"
 LOWER = "(regexp_matches(text, '\\p{L}') AND text = lower(text))"
-NO_PUNCT = f"(regexp_replace(text, '\\s+$', '') <> '' AND NOT regexp_matches(regexp_replace(text, '\\s+$', ''), {quote(T.TERMINAL + '$')}))"
+NO_PUNCT = "(regexp_replace(text, '\\s+$', '') <> '' AND right(regexp_replace(text, '\\s+$', ''), 1) NOT IN ('.', '!', '?', '…'))"
 QUESTION = f"(contains(text, '?') OR coalesce(list_contains({strings(T.QUESTION_WORDS)}, {TOKENS}[1]), false))"
 PATH = "(regexp_matches(text, '(/Users/|/home/|~/|[A-Za-z]:\\\\)') OR regexp_matches(text, '(/[\\w.\\-]+){2,}'))"
 DISFLUENT = f"list_has_any({TOKENS}, {strings(T.DISFLUENCY)})"
