@@ -27,6 +27,8 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from tracemill.llm.common import parts
+
 #: Fixed: white space as Unicode defines it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _NOT_WHITE = regex.compile(f"[^{WHITE}]+")
@@ -322,23 +324,21 @@ def _run(docs: DataFrame, path: str, digests: bool, decode: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(SparkFiles.get(name))
-        for batch in batches:
-            for first in range(0, len(batch), 500):
-                part = batch.slice(first, 500)
-                kept = part.columns[: len(own)]
-                counts, a, b = [], [], []
-                for text in part.column(at).to_pylist():
-                    ids = t.encode(text or "")
-                    words = t.decode(ids) if decode else None
-                    counts.append(len(ids) // 4)
-                    if digests:
-                        a.append(hashlib.sha256(ids).hexdigest())
-                        b.append(hashlib.sha256(words.encode()).hexdigest())
-                    else:
-                        a.append(np.frombuffer(ids, "<u4").astype(np.int32))
-                        b.append(words)
-                columns = [pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())] if digests else [pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.string())]
-                yield pa.RecordBatch.from_arrays([*kept, *columns], [*own, *added])
+        for part in parts(batches, 500):
+            kept = part.columns[: len(own)]
+            counts, a, b = [], [], []
+            for text in part.column(at).to_pylist():
+                ids = t.encode(text or "")
+                words = t.decode(ids) if decode else None
+                counts.append(len(ids) // 4)
+                if digests:
+                    a.append(hashlib.sha256(ids).hexdigest())
+                    b.append(hashlib.sha256(words.encode()).hexdigest())
+                else:
+                    a.append(np.frombuffer(ids, "<u4").astype(np.int32))
+                    b.append(words)
+            columns = [pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())] if digests else [pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.string())]
+            yield pa.RecordBatch.from_arrays([*kept, *columns], [*own, *added])
         t.forget()
 
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[: len(own)]]

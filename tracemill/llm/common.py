@@ -19,8 +19,11 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
-#: So many rows of a few longs, about 15 MB as a hash table, may be broadcast; beyond that a join shuffles both sides.
-BROADCAST_ROWS = 250_000
+#: So many rows of a few longs, some 4 MB as a hash table, may be broadcast; beyond that a join shuffles both sides. Many
+#: such tables live on the driver at once, until it collects its garbage.
+BROADCAST_ROWS = 50_000
+#: So many rows for each task may be hashed in it; beyond that both sides are sorted.
+HASHED_ROWS = 250_000
 #: While a table is written, Spark deletes a query's shuffle files when it ends, and not when the driver happens to collect
 #: garbage; and passes texts to Python in batches of a few MB, so that neither side of a task holds ten thousand of them.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
@@ -83,7 +86,7 @@ class Workspace:
         rows = self.rows(table)
         if rows <= most:
             return F.broadcast(table)
-        return table.hint("shuffle_hash") if rows <= most * int(self.spark.conf.get("spark.sql.shuffle.partitions")) else table
+        return table.hint("shuffle_hash") if rows <= HASHED_ROWS * int(self.spark.conf.get("spark.sql.shuffle.partitions")) else table
 
     def forget(self, *tables: DataFrame | None) -> None:
         """Deletes written tables that nothing will read again."""
@@ -258,6 +261,7 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

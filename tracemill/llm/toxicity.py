@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.common import parts
 from tracemill.llm.labelled import fit_in_a_task, fold, sample
 
 #: Labelled rows to fit on, at most, half of either label where there are as many; hashed subwords; embedding width;
@@ -157,11 +158,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
-        for batch in batches:
-            for first in range(0, len(batch), 500):
-                part = batch.slice(first, 500)
-                scores = [float(scorer.score(t)) for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names)
+        for part in parts(batches, 500):
+            scores = [float(scorer.score(t)) for t in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names)
 
     return base.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "score double", "predicted int"]))
 
