@@ -95,3 +95,25 @@ def test_stream_drops_repeated_events(spark, tmp_path):
     q = ST.once(ST.event_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("once").count() == 5
+
+
+def test_history_appends_once(spark):
+    import pytest
+
+    schema = "seq long, snapshot_id string, payload string, previous_sha256 string, entry_sha256 string"
+    report = lambda s, p: spark.createDataFrame([(s, p)], "snapshot_id string, payload string")
+    first = G.next_entries(spark.createDataFrame([], schema), report("a", "x"))
+    assert [(r.seq, r.previous_sha256) for r in first.collect()] == [(0, None)]
+    history = spark.createDataFrame(first.select("seq", "snapshot_id", "payload", "previous_sha256", "entry_sha256").collect(), schema)
+    second = G.next_entries(history, report("b", "y")).first()
+    assert (second.seq, second.previous_sha256) == (1, history.first().entry_sha256)
+    assert G.next_entries(history, report("a", "x")).count() == 0
+    with pytest.raises(Exception, match="different evidence"):
+        G.next_entries(history, report("a", "z")).collect()
+
+
+def test_taxonomy_rows(spark):
+    rows = [(1, "D-FND-001", "d", "Accepted", "D1 Code", "e"), (2, "D-FND-003", "d", "Accepted", "D1 Code", "e"), (3, "D-FND-001", "d", "Gone", "D1 Code", ""), (4, "X-1", "d", "Accepted", "D1 Code", "e"), (5, "D-ZZZ-001", None, "Accepted", None, "e"), (6, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "line int, id string, decision string, state string, maturity string, evidence string")
+    got = {r.line: r.reasons for r in G.taxonomy_problems(df, "D").collect()}
+    assert got == {2: ["number does not follow"], 3: ["repeated id", "unknown state", "empty cell", "number does not follow"], 4: ["malformed id"], 5: ["unknown bucket", "unknown maturity", "empty cell"], 6: ["malformed id"]}

@@ -258,3 +258,12 @@ def parse_verdict(content: Column, derive: bool = True) -> Column:
     tier = F.when(tier.isin(*TIERS), tier)
     said = F.lower(F.coalesce(F.get_json_object(block, "$.needs_frontier"), F.nullif(F.regexp_extract(text_of(content), r"(?i)needs_frontier\W+(true|false)", 1), F.lit(""))))
     return F.struct(tier.alias("tier"), ((tier == "hard") if derive else F.when(said.isin("true", "false"), said == "true")).alias("needs_frontier"))
+
+
+#: What an embedder wants before a text that is stored, and before one that is looked up.
+STORED, LOOKED_UP = "search_document: ", "search_query: "
+
+
+def for_embedding(text: Column, query: bool = False) -> Column:
+    """The text as an embedder wants it; null stays null."""
+    return F.concat(F.lit(LOOKED_UP if query else STORED), text)

@@ -147,12 +147,40 @@ def change_violations(paths: Column, allowed: list[str], forbidden: list[str], m
         F.when(F.exists(paths, lambda p: ~hit(p, allowed)) if allowed else F.lit(False), "path not allowed"), F.when((F.size(paths) > 0) & F.forall(paths, is_test_path), "tests only")))
 
 
-def taxonomy_problems(rows: DataFrame, buckets: list[str]) -> DataFrame:
-    """Problems of a decision table: unknown buckets, ids that repeat or leave gaps. rows: number, bucket."""
-    w = Window.orderBy("number")  # a hand-written table
-    n = rows.withColumn("i", F.row_number().over(w))
-    reasons = F.array_compact(F.array(F.when(~F.col("bucket").isin(*buckets), "unknown bucket"), F.when(F.col("i") != F.col("number"), "ids not contiguous")))
-    return n.select("number", reasons.alias("reasons")).where(F.size("reasons") > 0)
+#: The buckets of the decision table, in order, the states of a decision and its levels.
+BUCKETS = ("FND", "SEM", "SAF", "RTG", "CAS", "MEM", "LRN", "EVL", "OPS")
+STATES = ("Proposed", "Accepted", "Deferred", "Rejected", "Superseded")
+LEVELS = ("D0 Design", "D1 Code", "D2 Tested", "D3 Shadow", "D4 Pilot", "D5 Graduated")
+
+
+def taxonomy_problems(rows: DataFrame, prefix: str) -> DataFrame:
+    """line, reasons of the rows of a decision table that have any: a malformed or repeated id, an unknown bucket, state or
+    level, an empty cell, and a number that doesn't follow its bucket's last one (from 1 on).
+
+    rows: line, id (<prefix>-<bucket>-<three digits>), decision, state, maturity, evidence. Null cells are empty.
+    """
+    form = rf"^{prefix}-([A-Z]{{3}})-(\d{{3}})$"
+    bucket, number = F.regexp_extract("id", form, 1), F.regexp_extract("id", form, 2)
+    w = Window.partitionBy("_bucket").orderBy("line")
+    r = rows.withColumns({"id": F.coalesce("id", F.lit("")), "_bucket": F.coalesce(bucket, F.lit(""))})
+    r = r.withColumns({"_number": F.coalesce(number, F.lit("")).try_cast("int"), "_i": F.row_number().over(w), "_again": F.row_number().over(Window.partitionBy("id").orderBy("line")) > 1})
+    good, known = F.col("_bucket") != "", F.col("_bucket").isin(*BUCKETS)
+    out = lambda c, allowed: good & ~F.coalesce(F.col(c).isin(*allowed), F.lit(False))
+    empty = (F.coalesce("decision", F.lit("")) == "") | (F.coalesce("evidence", F.lit("")) == "")
+    reasons = F.array_compact(F.array(
+        F.when(~good, "malformed id"), F.when(good & F.col("_again"), "repeated id"), F.when(good & ~known, "unknown bucket"), F.when(out("state", STATES), "unknown state"),
+        F.when(out("maturity", LEVELS), "unknown maturity"), F.when(good & empty, "empty cell"), F.when(known & (F.col("_number") != F.col("_i")), "number does not follow")))
+    return r.select("line", reasons.alias("reasons")).where(F.size("reasons") > 0)
+
+
+def broken_links(lines: DataFrame, paths: DataFrame) -> DataFrame:
+    """target of each local Markdown link, once, whose file isn't among the paths; web and mail links and anchors are none.
+
+    lines: value; paths: path, as the links write it.
+    """
+    found = lines.select(F.explode(F.regexp_extract_all("value", F.lit(r"\]\(([^)]+)\)"), F.lit(1))).alias("target")).distinct()
+    local = found.withColumn("path", F.split("target", "#")[0]).where("path <> '' AND NOT contains(path, '://') AND NOT startswith(path, 'mailto:')")
+    return local.join(paths.select("path"), "path", "left_anti").select("target")
 
 
 def canonical_sha256(value: object) -> str:
@@ -163,6 +191,25 @@ def chain_entry(payload: Column, previous: Column) -> Column:
     return F.sha2(F.concat_ws("\n", F.coalesce(previous, F.lit("")), payload), 256)
 
 
+def next_entries(history: DataFrame, reports: DataFrame) -> DataFrame:
+    """The rows that an append of one report adds to a history: one, or none where its snapshot is there already.
+
+    reports: snapshot_id, payload, one row. A known snapshot with another payload fails the job.
+    """
+    last = history.agg(F.max("seq").alias("_seq"), F.max_by("entry_sha256", "seq").alias("_last"))  # one row
+    known = history.select("snapshot_id", F.col("payload").alias("_payload"))
+    r = reports.join(F.broadcast(reports.select("snapshot_id").join(known, "snapshot_id")), "snapshot_id", "left").crossJoin(F.broadcast(last))
+    differs = F.raise_error(F.concat(F.lit("snapshot maps to different evidence: "), "snapshot_id")).cast("boolean")
+    new = F.when(F.col("_payload").isNull(), True).when(F.col("_payload") == F.col("payload"), False).otherwise(differs)
+    return r.where(new).select((F.coalesce("_seq", F.lit(-1)) + 1).alias("seq"), "snapshot_id", "payload", F.col("_last").alias("previous_sha256"), chain_entry(F.col("payload"), F.col("_last")).alias("entry_sha256"))
+
+
+def not_finite(rows: DataFrame) -> DataFrame:
+    """rows that an append of JSON refuses, with fields: the names of their columns that are infinite or not a number."""
+    bad = [F.when(F.isnan(c) | F.col(c).isin(float("inf"), float("-inf")), F.lit(c)) for c, t in rows.dtypes if t in ("float", "double")]
+    return rows.withColumn("fields", F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")).where(F.size("fields") > 0)
+
+
 def chain_problems(history: DataFrame) -> DataFrame:
     """Entries that break the chain: seq, reasons. history: seq, snapshot_id, payload, previous_sha256, entry_sha256.
 

@@ -94,6 +94,14 @@ def over_budget(responses: DataFrame, max_tokens: int | None = None, max_seconds
     return r.withColumn("reason", F.when(by_tokens, "tokens").when(by_time, "wall_clock")).where("reason IS NOT NULL")
 
 
+def interrupts(said: DataFrame) -> DataFrame:
+    """Messages of the user, of which one text begins with the note of an interruption; the first is a hit already.
+
+    said: turn, ordinal, texts (array<string>; a null is no text).
+    """
+    return said.where(F.exists("texts", lambda t: F.coalesce(t.startswith(INTERRUPT), F.lit(False))))
+
+
 def first_hit(hits: DataFrame) -> DataFrame:
     """The first hit of each turn; later ones change nothing. hits: turn, ordinal, name."""
     return hits.groupBy("turn").agg(F.min_by("name", F.struct("ordinal", "name")).alias("name"), F.min("ordinal").alias("ordinal"))
@@ -133,6 +141,18 @@ def episode_boundary(turns: DataFrame, order: list[str]) -> DataFrame:
     return t.withColumn("score", score).withColumn("boundary", F.col("score") >= 3).drop("_files")
 
 
+def evidence_so_far(results: DataFrame, hits: DataFrame) -> DataFrame:
+    """results with what is known of the turn by then: errors, strikes (failed edits), and fired, the first hit's name once it is there.
+
+    results: turn, ordinal, is_error, content; hits: turn, ordinal, name.
+    """
+    error = F.coalesce(F.col("is_error"), F.lit(False))
+    failed = error & F.contains(F.coalesce("content", F.lit("")), F.lit(EDIT_MARKER))
+    first = first_hit(hits).select("turn", F.col("name").alias("_name"), F.col("ordinal").alias("_at"))
+    r = results.withColumns({"errors": F.sum(error.cast("int")).over(_so_far()), "strikes": F.sum(failed.cast("int")).over(_so_far())})
+    return r.join(first, "turn", "left").withColumn("fired", F.when(F.col("_at") <= F.col("ordinal"), F.col("_name"))).drop("_name", "_at")
+
+
 def idle_sessions(touches: DataFrame, now: Column, ttl_s: float = 14_400.0) -> DataFrame:
     """Sessions whose last touch is ttl_s or more ago: reported, never evicted."""
     return touches.groupBy("session_id").agg(F.max("ts").alias("last")).where(now - F.col("last") >= ttl_s)

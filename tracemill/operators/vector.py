@@ -87,6 +87,18 @@ def votes(near: DataFrame, least: int = LEAST, half_life_s: float = HALF_LIFE_S,
     return v.select("target", "neighbors", "hard_fraction", F.when(F.col("hard_fraction") >= THRESHOLD, "frontier").otherwise("local").alias("verdict"), F.least(F.lit(1.0), F.abs(F.col("hard_fraction") - THRESHOLD) / max(THRESHOLD, 1 - THRESHOLD)).alias("confidence"), "hard")
 
 
+def warm(voted: DataFrame, outcomes: DataFrame, least: int = COLD) -> DataFrame:
+    """The votes, or none while fewer than ``least`` outcomes are closed. outcomes: status."""
+    closed = outcomes.agg((F.count_if(F.col("status").isin("closed_turn", "closed_final")) >= least).alias("_warm"))  # one row
+    return voted.crossJoin(F.broadcast(closed)).where("_warm").drop("_warm")
+
+
+def graduation(confused: DataFrame, least: int = GRADUATION) -> DataFrame:
+    """confusion() with evaluated, missing (decisions still wanted) and sufficient."""
+    n = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    return confused.withColumns({"evaluated": n, "missing": F.greatest(F.lit(least) - n, F.lit(0)), "sufficient": n >= least})
+
+
 def confusion(voted: DataFrame, targets: int) -> DataFrame:
     """Counts, coverage, accuracy and recall of the votes; 0 where there is nothing to divide by."""
     from tracemill.functions.stats import ratio

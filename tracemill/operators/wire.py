@@ -5,7 +5,7 @@ body is the request's JSON as a string; null or invalid JSON, or anything but an
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIDECAR_TOKENS, SIDECAR_MESSAGES, PREWARM_TOKENS = 8192, 2, 2
@@ -108,3 +108,12 @@ def last_user_text(body: Column) -> Column:
 def previous_interrupted(body: Column) -> Column:
     """Whether one of the last three messages tells of an interruption by the user."""
     return F.exists(F.slice(_messages(body), F.greatest(F.size(_messages(body)) - 2, F.lit(1)), 3), lambda m: F.contains(F.to_json(m), F.lit("[Request interrupted by user")))
+
+
+def wrong_openers(captures: DataFrame, simulated: DataFrame) -> DataFrame:
+    """session_id and label of the simulator's sessions whose first conversational request is no user turn.
+
+    captures: session_id, seq, label; simulated: session_id.
+    """
+    first = captures.where(F.col("label").isin("user_turn", "continuation")).groupBy("session_id").agg(F.min_by("label", "seq").alias("label"))
+    return first.join(simulated.select("session_id").distinct(), "session_id", "left_semi").where("label <> 'user_turn'")

@@ -10,13 +10,19 @@ KNOWN_TYPES = ("user", "assistant", "system", "attachment", "summary", "file-his
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """source_path, mtime, project, session_id, kind, agent_id, and value, the line, with line_no within its file."""
+    """source_path, mtime, project, file_session, kind, agent_id, workflow_id, line_no and line of the transcripts below root.
+
+    <project>/<session>.jsonl is a main transcript, <project>/<session>/subagents/**/agent-<id>.jsonl one of a subagent; other
+    files are none. A file comes as one value, so the longest transcript has to fit into a task.
+    """
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root, wholetext=True)
     p = F.col("_metadata.file_path")
-    base = raw.select(
-        p.alias("source_path"), F.col("_metadata.file_modification_time").alias("mtime"), F.regexp_extract(p, r"([^/]+)/[^/]+\.jsonl$", 1).alias("project"),
-        F.regexp_extract(p, r"([^/]+)\.jsonl$", 1).alias("file_session"), F.when(F.contains(p, F.lit("/subagents/")), "subagent").otherwise("main").alias("kind"),
-        F.nullif(F.regexp_extract(p, r"/agent-([^/]+)\.jsonl$", 1), F.lit("")).alias("agent_id"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    sub = r"/([^/]+)/([^/]+)/subagents/(?:.*/)?agent-([^/]+)\.jsonl$"
+    is_sub, part = F.contains(p, F.lit("/subagents/")), lambda i: F.regexp_extract(p, sub, i)
+    base = raw.where(~is_sub | p.rlike(sub)).select(
+        p.alias("source_path"), F.col("_metadata.file_modification_time").alias("mtime"), F.when(is_sub, part(1)).otherwise(F.regexp_extract(p, r"([^/]+)/[^/]+\.jsonl$", 1)).alias("project"),
+        F.when(is_sub, part(2)).otherwise(F.regexp_extract(p, r"([^/]+)\.jsonl$", 1)).alias("file_session"), F.when(is_sub, "subagent").otherwise("main").alias("kind"),
+        F.when(is_sub, part(3)).alias("agent_id"), F.nullif(F.regexp_extract(p, r"/(wf_[^/]+)/", 1), F.lit("")).alias("workflow_id"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     return base.where(F.trim("line") != "")
 
 
@@ -38,8 +44,8 @@ def parse(lines: DataFrame) -> DataFrame:
     get = lambda k, t="string": F.try_variant_get("v", f"$.{k}", t)
     return df.withColumn("status", status).select(
         *lines.columns, "status", F.coalesce(get("type"), F.lit("<missing>")).alias("type"), get("uuid").alias("uuid"), get("parentUuid").alias("parent_uuid"),
-        F.coalesce(get("sessionId"), "file_session").alias("session_id"), get("promptId").alias("prompt_id"), get("timestamp").alias("ts"), get("version").alias("version"), get("subtype").alias("subtype"),
-        get("durationMs", "double").alias("duration_ms"), get("isMeta", "boolean").alias("is_meta"), get("isSidechain", "boolean").alias("is_sidechain"), get("isCompactSummary", "boolean").alias("is_compact_summary"),
+        F.coalesce(get("sessionId"), "file_session").alias("session_id"), get("promptId").alias("prompt_id"), get("timestamp").alias("ts"), get("version").alias("version"), get("gitBranch").alias("git_branch"), get("subtype").alias("subtype"),
+        get("durationMs", "double").alias("duration_ms"), get("messageCount", "double").alias("message_count"), get("toolUseResult").alias("tool_use_result"), get("isMeta", "boolean").alias("is_meta"), get("isSidechain", "boolean").alias("is_sidechain"), get("isCompactSummary", "boolean").alias("is_compact_summary"),
         get("origin.kind").alias("origin_kind"), get("message.id").alias("message_id"), get("message.model").alias("model"), get("message.stop_reason").alias("stop_reason"),
         get("message.usage.input_tokens", "long").alias("input_tokens"), get("message.usage.output_tokens", "long").alias("output_tokens"), get("message.usage.cache_read_input_tokens", "long").alias("cache_read_tokens"),
         get("message.usage.cache_creation_input_tokens", "long").alias("cache_creation_tokens"), _blocks(F.col("v")).alias("blocks"))
