@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tracemill.llm import bpe, chat, decontaminate, langid, ngram_join, order_minhash, quality, sharding, substring_dedup, toxicity
+from tracemill.llm import bpe, chat, decontaminate, langid, merkle, mixing, ngram_join, order_minhash, quality, sharding
+from tracemill.llm import substring_dedup, toxicity, trie
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,6 +16,14 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_language": langid.op10_language,
+    "op11_manifest": merkle.op11_manifest,
+    "op12_mixing": mixing.op12_mixing,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 
-ORACLE_SQL = {"op5_chat": chat.ORACLE, "op7_decontamination": decontaminate.ORACLE}
+ORACLE_SQL = {
+    "op5_chat": chat.ORACLE,
+    "op7_decontamination": decontaminate.ORACLE,
+    "op11_manifest": merkle.ORACLE,
+    "op13_prefix_trie": trie.ORACLE,
+}
