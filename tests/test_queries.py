@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tracemill import queries_records, queries_rules  # noqa: F401, they add to QUERIES
+from tracemill import queries_records, queries_rules, queries_state  # noqa: F401, they add to QUERIES
 from tracemill.queries import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

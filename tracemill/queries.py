@@ -536,7 +536,11 @@ def hash_chain_check(spark, d):
     return G.chain_problems(h)
 
 
-@query()
+@query("""WITH g AS (SELECT *, event_type = 'signup' AS fired, coalesce(value > 290, false) AS pin, event_type = 'purchase' AS boundary, CASE WHEN event_type = 'error' THEN 'cheap_cloud' ELSE 'local' END AS rung FROM events),
+p AS (SELECT *, row_number() OVER v - 1 AS turn_index, bool_or(pin) OVER v AS pinned, sum(boundary::INT) OVER v AS episode FROM g WINDOW v AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, first_value(CASE WHEN fired AND NOT pinned THEN rung END IGNORE NULLS) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fired_on, bool_or(fired AND NOT pinned) OVER v AS escalated, count_if(fired) OVER v AS strikes
+  FROM p WINDOW v AS (PARTITION BY user_id, episode ORDER BY ts, event_id))
+SELECT event_id, user_id AS session_id, turn_index, CASE WHEN pinned THEN 'local' WHEN fired_on = 'local' THEN 'frontier' WHEN fired_on IS NOT NULL THEN fired_on ELSE rung END AS route, pinned, coalesce(escalated, false) AS escalated, CAST(strikes AS BIGINT) AS strikes FROM s""")
 def stream_session_state(spark, d):
     """The batch twin of the streaming operator, over all events."""
     from tracemill.streaming.sessions import session_state_batch

@@ -1,0 +1,139 @@
+"""Queries over state: evidence against the ledger, real streams and sinks, health, walks and order statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tracemill.operators import reconcile as RC
+from tracemill.plans import model as M
+from tracemill.plans import shared
+from tracemill.plans import traffic as X
+from tracemill.queries import query
+from tracemill.sources import transcripts as SRC
+
+# --- evidence against the ledger -------------------------------------------------------------------------------------
+_LEDGER = """led AS (SELECT *, 'r' || o_orderkey AS route_id, CASE WHEN o_orderpriority = '5-LOW' THEN 'simulator' ELSE 'organic' END AS src, epoch(o_orderdate) AS ts, CASE o_orderstatus WHEN 'F' THEN 'classifier' WHEN 'O' THEN 'middle_default' END AS layer,
+  'v' || (o_custkey % 3) AS policy, CASE WHEN o_totalprice > 150000 THEN 'frontier' ELSE 'local' END AS rung, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS success, CASE WHEN o_custkey % 5 > 0 THEN 'tests' END AS verifier,
+  CASE WHEN o_orderstatus = 'O' AND o_custkey % 2 = 0 THEN 'task_capability' END AS cause, CASE WHEN o_custkey % 4 > 0 THEN o_totalprice / 1e6 END AS quality, CASE WHEN o_custkey % 7 > 0 THEN 0.95e0 END AS confidence FROM orders)"""
+_CONTEXT = """ctx AS (SELECT l.*, o.*, 'e' || l_orderkey || '-' || l_linenumber AS evidence_id, CAST(l_discount * 100 AS INT) AS dd, CAST(round(l_tax * 100) AS INT) AS tt, CAST(l_quantity AS INT) AS q FROM lineitem l JOIN led o ON o.o_orderkey = l.l_orderkey)"""
+
+
+def _ledger(spark, d):
+    o, c = M.table(spark, d, "orders"), F.col
+    k = c("o_custkey")
+    return o.select(
+        "o_orderkey", F.concat(F.lit("r"), "o_orderkey").alias("route_id"), F.when(c("o_orderpriority") == "5-LOW", "simulator").otherwise("organic").alias("source"), (F.unix_date(c("o_orderdate").cast("date")) * 86400).cast("double").alias("ts"),
+        F.when(c("o_orderstatus") == "F", "classifier").when(c("o_orderstatus") == "O", "middle_default").alias("layer"), F.concat(F.lit("v"), (k % 3).cast("string")).alias("policy_version"), F.when(c("o_totalprice") > 150000, "frontier").otherwise("local").alias("rung"),
+        F.when(c("o_orderstatus") == "F", True).when(c("o_orderstatus") == "O", False).alias("verified_success"), F.when(k % 5 > 0, "tests").alias("verifier_source"), F.when((c("o_orderstatus") == "O") & (k % 2 == 0), "task_capability").alias("verification_failure_cause"),
+        F.when(k % 4 > 0, c("o_totalprice") / 1e6).alias("quality_score"), F.when(k % 7 > 0, F.lit(0.95)).alias("verifier_confidence"),
+        F.format_string('{"verb_class":"fix","verb_score":0.5,"broad_scope":false,"narrow_scope":true,"context_tokens":%d,"turn_index":0,"recent_errors":%d,"recent_edit_failures":0,"prev_turn_interrupted":false,"privacy_pinned":false}', k, k % 4).alias("features_json"),
+        F.format_string('{"verb_class":"fix","verb_score":0.5,"broad_scope":false,"narrow_scope":true,"context_tokens":%d,"turn_index":0,"recent_errors":%d,"recent_edit_failures":0,"prev_turn_interrupted":false}', k, k % 4).alias("_canonical"),
+    )
+
+
+@query(f"""WITH {_LEDGER}, {_CONTEXT},
+x AS (SELECT *, CASE WHEN dd = 0 THEN 'other' WHEN dd = 1 THEN NULL ELSE src END AS c_src, CASE WHEN tt = 8 THEN ts + 1 WHEN tt = 7 THEN NULL ELSE ts END AS c_ts, CASE WHEN dd = 2 THEN 'privacy' WHEN dd = 3 THEN coalesce(layer, 'classifier') ELSE layer END AS c_layer,
+  CASE WHEN dd = 4 THEN 'v9' ELSE policy END AS c_policy, CASE WHEN dd = 5 THEN NULL ELSE rung END AS c_rung, CASE q WHEN 17 THEN NOT success WHEN 18 THEN NULL ELSE success END AS c_success, CASE q WHEN 19 THEN 'other' ELSE verifier END AS c_verifier,
+  CASE q WHEN 20 THEN NULL WHEN 21 THEN 'unknown' ELSE cause END AS c_cause, CASE q WHEN 22 THEN quality + 0.5e0 WHEN 23 THEN NULL WHEN 24 THEN coalesce(quality, 1e0) ELSE quality END AS c_quality, CASE q WHEN 25 THEN 0.5e0 ELSE confidence END AS c_confidence FROM ctx),
+y AS (SELECT *, o_custkey % 50 = 7 AS lost, q <> 16 AS has,
+  row_number() OVER (PARTITION BY evidence_id ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS nth, (dd, tt, q) = first_value((dd, tt, q)) OVER (PARTITION BY evidence_id ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS same FROM x WHERE NOT (l_returnflag = 'A' AND q = 28)),
+z AS (SELECT CASE WHEN lost THEN 'context' ELSE 'both' END AS side, evidence_id, route_id, list_filter([
+  CASE WHEN nth > 1 THEN CASE WHEN same THEN 'repeated' ELSE 'conflicting' END END, CASE WHEN q = 26 THEN 'unknown schema' END, CASE WHEN NOT EXISTS (SELECT 1 FROM ctx e WHERE e.evidence_id = y.evidence_id AND e.q <> 27) THEN 'no event' END, CASE WHEN lost THEN 'no route' END,
+  CASE WHEN NOT lost AND c_src IS DISTINCT FROM src THEN 'differs: source' END, CASE WHEN NOT lost AND c_ts IS DISTINCT FROM ts THEN 'differs: ts' END, CASE WHEN NOT lost AND c_layer IS DISTINCT FROM layer THEN 'differs: layer' END, CASE WHEN NOT lost AND c_policy IS DISTINCT FROM policy THEN 'differs: policy' END,
+  CASE WHEN NOT lost AND c_rung IS DISTINCT FROM rung THEN 'differs: rung' END, CASE WHEN tt = 6 THEN 'differs: contract' END, CASE WHEN tt = 5 THEN 'differs: feature schema' END, CASE WHEN NOT lost AND q = 13 THEN 'differs: features' END,
+  CASE WHEN q = 14 THEN 'no hash: repository_sha256' END, CASE WHEN q = 15 THEN 'no hash: verification_plan_sha256' END, CASE WHEN NOT has THEN 'no result' END, CASE WHEN NOT lost AND has AND c_success IS DISTINCT FROM success THEN 'differs: success' END,
+  CASE WHEN NOT lost AND has AND c_verifier IS DISTINCT FROM verifier THEN 'differs: verifier' END, CASE WHEN NOT lost AND has AND c_cause IS DISTINCT FROM cause THEN 'differs: cause' END, CASE WHEN NOT lost AND has AND c_quality IS DISTINCT FROM quality THEN 'differs: quality' END,
+  CASE WHEN NOT lost AND has AND c_confidence IS DISTINCT FROM confidence THEN 'differs: confidence' END], lambda r: r IS NOT NULL) AS reasons FROM y)
+SELECT side, evidence_id, route_id, array_to_string(reasons, '; ') AS reasons FROM z
+UNION ALL SELECT 'ledger', evidence_id, ANY_VALUE(route_id), 'no context' FROM ctx WHERE q <> 27 AND evidence_id NOT IN (SELECT evidence_id FROM y) GROUP BY evidence_id""")
+def evidence_reconciliation(spark, d):
+    """Line items as contexts of their order's ledger row, off in one field or another by their own values."""
+    c, led = F.col, _ledger(spark, d)
+    li = M.table(spark, d, "lineitem").join(led.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    li = li.withColumns({"evidence_id": F.concat(F.lit("e"), "l_orderkey", F.lit("-"), "l_linenumber"), "dd": F.round(c("l_discount") * 100).cast("int"), "tt": F.round(c("l_tax") * 100).cast("int"), "q": c("l_quantity").cast("int")})
+    null = F.lit(None)
+    q, dd, tt = c("q"), c("dd"), c("tt")
+    verification = F.struct(
+        F.when(q == 17, ~c("verified_success")).when(q == 18, null).otherwise(c("verified_success")).alias("task_success"), F.when(q == 19, "other").otherwise(c("verifier_source")).alias("verifier_source"),
+        F.when(q == 20, null).when(q == 21, "unknown").otherwise(c("verification_failure_cause")).alias("failure_cause"), F.when(q == 22, c("quality_score") + 0.5).when(q == 23, null).when(q == 24, F.coalesce("quality_score", F.lit(1.0))).otherwise(c("quality_score")).alias("quality_score"),
+        F.when(q == 25, 0.5).otherwise(c("verifier_confidence")).alias("confidence"))
+    contexts = li.where(~((c("l_returnflag") == "A") & (q == 28))).select(
+        F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("seq"), F.when(q == 26, "v0").otherwise(RC.SCHEMA).alias("schema_version"), "evidence_id", "route_id", F.when(dd == 0, "other").when(dd == 1, null).otherwise(c("source")).alias("decision_source"),
+        F.when(tt == 8, c("ts") + 1).when(tt == 7, null).otherwise(c("ts")).alias("decision_ts"), F.when(dd == 2, "privacy").when(dd == 3, F.coalesce("layer", F.lit("classifier"))).otherwise(c("layer")).alias("decision_layer"), F.when(dd == 4, "v9").otherwise(c("policy_version")).alias("policy_version"),
+        F.when(dd == 5, null).otherwise(c("rung")).alias("selected_rung"), F.when(tt == 6, "other").otherwise("c1").alias("learning_contract_version"), F.when(tt == 5, null).otherwise("f1").alias("feature_schema_version"),
+        F.sha2(F.when(q == 13, "other").otherwise(c("_canonical")), 256).alias("features_sha256"), F.when(q == 14, "none").otherwise(F.sha2("route_id", 256)).alias("repository_sha256"), F.when(q != 15, F.sha2(F.lit("plan"), 256)).alias("verification_plan_sha256"),
+        F.when(q != 16, verification).alias("verification"), F.struct("dd", "tt", "q").alias("made_of"))
+    rows = RC.reconcile(contexts, led.where("o_orderkey IS NOT NULL").join(M.table(spark, d, "orders").where("o_custkey % 50 <> 7").select("o_orderkey"), "o_orderkey").drop("o_orderkey", "_canonical"), li.where("q <> 27"), "c1", "f1")
+    return rows.withColumn("reasons", F.array_join("reasons", "; "))
+
+
+# --- the store of sessions as a stream -------------------------------------------------------------------------------
+_HELD_BACK, _TTL_S = 11, 86_400
+
+
+@query(f"""WITH b AS (SELECT *, epoch_ms(ts) // 3600000 * 3600000 + 3600000 AS ends FROM events),
+w AS (SELECT epoch_ms(max(ts)) - 4 * 3600000 AS wm FROM b WHERE event_id % {_HELD_BACK} <> 3),
+e AS (SELECT b.* FROM b, w WHERE event_id % {_HELD_BACK} <> 3 OR epoch_ms(ts) > wm),
+g AS (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > {_TTL_S}000000, true) AS fresh, event_type = 'signup' AS fired, coalesce(value > 290, false) AS pin, event_type = 'purchase' AS boundary,
+  CASE WHEN event_type = 'error' THEN 'cheap_cloud' ELSE 'local' END AS rung FROM e),
+l AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS life FROM g),
+p AS (SELECT *, row_number() OVER v - 1 AS turn_index, bool_or(pin) OVER v AS pinned, sum(boundary::INT) OVER v AS episode FROM l WINDOW v AS (PARTITION BY user_id, life ORDER BY ts, event_id)),
+s AS (SELECT *, first_value(CASE WHEN fired AND NOT pinned THEN rung END IGNORE NULLS) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fired_on, bool_or(fired AND NOT pinned) OVER v AS escalated,
+  count_if(fired AND value < 100) OVER v AS low, count_if(fired AND coalesce(value >= 100, true)) OVER v AS high, len(list_distinct(list(props) OVER v)) AS files FROM p WINDOW v AS (PARTITION BY user_id, life, episode ORDER BY ts, event_id))
+SELECT event_id, user_id AS session_id, turn_index, CASE WHEN pinned THEN 'local' WHEN fired_on = 'local' THEN 'frontier' WHEN fired_on IS NOT NULL THEN fired_on ELSE rung END AS route, pinned, coalesce(escalated, false) AS escalated, CAST(episode AS BIGINT) AS episode,
+  concat_ws(',', CASE WHEN high > 0 THEN 'high:' || high END, CASE WHEN low > 0 THEN 'low:' || low END) AS strikes, files FROM s""")
+def session_store_stream(spark, d):
+    """Events through the store in two runs of one stream: the second has late ones, copies, and one of a later year."""
+    from tracemill.streaming import store
+
+    k, i = F.col("event_type"), F.col("event_id")
+    e = M.table(spark, d, "events").select(
+        i, F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("value") < 100, "low").otherwise("high").alias("kind"), F.when(k == "error", "cheap_cloud").otherwise("local").alias("rung"), (k == "signup").alias("fired"),
+        F.coalesce(F.col("value") > 290, F.lit(False)).alias("pin"), (k == "purchase").alias("boundary"), F.col("props").alias("file"))
+    root = shared.folder(spark, "sessions")
+    at = {n: f"{root}/{n}" for n in ("events", "out", "checkpoint")}
+    back = i % _HELD_BACK == 3
+    e.where(~back).unionByName(e.where(~back & (i % 7 == 0))).write.parquet(at["events"])
+    store.run_once(spark, at["events"], at["out"], at["checkpoint"], ttl_s=_TTL_S)
+    # a year later: its event moves the watermark beyond all others, and its own slice stays open
+    values = {"event_id": F.lit(-1), "session_id": F.lit(-1), "ts": F.lit("2030-01-01"), "fired": F.lit(False), "pin": F.lit(False), "boundary": F.lit(False)}
+    last = spark.range(1).select(*[values.get(c, F.lit(None)).cast(t).alias(c) for c, t in e.dtypes])
+    e.where(back | (i % 13 == 0)).unionByName(last).write.mode("append").parquet(at["events"])
+    store.run_once(spark, at["events"], at["out"], at["checkpoint"], ttl_s=_TTL_S)
+    return spark.read.schema(store.OUT).parquet(at["out"])
+
+
+# --- transcripts from files ------------------------------------------------------------------------------------------
+#: The lines of write_files() with their place in their file.
+_LINES = f"""{X.ITEMS}, a AS (SELECT o, n, CASE k WHEN 'open' THEN 'user' WHEN 'result' THEN 'user' ELSE k END AS type, 'ok' AS status, 'u' || o || '-' || n AS uuid, 0 AS again, n AS pos FROM k
+UNION ALL SELECT o, n, CASE k WHEN 'open' THEN 'user' WHEN 'result' THEN 'user' ELSE k END, 'ok', 'u' || o || '-' || n, 1, n FROM k WHERE o % 7 = 0
+UNION ALL SELECT o, n, CASE WHEN n < 3 THEN '<missing>' ELSE 'novel' END, CASE n WHEN 1 THEN 'bad' WHEN 2 THEN 'not_object' ELSE 'ok' END, NULL, 0, n + 100000 FROM k WHERE o % 11 = 0),
+f AS (SELECT *, CASE WHEN again = 1 THEN 'copies' ELSE 'work' END AS project, CASE WHEN o % 16 >= 12 THEN 's0' ELSE 's' || (o % 16) END AS file_session, CASE WHEN o % 16 >= 12 THEN CAST(o % 16 AS VARCHAR) END AS agent_id FROM a),
+p AS (SELECT *, sum(CASE WHEN pos = 1 THEN 2 ELSE 1 END) OVER (PARTITION BY again, o % 16 ORDER BY o, pos) - CASE WHEN pos = 1 THEN 2 ELSE 1 END AS line_no FROM f)"""
+
+
+@query(f"WITH {_LINES} SELECT project, file_session, agent_id, CAST(line_no AS BIGINT) AS line_no, type, status, uuid FROM p")
+def transcript_files(spark, d):
+    """Lines of files in the shared folder by their places, blank ones between them, read in splits."""
+    from tracemill.sources import lines
+
+    root = shared.folder(spark, "transcripts")
+    X.write_files(spark, d, f"{root}/files")
+    rows = SRC.parse(lines.layout(lines.numbered_lines(spark, f"{root}/files", root)))
+    return rows.select("project", "file_session", "agent_id", "line_no", "type", "status", "uuid")
+
+
+@query(f"""WITH {_LINES} SELECT (SELECT count(*) FROM (SELECT DISTINCT project, file_session, agent_id FROM p)) AS files, (SELECT count(*) FROM (SELECT DISTINCT project, file_session FROM p WHERE agent_id IS NULL)) AS main_files, count(*) AS lines,
+  count(*) FILTER (WHERE status <> 'ok') AS bad_lines, count(*) FILTER (WHERE uuid IS NULL AND status = 'ok') + count(DISTINCT uuid) AS records, count(uuid) - count(DISTINCT uuid) AS duplicates,
+  (SELECT string_agg(status, ',' ORDER BY o, pos) FROM p WHERE status <> 'ok' AND o % 16 = 5) AS aside FROM p""")
+def transcript_parse_stats(spark, d):
+    """What a read of the files counts, and the lines of one session that it puts aside."""
+    from tracemill.sources import lines
+
+    root = shared.folder(spark, "transcripts")
+    X.write_files(spark, d, f"{root}/files")
+    found = lines.read(spark, f"{root}/files", f"{root}/read")
+    one = found.bad().where("source_path LIKE '%/work/s5.jsonl'").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "status"))), lambda x: x["status"]), ",").alias("aside"))
+    counts = [F.lit(v).cast("long").alias(k) for k, v in found.stats.items()]
+    return one.select(*counts, F.nullif("aside", F.lit("")).alias("aside"))
