@@ -219,6 +219,28 @@ def test_a_language_is_learned_from_a_bounded_sample(frame):
     assert len(by["en"]) == 50 and 0 < sum(len(t) for t in by["de"]) <= 1000
 
 
+def test_copies_and_long_texts_cost_only_themselves(spark, frame):
+    """A row that is repeated very often is one row of a sample; a text over the bytes leaves the others in."""
+    rows = frame([(i, f"the cat {i}", "en") for i in range(400)] + [(5000 + i, f"der hund {i}", "de") for i in range(60)], "doc_id long, text string, lang string")
+    copies = spark.range(200_000).select(F.lit(9999).cast("long").alias("doc_id"), F.lit("one row").alias("text"), F.lit("en").alias("lang"))
+    found = [r.lang for r in langid._learned(rows.unionByName(copies), 50, 100_000).collect()]
+    assert found.count("en") == 50 and found.count("de") == 50
+    # bytes for most but not for one of them, whatever its place by hash
+    for k in range(10):
+        long_one = frame([(7000 + k, "lang " * 1000, "de")], "doc_id long, text string, lang string")
+        again = [r.lang for r in langid._learned(rows.unionByName(long_one), 50, 1000).collect()]
+        assert again.count("en") == 50 and again.count("de") == 50
+    docs = frame([(i, "y" * 2000 if i % 7 == 0 else f"text {i}") for i in range(280)])
+    labels = frame([(i, i % 2) for i in range(280)] * 3, "doc_id long, toxic int")
+    picked, counts = labelled.sample(docs, labels, "toxic", 100, 1000)
+    got = picked.collect()
+    assert min(sum(r.y == y for r in got) for y in (0, 1)) >= 35 and all(len(r.text) < 100 for r in got)
+    assert sum(counts.values()) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(280))
+    # one id with very many texts is one row
+    many = docs.unionByName(spark.range(100_000).select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text")))
+    assert min(sum(r.y == y for r in labelled.sample(many, labels, "toxic", 100, 100_000)[0].collect()) for y in (0, 1)) == 50
+
+
 def test_language_of_held_out_rows(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
     rows = langid.op10_language(spark, SF).collect()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.labelled import fold
+from tracemill.llm.labelled import fold, within_bytes
 
 #: Rows of a language to fit on, at most, and bytes of their texts; rounds; the count added to every piece.
 TRAIN_ROWS, TRAIN_BYTES, ROUNDS, ADDED = 1_500, 16 << 20, 3, 0.05
@@ -212,16 +212,19 @@ class Scorer:
 
 
 def _learned(learn: DataFrame, most: int, most_bytes: int) -> DataFrame:
-    """(lang, text) of the rows of each language whose ids and texts come first by hash, at most so many and of so many bytes."""
-    key = F.xxhash64("doc_id", "text")
+    """(lang, text) of the rows of each language whose ids and texts come first by hash, at most so many and of so many bytes.
+
+    Rows with one id and text are one; a text that is too long for the bytes is left out alone."""
     known = learn.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    # a share of the rows that holds twice as many as are wanted goes on, so that no task sorts a whole language
-    drawn = known.join(F.broadcast(counts), "lang").withColumn("key", key).where(F.shiftrightunsigned("key", 1) < F.lit(float(1 << 63)) * F.least(F.lit(1.0), F.lit(2.0 * most) / F.col("n")))
-    once = drawn.groupBy("lang", "doc_id", "key").agg(F.min("text").alias("text"))
-    order = Window.partitionBy("lang").orderBy("key", "doc_id")
-    ranked = once.withColumn("k", F.row_number().over(order)).withColumn("bytes", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.where((F.col("k") <= most) & (F.col("bytes") <= most_bytes)).select("lang", "text")
+    known = known.withColumn("key", F.xxhash64("doc_id", "text"))
+    # repeated rows count once; the estimate is off by a few hundredths, the share twice as large as need be
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("key", 0.03).alias("n"))
+    drawn = known.join(F.broadcast(counts), "lang").where(F.shiftrightunsigned("key", 1) < F.lit(float(1 << 63)) * F.least(F.lit(1.0), F.lit(2.0 * most) / F.col("n")))
+    once = drawn.groupBy("lang", "doc_id", "key").agg(F.min("text").alias("text")).withColumn("size", F.octet_length("text"))
+    fit = once.where(F.col("size") <= most_bytes)
+    order = Window.partitionBy("lang").orderBy(F.col("size") > most_bytes // 8, "key", "doc_id")
+    ranked = fit.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    return within_bytes(ranked, "lang", ["key", "doc_id"], most_bytes).select("lang", "text")
 
 
 def language(docs: DataFrame, path: str, learn: DataFrame, most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> DataFrame:
@@ -229,8 +232,8 @@ def language(docs: DataFrame, path: str, learn: DataFrame, most: int = TRAIN_ROW
 
     docs: doc_id, text, and any other columns, which stay unless named like an added one, which replaces it; only text
     is an input of the prediction. learn: rows (doc_id, text, lang) to learn from; null languages and texts are
-    ignored; of each language the ``most`` rows that come first by a hash are taken, as far as their texts have
-    ``most_bytes``; each is fitted in a task of its own, and the driver gets one number for each piece and language. A
+    ignored; of each language the ``most`` distinct rows that come first by a hash are taken, as far as their texts have
+    ``most_bytes`` (a text of more is left out alone); each is fitted in a task of its own, and the driver gets one number for each piece and language. A
     null or empty text, or one without a letter, has und and 0, as has every text if there is nothing to learn from.
     Texts are read whole, words of any length; repeated rows are judged each, and learned from once; of equally likely
     languages the first by name is taken; no rows give no rows.
