@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import stats as S
+from tracemill.operators.scans import Running, running
 
 #: The contract's features (name, type, least, most) and the fields that may not or need not be there.
 VERBS = ("trivial", "explain", "small_edit", "write", "fix", "hard", "unknown")
@@ -213,11 +214,12 @@ def not_finite(rows: DataFrame) -> DataFrame:
 def chain_problems(history: DataFrame) -> DataFrame:
     """Entries that break the chain: seq, reasons. history: seq, snapshot_id, payload, previous_sha256, entry_sha256.
 
-    A history has one entry per snapshot of the whole ledger, so its order is one task's.
+    The entry before each comes with it from a scan over ranges of seq, so a history of any length is many tasks' work.
+    Entries of one seq are taken in order of their hash.
     """
-    w = Window.orderBy("seq")
-    twice = F.count("*").over(Window.partitionBy("snapshot_id")) > 1
-    h = history.withColumn("_before", F.lag("entry_sha256").over(w)).withColumn("_twice", twice)
+    repeated = history.groupBy("snapshot_id").count().where("count > 1").select("snapshot_id", F.lit(True).alias("_twice"))
+    h = running(history.withColumn("_all", F.lit(0)), "_all", ["seq", "entry_sha256"], {"_before": Running("lag", "entry_sha256")}).drop("_all", "nth")
+    h = h.join(repeated, "snapshot_id", "left").withColumn("_twice", F.coalesce("_twice", F.lit(False)))
     reasons = F.array_compact(F.array(F.when(F.col("_twice"), "snapshot repeats"), F.when(~F.col("previous_sha256").eqNullSafe(F.col("_before")), "predecessor differs"), F.when(F.col("entry_sha256") != chain_entry(F.col("payload"), F.col("previous_sha256")), "content differs")))
     return h.select("seq", reasons.alias("reasons")).where(F.size("reasons") > 0)
 

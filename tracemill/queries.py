@@ -19,6 +19,7 @@ from tracemill.operators import reports as RP
 from tracemill.operators import tripwires as TW
 from tracemill.operators import vector as V
 from tracemill.operators import wire as W
+from tracemill.operators.scans import running
 from tracemill.plans import model as M
 from tracemill.plans import sql as Q
 
@@ -529,11 +530,23 @@ def readiness_gates(spark, d):
     return G.gates(c)
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS seq, 'snap' || o_orderkey AS snap, o_orderkey || '|' || o_orderpriority AS payload FROM orders),
+h AS (SELECT seq, snap, payload, NULL::VARCHAR AS prev, sha256(chr(10) || payload) AS entry FROM o WHERE seq % 8 = 0 UNION ALL SELECT o.seq, o.snap, o.payload, h.entry, sha256(h.entry || chr(10) || o.payload) FROM h JOIN o ON o.seq = h.seq + 1 WHERE o.seq % 8 > 0),
+x AS (SELECT seq, CASE WHEN seq % 97 = 3 THEN 'again' ELSE snap END AS snap, CASE WHEN seq % 101 = 5 THEN 'other' ELSE payload END AS payload, prev, entry FROM h WHERE seq % 89 <> 7),
+y AS (SELECT *, lag(entry) OVER (ORDER BY seq) AS before FROM x),
+z AS (SELECT seq, array_to_string(list_filter([CASE WHEN count(*) OVER (PARTITION BY snap) > 1 THEN 'snapshot repeats' END, CASE WHEN prev IS DISTINCT FROM before THEN 'predecessor differs' END, CASE WHEN payload = 'other' THEN 'content differs' END], lambda r: r IS NOT NULL), '; ') AS reasons FROM y)
+SELECT seq, reasons FROM z WHERE reasons <> ''""")
 def hash_chain_check(spark, d):
-    r = M.table(spark, d, "region").select(F.col("r_regionkey").alias("seq"), F.col("r_name").alias("snapshot_id"), F.col("r_name").alias("payload"))
-    h = r.withColumns({"previous_sha256": F.lit(None).cast("string"), "entry_sha256": G.chain_entry(F.col("payload"), F.lit(None).cast("string"))})
-    return G.chain_problems(h)
+    """The orders as entries in chains of eight, each begun anew; some are gone, some have another payload or snapshot."""
+    o = M.table(spark, d, "orders").withColumn("all", F.lit(0))
+    o = running(o, "all", ["o_orderkey"], {}).select((F.col("nth") - 1).alias("seq"), F.concat(F.lit("snap"), "o_orderkey").alias("snapshot_id"), F.concat_ws("|", "o_orderkey", "o_orderpriority").alias("payload"))
+    chains = o.groupBy(F.floor(F.col("seq") / 8)).agg(F.array_sort(F.collect_list(F.struct("seq", "snapshot_id", "payload"))).alias("e"))
+    empty = F.array().cast("array<struct<previous_sha256:string,entry_sha256:string>>")
+    link = lambda done, e: F.concat(done, F.array(F.struct(F.get(done, F.size(done) - 1)["entry_sha256"].alias("previous_sha256"), G.chain_entry(e["payload"], F.get(done, F.size(done) - 1)["entry_sha256"]).alias("entry_sha256"))))
+    chained = chains.withColumn("c", F.aggregate("e", empty, link)).select(F.explode(F.arrays_zip("e", "c")).alias("x")).select("x.e.*", "x.c.*")
+    seq = F.col("seq")
+    odd = chained.where(seq % 89 != 7).withColumns({"snapshot_id": F.when(seq % 97 == 3, "again").otherwise(F.col("snapshot_id")), "payload": F.when(seq % 101 == 5, "other").otherwise(F.col("payload"))})
+    return G.chain_problems(odd).withColumn("reasons", F.array_join("reasons", "; "))
 
 
 @query("""WITH g AS (SELECT *, event_type = 'signup' AS fired, coalesce(value > 290, false) AS pin, event_type = 'purchase' AS boundary, CASE WHEN event_type = 'error' THEN 'cheap_cloud' ELSE 'local' END AS rung FROM events),

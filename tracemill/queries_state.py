@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracemill.operators import health as HL
 from tracemill.operators import reconcile as RC
 from tracemill.plans import model as M
 from tracemill.plans import shared
@@ -137,3 +138,32 @@ def transcript_parse_stats(spark, d):
     one = found.bad().where("source_path LIKE '%/work/s5.jsonl'").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "status"))), lambda x: x["status"]), ",").alias("aside"))
     counts = [F.lit(v).cast("long").alias(k) for k, v in found.stats.items()]
     return one.select(*counts, F.nullif("aside", F.lit("")).alias("aside"))
+
+
+# --- health of the rungs ---------------------------------------------------------------------------------------------
+def _breaker_sql(threshold: int, cooldown: int) -> str:
+    return f"""WITH e AS (SELECT event_id, user_id % 3 AS r, epoch_us(ts) / 1e6 AS t, event_type = 'purchase' AS ok, event_type = 'error' AS bad FROM events),
+a AS (SELECT *, count_if(ok) OVER (PARTITION BY r ORDER BY t, event_id) AS run FROM e),
+b AS (SELECT *, count_if(bad) OVER w AS failures, max(CASE WHEN bad THEN t END) OVER w AS failed FROM a WINDOW w AS (PARTITION BY r, run ORDER BY t, event_id)),
+c AS (SELECT *, coalesce(max(CASE WHEN NOT ok AND NOT bad THEN t END) OVER (PARTITION BY r, run, failures ORDER BY t, event_id) >= failed + {cooldown}, false) AS trial FROM b)
+SELECT event_id, failures, CASE WHEN failures >= {threshold} AND NOT trial THEN failed + {cooldown} ELSE 0e0 END AS retry_after, CASE WHEN failures < {threshold} THEN 'closed' WHEN trial THEN 'half_open' ELSE 'open' END AS state FROM c"""
+
+
+def _rung_events(spark, d):
+    k = F.col("event_type")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return M.table(spark, d, "events").select(
+        F.element_at(F.array(F.lit("local-code"), F.lit("cheap-cloud"), F.lit("frontier")), (F.col("user_id") % 3 + 1).cast("int")).alias("rung"), at.alias("at"), F.col("event_id").alias("seq"),
+        F.when(k == "purchase", "success").when(k == "error", "failure").otherwise("request").alias("kind"))
+
+
+@query(_breaker_sql(1, 900))
+def breaker_states(spark, d):
+    """One failure opens a rung's circuit for a quarter of an hour."""
+    return HL.breaker(_rung_events(spark, d), 1, 900.0).select(F.col("seq").alias("event_id"), "failures", "retry_after", "state")
+
+
+@query(f"SELECT state, failures, count(*) AS events FROM ({_breaker_sql(3, 3600)}) GROUP BY state, failures")
+def breaker_threshold(spark, d):
+    """Three failures in a row for an hour, by state and failures."""
+    return HL.breaker(_rung_events(spark, d), 3, 3600.0).groupBy("state", "failures").agg(F.count("*").alias("events"))
