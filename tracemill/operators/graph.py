@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tracemill.operators.policy import LADDER
+from tracemill.plans import shared
 
 
 def _node(kind: str, key: str) -> Column:
@@ -16,24 +17,37 @@ def project(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of decisions with outcomes: turns, sessions, rungs, rules and trip-wires.
 
     ledger: route_id, session_id, rung, layer, fired_rules (array), status, escalated, tripwire_name. A turn without
-    fired rules has its layer as rule; only closed outcomes give escalated and tripped edges.
+    fired rules has its layer as rule; only closed outcomes give escalated and tripped edges. A decision is read once and
+    gives all its edges; the nodes are those and their ends.
     """
-    rules = F.when(F.size(F.coalesce("fired_rules", F.array())) > 0, F.col("fired_rules")).otherwise(F.array("layer"))
-    ruled = ledger.withColumn("rule", F.explode(rules))
-    up = ledger.where("status LIKE 'closed%' AND escalated").withColumn("to_rung", F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for kv in LADDER.items() for x in kv]), lambda k, v: k == F.col("rung"))), F.lit(0))).where("to_rung IS NOT NULL")
-    tripped = ledger.where("status LIKE 'closed%' AND tripwire_name IS NOT NULL")
-    kinds = [("turn", ledger, "route_id"), ("session", ledger, "session_id"), ("rung", ledger, "rung"), ("rung", up, "to_rung"), ("rule", ruled, "rule"), ("tripwire", tripped, "tripwire_name")]
-    nodes = None
-    for kind, df, key in kinds:
-        part = df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key")).where("key IS NOT NULL")
-        nodes = part if nodes is None else nodes.unionByName(part)
-    nodes = nodes.distinct().select(F.xxhash64("kind", "key").alias("id"), "kind", "key")
-    ends = [("in_session", ledger, "session", "session_id"), ("routed_to", ledger, "rung", "rung"), ("fired", ruled, "rule", "rule"), ("escalated_to", up, "rung", "to_rung"), ("tripped", tripped, "tripwire", "tripwire_name")]
-    edges = None
-    for kind, df, to, key in ends:
-        part = df.where(F.col(key).isNotNull()).select(_node("turn", "route_id").alias("src"), _node(to, key).alias("dst"), F.lit(kind).alias("kind"))
-        edges = part if edges is None else edges.unionByName(part)
-    return nodes, edges.distinct().select(F.xxhash64("src", "dst", "kind").alias("id"), "src", "dst", "kind")
+    c = F.col
+    closed = F.coalesce(c("status").startswith("closed"), F.lit(False))
+    ladder = F.create_map(*[F.lit(x) for pair in LADDER.items() for x in pair])
+    up = F.when(closed & F.coalesce("escalated", F.lit(False)), F.try_element_at(ladder, c("rung")))
+    rules = F.when(F.size(F.coalesce("fired_rules", F.array())) > 0, c("fired_rules")).otherwise(F.array("layer"))
+    end = lambda kind, to, key: F.struct(F.lit(kind).alias("kind"), F.lit(to).alias("to"), key.cast("string").alias("key"))
+    one = F.array(end("in_session", "session", c("session_id")), end("routed_to", "rung", c("rung")), end("escalated_to", "rung", up), end("tripped", "tripwire", F.when(closed, c("tripwire_name"))))
+    ends = F.filter(F.concat(one, F.transform(rules, lambda r: end("fired", "rule", r))), lambda x: x["key"].isNotNull())
+    pairs = ledger.select(c("route_id").cast("string").alias("turn"), ends.alias("ends"))
+    both = pairs.select(F.explode(F.concat(F.array(F.struct(F.lit("turn").alias("kind"), c("turn").alias("key"))), F.transform("ends", lambda x: F.struct(x["to"].alias("kind"), x["key"].alias("key"))))).alias("n"))
+    nodes = both.select("n.*").where("key IS NOT NULL").distinct().select(F.xxhash64("kind", "key").alias("id"), "kind", "key")
+    edges = pairs.select("turn", F.explode("ends").alias("e")).select(_node("turn", "turn").alias("src"), F.xxhash64("e.to", "e.key").alias("dst"), "e.kind").distinct()
+    return nodes, edges.select(F.xxhash64("src", "dst", "kind").alias("id"), "src", "dst", "kind")
+
+
+def add_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges with those of new that they lack, rows of new with reasons why they aren't added).
+
+    new: src, dst, kind. An edge between nodes that are both there is added once, whatever its repetitions; a null kind is
+    none. Ends are looked up by joins, so that neither side is gathered.
+    """
+    known = lambda end: nodes.select(F.col("id").alias(end), F.lit(True).alias(f"has_{end}"))
+    j = new.select("src", "dst", "kind").distinct().join(known("src"), "src", "left").join(known("dst"), "dst", "left")
+    j = j.join(edges.select("src", "dst", "kind", F.lit(True).alias("there")), ["src", "dst", "kind"], "left")
+    reasons = F.array_compact(F.array(F.when(F.col("has_src").isNull(), "no source"), F.when(F.col("has_dst").isNull(), "no target"), F.when(F.col("kind").isNull(), "no kind"), F.when(F.col("there"), "there already")))
+    j = j.withColumn("reasons", reasons)
+    added = j.where(F.size("reasons") == 0).select(F.xxhash64("src", "dst", "kind").alias("id"), "src", "dst", "kind")
+    return edges.unionByName(added), j.where(F.size("reasons") > 0).select("src", "dst", "kind", "reasons")
 
 
 def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
@@ -52,28 +66,50 @@ def neighbors(nodes: DataFrame, edges: DataFrame, start: DataFrame, direction: s
 
 
 def k_hop(edges: DataFrame, start: DataFrame, k: int, direction: str = "both", kinds: list[str] | None = None) -> DataFrame:
-    """(start, id, distance): the least number of steps, at most k, from each start; a start is 0 from itself."""
+    """(start, id, distance): the least number of steps, at most k, from each start; a start is 0 from itself.
+
+    Each round's front is written to one folder, which is also what has been seen: a round reads the edges' table and that
+    folder, whatever the depth, and the walk ends when a front is empty.
+    """
+    spark = edges.sparkSession
     e = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
     out, into = e.select(F.col("src").alias("id"), F.col("dst").alias("to")), e.select(F.col("dst").alias("id"), F.col("src").alias("to"))
-    step = {"out": out, "in": into, "both": out.unionByName(into)}[direction].distinct()
-    seen = start.select(F.col("id").alias("start"), "id", F.lit(0).alias("distance"))
-    front = seen
+    root = shared.folder(spark, "walk")
+    step = shared.written({"out": out, "in": into, "both": out.unionByName(into)}[direction].distinct(), f"{root}/edges")
+    first = start.select(F.col("id").alias("start"), "id", F.lit(0).alias("distance")).distinct()
+    _add_front(first, f"{root}/seen")
     for n in range(1, k + 1):
-        front = front.join(step, "id").select("start", F.col("to").alias("id"), F.lit(n).alias("distance")).distinct().join(seen.select("start", "id"), ["start", "id"], "left_anti")
-        seen = seen.unionByName(front)
-    return seen
+        seen = spark.read.schema(first.schema).parquet(f"{root}/seen")
+        front = seen.where(F.col("distance") == n - 1).join(step, "id").select("start", F.col("to").alias("id")).distinct()
+        front = front.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("distance", F.lit(n))
+        if not _add_front(front, f"{root}/seen"):
+            break
+    return spark.read.schema(first.schema).parquet(f"{root}/seen")
+
+
+def _add_front(rows: DataFrame, path: str) -> int:
+    found = Observation()
+    rows.observe(found, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return found.get["n"]
 
 
 def ancestry(edges: DataFrame, start: DataFrame, max_depth: int = 10, kinds: list[str] | None = None) -> DataFrame:
-    """(start, depth, id): the path along each node's first edge by id; ends at a dead end, a cycle or max_depth."""
+    """(start, depth, id): the path along each node's first edge by id; ends at a dead end, a cycle or max_depth.
+
+    Rounds are written as those of k_hop(); a path carries its at most max_depth nodes.
+    """
+    spark = edges.sparkSession
     e = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
-    first = e.groupBy("src").agg(F.min_by("dst", "id").alias("to"))
-    path = start.select(F.col("id").alias("start"), "id", F.array("id").alias("seen"))
-    out = path.select("start", F.lit(0).alias("depth"), "id")
+    root = shared.folder(spark, "walk")
+    first = shared.written(e.groupBy(F.col("src").alias("id")).agg(F.min_by("dst", "id").alias("to")), f"{root}/first")
+    path = start.select(F.col("id").alias("start"), F.lit(0).alias("depth"), "id", F.array("id").alias("seen"))
+    _add_front(path, f"{root}/paths")
     for n in range(1, max_depth + 1):
-        path = path.join(first, F.col("id") == F.col("src")).where(~F.array_contains("seen", F.col("to"))).select("start", F.col("to").alias("id"), F.array_append("seen", F.col("to")).alias("seen"))
-        out = out.unionByName(path.select("start", F.lit(n).alias("depth"), "id"))
-    return out
+        at = spark.read.schema(path.schema).parquet(f"{root}/paths").where(F.col("depth") == n - 1)
+        on = at.join(first, "id").where(~F.array_contains("seen", F.col("to")))
+        if not _add_front(on.select("start", F.lit(n).alias("depth"), F.col("to").alias("id"), F.array_append("seen", F.col("to")).alias("seen")), f"{root}/paths"):
+            break
+    return spark.read.schema(path.schema).parquet(f"{root}/paths").select("start", "depth", "id")
 
 
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -84,6 +120,3 @@ def first_k(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
     """The first k rows of each group."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
 
-
-def registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LADDER.items()), "rung string, next_rung string")
