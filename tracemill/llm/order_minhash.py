@@ -4,8 +4,10 @@ A text's k-mers are pairs of neighbouring words, numbered by occurrence. For eac
 are put back into text order and hashed as a pair. Texts agree under an order if they share the minimal k-mers and their
 sequence, so the likeness follows edits and moves, not only the set of words.
 
-Of a text with fewer than SHORT k-mers the orders are those of 64 hashes. Of one with LONG or more they are those of one
-hash within 64 bins, which costs a 64th and is alike for so many k-mers. A text between the two has both.
+The orders are those of one hash on a circle from 64 points on: from each point the next two k-mers clockwise. That costs
+a 64th of 64 hashes and is defined alike for texts of any length, so any two can be compared. A short text has few k-mers
+between the points, so its 64 orders say little more than as many as it has k-mers; one of fewer than SHORT has the orders
+of 64 hashes as well, which two such texts are compared by. Both estimate the same likeness.
 """
 
 from __future__ import annotations
@@ -15,9 +17,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bins are 2 ** BIN_BITS; a k-mer's place takes PLACE_BITS, enough for 67 million words in a text.
+#: Points are 2 ** BIN_BITS; a k-mer's place takes PLACE_BITS, enough for 67 million words in a text.
 BIN_BITS, PLACE_BITS = 6, 26
-LONG, SHORT = 128, 256
+SHORT = 256
 
 
 def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -49,20 +51,25 @@ def numbered(text: Column) -> Column:
     return F.sort_array(_bind(F.sort_array(kmers), occurrences))
 
 
-def _binned(s: Column) -> Column:
-    """bin * 2**32 + hash for each bin with a k-mer, in order of bins."""
-    shift = 64 - BIN_BITS
-    bin_of = lambda x: F.shiftrightunsigned(x, shift)
+def _ring(s: Column) -> Column:
+    """point * 2**32 + hash for each of the 64 points: of the two k-mers at or after it on the circle of hashes.
 
-    def tuples(t: Column) -> Column:
-        def one(x: Column, j: Column) -> Column:
-            y = F.get(t, j + 1)
-            pair = _ordered(x, F.when(bin_of(y) == bin_of(x), y))
-            return F.when((j == 0) | (bin_of(x) != bin_of(F.get(t, j - 1))), F.shiftleft(bin_of(x), 32).bitwiseOR(F.shiftrightunsigned(pair, 32)))
+    s is sorted as signed numbers, which is clockwise from the point of the least of them.
+    """
+    half = 1 << (BIN_BITS - 1)
+    arc = lambda j: F.shiftright(F.get(s, j), 64 - BIN_BITS).cast("int")
+    opens = F.filter(F.transform(s, lambda x, j: F.when((j == 0) | (arc(j) != arc(j - 1)), j)), lambda j: j.isNotNull())
+
+    def points(o: Column) -> Column:
+        # the points since the arc before the one of k-mer j lead to it; those after the last arc with one to the first
+        lead = F.flatten(F.transform(o, lambda j, k: F.array_repeat(j, arc(j) - F.coalesce(arc(F.get(o, k - 1)), F.lit(-half - 1)))))
+        return F.concat(lead, F.array_repeat(F.lit(0), half - 1 - arc(F.size(s) - 1)))
 
-        return F.filter(F.transform(t, one), lambda v: v.isNotNull())
+    def pair(j: Column, b: Column) -> Column:
+        after = F.when(F.size(s) > 1, F.get(s, (j + 1) % F.size(s)))
+        return F.shiftleft(b.cast("long"), 32).bitwiseOR(F.shiftrightunsigned(_ordered(F.get(s, j), after), 32))
 
-    return _bind(F.filter(s, lambda x, j: (j < 2) | (bin_of(x) != bin_of(F.get(s, j - 2)))), tuples)
+    return _bind(_bind(opens, points), lambda p: F.transform(p, pair))
 
 
 def _hashed(s: Column) -> Column:
@@ -78,30 +85,29 @@ def _hashed(s: Column) -> Column:
 
 
 def signature(text: Column) -> Column:
-    """struct<n: k-mers, short: array<long>, long: array<long>>, either null where the text's length rules it out."""
+    """struct<n: k-mers, short: array<long>, ring: array<long>>, null without words; short also from SHORT k-mers on."""
 
     def both(s: Column) -> Column:
         n = F.size(s)
-        return F.struct(n.alias("n"), F.when((n > 0) & (n < SHORT), _hashed(s)).alias("short"), F.when(n >= LONG, _binned(s)).alias("long"))
+        return F.struct(n.alias("n"), F.when((n > 0) & (n < SHORT), _hashed(s)).alias("short"), F.when(n > 0, _ring(s)).alias("ring"))
 
     return _bind(numbered(text), both)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of the orders under which two signatures agree, of those that both have, in bins of those filled in either.
+    """The share of the 64 orders under which two signatures agree: of 64 hashes if both are of short texts, or of the circle.
 
-    1 for two empty ones. Two that have no kind of order in common are of texts one of which is twice as long as the
-    other, or more, and count as 0.
+    1 for two empty ones, 0 for an empty one and another.
     """
-    share = lambda x, y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(F.transform(x, lambda v: F.shiftrightunsigned(v, 32)), F.transform(y, lambda v: F.shiftrightunsigned(v, 32))))
-    of = lambda kind: a[kind].isNotNull() & b[kind].isNotNull()
-    return F.when((a["n"] == 0) & (b["n"] == 0), F.lit(1.0)).when(of("short"), share(a["short"], b["short"])).when(of("long"), share(a["long"], b["long"])).otherwise(F.lit(0.0))
+    share = lambda x, y: F.size(F.array_intersect(x, y)) / float(1 << BIN_BITS)
+    short = a["short"].isNotNull() & b["short"].isNotNull()
+    return F.when((a["n"] == 0) & (b["n"] == 0), F.lit(1.0)).when(short, share(a["short"], b["short"])).when((a["n"] > 0) & (b["n"] > 0), share(a["ring"], b["ring"])).otherwise(F.lit(0.0))
 
 
 def as_text(s: Column) -> Column:
     """Both kinds as hex, with a comma between; the empty text for a text without words."""
     part = lambda kind: F.coalesce(F.array_join(F.transform(s[kind], lambda x: F.lpad(F.lower(F.hex(x)), 10, "0")), ""), F.lit(""))
-    return F.when(s["n"] == 0, F.lit("")).otherwise(F.concat(part("short"), F.lit(","), part("long")))
+    return F.when(s["n"] == 0, F.lit("")).otherwise(F.concat(part("short"), F.lit(","), part("ring")))
 
 
 def _bucket(bounds: list[int]) -> Column:
@@ -122,8 +128,8 @@ def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     points replaced by the first as many, or all, of the next document's, in descending doc_id, after the last the
     first. Rows of one doc_id follow each other by the hash of their text; a null doc_id comes last; a single row is
     its own next. A null text is empty; texts without words have an empty fingerprint, and two such are alike (1.0).
-    Two texts of which one has fewer than 128 words and the other 256 or more are not alike (0.0). A text may have 67
-    million words; of a longer one places repeat, which only changes the order of far k-mers. No rows give no rows.
+    Texts of any lengths are compared. A text may have 67 million words; of a longer one places repeat, which only changes
+    the order of far k-mers. No rows give no rows.
 
     The order is cut into ranges of ids of about equal size; each range gets a copy of the row after its last one, so
     one exchange of the texts is enough and no task holds more than a range.
