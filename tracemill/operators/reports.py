@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import stats as S
+from tracemill.functions.order import at_floor, order_statistics
 from tracemill.functions import text as T
 
 #: Dollars per million tokens in and out, by prefix of the model's name; the first that fits counts.
@@ -136,10 +137,14 @@ def telemetry(caps: DataFrame, prices: list[tuple[str, float, float]] = PRICES)
     routed = c("routed_to_local").isNotNull()
     fell = routed & c("local_fallback").isNotNull()
     served = routed & c("local_fallback").isNull()
-    p = lambda when, q: S.percentile_floor(F.when(when, c("latency_ms")), q)
     a = caps.agg(
         F.count("*").alias("requests"), F.count_if(routed).alias("routed"), F.count_if(served).alias("served_local"), F.count_if(fell).alias("fell_back"), F.count_if((c("status") >= 400) & c("local_fallback").isNull()).alias("errors"),
-        p(served, 0.5).alias("local_p50"), p(served, 0.9).alias("local_p90"), F.max(F.when(served, c("latency_ms"))).alias("local_max"), p(~served, 0.5).alias("cloud_p50"), p(~served, 0.9).alias("cloud_p90"))
+        F.max(F.when(served, c("latency_ms"))).alias("local_max"))
+    sides = caps.select(F.when(served, c("latency_ms")).alias("local"), F.when(~served, c("latency_ms")).alias("cloud"))
+    picks = {f"{side}_{name}": (side, at_floor(q)) for side in ("local", "cloud") for name, q in (("p50", 0.5), ("p90", 0.9))}
+    kind = dict(caps.dtypes)["latency_ms"]
+    at = order_statistics(sides, [], picks).select(*[c(k).cast(kind).alias(k) for k in picks])
+    a = a.join(at, how="left")  # two single rows
     return a.withColumns({"fallback_alarm": S.ratio(c("fell_back"), c("routed")) >= 0.2, "error_alarm": c("errors") > 0})
 
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.plans import shared
+
 FLOOR, MOST, LEAST, HALF_LIFE_S, THRESHOLD, COLD, GRADUATION = 0.75, 12, 5, 30 * 86400.0, 0.5, 8, 300
 #: Rows of a block of vectors, at most, and of the slices in which a block is multiplied.
 BLOCK_ROWS, SLICE_ROWS = 20_000, 500
@@ -28,10 +30,11 @@ def usable(rows: DataFrame, dim: int | None = None) -> DataFrame:
     return rows.where(ok if dim is None else ok & (F.size("vec") == dim))
 
 
-def earlier_pairs(rows: DataFrame, floor: float = FLOOR) -> DataFrame:
+def earlier_pairs(rows: DataFrame, floor: float = FLOOR, most: int | None = None, firewall: bool = False) -> DataFrame:
     """(target, neighbor, sim) with the neighbour strictly earlier than the target and sim at least floor.
 
-    rows: route_id, vec, ts. Targets come in blocks of time; a block meets only blocks that start before its end, as an
+    most: only the most similar of each target and block, ties by the neighbour's id; firewall: without pairs of an organic
+    target and a neighbour made by a simulator. rows: route_id, vec, ts; with firewall source as well. Targets come in blocks of time; a block meets only blocks that start before its end, as an
     equi-join of block numbers, and each meeting is one matrix product.
     """
     import numpy as np
@@ -40,9 +43,11 @@ def earlier_pairs(rows: DataFrame, floor: float = FLOOR) -> DataFrame:
     blocks = max(1, min(n // 500, max(64, n // BLOCK_ROWS)))
     cuts = sorted(set(rows.agg(F.percentile_approx("ts", [i / blocks for i in range(1, blocks)] or [0.5], 10000)).first()[0] or []))
     number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col("ts")))
-    placed = rows.select("route_id", "vec", "ts", number.alias("block"))
-    left = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).select("block", "other", "route_id", "vec", "ts", F.lit(True).alias("target"))
-    right = placed.withColumn("other", F.col("block")).withColumn("block", F.explode(F.sequence(F.col("other"), F.lit(len(cuts))))).select("block", "other", "route_id", "vec", "ts", F.lit(False).alias("target"))
+    source = F.coalesce("source", F.lit("")) if firewall else F.lit("")
+    placed = rows.select("route_id", "vec", "ts", source.alias("source"), number.alias("block"))
+    columns = ["block", "other", "route_id", "vec", "ts", "source"]
+    left = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).select(*columns, F.lit(True).alias("target"))
+    right = placed.withColumn("other", F.col("block")).withColumn("block", F.explode(F.sequence(F.col("other"), F.lit(len(cuts))))).select(*columns, F.lit(False).alias("target"))
 
     def product(g: pd.DataFrame) -> pd.DataFrame:
         t, o = g[g.target], g[~g.target]
@@ -54,13 +59,30 @@ def earlier_pairs(rows: DataFrame, floor: float = FLOOR) -> DataFrame:
         for at in range(0, len(x), SLICE_ROWS):
             sim = x[at : at + SLICE_ROWS] @ y.T
             sim[o.ts.to_numpy()[None, :] >= t.ts.to_numpy()[at : at + SLICE_ROWS, None]] = -2
+            if firewall:
+                sim[np.ix_((t.source.to_numpy() == "organic")[at : at + SLICE_ROWS], o.source.to_numpy() == "simulator")] = -2
             i, j = np.nonzero(sim >= floor)
+            if most is not None:
+                order = np.lexsort((o.route_id.to_numpy()[j], -sim[i, j], i))
+                i, j = i[order], j[order]
+                kept = np.arange(len(i)) - np.searchsorted(i, i) < most
+                i, j = i[kept], j[kept]
             found.append(pd.DataFrame({"target": t.route_id.to_numpy()[i + at], "neighbor": o.route_id.to_numpy()[j], "sim": sim[i, j]}))
         return pd.concat(found)
 
     return left.unionByName(right).groupBy("block", "other").applyInPandas(product, "target long, neighbor long, sim double")
 
 
+def nearest_earlier(rows: DataFrame, floor: float = FLOOR, most: int = MOST, firewall: bool = True) -> DataFrame:
+    """nearest() of earlier_pairs(), of which at most ``most`` a target and block leave a block's product.
+
+    rows: route_id, vec, ts, source, hard. The floor and the firewall hold inside the product, so a block's best are the
+    best of those that count; the blocks' best are few, and the best of them are the target's.
+    """
+    rows = shared.written(rows.select("route_id", "vec", "ts", "source", "hard"), f"{shared.folder(rows.sparkSession, 'nearest')}/rows")
+    return nearest(earlier_pairs(rows, floor, most, firewall), rows, most, firewall)
+
+
 def nearest(pairs: DataFrame, rows: DataFrame, most: int = MOST, firewall: bool = True) -> DataFrame:
     """The most similar neighbours of each target, after the filter and not before; ties by the neighbour's id.
 

@@ -397,7 +397,7 @@ def uuid_dedup_first_seen(spark, d):
 # --- retrieval -------------------------------------------------------------------------------------------------------
 def _near(spark, d):
     rows = V.usable(M.vectors(spark, d))
-    return V.nearest(V.earlier_pairs(rows, FLOOR), rows), rows
+    return V.nearest_earlier(rows, FLOOR), rows
 
 
 _NEAR = f"WITH {Q.PAIRS.format(floor=FLOOR)}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracemill.functions import order as OS
 from tracemill.operators import content as CT
 from tracemill.operators import graph as GR
 from tracemill.operators import health as HL
@@ -238,3 +239,19 @@ def added_edges(spark, d):
     now, refused = GR.add_edges(nodes, old, new)
     known = F.when(F.col("kind") == "F", F.when(F.col("src") % 2 == 0, F.when(F.col("id") == F.col("src"), "known")))
     return now.select("src", "dst", "kind", F.coalesce(known, F.lit("")).alias("reasons")).unionByName(refused.withColumn("reasons", F.array_join("reasons", "; ")))
+
+
+# --- order statistics ------------------------------------------------------------------------------------------------
+def _at(column: str, place: str) -> str:
+    return f"list_sort(list({column}) FILTER (WHERE {column} IS NOT NULL))[CAST({place} AS BIGINT) + 1]"
+
+
+@query(f"""WITH x AS (SELECT l_returnflag AS flag, CASE WHEN l_linenumber > 1 THEN l_extendedprice END AS price, CASE WHEN l_returnflag <> 'N' OR l_tax > 0 THEN l_quantity END AS quantity FROM lineitem)
+SELECT flag, {_at("price", "floor(count(price) * 5e-1)")} AS price_floor, {_at("price", "least(floor(count(price) * 99e-2), count(price) - 1)")} AS price_p99, {_at("price", "round_even((count(price) - 1) * 25e-2, 0)")} AS price_nearest,
+  {_at("quantity", "floor(count(quantity) * 9e-1)")} AS quantity_floor, {_at("quantity", "round_even((count(quantity) - 1) * 5e-1, 0)")} AS quantity_nearest FROM x GROUP BY flag""")
+def order_statistics_by_flag(spark, d):
+    """Exact items of the sorted prices and quantities of line items, with ties and nulls, by both definitions."""
+    x = M.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.when(F.col("l_linenumber") > 1, F.col("l_extendedprice")).alias("price"), F.when((F.col("l_returnflag") != "N") | (F.col("l_tax") > 0), F.col("l_quantity")).alias("quantity"))
+    return OS.order_statistics(x, ["flag"], {
+        "price_floor": ("price", OS.at_floor(0.5)), "price_p99": ("price", OS.at_floor(0.99)), "price_nearest": ("price", OS.at_nearest(0.25)), "quantity_floor": ("quantity", OS.at_floor(0.9)), "quantity_nearest": ("quantity", OS.at_nearest(0.5)),
+    })
