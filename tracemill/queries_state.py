@@ -255,3 +255,52 @@ def order_statistics_by_flag(spark, d):
     return OS.order_statistics(x, ["flag"], {
         "price_floor": ("price", OS.at_floor(0.5)), "price_p99": ("price", OS.at_floor(0.99)), "price_nearest": ("price", OS.at_nearest(0.25)), "quantity_floor": ("quantity", OS.at_floor(0.9)), "quantity_nearest": ("quantity", OS.at_nearest(0.5)),
     })
+
+
+# --- the ledger as a sink --------------------------------------------------------------------------------------------
+@query("""WITH d AS (SELECT *, 'r' || o_orderkey AS route_id, o_custkey % 6 > 0 AS shared, o_custkey % 4 > 0 AS has, o_custkey % 4 = 2 AND o_orderkey % 5 = 0 AS odd FROM orders),
+k AS (SELECT * FROM d WHERE NOT (shared AND has AND odd)),
+ev AS (SELECT DISTINCT 'e' || l_orderkey || '-' || l_linenumber || '-' || l_returnflag AS event_id, 'r' || l_orderkey AS route_id, CASE l_returnflag WHEN 'A' THEN 'closed_final' WHEN 'R' THEN 'closed_turn' WHEN 'N' THEN CASE WHEN l_linestatus = 'F' THEN 'pending' ELSE 'odd' END END AS status,
+  l_orderkey % 2 AS half, first_value(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber, l_returnflag ORDER BY l_partkey, l_suppkey, l_extendedprice) AS p FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_returnflag ORDER BY l_partkey, l_suppkey, l_extendedprice) = 1),
+o AS (SELECT e.*, k.route_id IS NOT NULL AS known, CASE status WHEN 'pending' THEN 0 WHEN 'closed_turn' THEN 1 WHEN 'closed_final' THEN 2 END AS rank FROM ev e LEFT JOIN k USING (route_id)),
+a AS (SELECT *, coalesce(max(CASE WHEN known THEN rank END) OVER (PARTITION BY route_id ORDER BY p, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o),
+b AS (SELECT *, known AND rank IS NOT NULL AND rank >= before AND before < 2 AS accepted FROM a)
+SELECT 'decisions' AS what, route_id AS id, o_orderpriority AS detail FROM k UNION ALL SELECT 'embeddings', route_id, '3' FROM k WHERE shared AND has
+UNION ALL SELECT 'events', route_id || ':pending', 'pending' FROM k UNION ALL SELECT 'events', event_id, status FROM b WHERE accepted
+UNION ALL SELECT 'outcomes', k.route_id, coalesce((SELECT arg_max(status, (p, event_id)) FROM b WHERE b.route_id = k.route_id AND accepted), 'pending') FROM k
+UNION ALL SELECT 'refused', route_id, 'embedding' FROM d WHERE shared AND has AND odd UNION ALL SELECT 'refused', event_id, 'lifecycle' FROM b WHERE NOT accepted
+UNION ALL SELECT 'batches', unnest(['decided-0', 'decided-1', 'observed-0', 'observed-1']), ''""")
+def ledger_sink(spark, d):
+    """Orders as decisions and line items as outcomes, each in two runs of a stream, and the first batch of both once more."""
+    from tracemill.streaming import ledger_sink as S
+
+    c = F.col
+    o = M.table(spark, d, "orders")
+    k = c("o_custkey")
+    vec = F.when((k % 4 == 2) & (c("o_orderkey") % 5 == 0), F.array(F.lit(1.0), F.lit(float("nan")), F.lit(0.0))).otherwise(F.array(F.lit(1.0), c("o_totalprice"), F.lit(0.0))).cast("array<float>")
+    decided = o.select(
+        F.concat(F.lit("r"), "o_orderkey").alias("route_id"), F.unix_date(c("o_orderdate").cast("date")).cast("double").alias("ts"), k.cast("string").alias("session_id"), c("o_orderkey").alias("turn_index"), F.lit("organic").alias("source"),
+        F.when(k % 6 > 0, F.sha2("o_orderstatus", 256)).alias("instr_sha256"), F.lit("{}").alias("features_json"), F.lit("classifier").alias("layer"), F.lit("local").alias("rung"), F.lit(False).alias("cascade"), c("o_totalprice").alias("score"),
+        c("o_orderpriority").alias("reason"), F.when(k % 4 > 0, vec).alias("embedding"))
+    li = M.table(spark, d, "lineitem")
+    status = F.when(c("l_returnflag") == "A", "closed_final").when(c("l_returnflag") == "R", "closed_turn").when(c("l_linestatus") == "F", "pending").otherwise("odd")
+    by = ["l_orderkey", "l_linenumber", "l_returnflag"]
+    first = li.groupBy(*by).agg(F.min(F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_linestatus")).alias("f")).select(*by, "f.*")
+    event_id = F.concat(F.lit("e"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_returnflag")
+    order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "event_id")).cast("long")
+    observed = first.withColumn("event_id", event_id).select(
+        "event_id", F.concat(F.lit("r"), "l_orderkey").alias("route_id"), order.alias("seq"), F.lit(1.0).alias("observed_at"), status.alias("status"), F.lit(False).alias("escalated"), F.lit(None).cast("string").alias("tripwire_name"),
+        F.lit(0).cast("long").alias("edit_failures"), F.lit(0).cast("long").alias("error_results"), c("l_partkey").alias("output_tokens"), c("l_extendedprice").alias("cost_estimate"), F.lit(None).cast("boolean").alias("user_retried"), "l_orderkey")
+    root = shared.folder(spark, "ledger")
+    ledger = S.Ledger(spark, f"{root}/tables")
+    steps = (("decided", decided.withColumn("half", c("turn_index") % 2), f"{S.DECISION}, embedding array<float>", ledger.record_decisions), ("observed", observed.withColumn("half", c("l_orderkey") % 2).drop("l_orderkey"), S.OUTCOME, ledger.attach_outcomes))
+    for name, rows, schema, record in steps:
+        # the second run has what the first had, too
+        for half in (0, 1):
+            rows.where(c("half") <= half).drop("half").write.mode("append").parquet(f"{root}/{name}")
+            S.run_once(spark.readStream.schema(schema).parquet(f"{root}/{name}"), record, name, f"{root}/{name}-checkpoint")
+        record(rows.where("half = 0").drop("half"), f"{name}-0")
+    shown = lambda what, df, key, detail: df.select(F.lit(what).alias("what"), F.col(key).alias("id"), detail.cast("string").alias("detail"))
+    out = shown("decisions", ledger.table("decisions"), "route_id", c("reason")).unionByName(shown("embeddings", ledger.table("embeddings"), "route_id", c("dim")))
+    out = out.unionByName(shown("events", ledger.table("outcome_events"), "event_id", c("status"))).unionByName(shown("outcomes", ledger.outcomes(), "route_id", c("status")))
+    return out.unionByName(shown("refused", ledger.table("refused"), "id", c("reason")).distinct()).unionByName(shown("batches", ledger.batches(), "batch", F.lit("")))
