@@ -92,7 +92,7 @@ def nearest(pairs: DataFrame, rows: DataFrame, most: int = MOST, firewall: bool
     n = rows.select(F.col("route_id").alias("neighbor"), "source", "ts", "hard")
     both = pairs.join(t, "target").join(n, "neighbor")
     if firewall:
-        both = both.where("NOT (t_source = 'organic' AND source = 'simulator')")
+        both = both.where("NOT coalesce(t_source = 'organic' AND source = 'simulator', false)")
     w = Window.partitionBy("target").orderBy(F.desc("sim"), "neighbor")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
