@@ -224,8 +224,57 @@ def chain_problems(history: DataFrame) -> DataFrame:
     return h.select("seq", reasons.alias("reasons")).where(F.size("reasons") > 0)
 
 
-def dataset_sha256(records: DataFrame, key: str) -> str:
-    """Of a data set: the hash of its rows' hashes in order of key; rows are hashed where they are."""
-    rows = records.select(F.col(key).cast("string").alias("k"), F.sha2(F.to_json(F.struct(*sorted(records.columns))), 256).alias("h"))
-    per = rows.groupBy(F.substring(F.sha2("k", 256), 1, 3).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "k", "h"))), "\n"), 256).alias("h"))
-    return hashlib.sha256("\n".join(f"{r[0]}:{r[1]}" for r in sorted(per.collect())).encode()).hexdigest()  # at most 4096 rows
+#: Rows of a leaf of a data set's tree, on average; a level's nodes have a digit of a hash more than those above it.
+LEAF_ROWS = 64
+
+
+def dataset_rows(records: DataFrame, split: str | None = None) -> DataFrame:
+    """(split, h, n): the hash of each distinct row, its columns in order of name, and how often it is there."""
+    columns = sorted(c for c in records.columns if c != split)
+    part = F.coalesce(F.col(split).cast("string"), F.lit("")) if split else F.lit("")
+    h = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    return records.select(part.alias("split"), h.alias("h")).groupBy("split", "h").agg(F.count("*").alias("n"))
+
+
+def tree_depth(rows: int) -> int:
+    """Levels below the root, so that leaves have LEAF_ROWS distinct rows or fewer on average."""
+    depth = 0
+    while LEAF_ROWS * 16**depth < rows:
+        depth += 1
+    return depth
+
+
+def dataset_tree(rows: DataFrame, depth: int) -> DataFrame:
+    """(split, level, prefix, rows, sha256) of the nodes of each split's tree, from the root, level 0, to the leaves.
+
+    rows: dataset_rows(). A leaf has the rows whose hashes begin with its prefix, so leaves are of about equal size
+    whatever the keys are, and equal rows are one with a count. A leaf's hash is of its rows' in order, a node's of those of
+    its at most 16 children; every level is one aggregate of the one below it, and no list grows with the data.
+    """
+    line = lambda *c: F.concat_ws(":", *c)
+    digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    level = rows.groupBy("split", F.substring("h", 1, depth).alias("prefix")).agg(F.sum("n").alias("rows"), digest(line("h", F.col("n").cast("string"))).alias("sha256"))
+    out = level.select("split", F.lit(depth).alias("level"), "prefix", "rows", "sha256")
+    for k in range(depth - 1, -1, -1):
+        level = level.groupBy("split", F.substring("prefix", 1, k).alias("up")).agg(F.sum("rows").alias("rows"), digest(line("prefix", "sha256")).alias("sha256")).withColumnRenamed("up", "prefix")
+        out = out.unionByName(level.select("split", F.lit(k).alias("level"), "prefix", "rows", "sha256"))
+    return out
+
+
+def changed_rows(a: DataFrame, b: DataFrame, depth: int) -> DataFrame:
+    """(split, h, a, b): rows of dataset_rows() a and b, with how often each has them, where these differ.
+
+    The trees are compared first: only rows below leaves that differ are.
+    """
+    leaves = [dataset_tree(x, depth).where(F.col("level") == depth).select("split", "prefix", F.col("sha256").alias(n)) for x, n in ((a, "x"), (b, "y"))]
+    differ = leaves[0].join(leaves[1], ["split", "prefix"], "full_outer").where("NOT x <=> y").select("split", "prefix")
+    below = [x.withColumn("prefix", F.substring("h", 1, depth)).join(differ, ["split", "prefix"], "left_semi").select("split", "h", F.col("n").alias(n)) for x, n in ((a, "a"), (b, "b"))]
+    both = below[0].join(below[1], ["split", "h"], "full_outer").select("split", "h", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    return both.where("a <> b")
+
+
+def dataset_sha256(records: DataFrame) -> str:
+    """Of a data set: the root of its tree, whatever its rows' order."""
+    rows = dataset_rows(records)
+    roots = dataset_tree(rows, tree_depth(rows.count())).where("level = 0").select("sha256").collect()  # one row, or none
+    return roots[0][0] if roots else hashlib.sha256(b"").hexdigest()

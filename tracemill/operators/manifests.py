@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators.governance import canonical_features, canonical_sha256, dataset_sha256, feature_reasons
+from tracemill.operators.governance import canonical_features, canonical_sha256, dataset_rows, dataset_tree, feature_reasons, tree_depth
 
 #: The strings that evidence must have, its sources, and the fields a snapshot's id covers.
 REQUIRED = ("evidence_id", "pair_id", "task_id", "verification_plan_sha256", "source", "rung", "model", "harness", "verifier_source")
@@ -44,11 +44,13 @@ def from_counterfactual(records: DataFrame) -> DataFrame:
         F.col("verification.confidence").alias("verifier_confidence"), canonical_features(F.col("features")).alias("features"))
 
 
-def dataset_manifest(splits: DataFrame, key: str, cutoff: float) -> dict:
-    """Rows and hash of each split, and of the whole."""
-    names = [r[0] for r in splits.select("split").distinct().orderBy("split").collect()]
-    parts = {n: splits.where(F.col("split") == n) for n in names}
-    return {"temporal_cutoff": cutoff, "splits": {n: {"rows": p.count(), "sha256": dataset_sha256(p, key)} for n, p in parts.items()}, "dataset_sha256": dataset_sha256(splits, key)}
+def dataset_manifest(splits: DataFrame, cutoff: float) -> dict:
+    """Rows and hash of each split, and the hash of them all: one aggregate over the rows, whatever the number of splits."""
+    rows = dataset_rows(splits, "split")
+    n = rows.count()
+    roots = dataset_tree(rows, tree_depth(n)).where("level = 0").orderBy("split").collect()  # a row for each split
+    parts = {r["split"]: {"rows": r["rows"], "sha256": r["sha256"]} for r in roots}
+    return {"temporal_cutoff": cutoff, "splits": parts, "dataset_sha256": canonical_sha256(parts)}
 
 
 def manifest_reasons(manifest: Mapping, required: tuple[str, ...], forbidden: tuple[str, ...] = ()) -> list[str]:

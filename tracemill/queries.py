@@ -563,7 +563,7 @@ def stream_session_state(spark, d):
     return session_state_batch(e)
 
 
-@query()
+@query("SELECT conv_id, turn, true AS same, length(text) AS output_tokens FROM conversations")
 def sse_reconstruct(spark, d):
     from tracemill.operators.wire_blocks import reconstruct
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import order as OS
 from tracemill.operators import content as CT
+from tracemill.operators import governance as G
 from tracemill.operators import graph as GR
 from tracemill.operators import health as HL
 from tracemill.operators import reconcile as RC
+from tracemill.operators import tripwires as TW
 from tracemill.plans import model as M
 from tracemill.plans import shared
 from tracemill.plans import traffic as X
@@ -304,3 +306,38 @@ def ledger_sink(spark, d):
     out = shown("decisions", ledger.table("decisions"), "route_id", c("reason")).unionByName(shown("embeddings", ledger.table("embeddings"), "route_id", c("dim")))
     out = out.unionByName(shown("events", ledger.table("outcome_events"), "event_id", c("status"))).unionByName(shown("outcomes", ledger.outcomes(), "route_id", c("status")))
     return out.unionByName(shown("refused", ledger.table("refused"), "id", c("reason")).distinct()).unionByName(shown("batches", ledger.batches(), "batch", F.lit("")))
+
+
+# --- trees of data sets ----------------------------------------------------------------------------------------------
+_JSON = """'{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '"}'"""
+
+
+@query(f"""WITH h AS (SELECT o_orderstatus AS split, sha256({_JSON}) AS h, count(*) AS n FROM orders GROUP BY 1, 2),
+a AS (SELECT split, h[1:2] AS prefix, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h)) AS sha256 FROM h GROUP BY 1, 2),
+b AS (SELECT split, prefix[1:1] AS prefix, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg(prefix || ':' || sha256, chr(10) ORDER BY prefix)) AS sha256 FROM a GROUP BY 1, 2),
+c AS (SELECT split, '' AS prefix, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg(prefix || ':' || sha256, chr(10) ORDER BY prefix)) AS sha256 FROM b GROUP BY 1)
+SELECT split, 2 AS level, prefix, rows, sha256 FROM a UNION ALL SELECT split, 1, prefix, rows, sha256 FROM b UNION ALL SELECT split, 0, prefix, rows, sha256 FROM c""")
+def dataset_hash_tree(spark, d):
+    """The nodes of the orders' trees, by status."""
+    o = M.table(spark, d, "orders").select("o_orderstatus", "o_custkey", "o_orderkey", "o_orderpriority")
+    return G.dataset_tree(G.dataset_rows(o, "o_orderstatus"), 2)
+
+
+@query(f"""WITH a AS (SELECT o_orderkey AS k, sha256({_JSON}) AS h FROM orders), b AS (SELECT o_orderkey AS k, sha256({_JSON.replace("o_orderpriority || '", "CASE WHEN o_totalprice < 20000 THEN '0' ELSE o_orderpriority END || '")}) AS h FROM orders WHERE o_custkey % 40 <> 7)
+SELECT coalesce(a.h, b.h) AS h, CASE WHEN a.h IS NULL THEN 0 ELSE 1 END AS a, CASE WHEN b.h IS NULL THEN 0 ELSE 1 END AS b FROM a FULL JOIN b ON a.h = b.h WHERE a.h IS NULL OR b.h IS NULL""")
+def dataset_changes(spark, d):
+    """Orders that are gone or have another priority, found by their trees."""
+    o = M.table(spark, d, "orders")
+    old = o.select("o_custkey", "o_orderkey", "o_orderpriority")
+    new = o.where("o_custkey % 40 <> 7").select("o_custkey", "o_orderkey", F.when(F.col("o_totalprice") < 20000, "0").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+    return G.changed_rows(G.dataset_rows(old), G.dataset_rows(new), 2).select("h", "a", "b")
+
+
+@query("""SELECT event_id, sha1(event_type || ':' || '{"p": ' || props || ', "path": "/u/' || user_id || '", "s": "a b"}') AS call FROM events""")
+def canonical_call_hashes(spark, d):
+    """Calls of the events' own values, written with keys in either order, spaces, and slashes at the end of a path."""
+    u = F.col("user_id").cast("string")
+    odd = F.concat(F.lit('{"path": "/u/'), u, F.lit('//", "s": "a   b",  "p":   '), "props", F.lit("}"))
+    even = F.concat(F.lit('{"s": "a b", "p": '), "props", F.lit(', "path": "/u/'), u, F.lit('"}'))
+    args = F.when(F.col("event_id") % 2 == 0, even).otherwise(odd)
+    return M.table(spark, d, "events").select("event_id", TW.canonical_call(F.col("event_type"), TW.sorted_json(args)).alias("call"))
