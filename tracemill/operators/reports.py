@@ -65,8 +65,11 @@ def easy_slice(turns: DataFrame, usd: Column) -> DataFrame:
     return turns.agg(F.count_if(easy).alias("easy_turns"), F.count("*").alias("turns"), F.coalesce(F.sum(F.when(easy, usd)), F.lit(0.0)).alias("easy_usd"), F.coalesce(F.sum(usd), F.lit(0.0)).alias("usd"))
 
 
-def scenarios(turns: DataFrame, order: list[str], secret_sessions: DataFrame | None = None, loop_count: int | None = None) -> DataFrame:
-    """scenario, matches, status: a count each, and a ladder of three or more, some, none, or a broken invariant."""
+def scenarios(turns: DataFrame, order: list[str], secret_sessions: DataFrame | None = None, looping: DataFrame | None = None) -> DataFrame:
+    """scenario, matches, status: a count each, and a ladder of three or more, some, none, or a broken invariant.
+
+    secret_sessions and looping (turns.looping_files()) have a row for each match of S9 and S4.
+    """
     t = turns.withColumns({
         "prev_interrupted": F.coalesce(F.lag("interrupted").over(Window.partitionBy("session_id").orderBy(*order)), F.lit(False)),
         "real_models": F.size(F.filter("models", lambda m: (m != "") & (m != "<synthetic>"))),
@@ -81,10 +84,9 @@ def scenarios(turns: DataFrame, order: list[str], secret_sessions: DataFrame | N
     wide = t.agg(*[F.count_if(F.coalesce(r, F.lit(False))).alias(k) for k, r in rules.items()])
     out = wide.select(F.expr(f"stack({len(rules)}, {', '.join(f"'{k}', {k}" for k in rules)}) AS (scenario, matches)"))
     spark = turns.sparkSession
-    if secret_sessions is not None:
-        out = out.unionByName(secret_sessions.agg(F.count("*").alias("matches")).select(F.lit("S9").alias("scenario"), "matches"))
-    if loop_count is not None:
-        out = out.unionByName(spark.range(1).select(F.lit("S4").alias("scenario"), F.lit(loop_count).cast("long").alias("matches")))
+    for name, rows in (("S9", secret_sessions), ("S4", looping)):
+        if rows is not None:
+            out = out.unionByName(rows.agg(F.count("*").alias("matches")).select(F.lit(name).alias("scenario"), "matches"))
     broken = (F.col("scenario") == "S15b") & (F.col("matches") > 0)
     status = F.when(broken, "INVARIANT BROKEN").when(F.col("scenario") == "S15b", "invariant holds").when(F.col("matches") >= 3, "confirmed").when(F.col("matches") > 0, "thin").otherwise("absent")
     verdicts = spark.range(1).select(F.explode(F.array(*map(F.lit, ("S1", "S5", "S7", "S11")))).alias("scenario"), F.lit(None).cast("long").alias("matches"), F.lit("verdict only").alias("status"))

@@ -69,16 +69,31 @@ def transcript_economics(spark, d):
     return RP.economics(X.turns(spark, d), X.PRICES).withColumn("usd", F.round("usd", 6))
 
 
-@query(f"""WITH {X.TURNS}, s AS (SELECT *, lag(interrupted) OVER (PARTITION BY o ORDER BY t) AS prev, source_kind = 'main' AND label = 'user_turn' AS usr, 1 + (tasks > 0)::INT AS x, len(list_filter(models, lambda m: m <> '<synthetic>')) AS real FROM tt),
+#: Files that loop: f has the prompt of every record, fl a row for each file and copy.
+_LOOPS = """f AS (SELECT *, last_value(CASE WHEN k = 'open' THEN 'p' || o || '-' || n WHEN k = 'result' THEN CASE p % 4 WHEN 0 THEN 'p' || o || '-1' WHEN 2 THEN 'q' || o WHEN 3 THEN 'p' || o || '-' || last_open END END IGNORE NULLS) OVER (PARTITION BY o ORDER BY n) AS prompt FROM an),
+uses AS (SELECT o, prompt, n, i, CASE i WHEN 0 THEN 'Read' ELSE CASE WHEN u % 11 = 0 THEN 'Task' ELSE 'Edit' END END || (p % 2) AS call FROM f, (SELECT unnest([0, 1]) AS i) WHERE calls > i),
+wi AS (SELECT *, list(call) OVER (PARTITION BY o, prompt ORDER BY n, i ROWS 5 PRECEDING) AS l, first_value(n) OVER (PARTITION BY o, prompt ORDER BY n, i) AS first_n FROM uses),
+hi AS (SELECT o, prompt, first_n, count(*) AS loopy_calls FROM wi WHERE len(list_filter(l, lambda x: x = call)) >= 3 GROUP BY 1, 2, 3),
+fl AS (SELECT h.*, c.copy FROM (SELECT * FROM hi QUALIFY row_number() OVER (PARTITION BY o ORDER BY first_n) = 1) h, (SELECT unnest([0, 1]) AS copy) c WHERE copy = 0 OR o % 7 = 0)"""
+
+
+@query(f"WITH {X.RECORDS}, {_LOOPS} SELECT o, copy, prompt, loopy_calls FROM fl")
+def transcript_loops(spark, d):
+    """Files in which a call comes three times within six, with the first such prompt."""
+    path = F.col("source_path")
+    return X.looping(spark, d).select(F.regexp_extract(path, r"/s(\d+)", 1).cast("long").alias("o"), F.contains(path, F.lit(".again")).cast("int").alias("copy"), "prompt", "loopy_calls")
+
+
+@query(f"""WITH {X.TURNS}, {_LOOPS}, s AS (SELECT *, lag(interrupted) OVER (PARTITION BY o ORDER BY t) AS prev, source_kind = 'main' AND label = 'user_turn' AS usr, 1 + (tasks > 0)::INT AS x, len(list_filter(models, lambda m: m <> '<synthetic>')) AS real FROM tt),
 a AS (SELECT count(*) FILTER (WHERE usr AND n_continuations >= 5 AND final_stop_reason = 'end_turn' AND n_tool_uses > reads) AS s2, count(*) FILTER (WHERE n_edit_failures >= 1) AS s3, count(*) FILTER (WHERE prev AND label = 'user_turn') AS s6,
   count(*) FILTER (WHERE usr AND instruction_text = 'what does this do?' AND CAST(cache_read_tokens + input_tokens AS DOUBLE) / greatest(n_assistant_msgs, 1) > 50000) AS s8, count(*) FILTER (WHERE usr AND instruction_text LIKE 'refactor%') AS s10, count(*) FILTER (WHERE parallel_tool_use_msgs > 0) AS s12,
   count(*) FILTER (WHERE source_kind = 'main' AND tasks > 0) AS s13, count(*) FILTER (WHERE label = 'utility:compaction') AS s14, count(*) FILTER (WHERE real > 1) AS s15b, count(*) FILTER (WHERE label = 'user_turn' AND instruction_text LIKE 'that%') AS s15a FROM s),
-r AS (SELECT unnest(['S2', 'S3', 'S6', 'S8', 'S10', 'S12', 'S13', 'S14', 'S15b', 'S15a', 'S9', 'S4']) AS scenario, unnest([s2, s3, s6, s8, s10, s12, s13, s14, s15b, s15a, (SELECT count(DISTINCT o) FROM tt WHERE o % 10 = 0), 2]) AS matches FROM a)
+r AS (SELECT unnest(['S2', 'S3', 'S6', 'S8', 'S10', 'S12', 'S13', 'S14', 'S15b', 'S15a', 'S9', 'S4']) AS scenario, unnest([s2, s3, s6, s8, s10, s12, s13, s14, s15b, s15a, (SELECT count(DISTINCT o) FROM tt WHERE o % 10 = 0), (SELECT count(*) FROM fl)]) AS matches FROM a)
 SELECT scenario, matches, CASE WHEN scenario = 'S15b' THEN CASE WHEN matches > 0 THEN 'INVARIANT BROKEN' ELSE 'invariant holds' END WHEN matches >= 3 THEN 'confirmed' WHEN matches > 0 THEN 'thin' ELSE 'absent' END AS status FROM r
 UNION ALL SELECT unnest(['S1', 'S5', 'S7', 'S11']), NULL, 'verdict only'""")
 def transcript_scenarios(spark, d):
     t = X.turns(spark, d).withColumn("line", F.col("turn.line_no"))
-    return RP.scenarios(t, ["line"], t.where("o % 10 = 0").select("session_id").distinct(), 2)
+    return RP.scenarios(t, ["line"], t.where("o % 10 = 0").select("session_id").distinct(), X.looping(spark, d))
 
 
 @query(f"""WITH {X.RECORDS}, f AS (SELECT o, n, last_value(CASE WHEN k = 'open' THEN 'p' || o || '-' || n WHEN k = 'result' THEN CASE p % 4 WHEN 0 THEN 'p' || o || '-1' WHEN 2 THEN 'q' || o WHEN 3 THEN 'p' || o || '-' || last_open END END IGNORE NULLS) OVER (PARTITION BY o ORDER BY n) AS prompt FROM an),
