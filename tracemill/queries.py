@@ -220,10 +220,48 @@ def archetype_tvd(spark, d):
     return S.total_variation(a, b, "archetype", "share").withColumn("tvd", F.round("tvd", 9))
 
 
-@query()
+_EMOJI = r"[\x{1f300}-\x{1faff}\x{2600}-\x{27bf}\x{1f000}-\x{1f0ff}]"
+_SHARES = {
+    "surface::pct_lt5_words": "wc < 5", "surface::pct_no_terminal_punct": Q.NO_PUNCT, "surface::pct_all_lowercase": Q.LOWER, "surface::pct_txt_speak": Q.TXT, "surface::pct_inline_path": Q.PATH, "surface::pct_fenced_code": "contains(text, '```')",
+    "surface::pct_emoji": f"regexp_matches(text, {Q.quote(_EMOJI)})", "behavioral::pct_terse_le3": "wc <= 3", "behavioral::pct_questions": Q.QUESTION, "behavioral::pct_disfluency": Q.DISFLUENT, "behavioral::interrupt_rate": f"starts_with(text, {Q.quote(TW.INTERRUPT)})",
+    "joint::pct_long_lowercase_verbless": f"wc >= 50 AND {Q.LOWER} AND {Q.VERBLESS}",
+}
+_PER = "CAST(length(text) * 301 AS DOUBLE)"
+_STRUCTURE = {
+    "structural::pct_subagent": ("false", "true"), "structural::pct_ctx_over_32k": (f"{_PER} > 32000", "true"), "structural::pct_ctx_over_100k": (f"{_PER} > 100000", "true"),
+    "failure::pct_ge1_error": ("length(text) % 11 = 0", "true"), "failure::pct_ge2_error": ("false", "true"), "failure::edit_tripwire_rate": ("length(text) % 37 = 0", "true"),
+}
+_METRICS = [f"SELECT sim, '{m}' AS metric, {_SHARE.format(c=c)} AS value FROM us GROUP BY sim" for m, c in _SHARES.items()]
+_METRICS += [f"SELECT sim, 'surface::wc_p{p}', quantile_cont(CAST(wc AS DOUBLE), {p / 100}) FROM us GROUP BY sim" for p in (50, 90)]
+_METRICS += [f"SELECT sim, '{m}', 100e0 * count(*) FILTER (WHERE {c}) / nullif(count(*) FILTER (WHERE {w}), 0) FROM ps GROUP BY sim" for m, (c, w) in _STRUCTURE.items()]
+_METRICS += [
+    "SELECT sim, 'behavioral::continuations_mean', 3e0 FROM us GROUP BY sim",
+    f"SELECT sim, 'joint::pct_lowercase_given_long', 100e0 * count(*) FILTER (WHERE wc >= 50 AND {Q.LOWER}) / nullif(count(*) FILTER (WHERE wc >= 50), 0) FROM us GROUP BY sim",
+    *[f"SELECT sim, 'behavioral::session_len_p{p}', quantile_cont(CAST(n AS DOUBLE), {p / 100}) FROM (SELECT sim, session_id, count(*) AS n FROM us GROUP BY 1, 2) GROUP BY sim" for p in (50, 90)],
+    "SELECT sim, 'behavioral::median_consec_jaccard', quantile_cont(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0e0 ELSE len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE) END, 0.5) FROM jw WHERE a IS NOT NULL GROUP BY sim",
+    "SELECT sim, 'structural::pct_sessions_secret_shaped', 100e0 * count(DISTINCT CASE WHEN regexp_matches(text, 'AKIA[0-9A-Z]{16}') THEN session_id END) / count(DISTINCT session_id) FROM ps GROUP BY sim",
+]
+_BANDS = ", ".join(f"('{m}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), '{g}')" for m, a, b, g in R.BANDS)
+
+
+@query(f"""WITH {Q.PROMPT}, {Q.USERS}, us AS (SELECT *, session_id % 2 <> 0 AS sim FROM u), ps AS (SELECT *, session_id % 2 <> 0 AS sim FROM p), jw AS (SELECT sim, {Q.CONTENT} AS b, lag({Q.CONTENT}) OVER (PARTITION BY session_id ORDER BY idx) AS a FROM us),
+m AS ({" UNION ALL ".join(_METRICS)}), v AS (SELECT metric, max(CASE WHEN NOT sim THEN value END) AS corpus, max(CASE WHEN sim THEN value END) AS sim FROM m GROUP BY metric),
+k AS (SELECT {Q.ARCHETYPE} AS archetype, CAST(wc AS DOUBLE) AS wc, sim FROM us), ac AS (SELECT archetype, count(*) FILTER (WHERE NOT sim) / CAST((SELECT count(*) FROM k WHERE NOT sim) AS DOUBLE) AS x, count(*) FILTER (WHERE sim) / CAST((SELECT count(*) FROM k WHERE sim) AS DOUBLE) AS y,
+  median(wc) FILTER (WHERE NOT sim) AS mx, median(wc) FILTER (WHERE sim) AS my FROM k GROUP BY archetype),
+r AS (SELECT v.*, b.low, b.high, b.gate FROM v JOIN (VALUES {_BANDS}) AS b(metric, low, high, gate) USING (metric)
+UNION ALL SELECT metric, corpus, sim, 0e0, greatest(least_high, coalesce(corpus, 0) + margin), 'P0-1/2' FROM v JOIN (VALUES ('joint::pct_lowercase_given_long', 8e0, 8e0), ('joint::pct_long_lowercase_verbless', 5e0, 5e0)) AS j(metric, margin, least_high) USING (metric)
+UNION ALL SELECT 'joint::archetype_mix_tvd', 0e0, 5e-1 * sum(abs(x - y)), 0e0, 15e-2, 'P0-1/2' FROM ac UNION ALL SELECT 'joint::wc_median_dev_by_archetype', 0e0, max(abs(mx - my)), 0e0, 12e0, 'P0-1/2' FROM ac)
+SELECT metric, round(corpus, 6) AS corpus, round(sim, 6) AS sim, low, round(high, 6) AS high, gate, CASE WHEN sim IS NULL THEN 'NO DATA' WHEN sim < low OR sim > high THEN 'FAIL' ELSE 'PASS' END AS verdict FROM r""")
 def realism_scorecard(spark, d):
-    t = M.prompts(spark, d).withColumns({"is_user": F.lit(True), "interrupted": F.col("text").startswith(TW.INTERRUPT), "n_continuations": F.lit(3), "source_kind": F.lit("main"), "n_assistant_msgs": F.lit(1), "n_tool_uses": F.lit(1), "input_tokens": F.length("text"), "cache_read_tokens": F.length("text") * 300, "n_error_results": (F.length("text") % 11 == 0).cast("int"), "edit_tripwire": F.length("text") % 37 == 0, "secret_shaped": F.size(T.secret_hits(F.col("text"))) > 0})
-    return R.scorecard(t.where("session_id % 2 = 0"), t.where("session_id % 2 <> 0"))
+    """The prompts of even sessions beside those of odd ones; structure and failures follow the lengths of texts."""
+    n = F.length("text")
+    made = {
+        "is_user": F.lit(True), "interrupted": F.col("text").startswith(TW.INTERRUPT), "n_continuations": F.lit(3), "source_kind": F.lit("main"), "n_assistant_msgs": F.lit(1), "n_tool_uses": F.lit(1), "input_tokens": n, "cache_read_tokens": n * 300,
+        "n_error_results": (n % 11 == 0).cast("int"), "edit_tripwire": n % 37 == 0, "secret_shaped": F.array_contains(T.secret_hits(F.col("text")), "aws_access_key"),
+    }
+    t = M.prompts(spark, d).withColumns(made)
+    s = R.scorecard(t.where("session_id % 2 = 0"), t.where("session_id % 2 <> 0"))
+    return s.withColumns({c: F.round(c, 6) for c in ("corpus", "sim", "high")})
 
 
 # --- policy, outcomes, reports ---------------------------------------------------------------------------------------
