@@ -1,4 +1,8 @@
-"""A training-data pipeline over documents: each stage reads what the one before it wrote."""
+"""A training-data pipeline over documents: each stage reads what the one before it wrote.
+
+What holds for every stage: texts of any length are read whole; an empty table gives an empty one; columns besides those of
+documents stay, whatever their names; but the last stage takes doc_id, lang, source and text only.
+"""
 
 from __future__ import annotations
 
@@ -11,28 +15,43 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted on the labelled rows of these documents, does not reject."""
+    """Documents that the toxicity model, fitted on the labelled rows of these documents, does not reject.
+
+    Without labels nothing is rejected. A null or empty text has the score of no words;
+    equal texts have equal scores, so of repeated rows all stay or all go; a score of 0.5 is a rejection.
+    """
     scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.where("predicted = 0").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with five-word shingles of similarity 0.8 or more."""
+    """One document of each component of texts with five-word shingles of similarity 0.8 or more.
+
+    The smallest doc_id stays, of rows equal in doc_id and text one. Texts without words (null, empty, blank) are like none
+    and all stay; a similarity of exactly 0.8 is a link; a null doc_id comes after all others.
+    """
     return ngram_join.one_of_each(docs, 5, 80)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document, or an earlier place, has as well."""
+    """Texts without the passages that an earlier document, or an earlier place, has as well.
+
+    Earlier is by doc_id, then by the text's hash. A row that repeats another whole row is the same document and gets the
+    same result; rows with a null doc_id are compared but not cut. A document that loses all of its text stays.
+    """
     return substring_dedup.substring_dedup(docs).select(*docs.columns)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words that windows of the benchmark cover."""
+    """Texts without the words that windows of the benchmark cover.
+
+    Repeated rows are treated alike; an empty benchmark, or items without words, take nothing away.
+    """
     return decontaminate.find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), action="remove_spans")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with their count and digests."""
+    """Token ids of every text, with their count and digests; an empty text has no tokens, equal texts have equal ones."""
     return bpe.bpe_digests(docs.select("doc_id", "lang", "source", "text"), bpe.default_path())
 
 
