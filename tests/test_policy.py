@@ -1,6 +1,7 @@
 """The policy and the outcome labels against plain Python on every combination of their inputs."""
 
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
@@ -64,6 +65,23 @@ def test_hysteresis_stays_up_until_a_boundary(spark):
     assert got == {(1, 0): ("local", True), (1, 1): ("cheap_cloud", True), (1, 2): ("cheap_cloud", True), (1, 3): ("local", False), (2, 0): ("frontier", False)}
 
 
+def test_hysteresis_equals_a_loop(spark):
+    rng = random.Random(3)
+    rows = [(s, i, rng.choice(["local", "cheap_cloud", "frontier", "odd"]), rng.choice([True, False, False, None]), rng.choice([True, False, False, False, None])) for s in range(20) for i in range(40)]
+    want = {}
+    for s in range(20):
+        up, at = False, "local"
+        for _, i, rung, fired, boundary in [r for r in rows if r[0] == s]:
+            if boundary:
+                up, at = False, "local"
+            now = (at if at != "local" else "frontier") if up else rung
+            if fired:
+                up, at = True, P.LADDER.get(now, "frontier")
+            want[s, i] = (now, up)
+    df = spark.createDataFrame(rows, "session_id long, turn_index int, rung string, fired boolean, boundary boolean")
+    assert {(r.session_id, r.turn_index): (r.replayed_rung, r.escalated) for r in P.replay_with_hysteresis(df).collect()} == want
+
+
 def test_trajectory_populations(spark):
     df = spark.createDataFrame([(1, 0, 2, 0, True, True), (1, 1, 5, 1, False, False), (1, 2, 0, 0, False, True)], "s int, i int, n_error_results int, n_edit_failures int, interrupted boolean, eligible boolean")
     a = [r.recent_errors for r in P.trajectory(df, "s", ["i"]).orderBy("i").collect()]

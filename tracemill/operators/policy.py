@@ -85,30 +85,25 @@ def one_way_pin(turns: DataFrame, session: str, order: list[str], pin: Column) -
     return turns.withColumn("pinned", F.max(F.coalesce(pin, F.lit(False))).over(Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def replay_with_hysteresis(turns: DataFrame, schema_extra: str = "") -> DataFrame:
+def replay_with_hysteresis(turns: DataFrame) -> DataFrame:
     """Routes where each depends on the one before: an escalated episode stays up until a boundary.
 
     turns: session_id, turn_index, rung (by the policy alone), fired (a trip-wire), boundary. Adds replayed_rung and
-    escalated. The only recurrence that windows cannot express, so a session is one group; sessions are as long as a
-    person's conversation. Rows of a session are taken by turn_index; nulls count as false.
+    escalated. Rows of a session are taken by turn_index; nulls count as false. Until the first trip-wire of an episode a
+    turn's rung is its own; from then on it is as many steps up the ladder from the rung of that turn as trip-wires have
+    fired before it, so windows over an episode say what a loop over the session would.
     """
-    import pandas as pd
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g, up, at = g.sort_values("turn_index", kind="stable").reset_index(drop=True), False, "local"
-        rungs, ups = [], []
-        for r in g.itertuples(index=False):
-            if r.boundary is True or r.boundary == True:  # noqa: E712
-                up, at = False, "local"
-            rung = (at if at != "local" else "frontier") if up else r.rung
-            rungs.append(rung)
-            if r.fired == True:  # noqa: E712
-                up, at = True, LADDER.get(rung, "frontier")
-            ups.append(up)
-        return g.assign(replayed_rung=rungs, escalated=ups)
-
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in turns.schema)
-    return turns.groupBy("session_id").applyInPandas(run, f"{names}, replayed_rung string, escalated boolean")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    by_session = Window.partitionBy("session_id").orderBy("turn_index").rowsBetween(Window.unboundedPreceding, 0)
+    episode = Window.partitionBy("session_id", "h_episode").orderBy("turn_index")
+    so_far, before = episode.rowsBetween(Window.unboundedPreceding, 0), episode.rowsBetween(Window.unboundedPreceding, -1)
+    t = turns.withColumn("h_episode", F.count_if(yes("boundary")).over(by_session))
+    t = t.withColumns({"h_from": F.first(F.when(yes("fired"), F.col("rung")), ignorenulls=True).over(before), "h_fired": F.coalesce(F.count_if(yes("fired")).over(before), F.lit(0)), "escalated": F.count_if(yes("fired")).over(so_far) > 0})
+    ladder = F.create_map(*[F.lit(x) for pair in LADDER.items() for x in pair])
+    up = lambda c: F.coalesce(F.try_element_at(ladder, c), F.lit("frontier"))
+    one = up(F.coalesce("h_from", F.lit("")))
+    rung = F.when(F.col("h_fired") == 0, F.col("rung")).when(F.col("h_fired") == 1, one).when(F.col("h_fired") == 2, up(one)).otherwise("frontier")
+    return t.withColumn("replayed_rung", rung).select(*turns.columns, "replayed_rung", "escalated")
 
 
 def invariant_checks(routed: DataFrame) -> DataFrame:

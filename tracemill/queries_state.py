@@ -10,12 +10,15 @@ from tracemill.operators import content as CT
 from tracemill.operators import governance as G
 from tracemill.operators import graph as GR
 from tracemill.operators import health as HL
+from tracemill.operators import policy as P
+from tracemill.operators import realism as RL
 from tracemill.operators import reconcile as RC
+from tracemill.operators import shadow as SH
 from tracemill.operators import tripwires as TW
 from tracemill.plans import model as M
 from tracemill.plans import shared
 from tracemill.plans import traffic as X
-from tracemill.queries import query
+from tracemill.queries import ORACLE_SQL, QUERIES, query
 from tracemill.sources import transcripts as SRC
 
 # --- evidence against the ledger -------------------------------------------------------------------------------------
@@ -341,3 +344,52 @@ def canonical_call_hashes(spark, d):
     even = F.concat(F.lit('{"s": "a b", "p": '), "props", F.lit(', "path": "/u/'), u, F.lit('"}'))
     args = F.when(F.col("event_id") % 2 == 0, even).otherwise(odd)
     return M.table(spark, d, "events").select("event_id", TW.canonical_call(F.col("event_type"), TW.sorted_json(args)).alias("call"))
+
+
+# --- readers and sinks of single files, and the gate -----------------------------------------------------------------
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, event_type = 'signup' AS fired, event_type = 'purchase' AS boundary, CASE WHEN value > 200 THEN 'cheap_cloud' ELSE 'local' END AS rung FROM events),
+a AS (SELECT *, count_if(boundary) OVER (PARTITION BY user_id ORDER BY i) AS ep FROM e), b AS (SELECT *, coalesce(count_if(fired) OVER w, 0) AS n, first_value(CASE WHEN fired THEN rung END IGNORE NULLS) OVER w AS r0, count_if(fired) OVER (PARTITION BY user_id, ep ORDER BY i) > 0 AS escalated
+  FROM a WINDOW w AS (PARTITION BY user_id, ep ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_id, CASE WHEN n = 0 THEN rung WHEN n = 1 AND r0 = 'local' THEN 'cheap_cloud' ELSE 'frontier' END AS rung, escalated FROM b""")
+def hysteresis_replay(spark, d):
+    """Events as turns: a signup trips a wire, a purchase is a boundary."""
+    k = F.col("event_type")
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    t = M.table(spark, d, "events").select("event_id", F.col("user_id").alias("session_id"), i.alias("turn_index"), (k == "signup").alias("fired"), (k == "purchase").alias("boundary"), F.when(F.col("value") > 200, "cheap_cloud").otherwise("local").alias("rung"))
+    return P.replay_with_hysteresis(t).select("event_id", F.col("replayed_rung").alias("rung"), "escalated")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, CASE WHEN page_id % 7 = 0 THEN 500 ELSE 200 END AS status, CASE WHEN page_id % 5 <> 0 THEN length(url) END AS size FROM pages")
+def capture_files(spark, d):
+    """Captures of pages as a file each: their columns, and the size of a field of the body, which some have broken."""
+    p, c = M.table(spark, d, "pages"), F.col
+    body = F.to_json(F.struct("page_id", "url"))
+    made = p.select(F.when(c("page_id") % 3 == 0, "POST").otherwise("GET").alias("method"), c("page_id").cast("string").alias("path"), F.when(c("page_id") % 7 == 0, 500).otherwise(200).alias("status"), F.lit(1).alias("latency_ms"), F.when(c("page_id") % 5 == 0, "no json").otherwise(body).alias("request_body"))
+    path = f"{shared.folder(spark, 'captures')}/files"
+    made.write.option("maxRecordsPerFile", 1).json(path)
+    got = SRC.captures(spark, path)
+    return got.select(c("path").cast("long").alias("page_id"), "method", "status", F.length(F.get_json_object("body", "$.url")).alias("size"))
+
+
+@query("SELECT item_id, length(text) AS size FROM benchmark WHERE item_id % 4 <> 1")
+def benchmark_items(spark, d):
+    """Benchmark items as JSON lines, read strictly; those without a text, as every fourth, are left out."""
+    path = f"{shared.folder(spark, 'items')}/lines"
+    M.table(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 4 != 1, F.col("text")).alias("text")).write.json(path)
+    return SH.bench_items(SRC.strict_jsonl(spark, path, "item_id long, text string"), ["item_id", "text"]).select("item_id", F.length("text").alias("size"))
+
+
+@query("SELECT conv_id, CAST(count(*) AS BIGINT) AS n, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM conversations GROUP BY conv_id")
+def turns_written(spark, d):
+    """Rows with maps and lists, through Parquet and through CSV, where they are JSON."""
+    t = M.table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("role")).alias("roles")).withColumn("m", F.create_map(F.lit("n"), "n"))
+    root = shared.folder(spark, "turns")
+    SRC.write_turns(t, f"{root}/parquet")
+    SRC.write_turns(spark.read.parquet(f"{root}/parquet"), f"{root}/csv", csv=True)
+    back = spark.read.option("header", True).schema("conv_id long, n string, roles string, m string").csv(f"{root}/csv")
+    return back.select("conv_id", F.get_json_object("m", "$.n").cast("long").alias("n"), F.array_join(F.from_json("roles", "array<string>"), ",").alias("roles"))
+
+
+@query(f"SELECT bool_and(verdict = 'PASS') AS passed FROM ({ORACLE_SQL['realism_scorecard']}) WHERE gate LIKE 'P0%'")
+def realism_gate(spark, d):
+    return RL.gate(QUERIES["realism_scorecard"](spark, d))
