@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import ALNUM, Words, Workspace, distinct, fresh, parts, shingle, slices
 
 WINDOW = 10
-#: The benchmark's texts may have so many bytes in all to be broadcast, some 200 MB as a table of windows; beyond it windows
+#: The benchmark's texts may have so many bytes in all to be broadcast, some 20 MB as a table of windows; beyond it windows
 #: meet in a join.
 BENCHMARK_BYTES = 4 << 20
 #: Bits of the benchmark's hashes, 8 MB whatever its size, by which most of the documents' windows stay out of that join.
@@ -30,32 +30,93 @@ def windows_in(text: str | None, size: int) -> Iterator[tuple[int, int, bytes]]:
 
 
 class Windows:
-    """Windows by length: sorted hashes, and for each the word sequences with the items that have them."""
+    """Windows by length: for each its hash, in order, where its words stand in one text, and the items that have it.
 
-    def __init__(self, entries: Iterable[tuple[int, int, bytes, list[str]]]):
-        found: dict[int, dict[int, dict[bytes, set[int]]]] = {}
+    An item's windows are parts of its own words with single spaces between, so a benchmark of some MB is as many MB here
+    and 20 bytes a window.
+    """
+
+    def __init__(self) -> None:
+        self.ids: list[str] = []
+        self.text = b""
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    @classmethod
+    def of_items(cls, rows: Iterable[tuple[str, str | None]], size: int) -> Windows:
+        """All windows of items (id, text)."""
+        new, texts, at, found = cls(), [], 0, {}
+        number: dict[str, int] = {}
+        for item, text in rows:
+            data = np.frombuffer((text or "").encode(), np.uint8)
+            w = Words(data, np.array([0, len(data)]), ALNUM)
+            if not len(w.starts):
+                continue
+            texts.append(b" ".join(w.text(i) for i in range(len(w.starts))))
+            ends = np.cumsum(w.ends - w.starts + 1) - 1
+            starts = ends - (w.ends - w.starts)
+            k = min(size, len(starts))
+            n = len(starts) - k + 1
+            who = np.full(n, number.setdefault(item, len(number)), np.int32)
+            found.setdefault(k, []).append((shingle(w.hashes, size), at + starts[:n], at + ends[k - 1 :], who))
+            at += len(texts[-1]) + 1
+        new.ids, new.text = list(number), b" ".join(texts)
+        for k, parts_of in found.items():
+            new._set(k, *[np.concatenate(x) for x in zip(*parts_of, strict=True)])
+        return new
+
+    @classmethod
+    def of_entries(cls, entries: Iterable[tuple[int, int, bytes, list[str]]]) -> Windows:
+        """Windows (words, hash, their words, items)."""
+        new, texts, at, found = cls(), [], 0, {}
         number: dict[str, int] = {}
         for k, h, words, items in entries:
-            found.setdefault(k, {}).setdefault(h, {}).setdefault(words, set()).update(number.setdefault(i, len(number)) for i in items)
-        self.ids = list(number)
-        self.by_length = {k: (np.array(sorted(v), np.uint64), v) for k, v in found.items()}
+            texts.append(words)
+            found.setdefault(k, []).extend((h, at, at + len(words), number.setdefault(i, len(number))) for i in items)
+            at += len(words) + 1
+        new.ids, new.text = list(number), b" ".join(texts)
+        for k, rows in found.items():
+            new._set(k, np.array([r[0] for r in rows], np.uint64), *[np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3)])
+        return new
+
+    def _set(self, k: int, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: np.ndarray) -> None:
+        """Equal windows as one, by a number for each distinct words of a hash."""
+        order = np.argsort(hashes, kind="stable")
+        hashes, starts, ends, items = (x[order] for x in (hashes, starts, ends, items))
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        same = np.cumsum(new) - 1
+        # the first window of each hash; those of another text, which hardly are, are told apart one by one
+        first = np.flatnonzero(new)
+        other = [i for i in np.flatnonzero(~new).tolist() if self.text[starts[i] : ends[i]] != self.text[starts[f := first[same[i]]] : ends[f]]]
+        if other:
+            ids: dict[tuple[int, bytes], int] = {}
+            same = np.array([ids.setdefault((int(hashes[i]), self.text[starts[i] : ends[i]]), len(ids)) for i in range(len(hashes))])
+            order = np.argsort(same, kind="stable")
+            hashes, starts, ends, items, same = (x[order] for x in (hashes, starts, ends, items, same))
+            new[1:] = same[1:] != same[:-1]
+            first = np.flatnonzero(new)
+        spans = np.stack([starts[first], ends[first]], 1).astype(np.int32 if len(self.text) < 1 << 31 else np.int64)
+        self.by_length[k] = (hashes[first], spans, np.append(first, len(hashes)).astype(np.int32), items.astype(np.int32))
 
     def scan(self, w: Words, hashes: np.ndarray, row: int) -> tuple[np.ndarray, set[int], list[tuple[int, int]]]:
         """For one text: which of its words are hit, the items found, and the windows (first word, words)."""
         a, b = w.ptr[row], w.ptr[row + 1]
         hit, items, spans = np.zeros(b - a, bool), set(), []
-        for k, (keys, owners) in self.by_length.items():
+        for k, (keys, where, ptr, owners) in self.by_length.items():
             if b - a < k:
                 continue
             mine = shingle(hashes[a:b], k)
             at = np.searchsorted(keys, mine)
             at[at == len(keys)] = 0
             for i in np.flatnonzero(keys[at] == mine).tolist():
-                words = b" ".join(w.text(j) for j in range(a + i, a + i + k))
-                if (own := owners[int(mine[i])].get(words)) is not None:
-                    hit[i : i + k] = True
-                    items.update(own)
-                    spans.append((i, k))
+                words, j = b" ".join(w.text(x) for x in range(a + i, a + i + k)), int(at[i])
+                while j < len(keys) and keys[j] == mine[i]:
+                    if self.text[where[j, 0] : where[j, 1]] == words:
+                        hit[i : i + k] = True
+                        items.update(owners[ptr[j] : ptr[j + 1]].tolist())
+                        spans.append((i, k))
+                        break
+                    j += 1
         return hit, items, spans
 
 
@@ -126,7 +187,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, action:
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     small = total <= BENCHMARK_BYTES
     rows = [(str(r[0]), r[1]) for r in benchmark.select("item_id", "text").where("item_id is not null").collect()] if small else []
-    table = docs.sparkSession.sparkContext.broadcast(Windows((*x, [i]) for i, text in rows for x in windows_in(text, size)))
+    table = docs.sparkSession.sparkContext.broadcast(Windows.of_items(rows, size))
     added = "n_words long, n_hit long, hit_items array<string>, hit_spans array<struct<first:long,last:long>>"
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "hit_items", "hit_spans")]
     base = docs.select(*own)
@@ -150,7 +211,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, action:
                 hashes = w.hashes
                 for r in range(len(offsets) - 1):
                     if entries is not None:
-                        windows = Windows((e["k"], e["h"] % (1 << 64), e["words"], e["items"]) for e in entries[first + r].as_py() or ())
+                        windows = Windows.of_entries((e["k"], e["h"] % (1 << 64), e["words"], e["items"]) for e in entries[first + r].as_py() or ())
                     hit, found, _ = windows.scan(w, hashes, r)
                     a = w.ptr[r]
                     n_words.append(len(hit))
