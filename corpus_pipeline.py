@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm import bpe, decontaminate, ngram_join, substring_dedup, toxicity
-from tracemill.llm.common import Workspace, scratch
+from tracemill.llm.common import Workspace, lean_workers, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -20,6 +20,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Without labels nothing is rejected. A null or empty text has the score of no words;
     equal texts have equal scores, so of repeated rows all stay or all go; a score of 0.5 is a rejection.
     """
+    lean_workers(spark)
     scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.where("predicted = 0").select(*docs.columns)
 
@@ -30,6 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     The smallest doc_id stays, of rows equal in doc_id and text one. Texts without words (null, empty, blank) are like none
     and all stay; a similarity of exactly 0.8 is a link; a null doc_id comes after all others.
     """
+    lean_workers(spark)
     return ngram_join.one_of_each(docs, 5, 80)
 
 
@@ -39,6 +41,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Earlier is by doc_id, then by the text's hash. A row that repeats another whole row is the same document and gets the
     same result; rows with a null doc_id are compared but not cut. A document that loses all of its text stays.
     """
+    lean_workers(spark)
     return substring_dedup.substring_dedup(docs).select(*docs.columns)
 
 
@@ -47,11 +50,13 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Repeated rows are treated alike; an empty benchmark, or items without words, take nothing away.
     """
+    lean_workers(spark)
     return decontaminate.find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), action="remove_spans")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with their count and digests; an empty text has no tokens, equal texts have equal ones."""
+    lean_workers(spark)
     return bpe.bpe_digests(docs.select("doc_id", "lang", "source", "text"), bpe.default_path())
 
 
