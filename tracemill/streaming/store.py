@@ -54,8 +54,9 @@ class Sessions(StatefulProcessor):
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted((k, v) for k, v in self.held.iterator() if k[0] < end)
+        end, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        # all slices that are over, at once: the timers of the others then find nothing
+        due = sorted((k, v) for k, v in self.held.iterator() if k[0] + self.slice_ms <= now)
         if not due:
             # a session's own timer: nothing came since
             last = self.session.get()
