@@ -54,22 +54,28 @@ def numbered(text: Column) -> Column:
 def _ring(s: Column) -> Column:
     """point * 2**32 + hash for each of the 64 points: of the two k-mers at or after it on the circle of hashes.
 
-    s is sorted as signed numbers, which is clockwise from the point of the least of them.
+    s is sorted as signed numbers, which is clockwise from the point of the least of them. Only the first two k-mers of
+    each arc between points count: the one after an arc's first is the next of those, whichever arc it is of.
     """
     half = 1 << (BIN_BITS - 1)
-    arc = lambda j: F.shiftright(F.get(s, j), 64 - BIN_BITS).cast("int")
-    opens = F.filter(F.transform(s, lambda x, j: F.when((j == 0) | (arc(j) != arc(j - 1)), j)), lambda j: j.isNotNull())
+    arc = lambda x: F.shiftright(x, 64 - BIN_BITS).cast("int")
 
-    def points(o: Column) -> Column:
-        # the points since the arc before the one of k-mer j lead to it; those after the last arc with one to the first
-        lead = F.flatten(F.transform(o, lambda j, k: F.array_repeat(j, arc(j) - F.coalesce(arc(F.get(o, k - 1)), F.lit(-half - 1)))))
-        return F.concat(lead, F.array_repeat(F.lit(0), half - 1 - arc(F.size(s) - 1)))
+    def of(t: Column) -> Column:
+        at = lambda j: arc(F.get(t, j))
+        opens = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda j: (j == 0) | (at(j) != at(j - 1)))
 
-    def pair(j: Column, b: Column) -> Column:
-        after = F.when(F.size(s) > 1, F.get(s, (j + 1) % F.size(s)))
-        return F.shiftleft(b.cast("long"), 32).bitwiseOR(F.shiftrightunsigned(_ordered(F.get(s, j), after), 32))
+        def points(o: Column) -> Column:
+            # the points since the arc before the one of k-mer j lead to it; those after the last arc with one to the first
+            lead = F.flatten(F.transform(o, lambda j, k: F.array_repeat(j, at(j) - F.coalesce(at(F.get(o, k - 1)), F.lit(-half - 1)))))
+            return F.concat(lead, F.array_repeat(F.lit(0), half - 1 - at(F.size(t) - 1)))
 
-    return _bind(_bind(opens, points), lambda p: F.transform(p, pair))
+        def pair(j: Column, b: Column) -> Column:
+            after = F.when(F.size(t) > 1, F.get(t, (j + 1) % F.size(t)))
+            return F.shiftleft(b.cast("long"), 32).bitwiseOR(F.shiftrightunsigned(_ordered(F.get(t, j), after), 32))
+
+        return _bind(_bind(opens, points), lambda p: F.transform(p, pair))
+
+    return _bind(F.filter(s, lambda x, j: (j < 2) | (arc(x) != arc(F.get(s, j - 2)))), of)
 
 
 def _hashed(s: Column) -> Column:
