@@ -47,7 +47,7 @@ def shared_least(n: int, percent: int) -> int:
 
 
 def least_tokens(s: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """The first k tokens under the order of a hash, as the upper halves of its values; none if two of them are equal."""
+    """The first k tokens under the order of a hash, as the lower halves of its values; none if two of these are equal."""
     m = mix(s, seed)
     low = (np.partition(m, k - 1)[:k] if k < len(m) else m) & np.uint64(0xFFFFFFFF)
     out = distinct(low.astype(np.uint32)).view(np.int32)
