@@ -283,3 +283,18 @@ def test_the_nearest_of_blocks_are_the_nearest(spark, monkeypatch):
     assert shown(V.nearest_earlier(df, 0.5, 5)) == shown(whole)
     # of each of its two blocks no more than five a target leave the product
     assert max(r["count"] for r in V.earlier_pairs(df, 0.5, 5, True).groupBy("target").count().collect()) <= 10
+
+
+def test_lines_do_not_go_along_with_records(spark, tmp_path):
+    """A record's text is neither shuffled nor written beside it, and a roll-up by file needs no shuffle of its own."""
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/a.jsonl").write_text("".join(json.dumps({"type": "user", "uuid": f"u{i}", "message": {"content": "x"}}) + "\n" for i in range(5)) + "{bad\n")
+    reading = lines.read(spark, str(tmp_path), shared.folder(spark, "t"))
+    assert "line" not in reading.records.columns and [r.line for r in reading.bad().collect()] == ["{bad"]
+    narrow = TU.narrow(reading.records.withColumn("line", F.lit("x")))
+    assert "line" not in narrow.columns and reading.stats["records"] == 5
+    rows = narrow.withColumns({"opener": F.lit(True), "turn": F.struct("source_path", "line_no")}).repartition("source_path")
+    with shared.settings(spark, spark__sql__adaptive__enabled="false"):
+        plan = TU.roll_up(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert TU.roll_up(rows).count() == 5
