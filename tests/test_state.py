@@ -306,3 +306,13 @@ def test_usage_of_tied_lines_is_the_first_in_the_table(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {r.l_orderkey: (r.quantity, r.messages) for r in QUERIES["usage_once_per_message"](spark, str(tmp_path)).collect()}
     assert got == {1: (5.0, 1), 2: (9.0, 1), 3: (8.0, 1), 4: (None, 1)}
+
+
+def test_reconciliation_shuffles_contexts_by_evidence_and_by_route_only(spark):
+    text = ("schema_version", "evidence_id", "route_id", "decision_source", "decision_layer", "policy_version", "selected_rung", "learning_contract_version", "feature_schema_version", "features_sha256", "repository_sha256", "verification_plan_sha256")
+    result = "struct<task_success:boolean,verifier_source:string,failure_cause:string,quality_score:double,confidence:double>"
+    contexts = spark.createDataFrame([], ", ".join(f"{t} string" for t in text) + f", seq int, decision_ts double, verification {result}")
+    ledger = spark.createDataFrame([], "route_id string, source string, ts double, layer string, policy_version string, rung string, features_json string, verified_success boolean, verifier_source string, verification_failure_cause string, quality_score double, verifier_confidence double")
+    out = RC.reconcile(contexts.repartition(2), ledger.repartition(2), contexts.select("evidence_id", "route_id"), "c", "f")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftOuter") == 2
