@@ -316,3 +316,18 @@ def test_reconciliation_shuffles_contexts_by_evidence_and_by_route_only(spark):
     out = RC.reconcile(contexts.repartition(2), ledger.repartition(2), contexts.select("evidence_id", "route_id"), "c", "f")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftOuter") == 2
+
+
+def test_pairs_are_dealt_once_into_parts_of_a_size(spark, tmp_path, monkeypatch):
+    from tracemill import queries
+    from tracemill.plans import model
+
+    rows = [(i // 2, i % 5, "F", "A", datetime.datetime(1995, 1, 1)) for i in range(2000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linestatus string, l_returnflag string, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i, "2-HIGH") for i in range(1000)], "o_orderkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(model, "PART_BYTES", 500)
+    n = model.parts(spark, str(tmp_path), "lineitem")
+    assert n > 4
+    with shared.settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false"):
+        problems = G.pair_problems(queries._pairs(spark, str(tmp_path)))
+        assert problems.rdd.getNumPartitions() == n and problems.count() == 1000

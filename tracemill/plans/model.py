@@ -21,10 +21,21 @@ PROMPTS = [
 ]
 
 
+#: Bytes of compressed files, of which a task then sorts or aggregates the rows.
+PART_BYTES = 2 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """How many parts of at most PART_BYTES the table's files make, so that a task's part stays as it is when tables grow."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(1, -(-size // PART_BYTES))
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, idx, text: the user's messages of the conversations, and the fixed prompts as session -1."""
     own = spark.createDataFrame([(-1, i, t) for i, t in enumerate(PROMPTS)], "session_id long, idx long, text string")
