@@ -154,3 +154,30 @@ def test_sse_and_rebuilding(spark):
     df = spark.createDataFrame([([("user", [("text", "a", None, None)]), ("assistant", [("thinking", "b", None, None)]), ("assistant", [("tool_use", None, "t", None)]), ("user", [("tool_result", "c", None, "t")])],), ([("user", [("tool_result", "c", None, "x")])],)], schema)
     out = df.select(B.rebuild(F.col("messages"), B.failure_note(F.lit("loop"), F.lit("difficulty"), F.lit(3))).alias("r")).select("r", B.rebuilt_problem(F.col("r")).alias("p")).collect()
     assert [len(r.r) for r in out] == [4, 2] and [r.p for r in out] == [None, "result without its call"]
+
+
+def parsings(df):
+    """How often the plan of df parses JSON."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("parseJson")
+
+
+def test_a_record_is_read_in_one_pass(spark):
+    lines = ["", "null", "[]", "{}", '{"type": 5, "message": {"content": "hey", "usage": {"input_tokens": "7", "output_tokens": 2.9}}}', '{"type": "user", "isMeta": "true", "origin": 1, "message": {"content": [{"type": "text", "text": 5}, 7, {"text": "no"}, {"type": "tool_use", "input": null, "content": [1]}]}}']
+    parsed = SRC.parse(spark.createDataFrame([(i, x, "f") for i, x in enumerate(lines)], "i int, line string, file_session string"))
+    rows = parsed.orderBy("i").collect()
+    assert [(r.status, r.type) for r in rows] == [("bad", "<missing>"), ("not_object", "<missing>"), ("not_object", "<missing>"), ("ok", "<missing>"), ("ok", "5"), ("ok", "user")]
+    assert (rows[4].input_tokens, rows[4].output_tokens, [b.text for b in rows[4].blocks]) == (7, 2, ["hey"])
+    assert (rows[5].is_meta, rows[5].origin_kind, [(b.type, b.text, b.input, b.content) for b in rows[5].blocks]) == (True, None, [("text", "5", None, None), ("tool_use", None, "null", "[1]")])
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get(") < 10 and "schemaOfVariant" not in plan
+
+
+def test_files_that_loop_are_found_in_one_pass_by_file(spark):
+    from tracemill.plans import traffic as X
+
+    found = X.looping(spark, "/root/testdata/sf0.001")
+    # parsed once, and dealt by order, by file, by file and prompt after the calls' Python, and what loops by file
+    assert parsings(found) == 1
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+    calls = spark.createDataFrame([("f", "p", i, c) for i, c in enumerate("aabaccc")] + [("f", "q", 9, "a"), ("g", "p", 1, "a")], "file string, prompt string, ordinal int, call string")
+    assert sorted((r.file, r.prompt, r.ordinal) for r in TW.loops(calls, by=("file", "prompt")).collect()) == [("f", "p", 3), ("f", "p", 6)]
