@@ -331,3 +331,43 @@ def test_pairs_are_dealt_once_into_parts_of_a_size(spark, tmp_path, monkeypatch)
     with shared.settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false"):
         problems = G.pair_problems(queries._pairs(spark, str(tmp_path)))
         assert problems.rdd.getNumPartitions() == n and problems.count() == 1000
+
+
+def test_a_batch_of_the_ledger_is_read_once_and_ids_that_come_twice_count_once(spark):
+    rng = random.Random(4)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    ledger = LS.Ledger(spark, shared.folder(spark, "t"))
+    names = [c.split()[0] for c in LS.DECISION.split(", ")]
+    one = lambda i: tuple({"route_id": f"r{i}", "ts": 1.0, "turn_index": i, "cascade": False}.get(n) for n in names) + ([1.0],)
+    schema = f"{LS.DECISION}, embedding array<float>"
+    ledger.record_decisions(spark.createDataFrame([one(i) for i in range(20)], schema).mapInPandas(counted, schema), "a-0")
+    assert read.value == 20 and ledger.table("outcome_events").count() == 20
+    ids = [None, *(f"e{i}" for i in range(150))]
+    events = [(rng.choice(ids), f"r{rng.randrange(25)}", i, 1.0, rng.choice(["pending", "closed_turn", "closed_turn", "closed_final", "odd", None]), False, None, 0, 0, 0, 0.0, None) for i in range(200)]
+    new = spark.createDataFrame(events, LS.OUTCOME)
+    read.value = 0
+    ledger.attach_outcomes(new.mapInPandas(counted, LS.OUTCOME), "o-0")
+    # for the ids, and for the events
+    assert read.value == 400
+    rank, stand, done, want = {"pending": 0, "closed_turn": 1, "closed_final": 2}, {f"r{i}": 0 for i in range(20)}, set(), set()
+    for e in events:
+        r = rank.get(e[4])
+        fits = e[1] in stand and r is not None and r >= stand[e[1]] and stand[e[1]] < 2
+        if fits:
+            stand[e[1]] = r
+            if e[0] not in done:
+                done.add(e[0])
+                want.add((e[0], e[2]))
+    got = {(r.event_id, r.seq) for r in ledger.table("outcome_events").where("seq >= 0").collect()}
+    assert got == want
+    assert sorted(str(r.id) for r in ledger.table("refused").collect()) == sorted({str(e[0]) for e in events} - {i for i in done if i is not None} - ({"None"} if not any(e[0] is None and (e[0], e[2]) not in want for e in events) else set()))
+    # in another batch, no id that is recorded is taken again
+    ledger.attach_outcomes(new, "o-1")
+    again = ledger.table("outcome_events").where("event_id IS NOT NULL").groupBy("event_id").count()
+    assert again.where("count > 1").count() == 0

@@ -30,18 +30,38 @@ def accepted_events(events: DataFrame, routes: DataFrame) -> DataFrame:
     A rejected event never raises a route's rank, so the highest rank of all earlier events decides; a rejected event
     also leaves no id behind.
     """
-    ranked = events.join(routes.select("route_id").distinct().withColumn("_known", F.lit(True)), "route_id", "left").withColumn("_rank", _rank(F.col("status")))
-    valid = F.col("_known").isNotNull() & F.col("_rank").isNotNull()
-    ranked = ranked.withColumn("_rank", F.when(valid, F.col("_rank")))
-    before = F.max("_rank").over(Window.partitionBy("route_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = ranked.withColumn("_ok", valid & (F.col("_rank") >= F.coalesce(before, F.lit(0))) & (F.coalesce(before, F.lit(0)) < 2))
-    again = F.count_if("_ok").over(Window.partitionBy("event_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    return ranked.withColumn("accepted", F.coalesce(F.col("_ok"), F.lit(False)) & (F.coalesce(again, F.lit(0)) == 0)).drop("_known", "_rank", "_ok")
-
-
-def fold(events: DataFrame, routes: DataFrame, values: list[str]) -> DataFrame:
-    """The outcome of every route: the last accepted event's status and values; pending where there is none."""
-    last = accepted_events(events, routes).where("accepted").groupBy("route_id").agg(F.max_by(F.struct("status", *values), "seq").alias("e"))
+    return once(fitting(events, routes)).drop("twice")
+
+
+def fitting(events: DataFrame, routes: DataFrame) -> DataFrame:
+    """events with fits: whether accepted_events() would accept each, but for its repetitions."""
+    known = routes.select("route_id").distinct().withColumn("_stand", F.lit("pending"))
+    return fitting_after(events.join(known, "route_id", "left"), "_stand").drop("_stand")
+
+
+def fitting_after(events: DataFrame, stand: str) -> DataFrame:
+    """fitting() of events with the status that their route has before them, null for an unknown route. Only dealt by route."""
+    rank = F.when(F.col(stand).isNotNull(), _rank(F.col("status")))
+    earlier = F.max("_rank").over(Window.partitionBy("route_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.greatest(earlier, _rank(F.col(stand)))
+    return events.withColumn("_rank", rank).withColumn("fits", F.coalesce((F.col("_rank") >= before) & (before < 2), F.lit(False))).drop("_rank")
+
+
+def once(events: DataFrame) -> DataFrame:
+    """fitting() events with accepted, which of an id only one is, and twice: whether one of the id is. Dealt by id."""
+    same = Window.partitionBy("event_id").orderBy("seq")
+    again = F.count_if("fits").over(same.rowsBetween(Window.unboundedPreceding, -1))
+    e = events.withColumn("accepted", F.col("fits") & (F.coalesce(again, F.lit(0)) == 0))
+    return e.withColumn("twice", F.col("event_id").isNotNull() & F.bool_or("accepted").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).drop("fits")
+
+
+def fold(events: DataFrame, routes: DataFrame, values: list[str], unique: bool = False) -> DataFrame:
+    """The outcome of every route: the last accepted event's status and values; pending where there is none.
+
+    Where no two events have one id (unique), events are dealt by route only.
+    """
+    accepted = fitting(events, routes).where("fits") if unique else accepted_events(events, routes).where("accepted")
+    last = accepted.groupBy("route_id").agg(F.max_by(F.struct("status", *values), "seq").alias("e"))
     out = routes.select("route_id").distinct().join(last, "route_id", "left")
     return out.select("route_id", F.coalesce("e.status", F.lit("pending")).alias("status"), *[F.col(f"e.{v}").alias(v) for v in values])
 

@@ -293,7 +293,8 @@ def ledger_sink(spark, d):
     li = M.table(spark, d, "lineitem")
     status = F.when(c("l_returnflag") == "A", "closed_final").when(c("l_returnflag") == "R", "closed_turn").when(c("l_linestatus") == "F", "pending").otherwise("odd")
     by = ["l_orderkey", "l_linenumber", "l_returnflag"]
-    first = li.groupBy(*by).agg(F.min(F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_linestatus")).alias("f")).select(*by, "f.*")
+    # dealt once, by order
+    first = li.select(*by, "l_partkey", "l_suppkey", "l_extendedprice", "l_linestatus").repartition("l_orderkey").groupBy(*by).agg(F.min(F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_linestatus")).alias("f")).select(*by, "f.*")
     event_id = F.concat(F.lit("e"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_returnflag")
     order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "event_id")).cast("long")
     observed = first.withColumn("event_id", event_id).select(
@@ -303,9 +304,10 @@ def ledger_sink(spark, d):
     ledger = S.Ledger(spark, f"{root}/tables")
     steps = (("decided", decided.withColumn("half", c("turn_index") % 2), f"{S.DECISION}, embedding array<float>", ledger.record_decisions), ("observed", observed.withColumn("half", c("l_orderkey") % 2).drop("l_orderkey"), S.OUTCOME, ledger.attach_outcomes))
     for name, rows, schema, record in steps:
+        rows = shared.written(rows, f"{root}/{name}-rows")
         # the second run has what the first had, too
         for half in (0, 1):
-            rows.where(c("half") <= half).drop("half").write.mode("append").parquet(f"{root}/{name}")
+            rows.where(c("half") <= half).drop("half").write.mode("append").option("compression", "zstd").parquet(f"{root}/{name}")
             S.run_once(spark.readStream.schema(schema).parquet(f"{root}/{name}"), record, name, f"{root}/{name}-checkpoint")
         record(rows.where("half = 0").drop("half"), f"{name}-0")
     shown = lambda what, df, key, detail: df.select(F.lit(what).alias("what"), F.col(key).alias("id"), detail.cast("string").alias("detail"))

@@ -7,6 +7,7 @@ is not seen, and a batch that is run again finds the ledger as it was before it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.operators import ledger as L
+from tracemill.plans import shared
 
 DECISION = (
     "route_id string, ts double, session_id string, turn_index long, source string, instr_sha256 string, features_json string, layer string, rung string, cascade boolean, score double, reason string"
@@ -54,13 +56,15 @@ class Ledger:
 
     def outcomes(self) -> DataFrame:
         """The outcome of every decision: pending, or what the last accepted event says."""
-        return L.fold(self.table("outcome_events"), self.table("decisions").select("route_id"), VALUES)
+        events = self.table("outcome_events")
+        twice = events.groupBy("event_id").count().where("count > 1").limit(1).count()
+        return L.fold(events, self.table("decisions").select("route_id"), VALUES, unique=not twice)
 
     def _record(self, batch: str, rows: dict[str, DataFrame]) -> None:
         counts = {}
         for name, df in rows.items():
             path = f"{self.root}/{name}/batch={batch}"
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
             counts[name] = self.spark.read.schema(df.schema).parquet(path).count()
         pairs = [F.lit(x) for k, v in counts.items() for x in (k, v)]
         self.spark.range(1).select(F.create_map(*pairs).cast("map<string,long>").alias("rows")).write.mode("overwrite").parquet(f"{self.root}/batches/batch={batch}")
@@ -74,17 +78,19 @@ class Ledger:
         """
         names = [c.split()[0] for c in DECISION.split(", ")]
         odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | x.isin(float("inf"), float("-inf"))) | (F.size("embedding") == 0)
-        shared = F.col("embedding").isNotNull() & F.col("instr_sha256").isNotNull()
+        shared_ = F.col("embedding").isNotNull() & F.col("instr_sha256").isNotNull()
         first = new.groupBy("route_id").agg(F.min(F.struct("ts", F.struct(*[c for c in names if c not in ("ts", "route_id")], "embedding"))).alias("f"))
         first = first.select("route_id", "f.ts", "f.col2.*")
-        fresh = first.join(self.table("decisions", but=batch).select("route_id"), "route_id", "left_anti").withColumn("bad", F.coalesce(shared & odd, F.lit(False)))
+        fresh = first.join(self.table("decisions", but=batch).select("route_id"), "route_id", "left_anti").withColumn("bad", F.coalesce(shared_ & odd, F.lit(False)))
+        # all tables are of one pass over the batch
+        fresh = shared.written(fresh, f"{self.root}/passes/{uuid.uuid4().hex}")
         kept = fresh.where("NOT bad")
         pending = kept.select(F.concat("route_id", F.lit(":pending")).alias("event_id"), "route_id", F.lit(-1).cast("long").alias("seq"), F.col("ts").alias("observed_at"), F.lit("pending").alias("status"))
         missing = [x.split() for x in OUTCOME.split(", ")[5:]]
         self._record(batch, {
             "decisions": kept.select(*names),
             "outcome_events": pending.select("*", *[F.lit(None).cast(t).alias(n) for n, t in missing]),
-            "embeddings": kept.where(shared).select("route_id", F.size("embedding").alias("dim"), F.col("embedding").alias("vec")),
+            "embeddings": kept.where(shared_).select("route_id", F.size("embedding").alias("dim"), F.col("embedding").alias("vec")),
             "refused": fresh.where("bad").select(F.lit("decision").alias("what"), F.col("route_id").alias("id"), F.lit("embedding").alias("reason")),
         })
 
@@ -94,18 +100,23 @@ class Ledger:
         An event id that is recorded, or accepted earlier in the batch, is a repetition and changes nothing. Only the routes
         of the batch are looked up: the status that each has stands before its new events.
         """
-        names = [c.split()[0] for c in OUTCOME.split(", ")]
+        c, names = F.col, [x.split()[0] for x in OUTCOME.split(", ")]
+        at = f"{self.root}/passes/{uuid.uuid4().hex}"
         old = self.table("outcome_events", but=batch)
-        known = old.select("event_id").join(new.select("event_id").distinct(), "event_id", "left_semi").withColumn("again", F.lit(True))
-        touched = new.select("route_id").distinct()
         rank = F.create_map(*[F.lit(x) for pair in L.RANK.items() for x in pair])
-        stand = old.join(touched, "route_id", "left_semi").groupBy("route_id").agg(F.max_by("status", rank[F.col("status")]).alias("status"))
-        marked = new.select(*names).join(known, "event_id", "left")
-        before = stand.select(F.concat(F.lit("before:"), "route_id").alias("event_id"), "route_id", F.lit(-2).cast("long").alias("seq"), "status")
-        judged = L.accepted_events(marked.where("again IS NULL").drop("again").unionByName(before, allowMissingColumns=True), stand.select("route_id")).where("seq > -2")
-        repeated = judged.where("NOT accepted").join(judged.where("accepted").select("event_id").distinct().withColumn("twice", F.lit(True)), "event_id", "left")
-        refused = repeated.where("twice IS NULL").select(F.lit("outcome").alias("what"), F.col("event_id").alias("id"), F.lit("lifecycle").alias("reason")).distinct()
-        self._record(batch, {"outcome_events": judged.where("accepted").select(*names), "refused": refused})
+        stand = old.groupBy("route_id").agg(F.max_by("status", rank[c("status")]).alias("_stand"))
+        # ids only are dealt by id, and the events of those that are recorded or there twice
+        ids = new.select("event_id", F.lit(1).alias("n"), F.lit(False).alias("known")).unionByName(old.select("event_id", F.lit(0).alias("n"), F.lit(True).alias("known")))
+        ids = ids.where("event_id IS NOT NULL").groupBy("event_id").agg(F.sum("n").alias("n"), F.bool_or("known").alias("known")).where("n > 1 OR (n = 1 AND known)")
+        marked = new.select(*names).join(shared.written(ids, f"{at}/ids"), "event_id", "left").where("NOT coalesce(known, false)")
+        marked = marked.withColumn("many", c("event_id").isNull() | F.coalesce(c("n") > 1, F.lit(False))).drop("n", "known")
+        judged = shared.written(L.fitting_after(marked.join(stand, "route_id", "left"), "_stand").drop("_stand"), f"{at}/events")
+        alone, many = judged.where("NOT many").withColumn("accepted", c("fits")), L.once(judged.where("many"))
+        refused = lambda df: df.select(F.lit("outcome").alias("what"), c("event_id").alias("id"), F.lit("lifecycle").alias("reason"))
+        self._record(batch, {
+            "outcome_events": alone.where("accepted").select(*names).unionByName(many.where("accepted").select(*names)),
+            "refused": refused(alone.where("NOT accepted")).unionByName(refused(many.where("NOT accepted AND NOT twice")).distinct()),
+        })
 
 
 def run_once(stream: DataFrame, record: Callable[[DataFrame, str], None], name: str, checkpoint: str) -> None:
