@@ -117,3 +117,14 @@ def test_taxonomy_rows(spark):
     df = spark.createDataFrame(rows, "line int, id string, decision string, state string, maturity string, evidence string")
     got = {r.line: r.reasons for r in G.taxonomy_problems(df, "D").collect()}
     assert got == {2: ["number does not follow"], 3: ["repeated id", "unknown state", "empty cell", "number does not follow"], 4: ["malformed id"], 5: ["unknown bucket", "unknown maturity", "empty cell"], 6: ["malformed id"]}
+
+
+def test_a_payload_is_parsed_once(spark):
+    odd = [None, "", "null", "[]", '{"verb_class": null}', '{"verb_score": 2, "context_tokens": 1.5, "privacy_pinned": true}']
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(odd)], "i int, p string")
+    got = df.select("i", G.eligibility_reasons(F.lit("organic"), F.lit("classifier"), F.col("p")).alias("r"))
+    rows = [r.r for r in got.orderBy("i").collect()]
+    missing = lambda *but: "missing: " + ",".join(sorted({f[0] for f in G.FEATURES} - set(but)))
+    assert rows[:4] == [["not json"], ["not json"], [missing()], [missing()]]
+    assert rows[4:] == [[missing("verb_class"), "bad: verb_class"], ["gate active: privacy_pinned", missing("verb_score", "context_tokens"), "bad: verb_score", "bad: context_tokens"]]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,25 +30,42 @@ def _lit(names) -> Column:
     return F.array(*map(F.lit, names))
 
 
+def _with(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value), with value evaluated once however often made reads it."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def _parsed(payload: Column) -> Column:
+    """v, the payload as a VARIANT, and its keys."""
+    return F.struct(F.try_parse_json(payload).alias("v"), F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>")).alias("keys"))
+
+
 def feature_reasons(payload: Column) -> Column:
     """Why a feature payload (JSON) breaks the contract, in order; an empty array if it does not. A boolean is no integer."""
-    v = F.try_parse_json(payload)
-    keys = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
+    return _with(_parsed(payload), lambda p: _feature_reasons(p["v"], p["keys"]))
+
+
+def _feature_reasons(v: Column, keys: Column) -> Column:
     names = [f[0] for f in FEATURES]
     lists = [("forbidden", F.array_intersect(keys, _lit(FORBIDDEN))), ("unknown", F.array_except(keys, _lit([*names, *DROPPED, *FORBIDDEN]))), ("missing", F.array_except(_lit(names), keys))]
-    found = [F.when(v.isNull(), F.lit("not json"))] + [F.when(v.isNotNull() & (F.size(x) > 0), F.concat(F.lit(f"{k}: "), F.array_join(F.array_sort(x), ","))) for k, x in lists]
-    for name, kind, least, most in FEATURES:
-        part = F.try_variant_get(v, f"$.{name}", "variant")
-        is_a = F.schema_of_variant(part)
-        number = F.try_variant_get(v, f"$.{name}", "double")
-        whole = is_a == "BIGINT"
-        ok = {"boolean": is_a == "BOOLEAN", "integer": whole, "number": whole | (is_a == "DOUBLE") | is_a.startswith("DECIMAL"), "string": F.try_variant_get(v, f"$.{name}", "string").isin(*VERBS) & (is_a == "STRING")}[kind]
-        if least is not None:
-            ok = ok & (number >= least)
-        if most is not None:
-            ok = ok & (number <= most)
-        found.append(F.when(F.array_contains(keys, F.lit(name)) & ~F.coalesce(ok, F.lit(False)), F.lit(f"bad: {name}")))
-    return F.array_compact(F.array(*found))
+    show = lambda k: lambda x: F.when(v.isNotNull() & (F.size(x) > 0), F.concat(F.lit(f"{k}: "), F.array_join(F.array_sort(x), ",")))
+    listed = [_with(x, show(k)) for k, x in lists]
+    # all features at once, as they are and as numbers, then what each is
+    parts = F.try_variant_get(v, "$", "struct<" + ",".join(f"{n}:variant" for n in names) + ">")
+    values = F.try_variant_get(v, "$", "struct<" + ",".join(f"{n}:{'string' if k == 'string' else 'double'}" for n, k, _, _ in FEATURES) + ">")
+    kinds = _with(parts, lambda f: F.struct(*[F.schema_of_variant(f[n]).alias(n) for n in names]))
+    bad = _with(F.struct(kinds.alias("kinds"), values.alias("values")), lambda x: F.array(*[_is_bad(f, keys, x["kinds"][f[0]], x["values"][f[0]]) for f in FEATURES]))
+    return F.array_compact(F.concat(F.array(F.when(v.isNull(), F.lit("not json")), *listed), bad))
+
+
+def _is_bad(feature: tuple, keys: Column, is_a: Column, value: Column) -> Column:
+    name, kind, least, most = feature
+    ok = {"boolean": lambda: is_a == "BOOLEAN", "integer": lambda: is_a == "BIGINT", "number": lambda: is_a.isin("BIGINT", "DOUBLE") | is_a.startswith("DECIMAL"), "string": lambda: value.isin(*VERBS) & (is_a == "STRING")}[kind]()
+    if least is not None:
+        ok = ok & (value >= least)
+    if most is not None:
+        ok = ok & (value <= most)
+    return F.when(~F.coalesce(ok, F.lit(False)) & F.array_contains(keys, F.lit(name)), F.lit(f"bad: {name}"))
 
 
 def canonical_features(payload: Column) -> Column:
@@ -57,10 +75,14 @@ def canonical_features(payload: Column) -> Column:
 
 def eligibility_reasons(source: Column, layer: Column, payload: Column) -> Column:
     """Why a decision can't be learned from, in order."""
-    v = F.try_parse_json(payload)
-    gates = [F.when(F.try_variant_get(v, f"$.{k}", "boolean"), F.lit(f"gate active: {k}")) for k in sorted(("privacy_pinned", "escalated_this_episode", "is_terse_continuation"))]
-    own = F.array_compact(F.array(F.when(~F.coalesce(source == "organic", F.lit(False)), "ineligible source"), F.when(~F.coalesce(layer.isin("middle_default", "classifier"), F.lit(False)), "outside the ambiguous layer"), *gates))
-    return F.concat(own, feature_reasons(payload))
+    gates = sorted(("privacy_pinned", "escalated_this_episode", "is_terse_continuation"))
+
+    def reasons(v: Column, keys: Column) -> Column:
+        active = [F.when(F.try_variant_get(v, f"$.{k}", "boolean"), F.lit(f"gate active: {k}")) for k in gates]
+        own = F.array_compact(F.array(F.when(~F.coalesce(source == "organic", F.lit(False)), "ineligible source"), F.when(~F.coalesce(layer.isin("middle_default", "classifier"), F.lit(False)), "outside the ambiguous layer"), *active))
+        return F.concat(own, _feature_reasons(v, keys))
+
+    return _with(_parsed(payload), lambda p: reasons(p["v"], p["keys"]))
 
 
 def provenance_complete(trace: Column, tier: Column) -> Column:
