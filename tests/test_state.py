@@ -371,3 +371,14 @@ def test_a_batch_of_the_ledger_is_read_once_and_ids_that_come_twice_count_once(s
     ledger.attach_outcomes(new, "o-1")
     again = ledger.table("outcome_events").where("event_id IS NOT NULL").groupBy("event_id").count()
     assert again.where("count > 1").count() == 0
+
+
+def test_captures_are_many_tasks_to_write(spark, tmp_path, monkeypatch):
+    from tracemill import queries_state as QS
+
+    n = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+    monkeypatch.setattr(QS, "CAPTURES_A_TASK", 10)
+    monkeypatch.setattr(shared, "folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    assert QUERIES["capture_files"](spark, "/root/testdata/sf0.001").count() == n
+    files = [p.name for p in (tmp_path / "captures/files").glob("part-*.json")]
+    assert len(files) == n and len({f.split("-")[1] for f in files}) == -(-n // 10)

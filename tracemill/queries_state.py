@@ -364,6 +364,10 @@ def hysteresis_replay(spark, d):
     return P.replay_with_hysteresis(t).select("event_id", F.col("replayed_rung").alias("rung"), "escalated")
 
 
+#: So many files are one task's to write.
+CAPTURES_A_TASK = 250
+
+
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, CASE WHEN page_id % 7 = 0 THEN 500 ELSE 200 END AS status, CASE WHEN page_id % 5 <> 0 THEN length(url) END AS size FROM pages")
 def capture_files(spark, d):
     """Captures of pages as a file each: their columns, and the size of a field of the body, which some have broken."""
@@ -371,7 +375,9 @@ def capture_files(spark, d):
     body = F.to_json(F.struct("page_id", "url"))
     made = p.select(F.when(c("page_id") % 3 == 0, "POST").otherwise("GET").alias("method"), c("page_id").cast("string").alias("path"), F.when(c("page_id") % 7 == 0, 500).otherwise(200).alias("status"), F.lit(1).alias("latency_ms"), F.when(c("page_id") % 5 == 0, "no json").otherwise(body).alias("request_body"))
     path = f"{shared.folder(spark, 'captures')}/files"
-    made.write.option("maxRecordsPerFile", 1).json(path)
+    # files take the time, so they are dealt to as many tasks as they need, each of which puts its own in place
+    files = made.repartition(max(1, -(-p.count() // CAPTURES_A_TASK)))
+    files.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").json(path)
     got = SRC.captures(spark, path)
     return got.select(c("path").cast("long").alias("page_id"), "method", "status", F.length(F.get_json_object("body", "$.url")).alias("size"))
 
