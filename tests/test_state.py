@@ -382,3 +382,39 @@ def test_captures_are_many_tasks_to_write(spark, tmp_path, monkeypatch):
     assert QUERIES["capture_files"](spark, "/root/testdata/sf0.001").count() == n
     files = [p.name for p in (tmp_path / "captures/files").glob("part-*.json")]
     assert len(files) == n and len({f.split("-")[1] for f in files}) == -(-n // 10)
+
+
+def test_a_batch_of_a_session_is_few_calls_of_its_state():
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("appendList", "put"):
+                    self.rows = [*(self.rows if name == "appendList" else []), *args[0]]
+                return iter(self.rows) if name == "get" else False
+
+            return call
+
+    class Handle:
+        def registerTimer(self, at):
+            calls.append(("timer", at))
+
+        def getListState(self, *_):
+            return State()
+
+        getValueState = getMapState = getListState
+
+    s, hour = ST.Sessions(3600, 7200), 3_600_000
+    s.init(Handle())
+    now = type("Now", (), {"getCurrentWatermarkInMs": lambda self: 10 * hour})()
+    frame = lambda hours: pd.DataFrame({"event_id": range(len(hours)), "session_id": 1, "ts": pd.to_datetime([h * hour for h in hours], unit="ms"), "kind": None, "rung": "local", "fired": False, "pin": False, "boundary": False, "file": None})
+    list(s.handleInputRows((1,), iter([frame([5, 40, *range(12, 30)]), frame(range(11, 30)), frame([3])]), now))
+    # late ones are left out, the rest is a call a frame, and one timer waits for the first slice to end
+    assert calls == ["appendList", "appendList", ("timer", 12 * hour)] and len(s.held.rows) == 19 + 19

@@ -1,8 +1,9 @@
 """The store of live sessions as one stateful operator of a stream.
 
 Each session has a value state (route, pin, escalation, episode), a map state of strikes by kind and a list state of the
-files of its episode. Events are held in a map state by slices of event time until the watermark has passed their slice,
-when a timer applies them in their order: so the result is that of the events' own order, however they arrived. An event
+files of its episode. Events are held in another list state until the watermark has passed their slice of event time, when
+a timer applies them in their order: so the result is that of the events' own order, however they arrived. Calls of the
+state cost more than what they carry, so a batch's events of a session are one, and one timer waits for the earliest. An event
 that comes twice within a slice is one; one whose slice is closed is late and left out. A session's state goes a given
 time after its last event.
 """
@@ -21,7 +22,7 @@ from tracemill.plans.shared import settings
 EVENT = "event_id long, session_id long, ts timestamp, kind string, rung string, fired boolean, pin boolean, boundary boolean, file string"
 OUT = "event_id long, session_id long, turn_index long, route string, pinned boolean, escalated boolean, episode long, strikes string, files long"
 SESSION = "route string, pinned boolean, escalated boolean, turns long, episode long, last_us long"
-HELD_KEY, HELD = "slice_ms long, us long, event_id long", "kind string, rung string, fired boolean, pin boolean, boundary boolean, file string"
+HELD = "us long, event_id long, kind string, rung string, fired boolean, pin boolean, boundary boolean, file string"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,27 +37,39 @@ class Sessions(StatefulProcessor):
         self.session = handle.getValueState("session", SESSION)
         self.strikes = handle.getMapState("strikes", "kind string", "n long")
         self.files = handle.getListState("files", "file string")
-        self.held = handle.getMapState("held", HELD_KEY, HELD)
+        self.held = handle.getListState("held", HELD)
+
+    def _end(self, us: int) -> int:
+        """Of the slice of an event, in ms."""
+        return (us // 1000 // self.slice_ms + 1) * self.slice_ms
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        timers = set()
+        first = None
         for pdf in rows:
             us = pdf["ts"].astype("datetime64[us]").astype("int64")
+            held = []
             for at, e in zip(us.tolist(), pdf.itertuples(index=False), strict=True):
-                start = at // 1000 // self.slice_ms * self.slice_ms
-                if start + self.slice_ms <= now:
+                if self._end(at) <= now:
                     continue
-                self.held.updateValue((start, at, int(e.event_id)), tuple(None if pd.isna(x) else x for x in (e.kind, e.rung, bool(e.fired), bool(e.pin), bool(e.boundary), e.file)))
-                timers.add(start + self.slice_ms)
-        for t in timers:
-            self.handle.registerTimer(t)
+                held.append((at, int(e.event_id), *(None if pd.isna(x) else x for x in (e.kind, e.rung, bool(e.fired), bool(e.pin), bool(e.boundary), e.file))))
+            if held:
+                self.held.appendList(held)
+                earliest = min(e[0] for e in held)
+                first = earliest if first is None else min(first, earliest)
+        if first is not None:
+            self.handle.registerTimer(self._end(first))
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         end, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
         # all slices that are over, at once: the timers of the others then find nothing
-        due = sorted((k, v) for k, v in self.held.iterator() if k[0] + self.slice_ms <= now)
+        due, rest = {}, []
+        for e in self.held.get():
+            if self._end(e[0]) <= now:
+                due[e[0], e[1]] = e[2:]
+            else:
+                rest.append(e)
         if not due:
             # a session's own timer: nothing came since
             last = self.session.get()
@@ -67,7 +80,7 @@ class Sessions(StatefulProcessor):
         state, strikes, files = self._load()
         before = None
         out = []
-        for (_, us, event_id), (kind, rung, fired, pin, boundary, file) in sorted(due, key=lambda d: d[0][1:]):
+        for (us, event_id), (kind, rung, fired, pin, boundary, file) in sorted(due.items(), key=lambda d: d[0]):
             if before is None:
                 before = state["last_us"]
             if before is not None and us - before > self.ttl_us:
@@ -76,8 +89,11 @@ class Sessions(StatefulProcessor):
             step(state, strikes, files, kind, rung, fired, pin, boundary, file)
             shown = ",".join(f"{k}:{n}" for k, n in sorted(strikes.items()))
             out.append((event_id, key[0], state["turns"] - 1, state["route"], state["pinned"], state["escalated"], state["episode"], shown, len(files)))
-        for k, _ in due:
-            self.held.removeKey(k)
+        if rest:
+            self.held.put(rest)
+            self.handle.registerTimer(self._end(min(e[0] for e in rest)))
+        else:
+            self.held.clear()
         state["last_us"] = before
         self._save(state, strikes, files)
         # after the time to live, with a slice to spare, nothing of the session is left
