@@ -172,12 +172,28 @@ def test_a_record_is_read_in_one_pass(spark):
     assert plan.count("variant_get(") < 10 and "schemaOfVariant" not in plan
 
 
-def test_files_that_loop_are_found_in_one_pass_by_file(spark):
+def test_files_that_loop_are_found_in_one_pass_by_file(spark, monkeypatch):
     from tracemill.plans import traffic as X
 
+    # one part would need no exchange by a key
+    monkeypatch.setattr(X, "PART_BYTES", 8 << 10)
     found = X.looping(spark, "/root/testdata/sf0.001")
     # parsed once, and dealt by order, by file, by file and prompt after the calls' Python, and what loops by file
     assert parsings(found) == 1
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
     calls = spark.createDataFrame([("f", "p", i, c) for i, c in enumerate("aabaccc")] + [("f", "q", 9, "a"), ("g", "p", 1, "a")], "file string, prompt string, ordinal int, call string")
     assert sorted((r.file, r.prompt, r.ordinal) for r in TW.loops(calls, by=("file", "prompt")).collect()) == [("f", "p", 3), ("f", "p", 6)]
+
+
+def test_turns_are_dealt_into_parts_of_a_size(spark, tmp_path, monkeypatch):
+    from tracemill.plans import shared
+    from tracemill.plans import traffic as X
+
+    monkeypatch.setattr(X, "PART_BYTES", 8 << 10)
+    monkeypatch.setattr(shared, "folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    sf = "/root/testdata/sf0.001"
+    n = X._parts(spark, sf)
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert X.turns(spark, sf).count() > 0
+    for made in ("traffic/records", "turns/rows", "traffic/turns"):
+        assert len(list((tmp_path / made).glob("part-*"))) == n
