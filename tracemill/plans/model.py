@@ -29,11 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def parts(spark: SparkSession, sf_dir: str, name: str, most: int = PART_BYTES) -> int:
-    """How many parts of at most so many bytes the table's files make, so that a task's part stays as it is when tables grow."""
+def parts(spark: SparkSession, sf_dir: str, name: str, most: int | None = None) -> int:
+    """How many parts of at most so many bytes, PART_BYTES by default, the table's files make, so that a task's part stays as it is when tables grow."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
     size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    return max(1, -(-size // most))
+    return max(1, -(-size // (most or PART_BYTES)))
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
