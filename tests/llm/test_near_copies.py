@@ -92,6 +92,24 @@ def test_join_equals_brute_force(frame, k, percent):
     assert got == ngram_join.brute_force(rows, k, percent)
 
 
+@pytest.mark.parametrize("percent", [90, 80])
+def test_only_tokens_of_several_sets_are_in_the_index(frame, monkeypatch, percent):
+    """Texts that share nothing have no posting, however many there are; of a common passage few tokens have one."""
+    rng, seen = random.Random(5), {}
+    some = lambda n: " ".join(f"v{rng.randrange(10**9)}" for _ in range(n))
+    passage, twin = some(30), some(100)
+    rows = [(i, f"{some(150)} {passage}") for i in range(60)] + [(60, twin), (61, f"{twin} end")]
+
+    def kept(postings, *rest):
+        seen["postings"] = postings.count()
+        return components.bucket_components(postings, *rest)
+
+    monkeypatch.setattr(ngram_join, "bucket_components", kept)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(frame(rows), 3, percent).collect()}
+    assert got == {i: (178, i) for i in range(60)} | {60: (98, 60), 61: (99, 60)}
+    assert 2 <= seen["postings"] < 62 * ngram_join.prefix_length(178, percent) // 5
+
+
 def test_a_group_whose_members_do_not_all_link_to_one(frame):
     base = [f"t{i}" for i in range(100)]
     rows = []

@@ -1,10 +1,13 @@
 """N-gram Jaccard join with filters under several global token orders.
 
 A text's tokens are its distinct word shingles. Under any total order of all tokens, two sets with a Jaccard
-similarity of t or more share a token among the first n - ceil(t n) + 1 of each. The first order is by document
-frequency, rarest first, so that common passages make no large buckets; its prefixes are the index. Of the second, by a
-hash, each set keeps a longer prefix, of n - ceil(t n) + l tokens, of which a pair must share l; of the third, by another
-hash, a pair must share one. Only pairs that pass all three have their texts fetched and their whole sets compared.
+similarity of t or more share a token among the first n - ceil(t n) + 1 of each. The first order is by bands of a hash,
+and within a band by document frequency, rarest first, so that common passages make no large buckets; its prefixes are
+the index. A set takes part in the counts with the tokens of as many bands as hold its prefix: frequencies are exact,
+whatever the number of documents, for a share of the tokens' cost, and a token that no other set counts is in no bucket.
+Of the second order, by a hash, each set keeps a longer prefix, of n - ceil(t n) + l tokens, of which a pair must share
+l; of the third, by another hash, a pair must share one. Only pairs that pass all three have their texts fetched and
+their whole sets compared.
 """
 
 from __future__ import annotations
@@ -14,16 +17,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import BROADCAST_ROWS, SPACE, Words, Workspace, distinct, doc_columns, fresh, list_array, mix, parity_sketch, parts, shingle, slices
 from tracemill.llm.components import apart, bucket_components, pack, place_of, size_of
 
-#: Document frequencies are counted in so many cells; any order of the tokens gives right results, so a shared cell costs only speed.
-CELL_BITS = 20
-#: Seeds of the further orders.
-SECOND, THIRD = 11, 23
+#: A band of the first order has so many percent of the tokens that a prefix has; any bands give right results.
+BAND = 150
+#: Seeds of the orders.
+FIRST, SECOND, THIRD = 3, 11, 23
 #: Words of 64 bits of a set's parity sketch, which bounds from below in how many tokens two sets differ.
 SKETCH = 6
 
@@ -60,23 +63,15 @@ def further_prefixes(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarra
     return least_tokens(s, p - 1 + shared_least(len(s), percent), SECOND), least_tokens(s, p, THIRD)
 
 
-def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """Documents by cell of the token hash; counted over all documents, added up by Spark, at most 2**CELL_BITS sums."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
-            for _, s in _sets(batch.column(0), k):
-                np.add.at(total, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
-        cells = np.flatnonzero(total)
-        for at in range(0, len(cells), 65536):
-            c = cells[at : at + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(total[c])], ["cell", "n"])
-
-    out = np.zeros(1 << CELL_BITS, np.int64)
-    summed = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
-    return out
+def first_bands(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The tokens, by their hashes, of as many bands of the first order as hold the prefix, and how many are of lower bands than the last."""
+    m, p = mix(s, FIRST), prefix_length(len(s), percent)
+    upper = m >> np.uint64(32)
+    width = np.uint64(max(1, BAND * (100 - percent)) * (1 << 32) // 10_000 or 1)
+    last = np.partition(upper, p - 1)[p - 1] // width
+    band = upper // width
+    lower = m[band < last]
+    return np.concatenate((lower, m[band == last])), len(lower)
 
 
 def _set_key(s: np.ndarray) -> bytes:
@@ -106,16 +101,12 @@ def _joined(docs: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame
 
     tie is a hash of the text, cluster a number that the rows of a component have in common and no others; null if n is 0.
     """
-    spark = docs.sparkSession
     docs = doc_columns(docs).withColumn("tie", F.xxhash64("text"))
-    frequency = spark.sparkContext.broadcast(np.minimum(_frequencies(docs, k), 0xFFFF).astype(np.uint16))
-
     parity = [f"parity{i}" for i in range(SKETCH)]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = frequency.value
         for batch in parts(batches):
-            sizes, keys, counts, tokens = [], [], [], [np.zeros(0, np.uint64)]
+            sizes, keys, counts, lows, tokens = [], [], [], [], [np.zeros(0, np.uint64)]
             seconds, thirds, lengths, sketches = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], ([], []), np.zeros((len(batch), SKETCH), np.uint64)
             for r, s in _sets(batch.column(1), k):
                 for x, out, sizes_of in zip(further_prefixes(s, percent) if len(s) else (s[:0].astype(np.int32),) * 2, (seconds, thirds), lengths, strict=True):
@@ -123,20 +114,30 @@ def _joined(docs: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame
                     sizes_of.append(len(x))
                 if len(s):
                     sketches[r] = parity_sketch(s, np.zeros(1, np.int64), SKETCH)
-                p = prefix_length(len(s), percent)
-                # ties of the upper bits keep the tokens' own order, in every document the same
-                rank = (df[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (mix(s, 3) >> np.uint64(16))
-                tokens.append(s[np.argsort(rank, kind="stable")[:p]])
+                some, low = first_bands(s, percent) if len(s) else (s, 0)
+                tokens.append(some)
+                counts.append(len(some))
+                lows.append(low)
                 sizes.append(len(s))
                 keys.append(_set_key(s) if len(s) else None)
-                counts.append(p)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), list_array(np.concatenate(tokens), counts, pa.int64()), list_array(np.concatenate(seconds), lengths[0], pa.int32()), list_array(np.concatenate(thirds), lengths[1], pa.int32()), *[pa.array(sketches[:, i].view(np.int64)) for i in range(SKETCH)]], ["doc_id", "tie", "n", "set_key", "tokens", "second", "third", *parity])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), list_array(np.concatenate(tokens), counts, pa.int64()), pa.array(lows, pa.int32()), list_array(np.concatenate(seconds), lengths[0], pa.int32()), list_array(np.concatenate(thirds), lengths[1], pa.int32()), *[pa.array(sketches[:, i].view(np.int64)) for i in range(SKETCH)]], ["doc_id", "tie", "n", "set_key", "tokens", "low", "second", "third", *parity])
 
-    table = work.write(docs.mapInArrow(prefixes, ", ".join(["doc_id long, tie long, n long, set_key binary, tokens array<long>, second array<int>, third array<int>", *(f"{x} long" for x in parity)])).withColumn("row", F.monotonically_increasing_id()))
-    frequency.destroy()
+    table = work.write(docs.mapInArrow(prefixes, ", ".join(["doc_id long, tie long, n long, set_key binary, tokens array<long>, low int, second array<int>, third array<int>", *(f"{x} long" for x in parity)])).withColumn("row", F.monotonically_increasing_id()))
     classes = work.write(table.where("n > 0").groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.count("*").alias("copies")))
-    chosen = table.join(work.small(classes).select(F.col("node").alias("row")), "row", "left_semi")
-    postings = chosen.select(F.posexplode("tokens").alias("pos", "bucket"), F.col("row").alias("node"), "n").select("bucket", "node", pack(F.col("n"), F.col("pos")).alias("packed"))
+    # only sets that repeat are looked up, so that the tokens of the others need not travel for it
+    repeated = work.write(classes.where("copies > 1").select("set_key", "node"))
+    chosen = table.where("n > 0").join(work.small(repeated), "set_key", "left").where("node is null or node = row").drop("node")
+    # spare: how many tokens of the last band are beyond the prefix, and -1 for tokens of the bands below it
+    share = F.expr(f"({percent} * n + 99) div 100")
+    spread = chosen.select(F.posexplode("tokens").alias("at", "bucket"), F.col("row").alias("node"), "n", (F.size("tokens") - (F.col("n") - share + 1)).alias("spare"), "low")
+    spread = spread.select("bucket", "node", pack(F.col("n"), F.when(F.col("at") < F.col("low"), 0).otherwise(F.col("spare") + 1)).alias("about"))
+    several = spread.withColumn("docs", F.count("*").over(Window.partitionBy("bucket"))).where("docs > 1")
+    n, spare = size_of(F.col("about")), place_of(F.col("about")) - 1
+    # from the end of the order; tokens that no other set counts come first and take no place in what is left here
+    from_end = F.row_number().over(Window.partitionBy("node").orderBy((spare >= 0).desc(), F.desc("docs"), F.desc("bucket")))
+    ranked = several.withColumn("from_end", from_end).where(F.col("from_end") > spare)
+    place = F.when(spare < 0, 0).otherwise(n - F.expr(f"({percent} * shiftright(about, 32) + 99) div 100") + 1 + spare - F.col("from_end"))
+    postings = work.write(ranked.select("bucket", "node", pack(n, place).alias("packed")))
 
     def sketches(nodes: DataFrame) -> DataFrame:
         return table.select(F.col("row").alias("node"), *parity).join(work.small(nodes), "node", "left_semi")
