@@ -238,6 +238,22 @@ def test_passages_from_any_word_to_any_word_go(frame):
     assert all(n <= got[1000 + i].removed_words <= n + 6 and len(got[1000 + i].text.split()) == n + m - got[1000 + i].removed_words for i, (n, m) in size.items())
 
 
+def test_units_that_do_not_repeat_are_not_written(frame, monkeypatch):
+    rng, rows, write = random.Random(9), [], Workspace.write
+    some = lambda n: " ".join(f"v{rng.randrange(10**9)}" for _ in range(n))
+    texts = [(i, some(400)) for i in range(40)] + [(40, PASSAGE), (41, PASSAGE), (41, PASSAGE)]
+
+    def counted(self, df, **metrics):
+        out = write(self, df, **metrics)
+        rows.append(self.rows(out))
+        return out
+
+    monkeypatch.setattr(Workspace, "write", counted)
+    got = {r.doc_id: (r.text, r.same_as) for r in substring_dedup.substring_dedup(frame(texts)).collect()}
+    assert all(got[i] == (t, []) for i, t in texts[:41]) and got[41][0] != PASSAGE and got[41][1] == [40]
+    assert max(rows) < 1000  # anchors alone are some 55 a text
+
+
 def test_dedup_on_odd_inputs(frame):
     assert substring_dedup.substring_dedup(frame([])).count() == 0
     rows = [(1, None), (2, ""), (3, "x " * 5000), (None, PASSAGE), (4, PASSAGE), (4, PASSAGE), (5, PASSAGE)]

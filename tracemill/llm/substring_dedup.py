@@ -19,7 +19,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import BROADCAST_ROWS, SPACE, Runs, U, Words, Workspace, distinct, fresh, list_array, mix, parity_sketch, parts, ranges, shingle, slices
@@ -222,31 +222,36 @@ def _equal(x: np.ndarray, y: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def _table(rows: DataFrame, run_words: int) -> DataFrame:
-    """doc_id, tie, place, words, anchor, node, proof, s: every sentence and anchor, and every paragraph with its shingles.
-
-    place: the number of the first word in its text; proof: further bits of the node's hash, but for paragraphs, whose classes
-    are found by their shingles.
-    """
+def _paragraphs(rows: DataFrame) -> DataFrame:
+    """doc_id, tie, place, words, node, s: every paragraph with its shingles. place: the number of the first word in its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             ids, ties = batch.column(0), batch.column(1)
             for at, data, offsets in slices(batch.column(2)):
                 p = Paragraphs(data, offsets)
-                row, first, words = np.repeat(np.arange(len(offsets) - 1), np.diff(p.ptr)), np.array(p.first, np.int64), np.array(p.words, np.int64)
-                units = [(row, first, words, *p.nodes(first, words, 9), p.hashes[:0].astype(np.uint32), np.zeros(len(row), np.int64))]
-                row, first, words = p.anchors(run_words)
-                units.append((row, first, words, *p.nodes(first, words, 10), p.hashes[:0].astype(np.uint32), np.zeros(len(row), np.int64)))
                 row, first, words = p.blocks()
-                units.append((row, first, words, *p.nodes(first, words, 11), *p.sets(first, words)))
-                for kind, (row, first, words, nodes, proofs, values, sizes) in enumerate(units):
+                nodes, (values, sizes), of = p.nodes(first, words, 11)[0], p.sets(first, words), pa.array(row + at)
+                yield pa.RecordBatch.from_arrays([ids.take(of), ties.take(of), pa.array((first - p.w.ptr[row]).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(nodes.view(np.int64)), list_array(values.view(np.int32), sizes, pa.int32())], ["doc_id", "tie", "place", "words", "node", "s"])
+
+    return rows.mapInArrow(run, "doc_id long, tie long, place int, words int, node long, s array<int>")
+
+
+def _exact_units(rows: DataFrame, run_words: int) -> DataFrame:
+    """doc_id, tie, place, words, anchor, class, proof: every sentence and anchor. proof: further bits of the class's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            ids, ties = batch.column(0), batch.column(1)
+            for at, data, offsets in slices(batch.column(2)):
+                p = Paragraphs(data, offsets)
+                sentences = np.repeat(np.arange(len(offsets) - 1), np.diff(p.ptr)), np.array(p.first, np.int64), np.array(p.words, np.int64)
+                for anchor, (row, first, words) in enumerate((sentences, p.anchors(run_words))):
+                    nodes, proofs = p.nodes(first, words, 9 + anchor)
                     of = pa.array(row + at)
-                    if kind == 2:
-                        proofs[:] = 0
-                    yield pa.RecordBatch.from_arrays([ids.take(of), ties.take(of), pa.array((first - p.w.ptr[row]).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(np.full(len(row), kind == 1)), pa.array(nodes.view(np.int64)), pa.array(proofs.view(np.int32)), list_array(values.view(np.int32), sizes, pa.int32())], ["doc_id", "tie", "place", "words", "anchor", "node", "proof", "s"])
+                    yield pa.RecordBatch.from_arrays([ids.take(of), ties.take(of), pa.array((first - p.w.ptr[row]).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(np.full(len(row), anchor == 1)), pa.array(nodes.view(np.int64)), pa.array(proofs.view(np.int32))], ["doc_id", "tie", "place", "words", "anchor", "class", "proof"])
 
-    return rows.mapInArrow(run, "doc_id long, tie long, place int, words int, anchor boolean, node long, proof int, s array<int>")
+    return rows.mapInArrow(run, "doc_id long, tie long, place int, words int, anchor boolean, class long, proof int")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,11 +409,13 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     own = [c for c in docs.columns if c not in ("n_removed", "removed_words", "same_as")]
     docs = docs.select(*own)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    table = work.write(_table(keyed, run_words))
-    sets_of = table.select("node", "s").where("size(s) > 0")
+    blocks = work.write(_paragraphs(keyed))
+    sets_of = blocks.select("node", "s").where("size(s) > 0")
     parity = [f"parity{i}" for i in range(SKETCH)]
     postings = sets_of.mapInArrow(_bands, "bucket long, node long, packed long")
 
+    met: list[DataFrame] = []  # the sets of all that meet another, which are few beside all sets
+
     def possible(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
         # sets so alike differ in at most (100 - PERCENT) / (100 + PERCENT) of their sizes' sum; each bit that differs
         # is one such shingle at least, and the count of a very long paragraph is only known to be large
@@ -418,7 +425,7 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 
     def verify(pairs: DataFrame) -> DataFrame:
         nodes = work.write(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-        sets = work.write(sets_of.join(work.small(nodes), "node", "left_semi").groupBy("node").agg(F.max("s").alias("s")))
+        sets = work.write(met[0].join(work.small(nodes), "node", "left_semi"))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         out = work.write(both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT).select("a", "b"))
@@ -426,35 +433,36 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
         return out
 
     def sketches(nodes: DataFrame) -> DataFrame:
-        some = sets_of.join(work.small(nodes), "node", "left_semi").groupBy("node").agg(F.max("s").alias("s"))
-        return some.mapInArrow(_sketches, ", ".join(["node long", *(f"{x} long" for x in parity)]))
+        met.append(work.write(sets_of.join(work.small(nodes), "node", "left_semi").groupBy("node").agg(F.max("s").alias("s"))))
+        return met[0].mapInArrow(_sketches, ", ".join(["node long", *(f"{x} long" for x in parity)]))
 
     found = bucket_components(postings, verify, work, possible, sketches)
+    # the shingles, which are as large as the texts, go before the other units are made; these go into one shuffle unwritten
+    near = work.write(blocks.select("doc_id", "tie", "place", "words", "node").join(work.small(found), "node", "left").select("doc_id", "tie", "place", "words", F.lit(False).alias("anchor"), F.coalesce("component", "node").alias("class"), F.lit(0).alias("proof")))
+    work.forget(blocks, found, *met)
     where = F.struct("doc_id", "tie", "place")
-    units = table.select("doc_id", "tie", "place", "words", "anchor", "node", "proof").join(work.small(found), "node", "left")
-    units = units.select("doc_id", "tie", "place", "words", "anchor", F.coalesce("component", "node").alias("class"), "proof")
-    shared = work.write(units.groupBy("class", "proof").count().where("count > 1").select("class", "proof"))
-    placed = work.write(units.join(work.small(shared), ["class", "proof"], "left_semi"))
-    # texts that occur in several rows of one doc_id; a paragraph has no proof
-    twice = work.write(table.where("place = 0 and proof <> 0 and not anchor").groupBy("doc_id", "tie").count().where("count > 1").select("doc_id", "tie"))
-    work.forget(table, shared, found)
-    classes = placed.groupBy("class", "proof").agg(F.min(where).alias("low"), F.max(where).alias("high"), F.max("anchor").alias("anchor"), F.max("words").alias("words")).where("low <> high")
-    classes = work.write(classes.select("class", "proof", "low", "anchor", "words"))
-    again = placed.join(work.small(classes).select("class", "proof", "low"), ["class", "proof"]).where(where != F.col("low")).where("doc_id is not null")
-    again = again.select("doc_id", "tie", "place", "words", "anchor", "class", "proof", F.col("low.doc_id").alias("kept"))
+    units = _exact_units(keyed, run_words).unionByName(near)
+    again = units.withColumn("low", F.min(where).over(Window.partitionBy("class", "proof"))).where(where != F.col("low")).where("doc_id is not null")
+    again = work.write(again.select("doc_id", "tie", "place", "words", "anchor", "class", "proof", F.col("low.doc_id").alias("kept"), F.col("low.tie").alias("kept_tie"), F.col("low.place").alias("kept_place")))
+    # texts that occur in several rows of one doc_id
+    twice = work.write(keyed.groupBy("doc_id", "tie").count().where("count > 1").select("doc_id", "tie"))
+    work.forget(near)
+    marked = again.drop("kept_tie", "kept_place")
     if work.rows(twice):
-        again = again.join(work.small(twice), ["doc_id", "tie"], "left_anti").unionByName(again.join(work.small(twice), ["doc_id", "tie"], "left_semi").distinct())
+        marked = marked.join(work.small(twice), ["doc_id", "tie"], "left_anti").unionByName(marked.join(work.small(twice), ["doc_id", "tie"], "left_semi").distinct())
     far = max(0, run_words - ANCHOR)  # from an end of a repeat of run_words words or more to its next anchor at most
-    in_order = again.repartition("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "place")
+    in_order = marked.repartition("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "place")
     pieces = work.write(in_order.mapInArrow(_pieces(far, run_words), "doc_id long, tie long, first long, last long, kept array<long>, class long, proof int"), anchors=F.count("class"))
-    work.forget(placed, twice)
+    work.forget(twice)
     # the words around the anchors that stay, where one that goes may reach out of its run
     asked = work.write(pieces.where("class is not null").select("class", "proof").distinct())
-    stay = classes.join(work.small(asked), ["class", "proof"], "left_semi").groupBy(F.col("low.doc_id").alias("_id"), F.col("low.tie").alias("_tie")).agg(F.collect_list(F.struct("class", "proof", F.col("low.place").alias("place"), "words")).alias("at"))
+    of_anchor = again.where("anchor").join(work.small(asked), ["class", "proof"], "left_semi")
+    first = of_anchor.groupBy("class", "proof").agg(F.first("kept").alias("_id"), F.first("kept_tie").alias("_tie"), F.first("kept_place").alias("place"), F.first("words").alias("words"))
+    stay = first.groupBy("_id", "_tie").agg(F.collect_list(F.struct("class", "proof", "place", "words")).alias("at"))
     stay = work.write(stay)
     kept = keyed.join(work.small(stay), keyed.doc_id.eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
     around = work.write(_contexts(kept, far).groupBy("class", "proof").agg(F.min(F.struct("before", "after")).alias("c")).select("class", "proof", "c.before", "c.after"))
-    work.forget(classes, asked, stay)
+    work.forget(again, asked, stay)
     full = pieces.join(work.small(around, BROADCAST_ROWS // 2), ["class", "proof"], "left")
     marks = work.write(full.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("first", "last", "kept", "before", "after")).alias("marks")))
     work.keep(marks)
