@@ -185,6 +185,35 @@ def test_joins_that_shuffle_equal_those_that_broadcast(frame, monkeypatch):
     assert cut[1] == cut[3] == 0 < cut[2]
 
 
+def test_of_rows_that_find_no_key_few_travel(spark, monkeypatch):
+    work = Workspace(spark)
+    table = work.write(spark.range(0, 60_000, 3).withColumnRenamed("id", "node"))
+    df = spark.range(60_000).select(F.col("id").alias("node"), (F.col("id") % 7).alias("x"))
+    may, rest = (work.sift(df, ["node"], table, ["node"], how) for how in ("left_semi", "left_anti"))
+    assert 20_000 <= may.count() <= 25_000 and may.count() + rest.count() == 60_000
+    assert not rest.where("node % 3 = 0").count()
+    for how in ("inner", "left_semi", "left"):
+        got = work.among(df, table, "node", how, 0)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.join(table, "node", how).collect()))
+    monkeypatch.setattr(common, "SIEVE_ROWS", 2)
+    full = work.write(table.where("node >= 0"))
+    assert work.among(df, full, "node", "left_semi", 0).count() == 20_000  # more keys than bits: all travel, none is lost
+    work.keep(full)
+    assert [x[0] for x in work.tables if x[0] is full] and len(work.tables) == 2
+    work.forget(full)
+    assert not work.tables and not work.sieves
+
+
+def test_join_by_shuffle_leaves_texts_that_are_not_cut_where_they_are(frame, monkeypatch):
+    whole = substring_dedup.substring_dedup(frame([(1, PASSAGE), (2, PASSAGE), (3, "x y"), (None, PASSAGE), (4, None)]))
+    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common.Workspace.small, "__defaults__", (0,))
+    monkeypatch.setattr(common.Workspace.among, "__defaults__", ("inner", 0))
+    by_shuffle = substring_dedup.substring_dedup(frame([(1, PASSAGE), (2, PASSAGE), (3, "x y"), (None, PASSAGE), (4, None)]))
+    assert sorted(map(str, by_shuffle.collect())) == sorted(map(str, whole.collect()))
+    assert "_sieve_bits" in by_shuffle._jdf.queryExecution().optimizedPlan().toString()
+
+
 PASSAGE = "The quick brown fox jumps over the lazy dog near the old river bank today. It then runs across the wide green field and hides behind some tall trees. Nobody saw where it went after that, and the dog went back to sleep. In the evening it came back to the river and drank some water quietly."
 
 

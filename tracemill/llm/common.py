@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -24,6 +24,8 @@ CHUNK_BYTES = 1 << 20
 BROADCAST_ROWS = 50_000
 #: So many rows for each task may be hashed in it; beyond that both sides are sorted.
 HASHED_ROWS = 250_000
+#: Bits in a row of a sieve, and its rows at most: some 5 MB, however many keys there are.
+SIEVE_BITS, SIEVE_ROWS = 1024, 1 << 15
 #: While a table is written, Spark deletes a query's shuffle files when it ends, and not when the driver happens to collect
 #: garbage; and passes texts to Python in batches of a few MB, so that neither side of a task holds ten thousand of them.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
@@ -71,6 +73,7 @@ class Workspace:
         self.spark, self.root = spark, f"{shared_dir(spark)}/tracemill-{uuid.uuid4().hex}"
         self.n = 0
         self.tables: list[tuple[DataFrame, str, dict]] = []
+        self.sieves: list[tuple[DataFrame, DataFrame]] = []
         if (opened := self.opened.get()) is not None:
             opened.append(self)
 
@@ -97,19 +100,54 @@ class Workspace:
             return F.broadcast(table)
         return table.hint("shuffle_hash") if rows <= HASHED_ROWS * int(self.spark.conf.get("spark.sql.shuffle.partitions")) else table
 
+    def sift(self, df: DataFrame, columns: list[str | Column], table: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
+        """df's rows whose columns may be a written table's keys, or with "left_anti" all others.
+
+        Rows whose columns are keys are always among the first; of the rest one in 32 or fewer while there are no more than
+        a million keys, and more beyond (one in eight at four million). It is a broadcast Bloom filter with one hash, so that what a join
+        needs few rows of doesn't travel whole.
+        """
+        rows = min(SIEVE_ROWS, 1 << (32 * self.rows(table) // SIEVE_BITS).bit_length())
+
+        def place(of: list[str | Column]) -> tuple[Column, Column, Column]:
+            h = F.xxhash64(*of)
+            low = F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(SIEVE_BITS - 1))
+            return h.bitwiseAND(F.lit(rows - 1)), F.shiftright(low, 6).cast("int"), low.bitwiseAND(F.lit(63)).cast("int")
+
+        found = [x[1] for x in self.sieves if x[0] is table]
+        if not found:
+            row, word, bit = place([F.col(k) for k in keys])
+            one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+            words = table.select(row.alias("row"), word.alias("word"), one.alias("bits")).groupBy("row", "word").agg(F.bit_or("bits").alias("bits"))
+            bits = F.array(*[F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")) for k in range(SIEVE_BITS // 64)])
+            found = [self.write(words.groupBy("row").agg(bits.alias("bits")).select(F.col("row").alias("_sieve_row"), F.col("bits").alias("_sieve_bits")))]
+            self.sieves.append((table, found[0]))
+        row, word, bit = place(columns)
+        return df.join(F.broadcast(found[0]), (row == F.col("_sieve_row")) & (F.getbit(F.get("_sieve_bits", word), bit) == 1), how)
+
+    def among(self, df: DataFrame, table: DataFrame, key: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+        """df joined with a written table of distinct keys, inner, left_semi or left; of df only rows that may find a key travel."""
+        if self.rows(table) <= most:
+            return df.join(F.broadcast(table), key, how)
+        found = self.sift(df, [key], table, [key]).join(self.small(table, most), key, how)
+        return found.unionByName(self.sift(df, [key], table, [key], "left_anti"), allowMissingColumns=True) if how == "left" else found
+
     def forget(self, *tables: DataFrame | None) -> None:
         """Deletes written tables that nothing will read again."""
         for df in tables:
             for x in [x for x in self.tables if x[0] is df]:
                 self._delete(x[1])
             self.tables = [x for x in self.tables if x[0] is not df]
+            gone, self.sieves = [x[1] for x in self.sieves if x[0] is df], [x for x in self.sieves if x[0] is not df]
+            self.forget(*gone)
 
     def keep(self, *tables: DataFrame) -> None:
-        """Deletes all other tables."""
-        self.forget(*[x[0] for x in self.tables if not any(x[0] is df for df in tables)])
+        """Deletes all other tables, except the sieves of these."""
+        stay = [*tables, *[s for t, s in self.sieves if any(t is df for df in tables)]]
+        self.forget(*[x[0] for x in self.tables if not any(x[0] is df for df in stay)])
 
     def drop(self) -> None:
-        self.tables = []
+        self.tables, self.sieves = [], []
         self._delete(self.root)
 
     def _delete(self, folder: str) -> None:

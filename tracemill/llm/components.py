@@ -92,7 +92,7 @@ def bucket_components(postings: DataFrame, verify: Callable[[DataFrame], DataFra
     table.
     """
     several = work.write(postings.groupBy("bucket").agg(F.min("node").alias("top"), F.max("node").alias("high")).where("top <> high").select("bucket", "top"))
-    members = work.write(postings.join(work.small(several), "bucket").groupBy("bucket", "node").agg(F.min("packed").alias("packed"), F.min("top").alias("top")))
+    members = work.write(work.among(postings, several, "bucket").groupBy("bucket", "node").agg(F.min("packed").alias("packed"), F.min("top").alias("top")))
     nodes = work.write(members.select("node").distinct())
     known = work.write(of_nodes(nodes))
     about = ["packed", *[c for c in known.columns if c != "node"]]

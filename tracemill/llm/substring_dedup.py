@@ -425,7 +425,7 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 
     def verify(pairs: DataFrame) -> DataFrame:
         nodes = work.write(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-        sets = work.write(met[0].join(work.small(nodes), "node", "left_semi"))
+        sets = work.write(work.among(met[0], nodes, "node", "left_semi"))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         out = work.write(both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * PERCENT).select("a", "b"))
@@ -433,12 +433,12 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
         return out
 
     def sketches(nodes: DataFrame) -> DataFrame:
-        met.append(work.write(sets_of.join(work.small(nodes), "node", "left_semi").groupBy("node").agg(F.max("s").alias("s"))))
+        met.append(work.write(work.among(sets_of, nodes, "node", "left_semi").groupBy("node").agg(F.max("s").alias("s"))))
         return met[0].mapInArrow(_sketches, ", ".join(["node long", *(f"{x} long" for x in parity)]))
 
     found = bucket_components(postings, verify, work, possible, sketches)
     # the shingles, which are as large as the texts, go before the other units are made; these go into one shuffle unwritten
-    near = work.write(blocks.select("doc_id", "tie", "place", "words", "node").join(work.small(found), "node", "left").select("doc_id", "tie", "place", "words", F.lit(False).alias("anchor"), F.coalesce("component", "node").alias("class"), F.lit(0).alias("proof")))
+    near = work.write(work.among(blocks.select("doc_id", "tie", "place", "words", "node"), found, "node", "left").select("doc_id", "tie", "place", "words", F.lit(False).alias("anchor"), F.coalesce("component", "node").alias("class"), F.lit(0).alias("proof")))
     work.forget(blocks, found, *met)
     where = F.struct("doc_id", "tie", "place")
     units = _exact_units(keyed, run_words).unionByName(near)
@@ -460,21 +460,23 @@ def substring_dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     first = of_anchor.groupBy("class", "proof").agg(F.first("kept").alias("_id"), F.first("kept_tie").alias("_tie"), F.first("kept_place").alias("place"), F.first("words").alias("words"))
     stay = first.groupBy("_id", "_tie").agg(F.collect_list(F.struct("class", "proof", "place", "words")).alias("at"))
     stay = work.write(stay)
-    kept = keyed.join(work.small(stay), keyed.doc_id.eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
+    holding = keyed if work.rows(stay) <= BROADCAST_ROWS else work.sift(keyed, ["doc_id", "tie"], stay, ["_id", "_tie"])
+    kept = holding.join(work.small(stay), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
     around = work.write(_contexts(kept, far).groupBy("class", "proof").agg(F.min(F.struct("before", "after")).alias("c")).select("class", "proof", "c.before", "c.after"))
     work.forget(again, asked, stay)
     full = pieces.join(work.small(around, BROADCAST_ROWS // 2), ["class", "proof"], "left")
     marks = work.write(full.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("first", "last", "kept", "before", "after")).alias("marks")))
-    work.keep(marks)
     of_id, of_tie, of_marks = (fresh(docs, x) for x in ("_id", "_tie", "_marks"))
     to = marks.select(F.col("doc_id").alias(of_id), F.col("tie").alias(of_tie), F.col("marks").alias(of_marks))
     of = [F.col("doc_id").cast("long") == F.col(of_id), F.xxhash64("text") == F.col(of_tie)]
+    # only texts that are cut, or may be, travel to their marks
     if work.rows(marks) <= BROADCAST_ROWS:
-        # only texts that are cut travel to their marks
         ids = F.broadcast(to.select(of_id, of_tie))
-        hit = docs.join(ids, of, "left_semi").join(to, of, "left").select(*own, of_marks).unionByName(docs.join(ids, of, "left_anti").withColumn(of_marks, F.lit(None).cast(to.schema[of_marks].dataType)))
+        cuts, others = docs.join(ids, of, "left_semi"), docs.join(ids, of, "left_anti")
     else:
-        hit = docs.join(to, of, "left").select(*own, of_marks)
+        cuts, others = (work.sift(docs, [F.col("doc_id").cast("long"), F.xxhash64("text")], marks, ["doc_id", "tie"], how) for how in ("left_semi", "left_anti"))
+    work.keep(marks)
+    hit = cuts.join(to, of, "left").select(*own, of_marks).unionByName(others.withColumn(of_marks, F.lit(None).cast(to.schema[of_marks].dataType)))
     at = own.index("text")
     added = ["n_removed", "removed_words", "same_as"]
 
