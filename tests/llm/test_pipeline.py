@@ -3,8 +3,10 @@
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline
-from tracemill.llm import bpe, decontaminate, labelled, ngram_join, toxicity
+from tracemill.llm import bpe, common, decontaminate, labelled, ngram_join, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +68,21 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert sorted(r.doc_id or 0 for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [1, 2, 3, 5, 6]
     assert corpus_pipeline.encode(spark, docs, SF).count() == len(rows) and corpus_pipeline.encode(spark, docs.limit(0), SF).count() == 0
+
+
+def test_what_a_stage_returns_passes_texts_in_small_batches(spark):
+    keys = [k for k in common.WRITING if ".arrow." in k]
+    before = {k: spark.conf.get(k).removesuffix("b") for k in keys}
+    sizes = lambda df: [r.n for r in df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n long").collect()]
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        corpus_pipeline.drop_repeated_passages(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+        rows = spark.range(0, 9_000, 1, 1)
+        assert sum(sizes(rows)) == 9_000 and max(sizes(rows)) <= 2_000
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # less than that stays
+        common.lean_workers(spark)
+        assert max(sizes(rows)) <= 500
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
