@@ -301,6 +301,32 @@ def test_lines_do_not_go_along_with_records(spark, tmp_path):
     assert TU.roll_up(rows).count() == 5
 
 
+def test_turns_of_few_parts_are_not_dealt_again(spark, monkeypatch):
+    from tracemill.plans import traffic
+
+    plans, written = {}, shared.written
+    def spy(df, path):
+        plans[path.rsplit("/", 1)[-1]] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, path)
+
+    monkeypatch.setattr(traffic, "PART_BYTES", 40_000)
+    monkeypatch.setattr(shared, "written", spy)
+    with shared.settings(spark, spark__sql__shuffle__partitions="16"):
+        assert traffic.turns(spark, "/root/testdata/sf0.001").count() > 0
+    assert plans["turns"].count("Exchange hashpartitioning(source_path") == 2
+    assert plans["turns"].count("Exchange") == 2 and "ObjectHash" not in plans["turns"]
+
+
+def test_scenarios_parse_each_line_once(spark, monkeypatch):
+    from tracemill import queries_records  # noqa: F401, it adds to QUERIES
+    from tracemill.plans import traffic
+
+    parse, calls = traffic.SRC.parse, []
+    monkeypatch.setattr(traffic.SRC, "parse", lambda *a: calls.append(1) or parse(*a))
+    found = {r.scenario: r.matches for r in QUERIES["transcript_scenarios"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(calls) == 1 and found["S4"] is not None and found["S12"] > 0
+
+
 def test_usage_of_tied_lines_is_the_first_in_the_table(spark, tmp_path):
     rows = [(1, 1, 1, 5.0)] + [(2, 7, 3, float(q)) for q in (9, 4, 6)] + [(3, 1, 1, None), (3, 1, 2, 8.0), (4, 1, None, 2.0)]
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
