@@ -4,6 +4,7 @@ import datetime
 import gzip
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -380,6 +381,18 @@ def test_reconciliation_shuffles_contexts_by_evidence_and_by_route_only(spark):
     assert plan.count("LeftOuter") == 2
 
 
+def test_contexts_that_are_partitioned_by_route_are_joined_as_they_are(spark):
+    """What goes on by evidence_id has neither fields nor a ledger's row, but bits."""
+    from tracemill import queries_state  # noqa: F401, it adds to QUERIES
+
+    with shared.settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false"):
+        plan = QUERIES["evidence_reconciliation"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("\n")
+    moved = [plan[i + 1] for i, x in enumerate(plan) if "Exchange hashpartitioning(evidence_id" in x]
+    as_it_is = re.compile(r"decision_source#\d+[,\]]")
+    assert any("_bits" in x for x in moved) and not any(as_it_is.search(x) for x in moved)
+    assert not any(as_it_is.search(plan[i + 1]) for i, x in enumerate(plan) if "Exchange hashpartitioning(route_id" in x)
+
+
 def test_pairs_are_dealt_once_into_parts_of_a_size(spark, tmp_path, monkeypatch):
     from tracemill import queries
     from tracemill.plans import model
